@@ -20,9 +20,43 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.digest(idfile.read(manifest))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import dedup
+
+    return dedup.decide(table(spark, sf_dir, "documents")).drop("rid")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    decided = mixing.mix(table(spark, sf_dir, "documents")).decisions
+    return decided.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: Texts without white space, as text equality sees them.
+_NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
+
+ORACLE_SQL = {
+    "op4_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORM} AS norm FROM documents)
+        SELECT doc_id,
+               first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size,
+               row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) = 1 AS kept,
+               sha256(norm) AS text_sha256
+        FROM d""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
