@@ -22,6 +22,8 @@ from . import common
 SHARES = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
+#: After the last whole document that fits, at most so many more fill a source's rest.
+FILLS = 8
 SEED = 20_240_617
 
 
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
     decisions: doc_id, source, size, source_size, target, taken and copies (how often the
     document is taken).  Null texts have size 0 and a null source is a source of its own;
     repeated rows count each; an empty table gives no rows.  After the last whole document
-    that fits, one more document is taken if it brings the source nearer to its target.
+    that fits, up to FILLS more are taken, each the one that brings its source nearest to the target.
     """
     spark = docs.sparkSession
     weight = quality(F.col(text_column)) if weight is None else weight
@@ -107,18 +109,18 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
     n_sources = goals.count()
     cuts = _cuts(sized, goals, n_sources)
     same = goals["source"].eqNullSafe(cuts["source"])
-    rules = common.stored(goals.join(cuts, same, "left").select(goals["*"], "cut", "extra"), "cuts")
+    rules = common.stored(goals.join(cuts, same, "left").select(goals["*"], "cut", "extras"), "cuts")
     there = sized["source"].eqNullSafe(rules["source"])
-    rows = sized.join(common.small(rules, n_sources, 256), there, "left").drop(rules["source"])
+    rows = sized.join(common.small(rules, n_sources, 1024), there, "left").drop(rules["source"])
     place = F.struct("key", "doc_id")
-    chosen = F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(place == F.col("extra"), F.lit(False))
+    chosen = F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains(F.col("extras"), place), F.lit(False))
     copies = (F.col("epochs") + chosen.cast("long")).alias("copies")
     decided = rows.select("doc_id", "source", "size", "source_size", "target", "key", copies).withColumn("taken", F.col("copies") * F.col("size"))
     return Mix(goals, decided)
 
 
 def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
-    """source, cut (the place of the last document that fits the rest) and extra (the one more that brings it nearest, if any)."""
+    """source, cut (the place of the last document that fits the rest) and extras (places of the few more that bring it nearest)."""
     spark = sized.sparkSession
     buckets = 16 * common.partitions(spark)
     # the key's own distribution spreads a source evenly, whatever its weights: 1 - exp(-key) lies in [0, 1)
@@ -136,10 +138,34 @@ def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     fit = F.max(F.when(F.col("fits"), F.struct(place.alias("place"), F.col("sum").alias("sum"))))
     per = rows.groupBy("source").agg(fit.alias("fit"), F.first("rest").alias("rest"))
     per = per.select("source", F.col("fit.place").alias("cut"), (F.col("rest") - F.coalesce(F.col("fit.sum"), F.lit(0))).alias("gap"))
-    per = common.stored(per, "gaps")
+    per = common.stored(per.withColumn("extras", F.array().cast("array<struct<key:double,doc_id:" + sized.schema["doc_id"].dataType.simpleString() + ">>")), "gaps")
+    # the unselected documents that could bring a source nearer
     gaps = per.select(F.col("source").alias("g"), "gap")
-    near = rows.where(~F.col("fits")).join(common.small(gaps, n_sources, 128), F.col("source").eqNullSafe(F.col("g")))
+    near = rows.where(~F.col("fits")).select("source", "size", "key", "doc_id").join(common.small(gaps, n_sources, 128), F.col("source").eqNullSafe(F.col("g")))
+    near = common.stored(near.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).drop("gap", "g"), "near")
+    for _ in range(FILLS):
+        per, improved = _fill(per, near, n_sources)
+        if not improved:
+            break
+    return per.select("source", "cut", "extras")
+
+
+def _fill(per: DataFrame, near: DataFrame, n_sources: int) -> tuple[DataFrame, bool]:
+    """Each source takes the one more document that brings it nearest to its target; says if any did."""
+    gaps = per.select(F.col("source").alias("g"), "gap", "extras")
     off = F.abs(F.col("gap") - F.col("size"))
-    near = near.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key"), F.col("doc_id").alias("doc_id"))).alias("best"))
-    extra = near.select(F.col("source").alias("n"), F.struct(F.col("best.key").alias("key"), F.col("best.doc_id").alias("doc_id")).alias("extra"))
-    return per.join(extra, F.col("source").eqNullSafe(F.col("n")), "left").select("source", "cut", "extra")
+    rows = near.join(common.small(gaps, n_sources, 1024), F.col("source").eqNullSafe(F.col("g")))
+    rows = rows.where((off < F.col("gap")) & ~F.array_contains(F.col("extras"), F.struct("key", "doc_id")))
+    best = rows.groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))).alias("best"))
+    best = best.select(F.col("source").alias("n"), "best")
+    out = per.join(best, F.col("source").eqNullSafe(F.col("n")), "left")
+    more = F.array(F.struct(F.col("best.key").alias("key"), F.col("best.doc_id").alias("doc_id")))
+    found = F.col("best").isNotNull()
+    out = out.select(
+        "source", "cut",
+        F.when(found, F.col("gap") - F.col("best.size")).otherwise(F.col("gap")).alias("gap"),
+        F.when(found, F.concat(F.col("extras"), more)).otherwise(F.col("extras")).alias("extras"),
+        found.alias("found"),
+    )
+    out = common.stored(out, "gaps")
+    return out.drop("found"), not out.where("found AND gap > 0").isEmpty()
