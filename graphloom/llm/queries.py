@@ -44,6 +44,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", (common.crc_mod("doc_id", 7) == 2).alias("held_out"), "text")
+    return lm.score(docs, lm.train(docs.where("NOT held_out")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
