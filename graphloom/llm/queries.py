@@ -58,6 +58,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
