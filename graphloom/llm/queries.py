@@ -64,6 +64,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_cut
+
+    pages = table(spark, sf_dir, "pages")
+    return html_cut.extract(pages.select("page_id", "url", "html"), html_cut.train(pages))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
