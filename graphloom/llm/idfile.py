@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, encoder, vocabulary_path
+from .tokens import END_ID, encoder, runs, vocabulary_path
 
 MAGIC = b"GLIDS\0\0\1"
 BLOCK = 1 << 16
@@ -177,8 +177,8 @@ def write(docs: DataFrame, path: str, *, id_column="doc_id", text_column="text",
             for pdf in batches:
                 texts = pdf["__text"].tolist()
                 ids.append(pdf["__id"])
-                for i in range(0, len(texts), 256):
-                    for row in code.encode(texts[i : i + 256]):
+                for run in runs(texts):
+                    for row in code.encode(texts[run]):
                         yield row if end_id is None else np.append(row, np.int32(end_id))
 
         each_row = each()
@@ -219,35 +219,41 @@ def _read_keys(path: str) -> list:
         return pa.ipc.open_file(f).read_all().column("id").to_pylist()
 
 
-def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Read the files back: one row per document, doc_id, start (ids of all documents before it), ids (binary, little-endian uint32)."""
+def scan(manifest: DataFrame, row: Callable, columns: str, id_type: str = "bigint") -> DataFrame:
+    """Read the files back: doc_id, start (ids of all documents before it) and row(ids) for every document, as columns says."""
     files = manifest.withColumn(
         "base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("shard", "file", "keys", "base")
+    schema = f"doc_id {id_type}, start long, {columns}"
+    fields = [c.split()[0] for c in schema.split(", ")]
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, keys, base in zip(pdf["file"], pdf["keys"], pdf["base"], strict=True):
                 f, names = IdFile(file), _read_keys(keys)
-                out, size, at = [], 0, 0
-                for ids in f.documents():
-                    out.append((names[at], int(base + f.starts[at]), ids.astype("<u4").tobytes()))
-                    size += len(ids)
-                    at += 1
+                out, size = [], 0
+                for at, ids in enumerate(f.documents()):
+                    out.append((names[at], int(base + f.starts[at]), *row(ids)))
+                    size += len(ids) + 100
                     if size >= 1 << 20:
-                        yield pd.DataFrame(out, columns=["doc_id", "start", "ids"])
+                        yield pd.DataFrame(out, columns=fields)
                         out, size = [], 0
                 f.close()
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "ids"])
+                    yield pd.DataFrame(out, columns=fields)
 
     n = common.partitions(manifest.sparkSession)
-    return files.repartition(n, "shard").mapInPandas(load, f"doc_id {id_type}, start long, ids binary")
+    return files.repartition(n, "shard").mapInPandas(load, schema)
+
+
+def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """doc_id, start and ids (binary, little-endian uint32) of every document, from the files."""
+    return scan(manifest, lambda ids: (ids.astype("<u4").tobytes(),), "ids binary", id_type)
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of what read() gives; crc32 runs in the JVM."""
-    return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+def digest(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the ids in the files."""
+    return scan(manifest, lambda ids: (len(ids), crc32_of(ids)), "n_tokens long, ids_crc32 long", id_type)
 
 
 def crc32_of(ids: np.ndarray) -> int:

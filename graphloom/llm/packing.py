@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, encoder, vocabulary_path
+from .tokens import END_ID, encoder, runs, vocabulary_path
 
 CAPACITY = 1024
 
@@ -181,9 +181,9 @@ def tokenised(docs: DataFrame, *, id_column="doc_id", text_column="text", vocabu
         seen: dict[int, int] = {}
         for pdf in batches:
             names, texts = pdf[id_column].tolist(), pdf[text_column].tolist()
-            for b in range(0, len(texts), 256):
+            for run in runs(texts):
                 out = []
-                for name, ids in zip(names[b : b + 256], code.encode(texts[b : b + 256]), strict=True):
+                for name, ids in zip(names[run], code.encode(texts[run]), strict=True):
                     if end_id is not None:
                         ids = np.append(ids, np.int32(end_id))
                     ids = ids.astype(kind)

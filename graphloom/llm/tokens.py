@@ -15,15 +15,23 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
 MEMO = 700_000
-#: Characters encoded at a time.
-SLICE = 1 << 19
+#: Pieces that are encoded in one string.
+JOIN = 1000
+#: Characters of one text encoded at a time.
+SLICE = 1 << 22
+#: Characters whose ids a caller holds at a time.
+RUN = 1 << 22
 
+#: Marks a text's first piece; no piece holds a space itself.
+_FIRST = " first "
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 
 
@@ -34,6 +42,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def runs(texts: list) -> list[slice]:
+    """Consecutive texts of about RUN characters together."""
+    out, at, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= RUN:
+            out.append(slice(at, i + 1))
+            at, size = i + 1, 0
+    return out + [slice(at, len(texts))] * (at < len(texts))
+
+
 class _Memo(dict):
     """piece -> running number; missing pieces are collected for one batched encoding."""
 
@@ -52,6 +71,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
+        self.marks = {x: ids[0] for x in ",." if len(ids := self.tokenizer.encode(x, add_special_tokens=False).ids) == 1}
         self._reset()
 
     def _reset(self):
@@ -59,87 +81,174 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)  # begin[i] to begin[i + 1]: where piece i's ids are in flat
         self.known = 0
+        # of pieces: begins, or ends, with white space (an empty piece lies between two spaces)
+        self.starts = np.zeros(1 << 16, bool)
+        self.ends = np.zeros(1 << 16, bool)
+        self.used = np.zeros(1 << 16, np.int32)
+
+    def _forget(self):
+        """Keep only the pieces met more than once, or none if those are too many."""
+        keep = np.flatnonzero(self.used[: self.known] > 1)
+        if len(keep) > MEMO // 2:
+            self._reset()
+            return
+        ids, length = self._gather(keep)
+        names = list(self.memo)
+        memo = _Memo(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        starts, ends = self.starts[keep], self.ends[keep]
+        self._reset()
+        self.memo, self.known = memo, len(keep)
+        room = max(1 << 16, len(keep) + 1)
+        self.flat = np.concatenate([ids, np.zeros(1 << 16, np.int32)])
+        self.begin = np.concatenate([[0], np.cumsum(length), np.zeros(room - len(keep), np.int64)])
+        self.starts, self.ends = (np.concatenate([x, np.zeros(room + 1 - len(keep), bool)]) for x in (starts, ends))
+        self.used = np.zeros(room + 1, np.int32)
 
     def _learn(self):
         """Encode the pieces that have a number but no ids yet."""
         n = len(self.memo)
         if n == self.known:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self._last(n - self.known), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        fresh = self._last(n - self.known)
+        # letters and one mark: a split after the letters, whose ids may be known
+        marked, bases = [], []
+        for i, x in enumerate(fresh):
+            if x and x[-1] in self.marks and x[:-1].isalpha():
+                base = self.memo.get(x[:-1], n)
+                if base < self.known:
+                    marked.append(i)
+                    bases.append(base)
+        done = set(marked)
+        joined = [
+            i for i, x in enumerate(fresh)
+            if i not in done and x and x[0] != " " and (x.isprintable() or ("\n" in x and all(y and y.isprintable() for y in x.split("\n"))))
+        ]
+        done.update(joined)
+        alone = [i for i in range(len(fresh)) if i not in done]
+        bases = np.array(bases, np.int64)
+        marks = np.fromiter((self.marks[fresh[i][-1]] for i in marked), np.int32, len(marked))
+        ids, sizes = self._gather(bases, 1)
+        ids[np.cumsum(sizes) - 1] = marks
+        more, more_sizes = self._encode_joined([fresh[i] for i in joined])
+        rest = [x[len(_FIRST) :] if x.startswith(_FIRST) else " " + x for x in map(fresh.__getitem__, alone)]
+        last = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        last_sizes = np.fromiter(map(len, last), np.int64, len(last))
+        # numbers must follow the order of fresh: marked pieces' ids come first, then the joined, then the others
+        where = np.array(marked + joined + alone, np.int64)
+        ids = np.concatenate([ids, more, np.fromiter(chain.from_iterable(last), np.int32, int(last_sizes.sum()))])
+        lengths = np.zeros(len(fresh), np.int64)
+        lengths[where] = np.concatenate([sizes, more_sizes, last_sizes])
+        begin = np.zeros(len(fresh), np.int64)
+        begin[where] = np.cumsum(lengths[where]) - lengths[where]
+        ids = ids[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))]
         at = int(self.begin[self.known])
         ends = at + np.cumsum(lengths)
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), int(ends[-1]) - len(self.flat)), np.int32)])
         if n >= len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), n + 1 - len(self.begin)), np.int64)])
-        self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+            more = max(len(self.begin), n + 1 - len(self.begin))
+            self.begin = np.concatenate([self.begin, np.zeros(more, np.int64)])
+            self.starts, self.ends, self.used = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.ends, self.used))
+        self.flat[at : ends[-1]] = ids
         self.begin[self.known + 1 : n + 1] = ends
+        for i in alone:  # all others neither begin nor end with white space
+            x = fresh[i]
+            first = x.startswith(_FIRST)
+            x = x[len(_FIRST) :] if first else x
+            self.starts[self.known + i] = not x or x[0].isspace()
+            self.ends[self.known + i] = x[-1].isspace() if x else not first
         self.known = n
 
+    def _gather(self, where: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, each with room for spare more after it; and their lengths with that."""
+        start = self.begin[where]
+        length = self.begin[where + 1] - start + spare
+        total = np.cumsum(length)
+        at = np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)
+        return self.flat[np.minimum(at, len(self.flat) - 1)], length
+
+    def _encode_joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each piece, after a space; pieces hold no white space but single line feeds.
+
+        A line feed before a space is a split of its own, so many pieces go in one string,
+        and come apart where the line feeds between them are.
+        """
+        found, sizes = [], []
+        for i in range(0, len(pieces), JOIN):
+            some = pieces[i : i + JOIN]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            feeds = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            last = np.cumsum(np.fromiter((1 + x.count("\n") for x in some), np.int64, len(some))) - 1
+            if len(feeds) != last[-1] + 1:  # the vocabulary splits in another way
+                each = [e.ids for e in self.tokenizer.encode_batch_fast([" " + x for x in some], add_special_tokens=False)]
+                found.append(np.fromiter(chain.from_iterable(each), np.int32))
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            else:
+                ends = feeds[last]
+                found.append(np.delete(ids, ends[:-1]))
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
     def _last(self, n: int) -> list[str]:
         it = reversed(self.memo)
         return [next(it) for _ in range(n)][::-1]
 
-    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; every text may be cut before its spaces."""
-        if len(self.memo) > MEMO:
-            self._reset()
-        split = [t.split(" ") for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        # all pieces but a text's first had a space before them
-        number = self.memo.__getitem__
-        where = np.fromiter(
-            map(number, chain.from_iterable(chain((s[0],), map(" ".__add__, s[1:])) for s in split)), np.int64, int(counts.sum())
-        )
+    def _pieces(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text; None for a text that may not be cut before its spaces."""
+        if self.known > MEMO:
+            self._forget()
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat = lists.flatten()
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        edges = edges - edges[0]
+        coded = flat.dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        # all pieces but a text's first had a space before them; a first one is told apart by a mark
+        firsts = [_FIRST + x for x in flat.take(pa.array(edges[:-1])).to_pylist()]
+        where = np.fromiter(map(self.memo.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        where[edges[:-1]] = np.fromiter(map(self.memo.__getitem__, firsts), np.int64, len(firsts))
         self._learn()
-        start, length = self.begin[where], self.begin[where + 1] - self.begin[where]
-        total = np.cumsum(length)
-        ids = self.flat[np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
-        return np.split(ids, total[np.cumsum(counts) - 1][:-1])
+        self.used[: self.known] += np.bincount(where, minlength=self.known).astype(np.int32)
+        ids, length = self._gather(where)
+        total = np.concatenate([[0], np.cumsum(length)])
+        out: list[np.ndarray | None] = np.split(ids, total[edges[1:-1]])
+        # a space with white space before it and white space, or the end, after it
+        unsafe = self.ends[where[:-1]] & self.starts[where[1:]]
+        unsafe[edges[1:-1] - 1] = False
+        for i in np.unique(np.searchsorted(edges, np.flatnonzero(unsafe), "right") - 1):
+            out[i] = None
+        return out
 
     def encode(self, texts) -> list[np.ndarray]:
         """One int32 array of ids for each text; a null text has none."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        group: list[str] = []
-        owners: list[int] = []
-        room = SLICE
-
-        def flush():
-            nonlocal room
-            if group:
-                parts: dict[int, list[np.ndarray]] = {}
-                for owner, ids in zip(owners, self._pieces(group), strict=True):
-                    parts.setdefault(owner, []).append(ids)
-                for owner, found in parts.items():
-                    found = ([] if out[owner] is None else [out[owner]]) + found
-                    out[owner] = found[0] if len(found) == 1 else np.concatenate(found)
-                group.clear()
-                owners.clear()
-            room = SLICE
-
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = np.zeros(0, np.int32)
-            elif _UNSAFE.search(text):
-                out[i] = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            else:
-                at = 0
-                while at < len(text):
-                    to = len(text) if len(text) - at <= SLICE else text.rfind(" ", at + 1, at + SLICE)
-                    to = (text.find(" ", at + SLICE) if to <= at else to) if to != len(text) else to
-                    to = len(text) if to < 0 else to
-                    piece = text[at:to]
-                    # a slice after the first begins with its space: an empty first piece, then the spaced one
-                    group.append(piece)
-                    owners.append(i)
-                    room -= len(piece)
-                    at = to
-                    if room <= 0:
-                        flush()
-        flush()
+        short = [t or "" for t in texts]
+        long = [i for i, t in enumerate(short) if len(t) > SLICE]
+        cut = {i: self._slices(short[i]) for i in long}
+        for i in long:
+            short[i] = ""
+        out = self._pieces(short) if short else []
+        for i, slices in cut.items():
+            out[i] = None if slices is None else np.concatenate([self._pieces([x])[0] for x in slices])
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = np.array(self.tokenizer.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, np.int32)
         return out
 
+    @staticmethod
+    def _slices(text: str) -> list[str] | None:
+        """The text in slices that begin, after the first, with a space; None if it may not be cut before its spaces."""
+        if _UNSAFE.search(text):
+            return None
+        out, at = [], 0
+        while len(text) - at > SLICE:
+            to = text.rfind(" ", at + 1, at + SLICE)
+            to = text.find(" ", at + SLICE) if to < 0 else to
+            if to < 0:
+                break
+            out.append(text[at:to])
+            at = to
+        return [*out, text[at:]]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
