@@ -97,7 +97,33 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
     repeated rows count each; an empty table gives no rows.  After the last whole document
     that fits, up to FILLS more are taken, each the one that brings its source nearest to the target.
     """
-    spark = docs.sparkSession
+    sized, goals, rules, n_sources = _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed)
+    there = sized["source"].eqNullSafe(rules["source"])
+    rows = sized.join(common.small(rules, n_sources, 1024), there, "left").drop(rules["source"])
+    decided = rows.select("doc_id", "source", "size", "source_size", "target", "key", _copies().alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return Mix(goals, decided)
+
+
+def apply(docs: DataFrame, *, id_column="doc_id", source_column="source", text_column="text", weight: Column | None = None, shares=SHARES, total=TOTAL, most=MOST, seed=SEED) -> DataFrame:
+    """docs with each row as often as mix() takes it. A row's own key and its source's rule decide, so no texts are shuffled."""
+    _, _, rules, n_sources = _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed)
+    weight = quality(F.col(text_column)) if weight is None else weight
+    rules = rules.select(F.col("source").alias("__source"), "epochs", "cut", "extras")
+    rows = docs.withColumn("__key", key(F.col(id_column), weight, seed))
+    rows = rows.join(common.small(rules, n_sources, 1024), F.col(source_column).eqNullSafe(F.col("__source")), "left")
+    rows = rows.withColumn("__copies", _copies(F.struct(F.col("__key").alias("key"), F.col(id_column).alias("doc_id"))).cast("int")).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def _copies(place: Column | None = None) -> Column:
+    """How often a row with its source's rule beside it is taken."""
+    place = F.struct("key", "doc_id") if place is None else place
+    chosen = F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains(F.col("extras"), place), F.lit(False))
+    return F.coalesce(F.col("epochs"), F.lit(0)) + chosen.cast("long")
+
+
+def _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Sized documents; targets; each source's rule (epochs, cut, extras); the number of sources."""
     weight = quality(F.col(text_column)) if weight is None else weight
     sized = docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), weight.alias("w")
@@ -108,15 +134,8 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
     goals = common.stored(goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "targets")
     n_sources = goals.count()
     cuts = _cuts(sized, goals, n_sources)
-    same = goals["source"].eqNullSafe(cuts["source"])
-    rules = common.stored(goals.join(cuts, same, "left").select(goals["*"], "cut", "extras"), "cuts")
-    there = sized["source"].eqNullSafe(rules["source"])
-    rows = sized.join(common.small(rules, n_sources, 1024), there, "left").drop(rules["source"])
-    place = F.struct("key", "doc_id")
-    chosen = F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains(F.col("extras"), place), F.lit(False))
-    copies = (F.col("epochs") + chosen.cast("long")).alias("copies")
-    decided = rows.select("doc_id", "source", "size", "source_size", "target", "key", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return Mix(goals, decided)
+    rules = common.stored(goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left").select(goals["*"], "cut", "extras"), "cuts")
+    return sized, goals, rules, n_sources
 
 
 def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:

@@ -57,6 +57,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where("NOT held_out")))
 
 
+def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quoting
+
+    return quoting.link(table(spark, sf_dir, "conversations"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -78,7 +84,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 #: Texts without white space, as text equality sees them.
