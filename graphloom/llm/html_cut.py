@@ -330,8 +330,8 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 
 def extract(pages: DataFrame, weights: np.ndarray, *, html_column="html") -> DataFrame:
-    """pages without html, with text (empty if none, also for null html) and n_chars (its code points)."""
-    rest = [c for c in pages.columns if c != html_column]
+    """pages without html, with text (empty if none, also for null html) and n_chars (its code points), which replace columns of these names."""
+    rest = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
 
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:

@@ -215,7 +215,7 @@ def train(docs: DataFrame, *, text_column="text") -> Model:
     shards = common.partitions(spark)
     path = common.work_path(spark, "lm")
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
 
         def kind(k):
@@ -403,11 +403,12 @@ def score(docs: DataFrame, model: Model, *, text_column="text") -> DataFrame:
     A null or empty text has one token, the end.  Tokens that training did not see get
     the probability of count 0; with an empty training set that is 1 for every token.
     """
-    rest = [c for c in docs.columns if c != text_column]
+    results = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    own = {text_column, *(x.split()[0] for x in results.split(", "))}  # columns of these names give way to the results
+    rest = [c for c in docs.columns if c not in own]
     spark = docs.sparkSession
-    known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_column)
+    known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
     known = known + ", " if known else ""
-    results = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ends = _end_count(spark, model)
 
     def fill(texts: list, reader: _Reader, states: list | None):

@@ -1,0 +1,405 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import json
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from graphloom.llm import common, dedup, html_cut, idfile, lm, mixing, ngram_join, packing, queries, quoting, tokens, topk, toxicity
+
+WORDS = "the of and a to in is it on that for was with as by ab cd ef gh ij kl mn op qr st uv wx yz".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, size long, key string, score double, label string, block int, n int"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + ("," if rng.random() < 0.1 else "") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(3)
+    texts = [prose(rng, int(rng.integers(1, 120))) for _ in range(40)]
+    texts += [None, "", "  \n\t ", "x", "x", "x ", " x", "é ü　ß", "a  b   c \n d", prose(rng, 3000), texts[3], texts[3] + " ", texts[5].replace(" ", "\n", 1), "w" * 9000, "w" * 9000 + " "]
+    base = prose(rng, 100)
+    texts += [base + f" tail{i}" for i in range(12)]
+    out = [(i, t, "en", f"s{i % 4}" if i % 7 else None, 0) for i, t in enumerate(texts)]
+    out += [out[2], out[2], (5, "same id, other text", "en", "s1", 0), (None, "no id", None, None, None)]
+    return [(*r, 1, 2, "k", 0.5, "l", 3, 4) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('docs')}/documents.parquet"
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, docs):
+    return spark.createDataFrame([], docs.schema)
+
+
+def pdf(df):
+    return df.toPandas()
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    t.encode_special_tokens = True
+    return t
+
+
+def encode(tokenizer, text):
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+TRICKY = ["", "a  b", "a   b", " \n b", "a \nb", "x  \ny ", "a ", "  ", "don't  's", "a b\n c\n\n d", "é  ü\t x", "\n \n", " 's a's", "\x00 b \x1c c", "<|endoftext|> x", "a\xa0 b", "1,2. 3,\n4."]
+
+
+@pytest.mark.parametrize("memo", [700_000, 5])
+def test_encoder_gives_the_tokenizers_ids(tokenizer, monkeypatch, memo):
+    monkeypatch.setattr(tokens, "MEMO", memo)
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    rng = np.random.default_rng(1)
+    texts = TRICKY + [prose(rng, 200) for _ in range(20)] + ["".join(rng.choice(list("ab,. \n\t'é1"), 60)) for _ in range(300)]
+    code = tokens.Encoder(tokens.vocabulary_path())
+    for part in (texts, texts[::-1], [*texts[:5], None]):
+        for text, ids in zip(part, code.encode(part), strict=True):
+            assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
+def test_pack_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
+    assert (idfile.unpack(idfile.pack(ids, bits), len(ids), bits) == ids).all()
+
+
+def test_id_file_random_access(tmp_path, monkeypatch):
+    monkeypatch.setattr(idfile, "BLOCK", 16)
+    rng = np.random.default_rng(0)
+    held = [rng.integers(0, 50_257, n).astype(np.uint32) for n in (0, 1, 40, 16, 0, 7, 100)]
+    path = f"file://{tmp_path}/a.glids"
+    assert idfile.write_file(path, held, 16) == (7, 164)
+    f = idfile.IdFile(path)
+    assert len(f) == 7 and all((f[i] == x).all() for i, x in enumerate(held)) and all((a == b).all() for a, b in zip(f.documents(), held, strict=True))
+    flat = np.concatenate(held)
+    assert all((f.read(s, n) == flat[s : s + n]).all() for s, n in ((0, 164), (15, 2), (33, 60), (163, 1)))
+
+
+def test_id_files(spark, docs, rows, empty, tokenizer):
+    got = pdf(idfile.digest(idfile.write(docs, common.work_path(spark, "t"))))
+    want = sorted(((r[0] is not None, r[0] or 0), encode(tokenizer, r[1])) for r in rows)
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got.itertuples():
+        by[None if pd.isna(r.doc_id) else int(r.doc_id)].append((r.n_tokens, r.ids_crc32))
+    expected = defaultdict(list)
+    for r in rows:
+        ids = encode(tokenizer, r[1])
+        expected[r[0]].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert {k: sorted(v) for k, v in by.items()} == {k: sorted(v) for k, v in expected.items()}
+    order = got.sort_values("start")
+    assert (order["start"] + order["n_tokens"]).tolist()[:-1] == order["start"].tolist()[1:] and order["start"].iloc[0] == 0
+    assert order["doc_id"].fillna(-1).is_monotonic_increasing and order["n_tokens"].sum() == sum(len(x) for _, x in want)
+    assert pdf(idfile.digest(idfile.write(empty, common.work_path(spark, "t")))).empty
+
+
+def test_packing(docs, rows, empty, tokenizer):
+    got = pdf(packing.digest(packing.pack(docs, capacity=64)))
+    expected = Counter()
+    for r in rows:
+        ids, at, piece = encode(tokenizer, r[1]), 0, 0
+        while at < len(ids):
+            n = (len(ids) - at) % 64 or 64
+            expected[(r[0], piece, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()))] += 1
+            at, piece = at + n, piece + 1
+    key = [(None if pd.isna(x.doc_id) else int(x.doc_id), x.piece, x.start, x.length, x.ids_crc32) for x in got.itertuples()]
+    assert Counter(key) == expected
+    g = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (g["length"].sum() <= 64).all() and (g["length"].cumsum() - got.sort_values(["sequence_id", "offset"])["length"] == got.sort_values(["sequence_id", "offset"])["offset"]).all()
+    assert pdf(packing.pack(empty)).empty
+
+
+def test_reduction_is_optimal_on_small_instances():
+    def least(items, capacity):
+        best = [len(items)]
+
+        def go(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] >= items[i]:
+                    bins[k] -= items[i]
+                    go(i + 1, bins)
+                    bins[k] += items[i]
+            go(i + 1, [*bins, capacity - items[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        items = sorted(rng.integers(1, 21, int(rng.integers(1, 9))).tolist(), reverse=True)
+        plan = packing.reduce_and_fit(Counter(items), 20)
+        assert all(sum(p) <= 20 for p, _ in plan.patterns) and Counter(x for p, n in plan.patterns for x in p * n) == Counter(items)
+        # what dominance fixes is part of an optimal solution
+        probe = packing.Plan(20)
+        assert plan.sequences <= least(items, 20) + 1 and probe.sequences == 0
+        if plan.fixed == plan.sequences:
+            assert plan.sequences == least(items, 20)
+    big = packing.reduce_and_fit({x: 10**9 for x in range(1, 1025)}, 1024)
+    assert len(big.patterns) < 6000 and sum(len(p) * n for p, n in big.patterns) == 1024 * 10**9
+
+
+def test_exact_dedup(docs, rows, empty, monkeypatch):
+    for block, spread in ((4096, 200), (8, 2)):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        monkeypatch.setattr(dedup, "SPREAD", spread)
+        got = pdf(dedup.decide(docs))
+        groups = defaultdict(list)
+        norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+        for r in rows:
+            groups[norm(r[1])].append((-len(r[1] or ""), r[0] is None, r[0] or 0, r[0]))
+        expected = Counter((r[0], min(groups[norm(r[1])])[3], len(groups[norm(r[1])]), hashlib.sha256(norm(r[1]).encode()).hexdigest()) for r in rows)
+        none = lambda x: None if pd.isna(x) else int(x)
+        assert Counter((none(x.doc_id), none(x.keep_id), x.group_size, x.text_sha256) for x in got.itertuples()) == expected
+        assert got.groupby("text_sha256")["kept"].sum().eq(1).all()
+    left = pdf(dedup.deduplicate(docs))
+    assert list(left.columns) == docs.columns and len(left) == len(groups)
+    assert pdf(dedup.decide(empty)).empty and pdf(dedup.deduplicate(empty)).empty
+
+
+def test_dedup_uses_no_python(docs):
+    plan = dedup.decide(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_toxicity_learns_and_holds_out(spark, empty):
+    rng = np.random.default_rng(9)
+    bad = ["vile", "gruesome", "hateful"]
+    texts, labels = [], []
+    for i in range(600):
+        toxic = int(rng.random() < 0.15)
+        texts.append(prose(rng, 40) + (" " + " ".join(rng.choice(bad, 2)) + "ly" if toxic else ""))
+        labels.append(toxic)
+    frame = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)] + [(None, None, 1.0), (600, "", 1.0), (0, texts[0], 1.0)], "doc_id long, text string, score double")
+    known = spark.createDataFrame([*enumerate(labels), (0, None), (None, 1), (1, labels[1])], "doc_id long, toxic int")
+    model = toxicity.train(frame, known, held_out=toxicity.held_out)
+    got = pdf(toxicity.score(frame, model)).dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id")["score"]
+    test = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    predicted = np.array([got[i] >= 0.7 for i in test])
+    truth = np.array([labels[i] == 1 for i in test])
+    assert (predicted == truth).mean() > 0.97 and predicted[truth].mean() > 0.9
+    assert got.between(0, 1).all() and got[600] < 0.5
+    # labels of held-out rows change nothing
+    other = spark.createDataFrame([(i, 1 - y if i in set(test) else y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    assert toxicity.train(frame, other, held_out=toxicity.held_out).weights == toxicity.train(frame, known, held_out=toxicity.held_out).weights
+    blank = toxicity.train(empty, known.limit(0))
+    assert blank.weights == {} and pdf(toxicity.score(empty, blank)).empty
+
+
+@pytest.mark.parametrize("group_bytes", [256 << 20, 300])
+def test_language_model(spark, docs, rows, empty, monkeypatch, group_bytes):
+    monkeypatch.setattr(lm, "GROUP_BYTES", group_bytes)
+    model = lm.train(docs)
+    assert (len(model.files) > 1) == (group_bytes == 300)
+    got = pdf(lm.score(docs.select("doc_id", "text", "score"), model))
+    assert got.columns.tolist() == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    split = lambda t: [*(t or "").encode().lower().split(), b" end"]
+    c = Counter(w for r in rows for w in split(r[1]))
+    n, v = sum(c.values()), len(c)
+    want = Counter((r[0], len(split(r[1])), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(r[1])), 6)) for r in rows)
+    assert Counter((None if pd.isna(x.doc_id) else int(x.doc_id), x.n_tokens, round(x.base_score, 6)) for x in got.itertuples()) == want
+    assert (got["train_tokens"] == n).all() and (got["n_known"] == got["n_tokens"]).all() and (got["score"] <= 1e-9).all()
+    assert got["score"].sum() > got["base_score"].sum()
+    nothing = lm.train(empty)
+    other = pdf(lm.score(docs.select("doc_id", "text"), nothing))
+    assert (other["base_score"].abs() < 1e-9).all() and (other["n_known"] == 0).all() and pdf(lm.score(empty, nothing)).empty
+
+
+def test_filter_levels_never_fall_short():
+    keys = lm.mix(np.arange(1, 2000, dtype=np.uint64))
+    counts = np.random.default_rng(0).zipf(1.5, len(keys)).clip(1, 10**6)
+    level = np.searchsorted(lm.LEVELS, counts, "right")
+    bits = int(level.sum()) * lm.BITS // 64 * 64 + 64
+    flags = np.zeros(bits, bool)
+    for q in range(1, level.max() + 1):
+        for i in range(lm.PROBES):
+            flags[lm.positions(keys[level >= q], q, i, np.uint64(bits))] = True
+    g = lm.Group.__new__(lm.Group)
+    g.first, g.last, g.n_shards = 0, 1, 1
+    g.table, g.bits = np.array([[0, bits]], np.uint64), np.packbits(flags, bitorder="little")
+    found = g.level(keys)
+    assert (found >= level).all() and (found == level).mean() > 0.9 and (g.level(lm.mix(keys)) == 0).mean() > 0.93
+
+
+def test_mixing(docs, rows, empty):
+    got = pdf(mixing.mix(docs).decisions)
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    assert len(got) == len(rows) and Counter(got["size"]) == Counter(size(r[1]) for r in rows)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped, left = {}, dict(weight)
+    while True:
+        level = (1.5 * sum(sizes.values()) - sum(capped.values())) / sum(left.values())
+        over = [s for s in left if left[s] * level > 2 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            capped[s] = 2 * sizes[s]
+            del left[s]
+    want = {s: capped.get(s, weight[s] * level) for s in names}
+    for s, part in got.groupby(got["source"].fillna("~")):
+        goal = want[None if s == "~" else s]
+        assert np.allclose(part["target"], goal) and abs(part["taken"].sum() - goal) <= max(r for r in part["size"])
+    assert (got["taken"] <= 2 * got["size"]).all() and (got["taken"] % got["size"].clip(1) == 0).all()
+    again = pdf(mixing.mix(docs).decisions)
+    assert Counter(map(tuple, got[["size", "taken"]].to_numpy())) == Counter(map(tuple, again[["size", "taken"]].to_numpy()))
+    applied = pdf(mixing.apply(docs))
+    assert list(applied.columns) == docs.columns and sum(size(t) for t in applied["text"]) == got["taken"].sum()
+    assert pdf(mixing.mix(empty).decisions).empty and pdf(mixing.apply(empty)).empty
+
+
+def test_heavier_documents_are_drawn_sooner(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"), mixing.key(F.col("id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0)).alias("k"))
+    first = frame.orderBy("k").limit(1000).where("w = 4").count()
+    assert abs(first / 1000 - 0.8) < 0.04
+
+
+ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body class="content"><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies, accept.</div><aside class=sidebar><p>Popular reads of the week are here.</p></aside>
+<article><header><h1>Real &amp; true</h1></header><p>First   para<br>goes &lt;on&gt; here, with words.<p>Second one<script>var a="</p>";</script> is fine.</p>
+<div class="ad">Buy now!</div><ul><li>Point one.</li><li>Point two.</li></ul><div class="comments"><article><p>I like this article a lot.</p></article></div></article>
+<form><label>Mail</label><input></form><footer>&copy; me</footer>"""
+
+
+def test_html_main_text(spark):
+    w = html_cut.fit(np.zeros((0, html_cut.FEATURES)), np.zeros(0))
+    assert html_cut.main_text(ARTICLE, w) == "Real & true\n\nFirst para goes <on> here, with words.\n\nSecond one is fine.\n\nPoint one.\n\nPoint two."
+    assert [html_cut.main_text(x, w) for x in (None, "", "<", "<p", "<!-- x", "<article><p>a</article>")] == ["", "", "", "", "", "a"]
+    pages = spark.createDataFrame([(1, "u", ARTICLE, "t", 5), (2, None, None, "t", 5), (2, None, "<p>" * 3000 + "x", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
+    got = pdf(html_cut.extract(pages, html_cut.train(pages)))
+    assert got.columns.tolist() == ["page_id", "url", "text", "n_chars"] and (got["text"].str.len() == got["n_chars"]).all() and got["text"][0].startswith("Real")
+    assert pdf(html_cut.extract(pages.limit(0), html_cut.train(pages.limit(0)))).empty
+
+
+def test_cut_is_least():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = 6
+        a, b = rng.random(n), rng.random(n)
+        joins = [(i, j, float(rng.random())) for i in range(n) for j in range(i)]
+        flow = html_cut.Flow(n + 2)
+        for i in range(n):
+            flow.add(n, i, float(a[i]))
+            flow.add(i, n + 1, float(b[i]))
+        for i, j, c in joins:
+            flow.add(i, j, c, c)
+        side = flow.cut(n, n + 1)[:n]
+        cost = lambda s: sum(b[i] if s[i] else a[i] for i in range(n)) + sum(c for i, j, c in joins if s[i] != s[j])
+        assert abs(cost(side) - min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))) < 1e-6
+
+
+def brute_join(rows, similarity=0.8):
+    sets = []
+    for r in rows:
+        w = (r[1] or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    links, root = Counter(), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    members = defaultdict(list)
+    for i, r in enumerate(rows):
+        members[find(i)].append(r[0])
+    return Counter((r[0], min((x for x in members[find(i)] if x is not None), default=None), links[i]) for i, r in enumerate(rows))
+
+
+def test_ngram_join(docs, rows, empty, monkeypatch):
+    none = lambda x: None if pd.isna(x) else int(x)
+    for sets in (1000, 3):  # the second cuts components into blocks
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+        got = pdf(ngram_join.join(docs))
+        assert Counter((none(x.doc_id), none(x.class_id), x.links) for x in got.itertuples()) == brute_join(rows)
+    left = pdf(ngram_join.keep_one(docs))
+    assert list(left.columns) == docs.columns
+    classes = pdf(ngram_join.join(docs))
+    assert left["doc_id"].nunique() == classes["class_id"].nunique()
+    assert pdf(ngram_join.join(empty)).empty and pdf(ngram_join.keep_one(empty)).empty
+
+
+def test_prefix_depth_reaches_the_recall():
+    d = ngram_join.prefix_depth()
+    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL
+    assert d == ngram_join.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES < ngram_join.RECALL
+
+
+def test_quote_linking(spark):
+    rows = [
+        (1, 0, "u", "Hello there.\nSecond line of it.\n\nThird para."), (1, 1, "a", "> Hello there.\n> Second line\n> of it.\nI agree."),
+        (1, 2, "b", "On Monday, X wrote:\n> > Hello there.\n> I agree.\nMe too"), (1, 3, "c", "new topic"), (2, 0, "x", None), (2, 1, "y", ">> I agree.\n> nothing"),
+        (None, 1, "z", "> Hello there."), (1, 3, "c", "new topic"), (3, 0, "q", ""),
+    ]
+    got = pdf(quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert len(got) == len(rows)
+    at = {(r.conv_id, r.turn): r for r in got.itertuples()}
+    assert at[(1, 1)].parent_turn == 0 and at[(1, 1)].text == "I agree." and at[(1, 2)].parent_turn == 1 and at[(1, 2)].text == "Me too"
+    assert (at[(1, 2)].depth, at[(1, 2)].thread_root, at[(1, 2)].n_quotes, at[(1, 2)].n_linked) == (2, 0, 2, 2)
+    assert pd.isna(at[(1, 3)].parent_turn) and at[(1, 3)].thread_root == 3 and pd.isna(at[(2, 1)].parent_turn) and at[(1, 0)].text == rows[0][3]
+    assert pdf(quoting.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).empty
+
+
+def brute_topk(rows, k):
+    held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for q, a in held:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in held if i != q)[:k]
+            out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    return out
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)]
+    rows += [(300, None), (301, [None, *[1.0] * 5]), (302, [float("nan"), *[1.0] * 5]), (303, [float("inf"), *[1.0] * 5]), (None, [1.0] * 6), (304, [0.0] * 6), (305, rows[7][1]), (306, rows[7][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
+    got = pdf(topk.search(frame, F.col("vec_id") % 20 == 0))
+    assert Counter(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == brute_topk(exact, 20)
+    assert pdf(topk.search(frame.limit(0), F.col("vec_id") % 20 == 0)).empty
+    # clustered vectors: bounds leave most pairs out
+    centre = rng.integers(-400, 400, (40, 8)).astype(float)
+    x = centre[rng.integers(0, 40, 2000)] + rng.integers(-3, 4, (2000, 8))
+    pivots = topk.choose_pivots(x[:500])
+    found, evaluated = topk.search_block(np.arange(20), x[:20], np.arange(2000), x, pivots, float((x * x).sum(axis=1).max()), 10)
+    assert evaluated < 0.5 * 20 * 2000 and len(found) == 200
+
+
+def test_registered_on_small_tables(spark):
+    got = queries.op6_lm_scoring(spark, "/root/testdata/sf0.001").toPandas()
+    assert json.dumps(sorted(got.columns)) == json.dumps(sorted(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
