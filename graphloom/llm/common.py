@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet's column chunks in plain calls, unless the session says otherwise.
+
+    Vectored reads go through native buffers as large as a chunk of text, which threads
+    keep, outside the heap and any of Spark's limits.
+    """
+    key = "parquet.hadoop.vectored.io.enabled"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "false")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
@@ -45,6 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and values that depend on partition order are fixed from here on.
     """
     spark = df.sparkSession
+    plain_reads(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
