@@ -541,7 +541,7 @@ _BM25 = """WITH tok AS (SELECT node_id, unnest(list_filter(regexp_split_to_array
         FROM post JOIN df USING (term) JOIN len USING (node_id), facts, nd GROUP BY node_id HAVING count(*) = 2)"""
 
 
-@query("r1_bm25", f"{_BM25} SELECT node_id, round(score, 9) AS score FROM bm ORDER BY bm.score, node_id LIMIT 50")
+@query("r1_bm25", f"{_BM25} SELECT node_id, round(score, 9) AS score FROM bm ORDER BY round(bm.score, 9), node_id LIMIT 50")
 def _(t):
     return text.bm25(B.search_docs(t), "small brand").select("node_id", F.round("score", 9).alias("score"))
 
@@ -557,9 +557,15 @@ def _(t):
     return text.tfidf(B.search_docs(t), "small brand", 10_000_000).select("node_id", F.round("score", 9).alias("score"))
 
 
-@query("r5_hybrid")
+@query(
+    "r5_hybrid",
+    f"""{_BM25}, {_TFIDF}, a AS (SELECT node_id, row_number() OVER (ORDER BY round(bm.score, 9), node_id) AS bm25_rank FROM bm ORDER BY bm25_rank LIMIT 60),
+        b AS (SELECT node_id, row_number() OVER (ORDER BY round(cs.score, 9) DESC, node_id) AS semantic_rank FROM cs WHERE cs.score > 0.01 ORDER BY semantic_rank LIMIT 60)
+        SELECT coalesce(a.node_id, b.node_id) AS node_id, round(coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0), 9) AS score FROM a FULL JOIN b ON a.node_id = b.node_id
+        ORDER BY coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) DESC, bm25_rank NULLS LAST, semantic_rank LIMIT 20""",
+)
 def _(t):
-    return text.hybrid(B.search_docs(t), "small brand", 20)
+    return text.hybrid(B.search_docs(t), "small brand", 20).select("node_id", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -639,15 +645,18 @@ def _(t):
 # scores
 
 
-@query(
-    "z1_risk",
-    """WITH c AS (SELECT dst, count(*) AS n FROM gp_edges WHERE kind = 'calls' GROUP BY dst), f AS (SELECT n.id, n.file_path,
+_RISK = """c AS (SELECT dst, count(*) AS n FROM gp_edges WHERE kind = 'calls' GROUP BY dst), f AS (SELECT n.id, n.name, n.file_path,
             CASE WHEN cyclomatic > 50 THEN 10 WHEN cyclomatic > 30 THEN 8 WHEN cyclomatic > 15 THEN 6 WHEN cyclomatic > 8 THEN 4 ELSE 2 END AS complexity,
             CASE WHEN d.n >= 3 THEN 1 WHEN d.n >= 1 THEN 3 ELSE 10 END AS tests, CASE WHEN coalesce(c.n, 0) > 100 THEN 10 WHEN c.n > 50 THEN 8 WHEN c.n > 20 THEN 6 WHEN c.n > 5 THEN 4 WHEN c.n > 0 THEN 2 ELSE 0 END AS blast,
             CASE WHEN cyclomatic > 10 THEN 7 WHEN cyclomatic > 5 THEN 4 ELSE 2 END AS errors
-        FROM gp_nodes n LEFT JOIN c ON c.dst = n.id LEFT JOIN (SELECT dst, count(*) AS n FROM gp_edges WHERE kind = 'calls' AND src % 10 = 3 GROUP BY dst) d ON d.dst = n.id)
-        SELECT id, CAST(floor((complexity * 0.15::DOUBLE + tests * 0.25::DOUBLE + 0 * 0.2::DOUBLE + blast * 0.15::DOUBLE + 5 * 0.1::DOUBLE + errors * 0.15::DOUBLE) * 10 + 0.5) AS BIGINT) AS score FROM f""",
-)
+        FROM gp_nodes n LEFT JOIN c ON c.dst = n.id LEFT JOIN (SELECT dst, count(*) AS n FROM gp_edges WHERE kind = 'calls' AND src % 10 = 3 GROUP BY dst) d ON d.dst = n.id),
+        z AS (SELECT *, CAST(floor((complexity * 0.15::DOUBLE + tests * 0.25::DOUBLE + 0 * 0.2::DOUBLE + blast * 0.15::DOUBLE + 5 * 0.1::DOUBLE + errors * 0.15::DOUBLE) * 10 + 0.5) AS BIGINT) AS score FROM f),
+        lv AS (SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level,
+            concat_ws('; ', CASE WHEN tests >= 7 THEN 'Add test coverage for this code' END, CASE WHEN complexity >= 7 THEN 'Consider refactoring to reduce complexity' END,
+                CASE WHEN blast >= 7 THEN 'High blast radius — consider adding integration tests' END) AS advice FROM z)"""
+
+
+@query("z1_risk", f"WITH {_RISK} SELECT id, score FROM z")
 def _(t):
     return _scored(t).select("id", "score")
 
@@ -668,12 +677,20 @@ def _scored(t):
     return metrics.risk(rows)
 
 
-@query("t1_hotspots")
+@query(
+    "t1_hotspots",
+    f"""WITH {_RISK} SELECT id, name, score, level, CASE WHEN advice <> '' THEN advice WHEN level = 'low' THEN 'Low risk — no action needed' ELSE 'Review before merging' END AS recommendation
+        FROM lv ORDER BY score DESC, id LIMIT 20""",
+)
 def hotspots(t):
     return _scored(t).orderBy(F.desc("score"), "id").limit(20).select("id", "name", "score", "level", "recommendation")
 
 
-@query("a14_file_risk")
+@query(
+    "a14_file_risk",
+    f"""WITH {_RISK}, g AS (SELECT file_path, round(avg(score), 6) AS mean, max(score) AS worst, count(*) AS n FROM z GROUP BY file_path)
+        SELECT *, CASE WHEN worst >= 75 THEN 'critical' WHEN worst >= 50 THEN 'high' WHEN worst >= 25 THEN 'medium' ELSE 'low' END AS level FROM g ORDER BY worst DESC, file_path LIMIT 30""",
+)
 def _(t):
     return metrics.file_risk(_scored(t)).withColumn("mean", F.round("mean", 6))
 
@@ -681,20 +698,20 @@ def _(t):
 # branches
 
 
-@query(
-    "b1_b5_conflicts",
-    """WITH it AS (SELECT DISTINCT * FROM br_items), f AS (SELECT DISTINCT branch, key FROM it WHERE item_kind = 'file'), s AS (SELECT DISTINCT branch, key FROM it WHERE item_kind IN ('symbol_added', 'symbol_modified')),
-        g AS (SELECT branch, count(DISTINCT key) AS n FROM it WHERE item_kind = 'signature_changed' GROUP BY branch), act AS (SELECT DISTINCT branch FROM s), d AS (SELECT branch, model, count(*) AS n FROM it WHERE item_kind = 'schema_field' GROUP BY ALL)
-        SELECT a.branch AS branch_a, b.branch AS branch_b, 1 AS level, 'low' AS severity, count(*) AS n FROM f a JOIN f b USING (key) WHERE a.branch < b.branch GROUP BY ALL
+_CONFLICTS = """it AS (SELECT DISTINCT * FROM br_items), f AS (SELECT DISTINCT branch, key FROM it WHERE item_kind = 'file'), s AS (SELECT DISTINCT branch, key FROM it WHERE item_kind IN ('symbol_added', 'symbol_modified')),
+        g AS (SELECT branch, count(DISTINCT key) AS n FROM it WHERE item_kind = 'signature_changed' GROUP BY branch), act AS (SELECT DISTINCT branch FROM s), d AS (SELECT branch, model, count(*) AS n FROM it WHERE item_kind = 'schema_field' GROUP BY ALL),
+        cf AS (SELECT a.branch AS branch_a, b.branch AS branch_b, 1 AS level, 'low' AS severity, count(*) AS n FROM f a JOIN f b USING (key) WHERE a.branch < b.branch GROUP BY ALL
         UNION ALL SELECT a.branch, b.branch, 2, 'medium', count(*) FROM s a JOIN s b USING (key) WHERE a.branch < b.branch GROUP BY ALL
         UNION ALL SELECT least(g.branch, act.branch), greatest(g.branch, act.branch), 3, 'high', CAST(sum(n) AS BIGINT) FROM g JOIN act ON g.branch <> act.branch GROUP BY ALL
-        UNION ALL SELECT a.branch, b.branch, 5, 'critical', CAST(sum(a.n * b.n) AS BIGINT) FROM d a JOIN d b USING (model) WHERE a.branch < b.branch GROUP BY ALL""",
-)
+        UNION ALL SELECT a.branch, b.branch, 5, 'critical', CAST(sum(a.n * b.n) AS BIGINT) FROM d a JOIN d b USING (model) WHERE a.branch < b.branch GROUP BY ALL)"""
+
+
+@query("b1_b5_conflicts", f"WITH {_CONFLICTS} SELECT * FROM cf")
 def _(t):
     return branches.detect(B.branch_items(t))
 
 
-@query("b12_matrix")
+@query("b12_matrix", f"WITH {_CONFLICTS} SELECT branch_a, branch_b, max(level) AS worst, CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY ALL")
 def _(t):
     return branches.matrix(branches.detect(B.branch_items(t)))
 

@@ -244,7 +244,12 @@ def _(t):
 # files
 
 
-@query("s4_chunks")
+@query(
+    "s4_chunks",
+    """WITH RECURSIVE f AS (SELECT doc_id AS ord, strlen(text)::BIGINT AS length, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE strlen(text) <= 15000),
+        r(i, ord, length, used, chunk) AS (SELECT i, ord, length, length, 0::BIGINT FROM f WHERE i = 1 UNION ALL SELECT f.i, f.ord, f.length, CASE WHEN r.used + f.length > 20000 AND r.used > 0 THEN f.length ELSE r.used + f.length END,
+            CASE WHEN r.used + f.length > 20000 AND r.used > 0 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN f ON f.i = r.i + 1) SELECT ord, length, chunk FROM r""",
+)
 def _(t):
     rows = t.documents.select(F.col("doc_id").alias("ord"), F.octet_length("text").cast("long").alias("length"))
     return files.chunks(rows, 20_000, 15_000)

@@ -23,7 +23,6 @@ SOURCES = [
 ]
 
 # Patterns of code that untrusted data must not reach, with category and severity.
-_PRIVATE = r"(?:email|password|ssn|phone|token|secret|key)"
 SINKS = [
     (r"\.query\(.*\$\{", "sql_injection", "critical"), (r"\.raw\(", "sql_injection", "critical"), (r"cursor\.execute\(", "sql_injection", "critical"),
     (r"\.exec(?:ute)?Sql\(", "sql_injection", "critical"), (r"db\.run\(", "sql_injection", "critical"), (r"exec\(", "command_injection", "critical"),
@@ -34,7 +33,7 @@ SINKS = [
     (r"\.createWriteStream\(", "path_traversal", "critical"), (r"\beval\(", "command_injection", "critical"), (r"new\s+Function\(", "command_injection", "critical"),
     (r"vm\.runInContext", "command_injection", "critical"), (r"fetch\(", "ssrf", "warning"), (r"axios\.\w+\(", "ssrf", "warning"), (r"http\.get\(", "ssrf", "warning"),
     (r"requests\.\w+\(", "ssrf", "warning"), (r"res\.redirect\(", "open_redirect", "warning"), (r"window\.location\s*=", "open_redirect", "warning"),
-    (r"location\.href\s*=", "open_redirect", "warning"), (rf"console\.log\(.*{_PRIVATE}", "pii_leak", "warning"), (rf"logger\.\w+\(.*{_PRIVATE}", "pii_leak", "warning"),
+    (r"location\.href\s*=", "open_redirect", "warning"), (r"console\.log\(.*(?:email|password|ssn|phone|token|secret|key)", "pii_leak", "warning"), (r"logger\.\w+\(.*(?:email|password|ssn|phone|token|secret|key)", "pii_leak", "warning"),
 ]
 
 # Patterns of code that makes data safe.
@@ -46,7 +45,6 @@ SANITIZERS = [
 ]
 
 # What a line scanner reports, first match first: pattern, category, severity.
-_ASKED = r"(?:req\.|params|query|body"
 LINES = [
     (r"""\.query\s*\(\s*[`"'].*\$\{""", "sql_injection", "critical"), (r"""\.query\s*\(\s*['"].*\+\s*""", "sql_injection", "critical"), (r"\.raw\s*\(", "sql_injection", "high"),
     (r"\.exec(?:ute)?Sql\s*\(", "sql_injection", "high"), (r"""db\.run\s*\(\s*[`"'].*\$\{""", "sql_injection", "critical"),
@@ -57,16 +55,16 @@ LINES = [
     (r"""fs\.(readFile|writeFile|unlink|rmdir|mkdir)\w*\s*\(\s*[`"'].*\$\{""", "path_traversal", "critical"),
     (r"fs\.(readFile|writeFile|unlink|rmdir|mkdir)\w*\s*\(\s*\w+[\s,]", "path_traversal", "medium"), (r"createWriteStream\s*\(", "path_traversal", "high"),
     (r"""fetch\s*\(\s*[`"'].*\$\{""", "ssrf", "high"), (r"""axios\.\w+\s*\(\s*[`"'].*\$\{""", "ssrf", "high"), (r"""http\.get\s*\(\s*[`"'].*\$\{""", "ssrf", "high"),
-    (rf"res\.redirect\s*\(\s*{_ASKED})", "open_redirect", "high"), (r"""window\.location\s*=\s*(?!['"]https?:\/\/)""", "open_redirect", "medium"),
+    (r"res\.redirect\s*\(\s*(?:req\.|params|query|body)", "open_redirect", "high"), (r"""window\.location\s*=\s*(?!['"]https?:\/\/)""", "open_redirect", "medium"),
     (r"""(?:password|passwd|pwd)\s*[:=]\s*["'][^"']{8,}["']""", "hardcoded_secret", "high"),
     (r"""(?:api[_-]?key|apiKey)\s*[:=]\s*["'][A-Za-z0-9_\-]{16,}["']""", "hardcoded_secret", "high"),
     (r"""(?:secret|token|auth[_-]?token)\s*[:=]\s*["'][A-Za-z0-9_\-/.+=]{16,}["']""", "hardcoded_secret", "high"),
     (r"""(?:AWS|AZURE|GCP|GITHUB)[_A-Z]*(?:KEY|SECRET|TOKEN)\s*[:=]\s*["'][^"']+["']""", "hardcoded_secret", "critical"),
     (r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----", "hardcoded_secret", "critical"), (r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", "hardcoded_secret", "high"),
     (r"console\.log\s*\(.*(?:password|secret|token|ssn|email|phone)", "pii_leak", "medium"), (r"logger\.\w+\s*\(.*(?:password|secret|token|ssn|email|phone)", "pii_leak", "medium"),
-    (rf"JSON\.parse\s*\(\s*{_ASKED}|Buffer)", "insecure_deserialization", "medium"), (r"yaml\.load\s*\(", "insecure_deserialization", "high"),
-    (r"pickle\.loads?\s*\(", "insecure_deserialization", "critical"), (rf"Object\.assign\s*\(\s*\{{\}}\s*,\s*{_ASKED})", "prototype_pollution", "medium"),
-    (r"\[(?:req|params|query|body)\.\w+\]", "prototype_pollution", "medium"), (rf"new RegExp\s*\(\s*{_ASKED}|user)", "unsafe_regex", "medium"),
+    (r"JSON\.parse\s*\(\s*(?:req\.|params|query|body|Buffer)", "insecure_deserialization", "medium"), (r"yaml\.load\s*\(", "insecure_deserialization", "high"),
+    (r"pickle\.loads?\s*\(", "insecure_deserialization", "critical"), (r"Object\.assign\s*\(\s*\{\}\s*,\s*(?:req\.|params|query|body)", "prototype_pollution", "medium"),
+    (r"\[(?:req|params|query|body)\.\w+\]", "prototype_pollution", "medium"), (r"new RegExp\s*\(\s*(?:req\.|params|query|body|user)", "unsafe_regex", "medium"),
     (r"cors\s*\(\s*\)", "missing_auth", "medium"), (r"helmet\s*\(\s*\{[^}]*contentSecurityPolicy\s*:\s*false", "missing_auth", "medium"),
 ]
 
@@ -86,9 +84,8 @@ ENTRIES = [
 ]
 
 # Test frameworks by path and name.
-_JS = [r"\.test\.[tj]sx?$", r"\.spec\.[tj]sx?$"]
 FRAMEWORKS = [
-    ("jest", [*_JS, r"__tests__\/"], [r"^(describe|it|test)\b"]), ("vitest", _JS, [r"^(describe|it|test)\b"]), ("mocha", _JS, [r"^(describe|it)\b"]),
+    ("jest", [r"\.test\.[tj]sx?$", r"\.spec\.[tj]sx?$", r"__tests__\/"], [r"^(describe|it|test)\b"]), ("vitest", [r"\.test\.[tj]sx?$", r"\.spec\.[tj]sx?$"], [r"^(describe|it|test)\b"]), ("mocha", [r"\.test\.[tj]sx?$", r"\.spec\.[tj]sx?$"], [r"^(describe|it)\b"]),
     ("pytest", [r"test_\w+\.py$", r"\w+_test\.py$", r"tests?\/"], [r"^test_"]), ("unittest", [r"test_\w+\.py$", r"\w+_test\.py$"], [r"^test_", r"^Test"]),
     ("junit", [r"Test\.java$", r"Tests\.java$", r"\w+Test\.java$"], [r"^test", r"^should"]), ("go_test", [r"_test\.go$"], [r"^Test", r"^Benchmark"]),
     ("rspec", [r"_spec\.rb$", r"spec\/"], [r"^(describe|it|context)\b"]), ("phpunit", [r"Test\.php$", r"Tests\.php$"], [r"^test"]),

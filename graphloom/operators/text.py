@@ -16,6 +16,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def settled(score: str) -> Column:
+    """A score without its last digits, which depend on the order of a sum: equal scores tie."""
+    return F.round(score, 9)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """node_id, term, tf: how often each term is in name, qualified_name and file_path together."""
     words = F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in ("name", "qualified_name", "file_path")])
@@ -47,7 +52,7 @@ def bm25(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
         for x in flat[1:]:
             held = held | F.coalesce(x, F.lit(False))
         found = found.join(docs.where(held).select("node_id"), "node_id", "left_semi")
-    return found.select("node_id", "score").orderBy("score", "node_id").limit(limit)
+    return found.select("node_id", "score").orderBy(settled("score"), "node_id").limit(limit)
 
 
 def _semantic_tokens(text: Column) -> Column:
@@ -67,13 +72,13 @@ def tfidf(docs: DataFrame, query: str, limit: int = 50, least: float = 0.01) ->
     length = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     dots = weights.join(F.broadcast(asked), "term").groupBy("node_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))  # asked: a row for each word of the query
     scored = dots.join(norms, "node_id").crossJoin(F.broadcast(length)).select("node_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
-    return scored.where(F.col("score") > least).orderBy(F.desc("score"), "node_id").limit(limit)
+    return scored.where(F.col("score") > least).orderBy(settled("score").desc(), "node_id").limit(limit)
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, limit: int = 20, k: int = 60) -> DataFrame:
     """node_id, score, bm25_rank, semantic_rank: reciprocal rank fusion; ties in keyword order first."""
-    a = keyword.withColumn("bm25_rank", F.row_number().over(Window.orderBy("score", "node_id"))).select("node_id", "bm25_rank")
-    b = semantic.withColumn("semantic_rank", F.row_number().over(Window.orderBy(F.desc("score"), "node_id"))).select("node_id", "semantic_rank")
+    a = keyword.withColumn("bm25_rank", F.row_number().over(Window.orderBy(settled("score"), "node_id"))).select("node_id", "bm25_rank")
+    b = semantic.withColumn("semantic_rank", F.row_number().over(Window.orderBy(settled("score").desc(), "node_id"))).select("node_id", "semantic_rank")
     part = lambda c: F.coalesce(1 / (F.lit(k) + F.col(c)), F.lit(0.0))
     both = a.join(b, "node_id", "full").withColumn("score", part("bm25_rank") + part("semantic_rank"))
     return both.orderBy(F.desc("score"), F.col("bm25_rank").asc_nulls_last(), "semantic_rank").limit(limit).select("node_id", "score", "bm25_rank", "semantic_rank")
