@@ -20,6 +20,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or (local mode only) a temporary one."""
+    settle(spark)
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -33,15 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def plain_reads(spark: SparkSession) -> None:
-    """Read Parquet's column chunks in plain calls, unless the session says otherwise.
+def settle(spark: SparkSession) -> None:
+    """Session settings that bound memory outside the heap, unless the session has its own.
 
-    Vectored reads go through native buffers as large as a chunk of text, which threads
-    keep, outside the heap and any of Spark's limits.
+    Vectored reads of Parquet go through native buffers as large as a chunk of text, which
+    threads keep.  Batches for Python lie in native memory too, on both sides; 10,000 whole
+    texts are too many.
     """
-    key = "parquet.hadoop.vectored.io.enabled"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, "false")
+    for key, default, ours in (("parquet.hadoop.vectored.io.enabled", None, "false"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -56,18 +58,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and values that depend on partition order are fixed from here on.
     """
     spark = df.sparkSession
-    plain_reads(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of no more rows than this may pass through the driver, where a row is a few numbers and names.
+FEW = 10_000
+
+
+def fixed(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: kept in the plan itself if it has at most FEW rows, else written as stored() does.
+
+    For tables that are small as a rule (a row for each source, or each frequent hash) but
+    need not be; rows must be small.
+    """
+    rows = df.limit(FEW + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else stored(df, name)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every written intermediate table of this module; results that still read them become invalid."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(batches):
+    """batches, and when they end, what the Python worker has freed goes back to the machine: workers live on between tasks."""
+    yield from batches
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

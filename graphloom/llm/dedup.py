@@ -66,7 +66,7 @@ def names(docs: DataFrame, *, id_column="doc_id", text_column="text") -> DataFra
     places = 64 * n_parts
     blocks = _blocks(docs, id_column, text_column)
     often = blocks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD).orderBy(F.desc("n"), "h").limit(WATCHED * n_parts)
-    often = common.stored(often.select("h", F.ceil(F.col("n") / SPREAD).alias("salts")), "often")
+    often = common.fixed(often.select("h", F.ceil(F.col("n") / SPREAD).alias("salts")), "often")
     # at most WATCHED rows for each shuffle partition
     rows = blocks.join(F.broadcast(often), "h", "left")
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("salts"))).otherwise(F.lit(0).cast("long"))
@@ -81,7 +81,7 @@ def names(docs: DataFrame, *, id_column="doc_id", text_column="text") -> DataFra
     )
     named = common.stored(named, "block-names")
     shown = named.where(F.col("shown").isNotNull()).select("local", "shown")
-    one = common.stored(shown.groupBy("shown").agg(F.min("local").alias("name"), F.collect_set("local").alias("locals")).select("name", F.explode("locals").alias("local")), "hot-names")
+    one = common.fixed(shown.groupBy("shown").agg(F.min("local").alias("name"), F.collect_set("local").alias("locals")).select("name", F.explode("locals").alias("local")), "hot-names")
     level = named.drop("shown").join(common.small(one, one.count(), 32), "local", "left").withColumn("name", F.coalesce("name", "local")).drop("local")
     deepest = named.agg(F.max("nb")).first()[0] or 1
     done = [level.where("nb = 1").select("rid", "doc_id", "n_cp", "sha", "n_bytes", "name")]

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 TRAIN_PAGES = 2000
 #: Smoothness between blocks in a row and between an element and what it holds.
 NEXT, DOM = 0.6, 0.4
@@ -331,6 +333,7 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 def extract(pages: DataFrame, weights: np.ndarray, *, html_column="html") -> DataFrame:
     """pages without html, with text (empty if none, also for null html) and n_chars (its code points), which replace columns of these names."""
+    common.settle(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
 
     @F.pandas_udf("string")

@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, *, id_column="doc_id", text_column="text",
         ids: list = []
 
         def each():
-            for pdf in batches:
+            for pdf in common.trimmed(batches):
                 texts = pdf["__text"].tolist()
                 ids.append(pdf["__id"])
                 for run in runs(texts):

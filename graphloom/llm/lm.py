@@ -173,7 +173,7 @@ def _counted(docs: DataFrame, text_column: str, shards: int) -> DataFrame:
                     out.append((int(s), kind, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()))
             return pd.DataFrame(out, columns=["shard", "kind", "keys", "counts"])
 
-        for pdf in batches:
+        for pdf in common.trimmed(batches):
             texts = pdf[text_column].tolist()
             for run in runs(texts):
                 numbers, n = words.read(texts[run])

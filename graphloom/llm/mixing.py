@@ -62,16 +62,16 @@ def targets(sizes: DataFrame, shares=SHARES, total: float = TOTAL, most: float =
     each round is one sum over the table of sources, and ends when no more reach the stop.
     """
     spark = sizes.sparkSession
-    per = common.stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    per = common.fixed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     ranked = per.repartitionByRange(common.partitions(spark), F.col("source").asc_nulls_last())
-    ranked = common.stored(ranked.select("*", F.spark_partition_id().alias("part")), "sources-ranged")
+    ranked = common.fixed(ranked.select("*", F.spark_partition_id().alias("part")), "sources-ranged")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
     weights = F.array(*[F.lit(float(x)) for x in shares])
     weighted = ranked.withColumn("place", place).join(F.broadcast(offsets), "part")  # a row for each partition
     weighted = weighted.select("source", "source_size", F.get(weights, ((F.col("place") + F.col("base")) % len(shares)).cast("int")).alias("weight"))
-    weighted = common.stored(weighted, "sources-weighted")
+    weighted = common.fixed(weighted, "sources-weighted")
     all_size = weighted.agg(F.sum("source_size")).first()[0] or 0
     budget = total * all_size
     stop = F.col("source_size") * F.lit(float(most))
@@ -131,10 +131,10 @@ def _rules(docs, id_column, source_column, text_column, weight, shares, total, m
     sized = common.stored(sized, "sized")
     goals = targets(sized, shares, total, most)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goals = common.stored(goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "targets")
+    goals = common.fixed(goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "targets")
     n_sources = goals.count()
     cuts = _cuts(sized, goals, n_sources)
-    rules = common.stored(goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left").select(goals["*"], "cut", "extras"), "cuts")
+    rules = common.fixed(goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left").select(goals["*"], "cut", "extras"), "cuts")
     return sized, goals, rules, n_sources
 
 
@@ -157,7 +157,7 @@ def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     fit = F.max(F.when(F.col("fits"), F.struct(place.alias("place"), F.col("sum").alias("sum"))))
     per = rows.groupBy("source").agg(fit.alias("fit"), F.first("rest").alias("rest"))
     per = per.select("source", F.col("fit.place").alias("cut"), (F.col("rest") - F.coalesce(F.col("fit.sum"), F.lit(0))).alias("gap"))
-    per = common.stored(per.withColumn("extras", F.array().cast("array<struct<key:double,doc_id:" + sized.schema["doc_id"].dataType.simpleString() + ">>")), "gaps")
+    per = common.fixed(per.withColumn("extras", F.array().cast("array<struct<key:double,doc_id:" + sized.schema["doc_id"].dataType.simpleString() + ">>")), "gaps")
     # the unselected documents that could bring a source nearer
     gaps = per.select(F.col("source").alias("g"), "gap")
     near = rows.where(~F.col("fits")).select("source", "size", "key", "doc_id").join(common.small(gaps, n_sources, 128), F.col("source").eqNullSafe(F.col("g")))
@@ -186,5 +186,5 @@ def _fill(per: DataFrame, near: DataFrame, n_sources: int) -> tuple[DataFrame, b
         F.when(found, F.concat(F.col("extras"), more)).otherwise(F.col("extras")).alias("extras"),
         found.alias("found"),
     )
-    out = common.stored(out, "gaps")
+    out = common.fixed(out, "gaps")
     return out.drop("found"), not out.where("found AND gap > 0").isEmpty()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import runs
+from .tokens import forget, runs
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -31,7 +31,8 @@ RECALL = 0.9995
 TREES, DEPTH = 20, 6
 #: Most shingles, and representatives, in a block of a component.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
-MEMO = 300_000
+#: Words a task remembers the hashes of.
+MEMO = 100_000
 
 _U = np.uint64
 
@@ -123,9 +124,10 @@ def signatures(docs: DataFrame, *, id_column="doc_id", text_column="text", words
     kind = docs.schema[id_column].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shingler = _Shingler(words)
         a, b = _hash_functions(trees * depth)
-        for pdf in batches:
+        for pdf in common.trimmed(batches):
             texts, out = pdf["text"].tolist(), []
             for run in runs(texts):
                 for s in shingler.sets(texts[run]):
@@ -154,12 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = common.stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = labels.join(near, "id").join(far, "label", "left").select("id", F.col("label").alias("old"), F.least("label", "near", "far").alias("label"))
         new = common.stored(new, "labels")
-        far = new.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        jumped = common.stored(new.join(far, "label", "left").select("id", "old", F.coalesce("far", "label").alias("label")), "labels")
-        done = jumped.where("label <> old").isEmpty()
-        labels = jumped.select("id", "label")
+        done = new.where("label <> old").isEmpty()
+        labels = new.select("id", "label")
         if done:
             return labels
 
@@ -253,7 +254,7 @@ def _links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str,
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = _Shingler(words)
-        for pdf in batches:
+        for pdf in common.trimmed(batches):
             texts = pdf["text"].tolist()
             for run in runs(texts):
                 part = pdf.iloc[run].drop(columns="text").reset_index(drop=True)

@@ -179,7 +179,7 @@ def tokenised(docs: DataFrame, *, id_column="doc_id", text_column="text", vocabu
         code = encoder(vocabulary)
         kind = id_kind(code.vocabulary)
         seen: dict[int, int] = {}
-        for pdf in batches:
+        for pdf in common.trimmed(batches):
             names, texts = pdf[id_column].tolist(), pdf[text_column].tolist()
             for run in runs(texts):
                 out = []

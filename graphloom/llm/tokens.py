@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-MEMO = 700_000
+MEMO = 400_000
 #: Pieces that are encoded in one string.
 JOIN = 1000
 #: Characters of one text encoded at a time.
@@ -250,7 +250,12 @@ class Encoder:
         return [*out, text[at:]]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
+    """One encoder per Python worker; the last vocabulary's stays."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Drop the worker's encoder: for operators that follow one that encoded."""
+    encoder.cache_clear()

@@ -121,10 +121,12 @@ def search(rows: DataFrame, queries: Column, *, id_column="vec_id", vector_colum
     # at most PIVOT_ROWS rows
     sample = valid.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).collect()
     table = choose_pivots(np.array([r["v"] for r in sample], np.float64).reshape(-1, dim), pivots)
-    n_queries = valid.where("is_query").count()
+    # a query row that is repeated is one query; of several vectors for one id the least counts
+    every = valid.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
+    n_queries = every.count()
     batches = max(1, -(-n_queries // BATCH))
     n_blocks = max(1, -(-facts["n"] // BLOCK))
-    asked = valid.where("is_query").select(F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), "id", "v")
+    asked = every.select(F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), "id", "v")
     asked = asked.groupBy("batch").agg(F.collect_list(F.struct("id", "v")).alias("q"))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block")
     held = valid.select(block, "id", "v").groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("x"))
