@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-MEMO = 400_000
+MEMO = 700_000
 #: Pieces that are encoded in one string.
 JOIN = 1000
 #: Characters of one text encoded at a time.
