@@ -385,9 +385,12 @@ def _seed(t, value=7):
     return t.part.where(F.col("p_partkey") == value).select(F.col("p_partkey").alias("id"))
 
 
-@query("g1_trace", _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.dst", at="src", edges="gp_sparse", where="", bound="WHERE r.depth < 4", keep=""))
+@query(
+    "g1_trace",
+    _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.dst", at="src", edges="(SELECT src, dst FROM gp_sparse UNION SELECT dst, src FROM gp_sparse)", where="", bound="WHERE r.depth < 3", keep=""),
+)
 def _(t):
-    return traversal.trace(B.part_edges(t, True), _seed(t), 3)[0].select("id", F.col("depth").cast("int").alias("depth"))
+    return traversal.trace(B.part_edges(t, True), _seed(t), 2, "both")[0].select("id", F.col("depth").cast("int").alias("depth"))
 
 
 @query("g2_transitive_callers", _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.src", at="dst", edges="gp_sparse", where="AND e.kind = 'calls'", bound="WHERE r.depth < 9", keep="WHERE id <> 7"))

@@ -1,10 +1,11 @@
-"""Cutting lineage in loops, with checkpoints in the folder that all executors share."""
+"""Cutting lineage in loops, with written tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, without its plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept as Parquet in the shared folder, without its plan.
+
+    A written table has the size of its files.  A checkpoint would keep the estimate of
+    its plan, and in a loop of joins estimates of estimates grow beyond any number.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/graphloom-cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
