@@ -2,8 +2,9 @@
 
 Every document gets an exponential key, its rate the document's quality weight; within
 a source, documents in key order are a weighted sample without replacement.  A source's
-target is met by whole epochs first (every document once for each), then by the leading
-documents in key order until the rest of the target is used up.
+target is met by whole epochs first (every document once for each), then by documents in
+key order: each that is no longer than what is left of the target is taken, each other one
+is skipped, and at the end one more is if that brings the source nearer to its target.
 
 Only sizes and keys are shuffled, never texts.  A source may hold any share of the
 rows: its documents are split by key range into buckets, summed per bucket, and only
@@ -22,8 +23,6 @@ from . import common
 SHARES = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
-#: After the last whole document that fits, at most so many more fill a source's rest.
-FILLS = 8
 SEED = 20_240_617
 
 
@@ -94,13 +93,14 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
 
     decisions: doc_id, source, size, source_size, target, taken and copies (how often the
     document is taken).  Null texts have size 0 and a null source is a source of its own;
-    repeated rows count each; an empty table gives no rows.  After the last whole document
-    that fits, up to FILLS more are taken, each the one that brings its source nearest to the target.
+    repeated rows count each; an empty table gives no rows.  In key order, every document that
+    fits what is left of its source's rest is taken; then the shortest other, if that is nearer.
     """
     sized, goals, rules, n_sources = _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed)
     there = sized["source"].eqNullSafe(rules["source"])
     rows = sized.join(common.small(rules, n_sources, 1024), there, "left").drop(rules["source"])
-    decided = rows.select("doc_id", "source", "size", "source_size", "target", "key", _copies().alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = _copies(F.struct("key", "doc_id", "rid"), F.col("size"))
+    decided = rows.select("doc_id", "source", "size", "source_size", "target", "key", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
     return Mix(goals, decided)
 
 
@@ -108,25 +108,34 @@ def apply(docs: DataFrame, *, id_column="doc_id", source_column="source", text_c
     """docs with each row as often as mix() takes it. A row's own key and its source's rule decide, so no texts are shuffled."""
     _, _, rules, n_sources = _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed)
     weight = quality(F.col(text_column)) if weight is None else weight
-    rules = rules.select(F.col("source").alias("__source"), "epochs", "cut", "extras")
-    rows = docs.withColumn("__key", key(F.col(id_column), weight, seed))
+    rules = rules.select(F.col("source").alias("__source"), "epochs", "steps", "extra")
+    rows = docs.withColumns({"__key": key(F.col(id_column), weight, seed), "__size": words(F.col(text_column)), "__rid": F.monotonically_increasing_id()})
     rows = rows.join(common.small(rules, n_sources, 1024), F.col(source_column).eqNullSafe(F.col("__source")), "left")
-    rows = rows.withColumn("__copies", _copies(F.struct(F.col("__key").alias("key"), F.col(id_column).alias("doc_id"))).cast("int")).where("__copies > 0")
+    place = F.struct(F.col("__key").alias("key"), F.col(id_column).alias("doc_id"), F.col("__rid").alias("rid"))
+    rows = rows.withColumn("__copies", _copies(place, F.col("__size")).cast("int")).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
-def _copies(place: Column | None = None) -> Column:
+def _chosen(place: Column, size: Column) -> Column:
+    """Whether a row with its source's steps beside it is among those that fit.
+
+    Limits fall and stops rise from step to step, so a row that a later step names was taken by its own.
+    """
+    within = F.exists("steps", lambda s: (size <= s["limit"]) & (s["stop"].isNull() | (place < s["stop"])))
+    return F.coalesce(within, F.lit(False))
+
+
+def _copies(place: Column, size: Column) -> Column:
     """How often a row with its source's rule beside it is taken."""
-    place = F.struct("key", "doc_id") if place is None else place
-    chosen = F.coalesce(place <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains(F.col("extras"), place), F.lit(False))
+    chosen = _chosen(place, size) | F.coalesce(place == F.col("extra"), F.lit(False))
     return F.coalesce(F.col("epochs"), F.lit(0)) + chosen.cast("long")
 
 
 def _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Sized documents; targets; each source's rule (epochs, cut, extras); the number of sources."""
+    """Sized documents; targets; each source's rule (epochs, steps, extra); the number of sources."""
     weight = quality(F.col(text_column)) if weight is None else weight
     sized = docs.select(
-        F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), weight.alias("w")
+        F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), weight.alias("w")
     ).withColumn("key", key(F.col("doc_id"), F.col("w"), seed))
     sized = common.stored(sized, "sized")
     goals = targets(sized, shares, total, most)
@@ -134,57 +143,84 @@ def _rules(docs, id_column, source_column, text_column, weight, shares, total, m
     goals = common.fixed(goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "targets")
     n_sources = goals.count()
     cuts = _cuts(sized, goals, n_sources)
-    rules = common.fixed(goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left").select(goals["*"], "cut", "extras"), "cuts")
+    rules = common.fixed(goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left").select(goals["*"], "steps", "extra"), "cuts")
     return sized, goals, rules, n_sources
 
 
 def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
-    """source, cut (the place of the last document that fits the rest) and extras (places of the few more that bring it nearest)."""
+    """source, steps and extra: the documents that fit the rest in key order, and the one more that brings it nearest.
+
+    A step takes the documents up to limit words that come before stop (null: all of them).
+    Its limit is what was left of the rest, its stop the first of them that no longer fits;
+    the next step goes on behind it with what is left then.  Once few documents are left
+    that could fit, they are gone through one by one.
+    """
     spark = sized.sparkSession
     buckets = 16 * common.partitions(spark)
     # the key's own distribution spreads a source evenly, whatever its weights: 1 - exp(-key) lies in [0, 1)
     spread = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = sized.withColumn("bucket", spread)
-    total = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    place = F.struct("key", "doc_id", "rid")
+    kind = f"struct<key:double,doc_id:{sized.schema['doc_id'].dataType.simpleString()},rid:bigint>"
+    steps = f"array<struct<stop:{kind},limit:double>>"
+    columns = ["source", "bucket", "size", "key", "doc_id", "rid"]
+    rows = sized.where("size > 0").withColumn("bucket", spread)
+    per = common.fixed(goals.select("source", F.col("rest").alias("gap"), F.lit(None).cast(kind).alias("stop"), F.array().cast(steps).alias("steps")), "gaps")
+    live = rows
+    while True:
+        left = per.select(F.col("source").alias("g"), "gap", "stop")
+        live = live.join(common.small(left, n_sources, 128), F.col("source").eqNullSafe(F.col("g")))
+        # a source whose last step had no stop has taken all that fit
+        live = common.stored(live.where((F.col("size") <= F.col("gap")) & (F.col("stop").isNull() | (place > F.col("stop")))).select(*columns), "near")
+        if live.count() <= common.FEW:
+            break
+        per = _step(per, live, n_sources)
+        live = live.join(common.small(per.where("NOT done").select(F.col("source").alias("g")), n_sources, 64), F.col("source").eqNullSafe(F.col("g")), "left_semi")
+    per = _one_by_one(per, live, n_sources, steps)
+    ends = per.select(F.col("source").alias("g"), "gap", "steps")
+    other = rows.join(common.small(ends, n_sources, 1024), F.col("source").eqNullSafe(F.col("g"))).where((F.col("size") < 2 * F.col("gap")) & ~_chosen(place, F.col("size")))
+    nearest = other.groupBy("source").agg(F.min(F.struct(F.col("size").alias("size"), place.alias("place"))).alias("nearest")).select(F.col("source").alias("n"), "nearest")
+    return per.join(nearest, F.col("source").eqNullSafe(F.col("n")), "left").select("source", "steps", F.col("nearest.place").alias("extra"))
+
+
+def _step(per: DataFrame, live: DataFrame, n_sources: int) -> DataFrame:
+    """per (source, gap, stop, steps) after one more step over live; done where nothing is left."""
+    total = live.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), F.col("size").alias("in_bucket"))
-    rest = goals.select(F.col("source").alias("g"), "rest", "source_size")
-    base = common.stored(base.join(common.small(rest, n_sources, 128), F.col("s").eqNullSafe(F.col("g"))), "buckets")
-    rows = rows.join(base, rows["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b", "g")
-    upto = Window.partitionBy("source", "bucket").orderBy(F.struct("key", "doc_id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("sum", F.col("base") + F.sum("size").over(upto)).withColumn("fits", F.col("sum") <= F.col("rest"))
-    place = F.struct("key", "doc_id")
-    fit = F.max(F.when(F.col("fits"), F.struct(place.alias("place"), F.col("sum").alias("sum"))))
-    per = rows.groupBy("source").agg(fit.alias("fit"), F.first("rest").alias("rest"))
-    per = per.select("source", F.col("fit.place").alias("cut"), (F.col("rest") - F.coalesce(F.col("fit.sum"), F.lit(0))).alias("gap"))
-    per = common.fixed(per.withColumn("extras", F.array().cast("array<struct<key:double,doc_id:" + sized.schema["doc_id"].dataType.simpleString() + ">>")), "gaps")
-    # the unselected documents that could bring a source nearer
     gaps = per.select(F.col("source").alias("g"), "gap")
-    near = rows.where(~F.col("fits")).select("source", "size", "key", "doc_id").join(common.small(gaps, n_sources, 128), F.col("source").eqNullSafe(F.col("g")))
-    near = common.stored(near.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).drop("gap", "g"), "near")
-    for _ in range(FILLS):
-        per, improved = _fill(per, near, n_sources)
-        if not improved:
-            break
-    return per.select("source", "cut", "extras")
-
-
-def _fill(per: DataFrame, near: DataFrame, n_sources: int) -> tuple[DataFrame, bool]:
-    """Each source takes the one more document that brings it nearest to its target; says if any did."""
-    gaps = per.select(F.col("source").alias("g"), "gap", "extras")
-    off = F.abs(F.col("gap") - F.col("size"))
-    rows = near.join(common.small(gaps, n_sources, 1024), F.col("source").eqNullSafe(F.col("g")))
-    rows = rows.where((off < F.col("gap")) & ~F.array_contains(F.col("extras"), F.struct("key", "doc_id")))
-    best = rows.groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))).alias("best"))
-    best = best.select(F.col("source").alias("n"), "best")
-    out = per.join(best, F.col("source").eqNullSafe(F.col("n")), "left")
-    more = F.array(F.struct(F.col("best.key").alias("key"), F.col("best.doc_id").alias("doc_id")))
-    found = F.col("best").isNotNull()
+    base = total.withColumn("base", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).join(common.small(gaps, n_sources, 128), F.col("source").eqNullSafe(F.col("g")))
+    base = common.stored(base.drop("g"), "buckets")
+    # only the bucket in which a source's gap is used up is put in order
+    full = base.where("base <= gap AND base + in_bucket > gap").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base", "gap")
+    upto = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = live.join(common.small(full, n_sources, 128), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    inside = inside.withColumn("sum", F.col("base") + F.sum("size").over(upto)).where("sum > gap")
+    stops = inside.groupBy("source").agg(F.min(F.struct(F.struct("key", "doc_id", "rid").alias("stop"), (F.col("sum") - F.col("size")).alias("words"))).alias("at"))
+    took = total.groupBy("source").agg(F.sum("in_bucket").alias("all")).select(F.col("source").alias("t"), "all")
+    stops = stops.select(F.col("source").alias("n"), "at")
+    out = per.select("source", "gap", "stop", "steps").join(took, F.col("source").eqNullSafe(F.col("t")), "left").join(stops, F.col("source").eqNullSafe(F.col("n")), "left")
+    more = F.array(F.struct(F.col("at.stop").alias("stop"), F.col("gap").alias("limit")))
+    some = F.col("all").isNotNull()
     out = out.select(
-        "source", "cut",
-        F.when(found, F.col("gap") - F.col("best.size")).otherwise(F.col("gap")).alias("gap"),
-        F.when(found, F.concat(F.col("extras"), more)).otherwise(F.col("extras")).alias("extras"),
-        found.alias("found"),
+        "source", (F.col("gap") - F.when(some, F.coalesce("at.words", "all")).otherwise(0)).alias("gap"), F.coalesce("at.stop", "stop").alias("stop"),
+        F.when(some, F.concat("steps", more)).otherwise(F.col("steps")).alias("steps"), F.col("at").isNull().alias("done"),
     )
-    out = common.fixed(out, "gaps")
-    return out.drop("found"), not out.where("found AND gap > 0").isEmpty()
+    return common.fixed(out, "gaps")
+
+
+def _one_by_one(per: DataFrame, live: DataFrame, n_sources: int, kind: str) -> DataFrame:
+    """per (source, gap, steps) after all further steps over the few rows of live."""
+    gaps = per.select(F.col("source").alias("g"), "gap")
+    rows = live.join(common.small(gaps, n_sources, 128), F.col("source").eqNullSafe(F.col("g"))).orderBy("source", "key", "doc_id", "rid").collect()
+    ends: dict = {}
+    for r in rows:
+        steps, limit, gap = ends.get(r["source"], ([], r["gap"], r["gap"]))
+        if r["size"] <= gap:
+            gap -= r["size"]
+        elif r["size"] <= limit:
+            steps, limit = [*steps, ((r["key"], r["doc_id"], r["rid"]), limit)], gap
+        ends[r["source"]] = (steps, limit, gap)
+    found = [(source, [*steps, (None, limit)], float(gap)) for source, (steps, limit, gap) in ends.items()]
+    more = live.sparkSession.createDataFrame(found, f"n {per.schema['source'].dataType.simpleString()}, more {kind}, left double")
+    out = per.join(more, F.col("source").eqNullSafe(F.col("n")), "left")
+    out = out.select("source", F.coalesce("left", "gap").alias("gap"), F.when(F.col("more").isNotNull(), F.concat("steps", "more")).otherwise(F.col("steps")).alias("steps"))
+    return common.fixed(out, "gaps")

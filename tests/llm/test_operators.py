@@ -275,6 +275,34 @@ def test_mixing(docs, rows, empty):
     assert pdf(mixing.mix(empty).decisions).empty and pdf(mixing.apply(empty)).empty
 
 
+@pytest.mark.parametrize("few", [10_000, 5])
+def test_mixing_goes_on_behind_long_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)  # 5: by steps over the whole table
+    ids = [r["id"] for r in spark.range(600).orderBy(mixing.key(F.col("id"), F.lit(1.0))).collect()]
+    rng = np.random.default_rng(5)
+    n = {i: int(rng.integers(1, 60)) for i in ids}
+    n[ids[0]], n[ids[3]] = 30_000, 4_000
+    n |= {i: 0 for i in ids[20:24]}
+    data = [(i, " ".join(["w"] * n[i]), "s") for i in ids] + [(ids[1], " ".join(["w"] * n[ids[1]]), "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    docs = common.stored(docs, "long-first")
+    got = pdf(mixing.mix(docs, total=0.4).decisions)
+    gap = goal = 0.4 * sum(len(t.split()) for _, t, _ in data)
+    want, skipped = Counter(), []
+    for i in [ids[0], ids[1], *ids[1:]]:
+        if 0 < n[i] <= gap:
+            want[i] += 1
+            gap -= n[i]
+        elif n[i]:
+            skipped.append((n[i], i))
+    if skipped and min(skipped)[0] < 2 * gap:
+        want[min(skipped)[1]] += 1
+    taken = got[got["size"] > 0].groupby("doc_id")["copies"].sum()
+    assert {i: c for i, c in taken.items() if c} == dict(want)
+    assert abs(got["taken"].sum() - goal) < 60
+    assert Counter(i for i in pdf(mixing.apply(docs, total=0.4))["doc_id"] if n[i]) == want
+
+
 def test_heavier_documents_are_drawn_sooner(spark):
     frame = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"), mixing.key(F.col("id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0)).alias("k"))
     first = frame.orderBy("k").limit(1000).where("w = 4").count()
