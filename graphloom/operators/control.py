@@ -100,24 +100,28 @@ def block_depths(edges: DataFrame, entries: DataFrame, nesting: DataFrame) -> Da
         frontier = new
 
 
-def param_flows(edges: DataFrame, params: DataFrame, rounds: int = 100) -> DataFrame:
+def param_flows(edges: DataFrame, params: DataFrame) -> DataFrame:
     """fn, param, id, sanitized: where parameters flow, over edges of all kinds; edges: fn, src, dst, transform; params: fn, id.
 
     Sanitised where a transform on some shortest way validates, sanitises, escapes or encodes.
+    Jumps of 1, 2, 4 and so on edges extend all that is known, so rounds grow with the
+    logarithm of the longest way.
     """
     safe = F.coalesce(F.lower("transform").rlike("validate|sanitize|escape|encode"), F.lit(False))
-    steps = cut(edges.select("fn", "src", "dst", safe.alias("safe")))
-    frontier = cut(params.select("fn", F.col("id").alias("param"), "id", F.lit(False).alias("sanitized")))
-    parts = [frontier]
-    for _ in range(rounds):
-        seen = reduce(DataFrame.unionByName, parts).select("fn", "param", "id")
-        new = frontier.withColumnRenamed("id", "src").join(steps, ["fn", "src"]).select("fn", "param", F.col("dst").alias("id"), (F.col("sanitized") | F.col("safe")).alias("sanitized"))
-        new = cut(new.join(seen, ["fn", "param", "id"], "left_anti").groupBy("fn", "param", "id").agg(F.bool_or("sanitized").alias("sanitized")))
+    jumps = cut(edges.groupBy("fn", "src", "dst").agg(F.bool_or(safe).alias("safe")))
+    parts = [cut(params.select("fn", F.col("id").alias("param"), "id", F.lit(0).cast("long").alias("far"), F.lit(False).alias("sanitized")))]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        new = known.withColumnRenamed("id", "src").join(jumps, ["fn", "src"]).select("fn", "param", F.col("dst").alias("id"), (F.col("far") + (1 << len(parts) - 1)).alias("far"), (F.col("sanitized") | F.col("safe")).alias("sanitized"))
+        new = new.join(known.select("fn", "param", "id"), ["fn", "param", "id"], "left_anti").groupBy("fn", "param", "id", "far").agg(F.bool_or("sanitized").alias("sanitized"))
+        # only the shortest ways count
+        new = new.groupBy("fn", "param", "id").agg(F.min(F.struct("far", "sanitized")).alias("first"))
+        new = cut(new.select("fn", "param", "id", "first.far", "first.sanitized"))
         if new.isEmpty():
-            break
+            return known.where("param <> id").drop("far")
         parts.append(new)
-        frontier = new
-    return reduce(DataFrame.unionByName, parts).where("param <> id")
+        on = jumps.select("fn", F.col("src").alias("by"), "dst", F.col("safe").alias("more"))
+        jumps = cut(jumps.withColumnRenamed("dst", "by").join(on, ["fn", "by"]).groupBy("fn", "src", "dst").agg(F.bool_or(F.col("safe") | F.col("more")).alias("safe")))
 
 
 def compare_summaries(base: DataFrame, changed: DataFrame) -> DataFrame:

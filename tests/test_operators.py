@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import rules
-from graphloom.operators import branches, flow, lookups, metrics, text, traversal
+from graphloom.operators import branches, control, flow, lookups, metrics, text, traversal
 from graphloom.sources import git
 from graphloom.streaming import runtime
 
@@ -202,3 +202,18 @@ def test_queries_have_names_and_oracles():
     known = entry.queries()
     assert set(entry.oracle_sql()) <= set(known) and len(known) > 80
     json.dumps(sorted(known))
+
+
+def test_flow_goes_on_beyond_a_hundred_hops(spark):
+    edges = spark.createDataFrame([(1, i, i + 1, "escape" if i == 150 else None) for i in range(260)] + [(2, 0, 1, None), (2, 1, 0, None)], "fn long, src long, dst long, transform string")
+    nodes = spark.createDataFrame([(1, i, i in (0, 120)) for i in range(261)] + [(2, 0, True), (2, 1, False)], "fn long, id long, is_def boolean")
+    got = sorted(map(tuple, flow.reaching(nodes, edges).select("fn", "definition", "id").collect()))
+    assert got == sorted([(1, d, i) for d in (0, 120) for i in range(d, 261)] + [(2, 0, 0), (2, 0, 1)])
+    got = sorted(map(tuple, control.param_flows(edges, nodes.where("id = 0").select("fn", "id")).select("fn", "param", "id", "sanitized").collect()))
+    assert got == [(1, 0, i, i > 150) for i in range(1, 261)] + [(2, 0, 1, False)]
+
+
+def test_only_shortest_ways_sanitise(spark):
+    edges = spark.createDataFrame([(1, 0, 1, None), (1, 1, 2, None), (1, 2, 3, None), (1, 0, 4, None), (1, 4, 5, None), (1, 5, 6, "escape"), (1, 6, 3, None), (1, 0, 7, "encode"), (1, 7, 2, None)], "fn long, src long, dst long, transform string")
+    got = control.param_flows(edges, spark.createDataFrame([(1, 0)], "fn long, id long"))
+    assert sorted(map(tuple, got.select("id", "sanitized").collect())) == [(1, False), (2, True), (3, True), (4, False), (5, False), (6, True), (7, True)]
