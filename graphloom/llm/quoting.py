@@ -2,8 +2,9 @@
 
 Each message's lines are parsed into quote levels (leading ">" marks).  Blocks of quoted
 lines are normalised and hashed, whole, by paragraph and by line, and joined on
-conversation and hash to the first message that has the passage as its own words.  A
-message replies to the latest original of its first-level quotes.  Threads come from
+conversation and hash to the first message that has the passage as its own words; a
+passage inside a larger one that is found does not count.  A message replies to the
+latest original of its first-level quotes.  Threads come from
 following replies, doubling the distance each round.
 
 Originals are reduced to one row per conversation and passage before the join, so a
@@ -16,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,26 +47,29 @@ def _hash(passage: str) -> bytes | None:
     return xxh3_128_digest(words.encode("utf-8", "surrogatepass")) if words else None
 
 
-def _passages(lines: list[str]) -> list[tuple[int, bytes]]:
-    """Distinct hashes of the whole (0), its paragraphs (1) and its lines (2)."""
-    found: dict[bytes, int] = {}
+def _passages(lines: list[str]) -> list[tuple[int, int, bytes]]:
+    """(rank, paragraph, hash) of the whole (0, paragraph -1), its paragraphs (1) and their lines (2), without those equal to what they are in."""
     paragraphs, now = [], []
     for line in lines:
         if line.strip():
             now.append(line)
         elif now:
-            paragraphs.append("\n".join(now))
+            paragraphs.append(now)
             now = []
-    paragraphs += ["\n".join(now)] if now else []
-    for rank, some in enumerate((["\n".join(lines)], paragraphs, lines)):
-        for x in some:
-            if h := _hash(x):
-                found.setdefault(h, rank)
-    return [(rank, h) for h, rank in found.items()]
+    paragraphs += [now] if now else []
+    whole = _hash("\n".join(lines))
+    out = [(0, -1, whole)] if whole else []
+    for p, some in enumerate(paragraphs):
+        known = {whole}
+        for rank, x in [(1, "\n".join(some)), *((2, line) for line in some)]:
+            if (h := _hash(x)) and h not in known:
+                known.add(h)
+                out.append((rank, p, h))
+    return out
 
 
-def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, int, int, bytes]]]:
-    """A message's own text; hashes of its own passages; (block, level, rank, hash) of its quotes."""
+def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, int, int, int, bytes]]]:
+    """A message's own text; hashes of its own passages; (block, level, rank, paragraph, hash) of its quotes."""
     levels = split_levels(text)
     own = [line for i, (level, line) in enumerate(levels) if level == 0 and not (_SAYS.match(line) and i + 1 < len(levels) and levels[i + 1][0])]
     quotes, block, i = [], 0, 0
@@ -75,18 +79,20 @@ def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, int, int,
         while j < len(levels) and levels[j][0] == level:
             j += 1
         if level:
-            quotes += [(block, level, rank, h) for rank, h in _passages([line for _, line in levels[i:j]])]
+            quotes += [(block, level, *x) for x in _passages([line for _, line in levels[i:j]])]
             block += 1
         i = j
     kept = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip() if quotes else (text or "")
-    return kept, [h for _, h in _passages(own)], quotes
+    return kept, list({h: None for *_, h in _passages(own)}), quotes
 
 
 def link(messages: DataFrame, *, conversation="conv_id", turn="turn", role="role", text="text") -> DataFrame:
-    """conv_id, turn, role, parent_turn, thread_root, depth, n_quotes, n_linked, text (without quotes).
+    """conv_id, turn, role, parent_turn, thread_root, depth, n_quotes, n_linked, position, text (without quotes).
 
     One row per row of messages.  parent_turn is null where nothing is linked; such a
-    message is the root of its thread.  Null texts are empty; messages with a null
+    message is the root of its thread.  n_quotes counts blocks of quoted lines, n_linked the
+    passages in them that were found (the largest only).  position numbers a conversation's
+    rows from 1 in reply order: thread_root, depth, turn.  Null texts are empty; messages with a null
     conversation or turn are not linked; repeated rows stay, and the first turn that holds
     a passage counts as its original.
     """
@@ -98,7 +104,7 @@ def link(messages: DataFrame, *, conversation="conv_id", turn="turn", role="role
             out = pdf.drop(columns="text")
             out["text"] = [r[0] for r in rows]
             out["own"] = [r[1] for r in rows]
-            out["quotes"] = [[{"block": b, "level": lv, "rank": k, "hash": h} for b, lv, k, h in r[2]] for r in rows]
+            out["quotes"] = [[{"block": b, "level": lv, "rank": k, "paragraph": p, "hash": h} for b, lv, k, p, h in r[2]] for r in rows]
             yield out
 
     rows = messages.select(
@@ -107,7 +113,7 @@ def link(messages: DataFrame, *, conversation="conv_id", turn="turn", role="role
     parsed = common.stored(
         rows.mapInPandas(
             read,
-            f"rid long, conv_id {kinds[conversation]}, turn long, role {kinds[role]}, text string, own array<binary>, quotes array<struct<block:int,level:int,rank:int,hash:binary>>",
+            f"rid long, conv_id {kinds[conversation]}, turn long, role {kinds[role]}, text string, own array<binary>, quotes array<struct<block:int,level:int,rank:int,paragraph:int,hash:binary>>",
         ),
         "messages",
     )
@@ -116,16 +122,29 @@ def link(messages: DataFrame, *, conversation="conv_id", turn="turn", role="role
     own = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("hash"))
     first = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     hits = quotes.join(first, ["conv_id", "hash"]).where("original < turn")
-    blocks = hits.groupBy("rid", "block", "level").agg(F.min_by("original", "rank").alias("original"))
-    per = blocks.groupBy("rid").agg(F.max(F.when(F.col("level") == 1, F.col("original"))).alias("parent_turn"), F.count("*").alias("n_linked"))
+    # what lies in a larger passage that was found is part of it
+    inside = F.min("rank").over(Window.partitionBy("rid", "block", "paragraph"))
+    hits = hits.withColumns({"whole": F.min("rank").over(Window.partitionBy("rid", "block")), "inside": inside})
+    hits = hits.where("rank = CASE WHEN whole = 0 THEN 0 ELSE inside END")
+    per = hits.groupBy("rid").agg(F.max(F.when(F.col("level") == 1, F.col("original"))).alias("parent_turn"), F.count("*").alias("n_linked"))
     n_quotes = F.when(F.size("quotes") > 0, F.array_max(F.transform("quotes", lambda q: q["block"])) + 1).otherwise(0).cast("long")
     rows = common.stored(
         parsed.select("rid", "conv_id", "turn", "role", "text", n_quotes.alias("n_quotes")).join(per, "rid", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long"))), "linked"
     )
-    threads = _threads(rows)
-    return rows.join(threads, ["conv_id", "turn", "parent_turn"], "left").select(
-        "conv_id", "turn", "role", "parent_turn", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quotes", "n_linked", "text"
-    )
+    placed = _placed(rows.select("rid", "conv_id", "turn", "parent_turn").join(_threads(rows), ["conv_id", "turn", "parent_turn"], "left"))
+    return rows.join(placed, "rid").select("conv_id", "turn", "role", "parent_turn", "thread_root", "depth", "n_quotes", "n_linked", "position", "text")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rid, thread_root, depth, position: rows numbered within their conversation, of which each partition of a range holds a piece."""
+    rows = rows.select("rid", "conv_id", "turn", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    rows = rows.repartitionByRange(common.partitions(rows.sparkSession), "conv_id", "thread_root", "depth", "turn", "rid")
+    rows = common.stored(rows.withColumn("part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("thread_root", "depth", "turn", "rid")))
+    rows = rows.join(base, rows["conv_id"].eqNullSafe(base["c"]) & (rows["part"] == base["p"]))
+    return rows.select("rid", "thread_root", "depth", (F.col("base") + F.col("place")).alias("position"))
 
 
 def _threads(rows: DataFrame) -> DataFrame:
@@ -150,4 +169,4 @@ def _threads(rows: DataFrame) -> DataFrame:
 
 def ordered(linked: DataFrame) -> DataFrame:
     """link()'s rows in reply order: threads by their first turn, answers after what they answer."""
-    return linked.orderBy("conv_id", "thread_root", "depth", "turn")
+    return linked.orderBy("conv_id", "position")

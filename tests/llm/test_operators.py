@@ -401,6 +401,18 @@ def test_quote_linking(spark):
     assert pdf(quoting.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).empty
 
 
+def test_quotes_of_two_messages_in_one_block(spark):
+    rows = [
+        (1, 0, "u", "First words.\nMore of them."), (1, 1, "a", "Second words."), (1, 2, "b", "> First words.\n> Second words.\nYes."), (1, 3, "c", "> Second words.\n>\n> First words.\nNo."),
+        (1, 4, "d", "> First words.\n> More of them.\nFine."), (2, 0, "u", "One."), (None, 0, "u", "x"), (None, 0, "u", "x"),
+    ]
+    got = quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    at = {(r.conv_id, r.turn): r for r in pdf(got).itertuples()}
+    assert [(at[(1, i)].parent_turn, at[(1, i)].n_quotes, at[(1, i)].n_linked) for i in (2, 3, 4)] == [(1, 1, 2), (1, 1, 2), (0, 1, 1)]
+    order = [(r.conv_id, r.turn, r.position) for r in quoting.ordered(got).collect()]
+    assert order == [(None, 0, 1), (None, 0, 2), (1, 0, 1), (1, 4, 2), (1, 1, 3), (1, 2, 4), (1, 3, 5), (2, 0, 1)]
+
+
 def brute_topk(rows, k):
     held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = Counter()
