@@ -216,40 +216,45 @@ def join(docs: DataFrame, *, id_column="doc_id", text_column="text", words=WORDS
     links: how many other rows have a Jaccard similarity of at least similarity with this
     one, equal texts among them.  class_id: the least doc_id of those reached over links.
     Texts without words (null, empty or white) have no shingles, so no links, and are
-    classes of their own; a repeated row counts as a link.  An empty table gives no rows.
-    rid is the row's monotonically_increasing_id in docs.
+    classes of their own; a repeated row counts as a link.  Rows without a doc_id are
+    compared as all others are; class_id is null only for a class without any doc_id.  An
+    empty table gives no rows.  rid is the row's monotonically_increasing_id in docs.
     """
-    spark = docs.sparkSession
+    return _labelled(docs, id_column, text_column, words, similarity, trees, recall).drop("label")
+
+
+def _labelled(docs: DataFrame, id_column="doc_id", text_column="text", words=WORDS, similarity=SIMILARITY, trees=TREES, recall=RECALL) -> DataFrame:
+    """join() with label: a number for each class, null for rows without words."""
     depth = prefix_depth(similarity, trees, DEPTH, recall)
     signed = common.stored(signatures(docs, id_column=id_column, text_column=text_column, words=words, trees=trees, depth=depth), "signed")
     some = signed.where("n > 0")
-    reps = some.groupBy("d1", "d2").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    reps = some.groupBy("d1", "d2").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("keys").alias("keys"))
     reps = common.stored(reps, "representatives")
     # trees: who shares a prefix
     in_tree = reps.select("d1", F.posexplode("keys").alias("tree", "key"))
     hubs = in_tree.groupBy("tree", "key").agg(F.min("d1").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     stars = in_tree.join(hubs, ["tree", "key"]).where("d1 <> hub").select(F.col("d1").alias("u"), F.col("hub").alias("v"))
     near = components(stars).withColumnRenamed("id", "d1")
-    found = common.stored(reps.drop("keys").join(near, "d1"), "candidates")
+    found = common.stored(reps.drop("keys", "doc_id").join(near, "d1"), "candidates")
     sizes = found.groupBy("label").agg(F.sum("n").alias("all_n"), F.count("*").alias("sets"))
     blocks = F.greatest(F.ceil(F.col("all_n") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     found = found.join(sizes.select("label", blocks.alias("blocks")), "label")
     found = common.stored(found.withColumn("block", F.pmod(F.xxhash64("d1", "d2"), "blocks").cast("int")), "blocks")
-    linked = common.stored(_links(docs, found, id_column, text_column, words, similarity), "links")
+    linked = common.stored(_links(docs, found, text_column, words, similarity), "links")
     per = linked.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
     tree = components(linked.select(F.col("d1").alias("u"), F.col("root").alias("v")).where("u <> v")).withColumnRenamed("id", "d1")
     known = reps.select("d1", "d2", "m", "doc_id").join(per, ["d1", "d2"], "left").join(tree, "d1", "left")
     known = known.select("d1", "d2", "m", "doc_id", F.coalesce("links", F.lit(0)).alias("more"), F.coalesce("label", "d1").alias("label"))
     known = common.stored(known, "known")
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "label").select("d1", "d2", (F.col("m") - 1 + F.col("more")).alias("links"), "class_id")
-    rows = some.join(known, ["d1", "d2"]).select("rid", "doc_id", "class_id", "links")
-    return rows.union(signed.where("n = 0").select("rid", "doc_id", "doc_id", F.lit(0).cast("long")))
+    known = known.join(least, "label").select("d1", "d2", (F.col("m") - 1 + F.col("more")).alias("links"), "class_id", "label")
+    rows = some.join(known, ["d1", "d2"]).select("rid", "doc_id", "class_id", "links", "label")
+    return rows.union(signed.where("n = 0").select("rid", "doc_id", "doc_id", F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
-def _links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str, words: int, similarity: float) -> DataFrame:
+def _links(docs: DataFrame, found: DataFrame, text_column: str, words: int, similarity: float) -> DataFrame:
     """d1, d2, links, root: for each representative and task it was in."""
-    wanted = found.select(F.col("doc_id").alias("__id"), "d1", "d2", "n", "m", "label", "block", "blocks")
+    wanted = found.select(F.col("rid").alias("__rid"), "d1", "d2", "n", "m", "label", "block", "blocks")
     wanted = common.small(wanted, found.count(), 64)
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,10 +266,11 @@ def _links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str,
                 sets = shingler.sets(texts[run])
                 part["shingles"] = [s.astype("<u8").tobytes() for s in sets]
                 found = np.array([_digest(s) for s in sets]).reshape(-1, 2)
-                # rows that repeat an id with another text are not the representative
-                yield part[(part["d1"].to_numpy() == found[:, 0]) & (part["d2"].to_numpy() == found[:, 1])]
+                if not ((part["d1"].to_numpy() == found[:, 0]) & (part["d2"].to_numpy() == found[:, 1])).all():
+                    raise ValueError("docs gives other rows each time it is read: write it first")
+                yield part
 
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("text")).join(wanted, "__id").drop("__id")
+    rows = docs.select(F.monotonically_increasing_id().alias("__rid"), F.col(text_column).alias("text")).join(wanted, "__rid").drop("__rid")
     rows = rows.select("text", "d1", "d2", "n", "m", "label", "block", "blocks").mapInPandas(
         again, "d1 long, d2 long, n long, m long, label long, block int, blocks int, shingles binary"
     )
@@ -274,10 +280,10 @@ def _links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near duplicates: of each class the one with the least doc_id (then the first) stays."""
-    joined = join(docs, **options)
-    best = joined.groupBy("class_id").agg(F.min(F.struct("doc_id", "rid")).alias("best"))
+    """The rows of docs without near duplicates: of each class the one with the least doc_id (null last, then the first) stays."""
+    joined = _labelled(docs, **options)
+    best = joined.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
     # rows without words are classes of their own, each for itself
-    alone = joined.where("class_id IS NULL").select(F.col("rid").alias("__rid"))
-    kept = best.where("class_id IS NOT NULL").select(F.col("best.rid").alias("__rid")).union(alone)
+    alone = joined.where("label IS NULL").select(F.col("rid").alias("__rid"))
+    kept = best.select(F.col("best.rid").alias("__rid")).union(alone)
     return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left_semi").drop("__rid")

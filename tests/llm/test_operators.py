@@ -380,6 +380,18 @@ def test_ngram_join(docs, rows, empty, monkeypatch):
     assert pdf(ngram_join.join(empty)).empty and pdf(ngram_join.keep_one(empty)).empty
 
 
+def test_ngram_join_without_ids(spark):
+    base = [prose(np.random.default_rng(k), 100) for k in range(3)]
+    rows = [(None, base[0]), (None, base[0]), (None, base[0] + " end"), (7, base[0] + " other"), (None, base[1]), (None, base[1] + " end"), (7, base[2]), (8, base[2] + " end"), (None, ""), (None, None), (9, ""), (9, "")]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "without-ids")
+    none = lambda x: None if pd.isna(x) else int(x)
+    got = Counter((none(r.doc_id), none(r.class_id), r.links) for r in pdf(ngram_join.join(docs)).itertuples())
+    assert got == Counter({(None, 7, 3): 3, (7, 7, 3): 1, (None, None, 1): 2, (7, 7, 1): 1, (8, 7, 1): 1, (None, None, 0): 2, (9, 9, 0): 2})
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    assert sum(i is None and (t or "").startswith(base[1]) for i, t in kept) == 1
+    assert Counter(i for i, t in kept if t) == Counter({7: 2, None: 1}) and sum(not t for _, t in kept) == 4
+
+
 def test_prefix_depth_reaches_the_recall():
     d = ngram_join.prefix_depth()
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL
