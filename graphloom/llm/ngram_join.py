@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact Jaccard decides.
+"""N-gram Jaccard join: MinHash bands find candidates, exact Jaccard decides.
 
 A text's shingles are its runs of five words (the whole text if shorter), as 64-bit
 hashes.  Texts with equal shingle sets are one representative with a multiplicity.  Each
-of TREES trees sorts the representatives by DEPTH min-hashes of its own; two of them meet
-in a tree if they share a prefix.  Prefixes start at DEPTH and are shortened until pairs
-of the least similarity meet in some tree with probability RECALL at least.
+of TREES trees is a band of min-hashes of its own; two representatives meet in a tree if
+all its values agree.  All bands have one depth, at most DEPTH, the longest with which
+pairs of the least similarity meet in some tree with probability RECALL at least.
 
 Candidates are joined into components (a representative to the least one that shares its
 prefix, never all pairs), and within a component every pair of fitting sizes is verified
