@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 
 def rows(frame, columns):
-    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if v is None or pd.api.types.is_scalar(v) and pd.isna(v) else v.item() if hasattr(v, "item") else v
     return sorted(repr(tuple(map(plain, r))) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 
 
