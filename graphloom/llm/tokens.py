@@ -69,7 +69,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        #: Added tokens and their ids; a text is split at them before all else.
+        self.added = {t.content: i for i, t in added}
+        #: Added tokens that take white space beside them or look at their neighbours: texts with them are encoded whole.
+        self.greedy = [t.content for _, t in added if t.lstrip or t.rstrip or t.single_word or t.normalized]
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split_added = re.compile(f"({'|'.join(map(re.escape, longest))})").split
         self.vocabulary = self.tokenizer.get_vocab_size()
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
@@ -221,7 +227,28 @@ class Encoder:
 
     def encode(self, texts) -> list[np.ndarray]:
         """One int32 array of ids for each text; a null text has none."""
-        short = [t or "" for t in texts]
+        texts = [t or "" for t in texts]
+        held = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not held:
+            return self._encode(texts)
+        # what lies between added tokens is encoded as a text of its own
+        whole = {i for i in held if any(x in texts[i] for x in self.greedy)}
+        cut = {i: self.split_added(texts[i]) for i in held if i not in whole}
+        between = [x for parts in cut.values() for x in parts if x not in self.added]
+        out = self._encode(["" if i in cut or i in whole else t for i, t in enumerate(texts)] + between)
+        ids = iter(out[len(texts) :])
+        for i in whole:
+            out[i] = self._whole(texts[i])
+        for i, parts in cut.items():
+            out[i] = np.concatenate([np.array([self.added[x]], np.int32) if x in self.added else next(ids) for x in parts])
+        return out[: len(texts)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """encode() for texts without added tokens."""
+        short = list(texts)
         long = [i for i, t in enumerate(short) if len(t) > SLICE]
         cut = {i: self._slices(short[i]) for i in long}
         for i in long:
@@ -231,7 +258,7 @@ class Encoder:
             out[i] = None if slices is None else np.concatenate([self._pieces([x])[0] for x in slices])
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = np.array(self.tokenizer.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, np.int32)
+                out[i] = self._whole(texts[i])
         return out
 
     @staticmethod

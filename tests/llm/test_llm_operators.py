@@ -53,16 +53,14 @@ def pdf(df):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary_path())
 
 
 def encode(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-TRICKY = ["", "a  b", "a   b", " \n b", "a \nb", "x  \ny ", "a ", "  ", "don't  's", "a b\n c\n\n d", "é  ü\t x", "\n \n", " 's a's", "\x00 b \x1c c", "<|endoftext|> x", "a\xa0 b", "1,2. 3,\n4."]
+TRICKY = ["", "a  b", "a   b", " \n b", "a \nb", "x  \ny ", "a ", "  ", "don't  's", "a b\n c\n\n d", "é  ü\t x", "\n \n", " 's a's", "\x00 b \x1c c", "<|endoftext|> x", "<|endoftext|>", "x<|endoftext|>y", "a <|endoftext|> b", "a  <|endoftext|>  <|endoftext|>\n b ", "word<|endoftext|><|endoftext|>", "<|endoftext| >", "<|endoftext|>" + " long words here" * 9, "a\xa0 b", "1,2. 3,\n4."]
 
 
 @pytest.mark.parametrize("memo", [700_000, 5])
@@ -71,6 +69,7 @@ def test_encoder_gives_the_tokenizers_ids(tokenizer, monkeypatch, memo):
     monkeypatch.setattr(tokens, "SLICE", 50)
     rng = np.random.default_rng(1)
     texts = TRICKY + [prose(rng, 200) for _ in range(20)] + ["".join(rng.choice(list("ab,. \n\t'é1"), 60)) for _ in range(300)]
+    texts += ["".join(rng.choice(["a", "b", " ", "\n", ",", "<|endoftext|>"], 30)) for _ in range(100)]
     code = tokens.Encoder(tokens.vocabulary_path())
     for part in (texts, texts[::-1], [*texts[:5], None]):
         for text, ids in zip(part, code.encode(part), strict=True):
