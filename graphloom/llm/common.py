@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row, which name a row alike in every read and on every executor.
+
+    For rows, filters and projections of files these are the file (hashed) and the row's
+    place in it.  Anything else is first written to the shared folder.  Row numbers that
+    depend on partitions would change when executors are lost or won between two reads.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    spark = docs.sparkSession
+    try:
+        if node.nodeName() != "LogicalRelation":
+            raise AnalysisException("not a table of files")
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", F.xxhash64(place["file_path"]).alias("__file"), place["row_index"].alias("__row"))
+    except AnalysisException:
+        path = work_path(spark, "located")
+        docs.write.parquet(path)
+        held = spark.read.schema(docs.schema).parquet(path)
+        place = held.metadataColumn("_metadata")
+        return held.select("*", F.xxhash64(place["file_path"]).alias("__file"), place["row_index"].alias("__row"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, n: int) -> DataFrame:
+    """The rows of docs, which is located(), that are not among dropped (__file, __row; n rows), without the two columns."""
+    kept = docs.join(small(dropped, n, 48), ["__file", "__row"], "left_anti")
+    return kept.drop("__file", "__row")
+
+
 #: A table of no more rows than this may pass through the driver, where a row is a few numbers and names.
 FEW = 10_000
 

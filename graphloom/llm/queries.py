@@ -80,7 +80,7 @@ def op9_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
-    return ngram_join.join(table(spark, sf_dir, "documents")).drop("rid")
+    return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

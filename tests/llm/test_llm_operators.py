@@ -366,19 +366,75 @@ def brute_join(rows, similarity=0.8):
     return Counter((r[0], min((x for x in members[find(i)] if x is not None), default=None), links[i]) for i, r in enumerate(rows))
 
 
-def test_ngram_join(docs, rows, empty, monkeypatch):
+@pytest.mark.parametrize("sizes", [(1000, 16, 64), (3, 16, 64), (1000, 5, 2)])  # the others cut groups into blocks
+def test_ngram_join(docs, rows, empty, monkeypatch, sizes):
     none = lambda x: None if pd.isna(x) else int(x)
-    for sets in (1000, 3):  # the second cuts components into blocks
-        monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
-        got = pdf(ngram_join.join(docs))
-        assert Counter((none(x.doc_id), none(x.class_id), x.links) for x in got.itertuples()) == brute_join(rows)
+    for name, value in zip(("BLOCK_SETS", "SPREAD", "LEAST_SETS"), sizes, strict=True):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = pdf(ngram_join.join(docs))
+    assert Counter((none(x.doc_id), none(x.class_id), x.links) for x in got.itertuples()) == brute_join(rows)
     left = pdf(ngram_join.keep_one(docs))
-    assert list(left.columns) == docs.columns
-    classes = pdf(ngram_join.join(docs))
-    assert left["doc_id"].nunique() == classes["class_id"].nunique()
+    assert list(left.columns) == docs.columns and left["doc_id"].nunique() == got["class_id"].nunique()
     assert pdf(ngram_join.join(empty)).empty and pdf(ngram_join.keep_one(empty)).empty
 
 
+@pytest.fixture(scope="module")
+def chained():
+    """Chains and crowds of texts whose similarities lie about the threshold."""
+    rng = np.random.default_rng(8)
+    out = []
+    for _ in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 90)]
+        for step in range(30):  # each is like its neighbours only
+            words = words[2:] + [f"w{x}" for x in rng.integers(0, 10**6, 2)] if step % 3 else [*words[:40], f"w{step}", *words[41:]]
+            out.append(" ".join(words))
+    for size in (3, 40):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        for _ in range(size):
+            own = list(base)
+            for at in rng.integers(0, 150, int(rng.integers(0, 4))):
+                own[at] = f"w{rng.integers(0, 10**6)}"
+            out.append(" ".join(own))
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("stop", [0.9995, 0.5])
+def test_forest_shortens_prefixes_to_the_recall(spark, chained, monkeypatch, stop):
+    depths = []
+    found = ngram_join._found
+    monkeypatch.setattr(ngram_join, "_found", lambda *a: depths.append(a[-2]) or found(*a))
+    monkeypatch.setattr(ngram_join, "LEAST_SETS", 8)
+    docs = common.stored(spark.createDataFrame(chained, "doc_id long, text string").repartition(3), "chained")
+    got = pdf(ngram_join.join(docs, recall=stop))
+    want = brute_join(chained)
+    links = {i: n for i, _, n in want}
+    recall = got["links"].sum() / sum(links.values())
+    assert all(r.links <= links[r.doc_id] for r in got.itertuples())  # never a link that is none, or twice
+    if stop == 0.5:
+        assert depths == [7] and recall >= 0.5
+    else:
+        assert depths == [7, 6, 5] and recall >= 0.9995
+        assert Counter((r.doc_id, r.class_id, r.links) for r in got.itertuples()) == want
+
+
+def test_tries_name_groups_alike_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    labels = rng.integers(0, 2, (300, 4, 7)).astype(">u2")
+    rows = [(i, x.tobytes()) for i, x in enumerate(labels)]
+    forest = ngram_join.Forest(spark.createDataFrame(rows, "rid long, labels binary").repartition(3), 4, 7, 3)
+    for d in (3, 5, 7):
+        groups = defaultdict(set)
+        for r in forest.at(d).collect():
+            groups[(r["tree"], r["group"])].add(r["rid"])
+        want = defaultdict(set)
+        for i, x in enumerate(labels):
+            for t in range(4):
+                want[(t, x[t, :d].tobytes())].add(i)
+        assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+        order = sorted(groups, key=lambda k: k[1])
+        assert [t for t, _ in order] == sorted(t for t, _ in order)
+
+
 def test_ngram_join_without_ids(spark):
     base = [prose(np.random.default_rng(k), 100) for k in range(3)]
     rows = [(None, base[0]), (None, base[0]), (None, base[0] + " end"), (7, base[0] + " other"), (None, base[1]), (None, base[1] + " end"), (7, base[2]), (8, base[2] + " end"), (None, ""), (None, None), (9, ""), (9, "")]
@@ -391,10 +447,9 @@ def test_ngram_join_without_ids(spark):
     assert Counter(i for i, t in kept if t) == Counter({7: 2, None: 1}) and sum(not t for _, t in kept) == 4
 
 
-def test_prefix_depth_reaches_the_recall():
-    d = ngram_join.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL
-    assert d == ngram_join.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES < ngram_join.RECALL
+def test_least_depth_reaches_the_recall():
+    d = ngram_join.least_depth()
+    assert ngram_join.met(0.8, d) >= ngram_join.RECALL and (d == ngram_join.DEPTH or ngram_join.met(0.8, d + 1) < ngram_join.RECALL)
 
 
 def test_quote_linking(spark):
