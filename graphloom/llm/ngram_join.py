@@ -36,7 +36,7 @@ from .tokens import forget, runs
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
-TREES, DEPTH = 20, 7
+TREES, DEPTH = 20, 6
 #: Most shingles, and representatives, in a block of a group.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
 #: A group is cut into up to SPREAD blocks of at least LEAST_SETS before blocks grow to BLOCK_SETS.
@@ -283,11 +283,12 @@ def _pools(rows: DataFrame, verified: DataFrame | None) -> tuple[DataFrame, Data
     inside = common.stored(rows.join(own, "group"), "met")
     near = inside.select("rid", "group", "hub")
     for _ in range(2):
-        pool = common.stored(near.groupBy("rid").agg(F.min("hub").alias("pool")), "nearest")
+        pool = near.groupBy("rid").agg(F.min("hub").alias("pool"))
         hubs = inside.join(pool, "rid").groupBy("group").agg(F.min("pool").alias("hub"))
         near = inside.select("rid", "group").join(hubs, "group")
-    pool = common.stored(near.groupBy("rid").agg(F.min("hub").alias("pool")), "nearest")
+    pool = near.groupBy("rid").agg(F.min("hub").alias("pool"))
     labelled = common.stored(inside.select("rid", "tree", "group", "size").join(pool, "rid"), "pooled")
+    pool = labelled.groupBy("rid").agg(F.first("pool").alias("pool"))
     whole = labelled.groupBy("group").agg(F.min("pool").alias("pool"), F.max("pool").alias("other"), F.first("size").alias("size"))
     whole = whole.where("pool = other").select("group", "pool", "size")
     work = whole.groupBy("pool").agg(F.sum(F.col("size") * F.col("size")).alias("work"))
