@@ -26,8 +26,10 @@ from . import common
 BLOCK = 4096
 #: Block hashes watched as possibly hot, for each shuffle partition.
 WATCHED = 4
-#: Rows of one hot block that go to one place.
+#: Rows of one hot block that go to one place; larger groups of equal texts may be broadcast.
 SPREAD = 200
+#: Where a row lies, as common.located() says.
+PLACE = ("__file", "__row")
 
 
 def normalised(text: Column) -> Column:
@@ -36,30 +38,30 @@ def normalised(text: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """rid, idx, block, h and, with a text's first block, what is known of the text."""
+    """rid, idx, block, h and, with a text's first block, what is known of the text; docs is located()."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        F.monotonically_increasing_id().alias("rid"), "__file", "__row",
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.char_length(text_column), F.lit(0)).alias("n_cp"),
         normalised(F.col(text_column)).alias("norm"),
     )
     raw = F.col("norm").cast("binary")
-    rows = rows.select("rid", "doc_id", "n_cp", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"), raw.alias("raw"))
+    rows = rows.select("rid", *PLACE, "doc_id", "n_cp", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"), raw.alias("raw"))
     rows = rows.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / BLOCK)).cast("long"))
     cut = F.transform(F.sequence(F.lit(0), (F.col("nb") - 1).cast("int")), lambda i: F.substring(F.col("raw"), i * BLOCK + 1, F.lit(BLOCK)))
-    rows = rows.select("rid", "doc_id", "n_cp", "sha", "n_bytes", "nb", F.posexplode(cut).alias("idx", "block"))
+    rows = rows.select("rid", *PLACE, "doc_id", "n_cp", "sha", "n_bytes", "nb", F.posexplode(cut).alias("idx", "block"))
     first = F.col("idx") == 0
     return rows.select(
         "rid", "idx", "nb", "n_bytes", "block", F.xxhash64("block").alias("h"),
-        *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_cp", "sha")],
+        *[F.when(first, F.col(c)).alias(c) for c in (*PLACE, "doc_id", "n_cp", "sha")],
     )
 
 
 def names(docs: DataFrame, *, id_column="doc_id", text_column="text") -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_cp, sha, n_bytes, name.
+    """One row per row of docs, located(): rid, __file, __row, doc_id, n_cp, sha, n_bytes, name.
 
-    Texts are equal exactly if n_bytes and name are.  rid is the row's
-    monotonically_increasing_id in docs.
+    Texts are equal exactly if n_bytes and name are.  rid numbers the rows of this result,
+    whose parts are written before they are used.
     """
     spark = docs.sparkSession
     n_parts = common.partitions(spark)
@@ -76,7 +78,7 @@ def names(docs: DataFrame, *, id_column="doc_id", text_column="text") -> DataFra
     rows = rows.select("*", rank.alias("rank"), before.alias("before"))
     first = F.col("salts").isNotNull() & (F.col("before").isNull() | (F.col("before") != F.col("block")))
     named = rows.select(
-        "rid", "idx", "nb", "n_bytes", "doc_id", "n_cp", "sha",
+        "rid", "idx", "nb", "n_bytes", *PLACE, "doc_id", "n_cp", "sha",
         (F.col("rank") * places + F.col("place")).alias("local"), F.when(first, F.col("block")).alias("shown"),
     )
     named = common.stored(named, "block-names")
@@ -84,12 +86,12 @@ def names(docs: DataFrame, *, id_column="doc_id", text_column="text") -> DataFra
     one = common.fixed(shown.groupBy("shown").agg(F.min("local").alias("name"), F.collect_set("local").alias("locals")).select("name", F.explode("locals").alias("local")), "hot-names")
     level = named.drop("shown").join(common.small(one, one.count(), 32), "local", "left").withColumn("name", F.coalesce("name", "local")).drop("local")
     deepest = named.agg(F.max("nb")).first()[0] or 1
-    done = [level.where("nb = 1").select("rid", "doc_id", "n_cp", "sha", "n_bytes", "name")]
+    done = [level.where("nb = 1").select("rid", *PLACE, "doc_id", "n_cp", "sha", "n_bytes", "name")]
     if deepest > 1:
         many = level.where("nb > 1")
-        known = many.where("idx = 0").select("rid", "doc_id", "n_cp", "sha", "n_bytes")
+        known = many.where("idx = 0").select("rid", *PLACE, "doc_id", "n_cp", "sha", "n_bytes")
         last = _pair_names(many.select("rid", F.col("idx").cast("long").alias("idx"), "nb", "name"), places)
-        done.append(known.join(last, "rid").select("rid", "doc_id", "n_cp", "sha", "n_bytes", "name"))
+        done.append(known.join(last, "rid").select("rid", *PLACE, "doc_id", "n_cp", "sha", "n_bytes", "name"))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -112,26 +114,34 @@ def _pair_names(rows: DataFrame, places: int) -> DataFrame:
 
 
 def decide(docs: DataFrame, *, id_column="doc_id", text_column="text") -> DataFrame:
-    """One row per row of docs: rid, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in its original text stays, then
     the smallest doc_id (null last), then the first row.  Null and white texts are all
     equal to the empty text.  Repeated rows count each, and one of them stays.  An
     empty table gives no rows.
     """
-    named = names(docs, id_column=id_column, text_column=text_column)
+    return _decided(common.located(docs), id_column, text_column).drop(*PLACE)
+
+
+def _decided(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
+    """decide() of docs, located(), with __file and __row."""
+    named = common.stored(names(docs, id_column=id_column, text_column=text_column), "named")
     order = F.struct((-F.col("n_cp")).alias("c"), F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
-    groups = named.groupBy("n_bytes", "name").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
-    rows = named.join(groups, ["n_bytes", "name"])
+    groups = common.stored(named.groupBy("n_bytes", "name").agg(F.count("*").alias("group_size"), F.min(order).alias("best")), "groups")
+    # the largest groups, a fixed number for each shuffle partition, meet their rows by broadcast; no other is large
+    most = WATCHED * common.partitions(docs.sparkSession)
+    large = groups.where(F.col("group_size") > SPREAD).orderBy(F.desc("group_size"), "n_bytes", "name").limit(most)
+    rows = named.join(F.broadcast(common.fixed(large, "large-groups")), ["n_bytes", "name"], "left")
+    other = rows.where("group_size IS NULL").drop("group_size", "best").join(groups, ["n_bytes", "name"])
+    rows = rows.where("group_size IS NOT NULL").unionByName(other)
     return rows.select(
-        "rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256")
+        *PLACE, "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def deduplicate(docs: DataFrame, **columns) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs.
-
-    docs must give the same rows in the same partitions each time it is read, as a table does.
-    """
-    spared = decide(docs, **columns).where("kept").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(spared, "__rid", "left_semi").drop("__rid")
+    """The rows of docs that stay, with the columns of docs."""
+    docs = common.located(docs)
+    dropped = common.stored(_decided(docs, **columns).where("NOT kept").select(*PLACE), "copies")
+    return common.without(docs, dropped, dropped.count())

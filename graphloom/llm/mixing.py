@@ -24,6 +24,13 @@ SHARES = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
 SEED = 20_240_617
+#: Buckets of keys for each doubling of the key and each shuffle partition.
+FINE = 8
+
+
+def _place() -> Column:
+    """Where a row of a located() table lies; it orders rows that are alike."""
+    return F.struct(F.col("__file").alias("file"), F.col("__row").alias("row"))
 
 
 def words(text: Column) -> Column:
@@ -38,9 +45,10 @@ def quality(text: Column) -> Column:
     return F.coalesce(1 / (1 + 20 * symbols / F.greatest(n, F.lit(1))), F.lit(1.0))
 
 
-def key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
-    """-ln(u) / weight with u in (0, 1) from a hash of the id: the same in every run."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11).cast("double") + 0.5) / float(1 << 53)
+def key(doc_id: Column, weight: Column, seed: int = SEED, text: Column | None = None) -> Column:
+    """-ln(u) / weight with u in (0, 1) from a hash of the id, or of the text where that is null: the same in every run."""
+    named = [doc_id] if text is None else [doc_id, F.when(doc_id.isNull(), F.xxhash64(text))]
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *named), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(u) / F.greatest(weight.cast("double"), F.lit(1e-9))
 
 
@@ -92,11 +100,12 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
     """Decide how many words of each document the mix takes.
 
     decisions: doc_id, source, size, source_size, target, taken and copies (how often the
-    document is taken).  Null texts have size 0 and a null source is a source of its own;
+    document is taken).  Null texts have size 0 and a null source is a source of its own; rows
+    without an id are drawn by their text, equal ones in the order of the table;
     repeated rows count each; an empty table gives no rows.  In key order, every document that
     fits what is left of its source's rest is taken; then the shortest other, if that is nearer.
     """
-    sized, goals, rules, n_sources = _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed)
+    sized, goals, rules, n_sources = _rules(common.located(docs), id_column, source_column, text_column, weight, shares, total, most, seed)
     there = sized["source"].eqNullSafe(rules["source"])
     rows = sized.join(common.small(rules, n_sources, 1024), there, "left").drop(rules["source"])
     copies = _copies(F.struct("key", "doc_id", "rid"), F.col("size"))
@@ -106,14 +115,15 @@ def mix(docs: DataFrame, *, id_column="doc_id", source_column="source", text_col
 
 def apply(docs: DataFrame, *, id_column="doc_id", source_column="source", text_column="text", weight: Column | None = None, shares=SHARES, total=TOTAL, most=MOST, seed=SEED) -> DataFrame:
     """docs with each row as often as mix() takes it. A row's own key and its source's rule decide, so no texts are shuffled."""
+    columns, docs = docs.columns, common.located(docs)
     _, _, rules, n_sources = _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed)
     weight = quality(F.col(text_column)) if weight is None else weight
     rules = rules.select(F.col("source").alias("__source"), "epochs", "steps", "extra")
-    rows = docs.withColumns({"__key": key(F.col(id_column), weight, seed), "__size": words(F.col(text_column)), "__rid": F.monotonically_increasing_id()})
+    rows = docs.withColumns({"__key": key(F.col(id_column), weight, seed, F.col(text_column)), "__size": words(F.col(text_column)), "__rid": _place()})
     rows = rows.join(common.small(rules, n_sources, 1024), F.col(source_column).eqNullSafe(F.col("__source")), "left")
     place = F.struct(F.col("__key").alias("key"), F.col(id_column).alias("doc_id"), F.col("__rid").alias("rid"))
     rows = rows.withColumn("__copies", _copies(place, F.col("__size")).cast("int")).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
 
 
 def _chosen(place: Column, size: Column) -> Column:
@@ -132,11 +142,12 @@ def _copies(place: Column, size: Column) -> Column:
 
 
 def _rules(docs, id_column, source_column, text_column, weight, shares, total, most, seed) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Sized documents; targets; each source's rule (epochs, steps, extra); the number of sources."""
+    """Of docs, located(): sized documents; targets; each source's rule (epochs, steps, extra); the number of sources."""
     weight = quality(F.col(text_column)) if weight is None else weight
     sized = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), weight.alias("w")
-    ).withColumn("key", key(F.col("doc_id"), F.col("w"), seed))
+        _place().alias("rid"), F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"),
+        key(F.col(id_column), weight, seed, F.col(text_column)).alias("key"),
+    )
     sized = common.stored(sized, "sized")
     goals = targets(sized, shares, total, most)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -156,11 +167,11 @@ def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     that could fit, they are gone through one by one.
     """
     spark = sized.sparkSession
-    buckets = 16 * common.partitions(spark)
-    # the key's own distribution spreads a source evenly, whatever its weights: 1 - exp(-key) lies in [0, 1)
-    spread = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
+    # A weight only shifts a key's logarithm, whose density stays under 0.37 a unit: so whatever the
+    # weights are, the fullest bucket holds under 0.37 ln(2) / FINE, 3 %, of a partition's share of a source.
+    spread = F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * (FINE * common.partitions(spark))).cast("long")
     place = F.struct("key", "doc_id", "rid")
-    kind = f"struct<key:double,doc_id:{sized.schema['doc_id'].dataType.simpleString()},rid:bigint>"
+    kind = f"struct<key:double,doc_id:{sized.schema['doc_id'].dataType.simpleString()},rid:struct<file:bigint,row:bigint>>"
     steps = f"array<struct<stop:{kind},limit:double>>"
     columns = ["source", "bucket", "size", "key", "doc_id", "rid"]
     rows = sized.where("size > 0").withColumn("bucket", spread)
