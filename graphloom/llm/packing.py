@@ -209,7 +209,9 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
 
     Null texts are empty (a lone end id); repeated rows are packed each for itself; an
     empty table gives no rows.  Sequences are gapless from offset 0.  The result reads
-    the written pieces once and shuffles no ids.
+    the written pieces once.  Each finds its rank from a row for its task and length; while
+    those rows are few enough to be broadcast (about 500 tasks) no ids are shuffled, beyond
+    that ids, which take two bytes, go once through a join on task and length.
     """
     pieces = tokenised(docs, capacity=capacity, **options)
     spark = docs.sparkSession
@@ -234,13 +236,14 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
     )
 
 
-def digest(packed: DataFrame, kind: str = "<u2") -> DataFrame:
+def digest(packed: DataFrame) -> DataFrame:
     """The packed rows with ids_crc32, the unsigned crc32 of ids as little-endian uint32, in place of ids."""
 
     @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
+    def crc(ids: pd.Series, length: pd.Series) -> pd.Series:
         import zlib
 
-        return pd.Series([zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in ids], dtype="int64")
+        # an id takes as many bytes as its vocabulary needs
+        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes()) for x, n in zip(ids, length, strict=True)], dtype="int64")
 
-    return packed.select("doc_id", "piece", "start", "length", crc("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", crc("ids", "length").alias("ids_crc32"), "sequence_id", "offset")
