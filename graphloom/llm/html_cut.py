@@ -8,13 +8,15 @@ labelling of least cost.
 
 The classifier is a logistic regression over a block's shape (length, links, punctuation,
 tag), fitted with numpy on up to TRAIN_PAGES pages whose own markup tells content from
-boilerplate; what the markup says of a block is then added to its score.
+boilerplate; what the markup says of a block is then added to its score.  Elements that
+exist to hold content or boilerplate say more than names of classes do, which the
+classifier and the neighbours can outvote.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -29,8 +31,8 @@ from . import common
 TRAIN_PAGES = 2000
 #: Smoothness between blocks in a row and between an element and what it holds.
 NEXT, DOM = 0.6, 0.4
-#: What markup adds to a block's score.
-MARKED = 6.0
+#: Most that the classifier gives a block; what an element's kind adds to it, and what a class name does.
+SHAPE, MARKED, NAMED = 4.0, 6.0, 3.0
 
 # Element names and words of class, id and role.
 SKIPPED = frozenset("head script style noscript template iframe svg math canvas object embed audio video select option textarea button".split())
@@ -60,13 +62,15 @@ class Block:
     element: int  # the element that holds it
     tag: str
     links: int  # characters in links
-    mark: int  # -1 boilerplate, 1 content, 0 not told
+    mark: int  # -1 boilerplate, 1 content, 0 not told; below -1: readers' comments, or hidden
+    named: bool = False  # told by the name of a class only
 
 
 def parse(html: str) -> tuple[list[Block], list[int]]:
     """Blocks in page order, and each element's parent (element 0 is the page)."""
-    parents, tags, marks = [-1], ["#page"], [0]
-    stack = [0]
+    parents, tags, marks, named = [-1], ["#page"], [0], [False]
+    stack, outer = [0], [0]  # open elements; of each, the nearest that is not inline
+    opened: Counter[str] = Counter()  # open elements by name
     blocks: list[Block] = []
     parts: list[str] = []
     linked = [0, 0]  # characters in links, open links
@@ -76,11 +80,15 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
         nonlocal parts
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            blocks.append(Block(text, owner, tags[owner], min(linked[0], len(text)), marks[owner]))
+            blocks.append(Block(text, owner, tags[owner], min(linked[0], len(text)), marks[owner], named[owner]))
         parts, linked[0] = [], 0
 
-    def holder() -> int:
-        return next(e for e in reversed(stack) if tags[e] not in INLINE)
+    def close() -> None:
+        element = stack.pop()
+        outer.pop()
+        opened[tags[element]] -= 1
+        if tags[element] == "a":
+            linked[1] -= 1
 
     at, end = 0, len(html)
     while at < end:
@@ -89,7 +97,7 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
             break
         at = m.end()
         if m["text"] is not None:
-            now = holder()
+            now = outer[-1]
             if now != owner:
                 flush()
                 owner = now
@@ -101,17 +109,13 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
             continue
         name = m["name"].lower()
         if m["close"]:
-            if name == "br" or name not in (tags[e] for e in stack[1:]):
+            if name == "br" or not opened[name]:
                 continue
             if name not in INLINE:
                 flush()
             while tags[stack[-1]] != name:
-                if tags[stack[-1]] == "a":
-                    linked[1] -= 1
-                stack.pop()
-            if name == "a":
-                linked[1] -= 1
-            stack.pop()
+                close()
+            close()
             continue
         if name == "br":
             parts.append(" ")
@@ -134,56 +138,64 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
             continue
         if name not in INLINE:
             flush()
-            _close_implied(name, stack, tags)
+            for _ in range(_implied(name, stack, tags, opened)):
+                close()
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])} if m["attrs"].strip() else {}
         parent = stack[-1]
         element = len(parents)
         parents.append(parent)
         tags.append(name)
-        marks.append(_mark(name, attrs, m["attrs"], marks[parent]))
+        own, by_name = _mark(name, attrs, m["attrs"], marks[parent], named[parent])
+        marks.append(own)
+        named.append(by_name)
         if name == "a":
             linked[1] += 1
         stack.append(element)
+        outer.append(outer[-1] if name in INLINE else element)
+        opened[name] += 1
         if name not in INLINE:
             owner = element
     flush()
     return blocks, parents
 
 
-def _close_implied(name: str, stack: list[int], tags: list[str]) -> None:
-    """A block ends an open paragraph; list items, cells and rows end their like."""
+def _implied(name: str, stack: list[int], tags: list[str], opened: Counter) -> int:
+    """How many open elements a new one ends: a block ends an open paragraph; list items, cells and rows end their like."""
     like = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(name, set())
     holds = {"ul", "ol", "dl", "table", "tbody", "thead", "#page", "body", "div", "article", "section"}
-    for i in range(len(stack) - 1, 0, -1):
-        tag = tags[stack[i]]
-        if tag == "p" or tag in like:
-            del stack[i:]
-            if tag == "p" and like:
-                continue
-            return
+    if not opened["p"] and not any(opened[x] for x in like):
+        return 0
+    ends = 0
+    for depth, element in enumerate(reversed(stack), 1):
+        tag = tags[element]
         if tag in holds:
-            return
+            break
+        if tag == "p" or tag in like:
+            ends = depth
+            if tag in like or not like:
+                break
+    return ends
 
 
-def _mark(name: str, attrs: dict, raw: str, above: int) -> int:
-    """What the markup says; 2 marks reader comments, which nothing inside undoes."""
+def _mark(name: str, attrs: dict, raw: str, above: int, above_named: bool) -> tuple[int, bool]:
+    """What the markup says, and whether a name only says it; -2 marks reader comments and -3 what is hidden, which nothing inside undoes."""
     if above in (-2, -3):
-        return above
+        return above, False
     said = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
     if REMARKS.search(said) and name != "body":
-        return -2
+        return -2, False
     if attrs.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", raw) or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return -3
+        return -3, False
     if name in CONTENT or attrs.get("role") in CONTENT:
-        return 1
+        return 1, False
     if name in BOILERPLATE or (name == "header" and above != 1):
-        return -1
+        return -1, False
     if name != "body" and said.strip():
         if NEGATIVE.search(said):
-            return -1
+            return -1, above_named or above != -1
         if POSITIVE.search(said):
-            return 1
-    return above
+            return 1, above_named or above != 1
+    return above, above_named
 
 
 FEATURES = 9
@@ -212,9 +224,15 @@ def fit(rows: np.ndarray, labels: np.ndarray, rounds=200, rate=0.5) -> np.ndarra
 
 
 def train(pages: DataFrame, *, id_column="page_id", html_column="html", most: int = TRAIN_PAGES) -> np.ndarray:
-    """Weights from up to most pages, by hash of the id, that mark content and boilerplate themselves. At most FEATURES sums a page reach the driver."""
-    chosen = pages.select(F.col(html_column).alias("html"), F.xxhash64(F.col(id_column)).alias("h")).where("html IS NOT NULL")
-    chosen = chosen.orderBy("h", F.xxhash64("html")).limit(most)
+    """Weights from up to most pages, by hash of the id, that mark content and boilerplate themselves. At most FEATURES sums a page reach the driver.
+
+    Pages are chosen by id and place; only the chosen ones' html is then read.
+    """
+    pages = common.located(pages)
+    order = F.xxhash64(F.col(id_column))
+    chosen = pages.where(F.col(html_column).isNotNull()).select("__file", "__row", order.alias("h")).orderBy("h", "__file", "__row").limit(most)
+    chosen = common.small(chosen.select("__file", "__row"), most, 48)
+    chosen = pages.select("__file", "__row", F.col(html_column).alias("html")).join(chosen, ["__file", "__row"]).select("html")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -297,9 +315,11 @@ def label(blocks: list[Block], parents: list[int], weights: np.ndarray) -> list[
     told = any(b.mark > 0 for b in blocks)
     x = np.array([shape(b) for b in blocks])
     mark = np.sign([b.mark for b in blocks])
-    z = np.clip(x @ weights, -2.5, 2.5) + MARKED * mark
+    # readers' comments are written like an article: no shape or neighbour makes them one
+    said = np.array([2 * (SHAPE + MARKED) if b.mark < -1 else NAMED if b.named else MARKED for b in blocks])
+    z = np.clip(x @ weights, -SHAPE, SHAPE) + said * mark
     if told:  # the page marks its content: what lies outside is likely none
-        z = z - np.where(mark == 0, MARKED / 2, 0.0)
+        z = z - np.where(mark == 0, NAMED, 0.0)
     n = len(blocks)
     # nodes: blocks, then the elements that hold any, then the terminals
     held: dict[int, int] = {}
