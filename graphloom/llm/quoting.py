@@ -1,11 +1,12 @@
-"""Conversations without quotes, in reply order, by linking quotations to their originals.
+"""Conversations without the quotes that repeat them, in reply order, by linking quotations to their originals.
 
 Each message's lines are parsed into quote levels (leading ">" marks).  Blocks of quoted
 lines are normalised and hashed, whole, by paragraph and by line, and joined on
 conversation and hash to the first message that has the passage as its own words; a
 passage inside a larger one that is found does not count.  A message replies to the
 latest original of its first-level quotes.  Threads come from
-following replies, doubling the distance each round.
+following replies, doubling the distance each round.  What was found is taken out of the
+message; quoted lines from elsewhere stay, with their marks.
 
 Originals are reduced to one row per conversation and passage before the join, so a
 passage or a conversation of any size adds rows in proportion to its messages only.
@@ -68,45 +69,81 @@ def _passages(lines: list[str]) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, int, int, int, bytes]]]:
-    """A message's own text; hashes of its own passages; (block, level, rank, paragraph, hash) of its quotes."""
-    levels = split_levels(text)
-    own = [line for i, (level, line) in enumerate(levels) if level == 0 and not (_SAYS.match(line) and i + 1 < len(levels) and levels[i + 1][0])]
-    quotes, block, i = [], 0, 0
+def _blocks(levels: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+    """(level, first line, line after the last) of each run of lines of one level over 0."""
+    out, i = [], 0
     while i < len(levels):
-        level = levels[i][0]
         j = i
-        while j < len(levels) and levels[j][0] == level:
+        while j < len(levels) and levels[j][0] == levels[i][0]:
             j += 1
-        if level:
-            quotes += [(block, level, *x) for x in _passages([line for _, line in levels[i:j]])]
-            block += 1
+        if levels[i][0]:
+            out.append((levels[i][0], i, j))
         i = j
-    kept = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip() if quotes else (text or "")
-    return kept, list({h: None for *_, h in _passages(own)}), quotes
+    return out
+
+
+def _says(levels: list[tuple[int, str]], i: int) -> bool:
+    """Whether line i only says who is quoted below it."""
+    return levels[i][0] == 0 and i + 1 < len(levels) and levels[i + 1][0] > 0 and bool(_SAYS.match(levels[i][1]))
+
+
+def parse(text: str | None) -> tuple[list[bytes], list[tuple[int, int, int, int, bytes]]]:
+    """Hashes of a message's own passages; (block, level, rank, paragraph, hash) of its quotes."""
+    levels = split_levels(text)
+    own = [line for i, (level, line) in enumerate(levels) if level == 0 and not _says(levels, i)]
+    quotes = [(block, level, *x) for block, (level, i, j) in enumerate(_blocks(levels)) for x in _passages([line for _, line in levels[i:j]])]
+    return list({h: None for *_, h in _passages(own)}), quotes
+
+
+def without(text: str | None, found: list) -> str:
+    """The text without the found passages: (block, rank, paragraph, hash), and without lines that only say who they are of."""
+    if not found:
+        return text or ""
+    lines, levels = (text or "").splitlines(), split_levels(text)
+    gone: set[int] = set()
+    for block, (_, i, j) in enumerate(_blocks(levels)):
+        own = [f for f in found if f[0] == block]
+        paragraph, before = -1, True
+        whole, parts, single = any(f[1] == 0 for f in own), {f[2] for f in own if f[1] == 1}, {(f[2], bytes(f[3])) for f in own if f[1] == 2}
+        for k in range(i, j):
+            blank = not levels[k][1].strip()
+            paragraph += before and not blank
+            before = blank
+            if whole or not blank and (paragraph in parts or (paragraph, _hash(levels[k][1])) in single):
+                gone.add(k)
+        # blank quoted lines say nothing where all others went
+        if all(k in gone or not levels[k][1].strip() for k in range(i, j)):
+            gone.update(range(i, j))
+            if i and _says(levels, i - 1):
+                gone.add(i - 1)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(line for k, line in enumerate(lines) if k not in gone)).strip()
 
 
 def link(messages: DataFrame, *, conversation="conv_id", turn="turn", role="role", text="text") -> DataFrame:
-    """conv_id, turn, role, parent_turn, thread_root, depth, n_quotes, n_linked, position, text (without quotes).
+    """conv_id, turn, role, parent_turn, thread_root, depth, n_quotes, n_linked, position, text (without the quotes that were found).
 
     One row per row of messages.  parent_turn is null where nothing is linked; such a
     message is the root of its thread.  n_quotes counts blocks of quoted lines, n_linked the
     passages in them that were found (the largest only).  position numbers a conversation's
     rows from 1 in reply order: thread_root, depth, turn.  Null texts are empty; messages with a null
     conversation or turn are not linked; repeated rows stay, and the first turn that holds
-    a passage counts as its original.
+    a passage counts as its original.  Columns other than the four named are not read.
     """
     kinds = {c: messages.schema[c].dataType.simpleString() for c in (conversation, turn, role)}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [parse(t) for t in pdf["text"]]
-            out = pdf.drop(columns="text")
-            out["text"] = [r[0] for r in rows]
-            out["own"] = [r[1] for r in rows]
-            out["quotes"] = [[{"block": b, "level": lv, "rank": k, "paragraph": p, "hash": h} for b, lv, k, p, h in r[2]] for r in rows]
+            out = pdf.copy()
+            out["own"] = [r[0] for r in rows]
+            out["quotes"] = [[{"block": b, "level": lv, "rank": k, "paragraph": p, "hash": h} for b, lv, k, p, h in r[1]] for r in rows]
             yield out
 
+    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["text"] = [without(t, [] if f is None else [tuple(x.values()) for x in f]) for t, f in zip(pdf["text"], pdf["found"], strict=True)]
+            yield pdf.drop(columns="found")
+
     rows = messages.select(
         F.monotonically_increasing_id().alias("rid"), F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
@@ -126,11 +163,12 @@ def link(messages: DataFrame, *, conversation="conv_id", turn="turn", role="role
     inside = F.min("rank").over(Window.partitionBy("rid", "block", "paragraph"))
     hits = hits.withColumns({"whole": F.min("rank").over(Window.partitionBy("rid", "block")), "inside": inside})
     hits = hits.where("rank = CASE WHEN whole = 0 THEN 0 ELSE inside END")
-    per = hits.groupBy("rid").agg(F.max(F.when(F.col("level") == 1, F.col("original"))).alias("parent_turn"), F.count("*").alias("n_linked"))
+    per = hits.groupBy("rid").agg(F.max(F.when(F.col("level") == 1, F.col("original"))).alias("parent_turn"), F.count("*").alias("n_linked"), F.collect_list(F.struct("block", "rank", "paragraph", "hash")).alias("found"))
     n_quotes = F.when(F.size("quotes") > 0, F.array_max(F.transform("quotes", lambda q: q["block"])) + 1).otherwise(0).cast("long")
-    rows = common.stored(
-        parsed.select("rid", "conv_id", "turn", "role", "text", n_quotes.alias("n_quotes")).join(per, "rid", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long"))), "linked"
-    )
+    # at most what a message quotes itself
+    rows = parsed.select("rid", "conv_id", "turn", "role", "text", n_quotes.alias("n_quotes")).join(per, "rid", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
+    kept = f"rid long, conv_id {kinds[conversation]}, turn long, role {kinds[role]}, text string, n_quotes long, parent_turn long, n_linked long"
+    rows = common.stored(rows.select(*[c.split()[0] for c in kept.split(", ")], "found").mapInPandas(clear, kept), "linked")
     placed = _placed(rows.select("rid", "conv_id", "turn", "parent_turn").join(_threads(rows), ["conv_id", "turn", "parent_turn"], "left"))
     return rows.join(placed, "rid").select("conv_id", "turn", "role", "parent_turn", "thread_root", "depth", "n_quotes", "n_linked", "position", "text")
 
