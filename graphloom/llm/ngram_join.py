@@ -41,6 +41,8 @@ TREES, DEPTH = 20, 6
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
 #: A group is cut into up to SPREAD blocks of at least LEAST_SETS before blocks grow to BLOCK_SETS.
 SPREAD, LEAST_SETS = 16, 64
+#: Rows of one group that meet what is known of the group in one place.
+HOT = 128
 #: Representatives of small groups that share a task.
 TASK_SETS = 1000
 #: Similarities are told apart by this much when recall is measured.
@@ -281,11 +283,15 @@ def _pools(rows: DataFrame, verified: DataFrame | None) -> tuple[DataFrame, Data
     # groups are named in the order of trees: the least of equal ones is in the first tree
     own = sized.groupBy("size", "x", "y").agg(F.min(F.struct("group", "hub")).alias("g")).select("size", "g.group", "g.hub")
     inside = common.stored(rows.join(own, "group"), "met")
-    near = inside.select("rid", "group", "hub")
+    # a large group's rows and its hub meet in many places
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    dealt = inside.select("rid", "group", F.pmod(F.xxhash64("rid", "group"), parts).alias("part"))
+    near = inside.select("rid", "hub")
     for _ in range(2):
         pool = near.groupBy("rid").agg(F.min("hub").alias("pool"))
-        hubs = inside.join(pool, "rid").groupBy("group").agg(F.min("pool").alias("hub"))
-        near = inside.select("rid", "group").join(hubs, "group")
+        hubs = inside.join(pool, "rid").groupBy("group").agg(F.min("pool").alias("hub"), F.first("size").alias("size"))
+        hubs = hubs.select("group", "hub", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
+        near = dealt.join(hubs, ["group", "part"]).select("rid", "hub")
     pool = near.groupBy("rid").agg(F.min("hub").alias("pool"))
     labelled = common.stored(inside.select("rid", "tree", "group", "size").join(pool, "rid"), "pooled")
     pool = labelled.groupBy("rid").agg(F.first("pool").alias("pool"))
