@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import math
 import re
@@ -223,6 +224,24 @@ def test_language_model(spark, docs, rows, empty, monkeypatch, group_bytes):
     assert Counter((None if pd.isna(x.doc_id) else int(x.doc_id), x.n_tokens, round(x.base_score, 6)) for x in got.itertuples()) == want
     assert (got["train_tokens"] == n).all() and (got["n_known"] == got["n_tokens"]).all() and (got["score"] <= 1e-9).all()
     assert got["score"].sum() > got["base_score"].sum()
+    # the whole score, from plain counts of pairs
+    pairs = Counter(p for r in rows for p in zip([b" end", *split(r[1])], split(r[1])))  # noqa: B905
+    assert abs(sum(k**model.beta for k in c.values()) / len(pairs) - 1) < 0.05
+    value = lambda k: lm.VALUES[np.searchsorted(lm.LEVELS, k, "right")]
+
+    def brute(text):
+        out, h = 0.0, b" end"
+        for w in split(text):
+            t = c[h] ** model.beta
+            out += math.log10((min(value(pairs[h, w]), c[h], c[w]) + t * (c[w] + 1) / (n + v + 1)) / (c[h] + t))
+            h = w
+        return out
+
+    by = {r.doc_id: r.score for r in got.itertuples()}
+    once = [r for r in rows if r[0] is not None and sum(x[0] == r[0] for x in rows) == 1]
+    # the filter may take a pair for a more frequent one, and rarely does
+    off = [by[r[0]] - brute(r[1]) for r in once]
+    assert min(off) > -1e-6 and np.mean(np.array(off) < 0.05 * np.array([len(split(r[1])) for r in once])) > 0.9
     nothing = lm.train(empty)
     other = pdf(lm.score(docs.select("doc_id", "text"), nothing))
     assert (other["base_score"].abs() < 1e-9).all() and (other["n_known"] == 0).all() and pdf(lm.score(empty, nothing)).empty
@@ -467,6 +486,77 @@ def test_quote_linking(spark):
     assert pdf(quoting.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).empty
 
 
+def test_quotes_from_elsewhere_stay(spark):
+    rows = [
+        (1, 0, "u", "A line of mine.\nAnother one."), (1, 1, "a", "On Monday, X wrote:\n> A line of mine.\n> From a book.\n\nI see.\n> all of it unknown\nEnd."),
+        (1, 2, "b", "> > A line of mine.\n> > Another one.\n> I see.\n>\nYes.\n\n\n\nNo."), (2, 0, "u", "> quoted from nowhere"), (2, 1, "u", ">"), (2, 2, "u", "w " * 40_000 + "\n> x"), (2, 3, "u", "> " + "w " * 40_000 + "\nok"),
+    ]
+    frame = spark.createDataFrame([(*r, 7, "p") for r in rows], "conv_id long, turn long, role string, text string, position int, found string")
+    at = {(r.conv_id, r.turn): r for r in pdf(quoting.link(frame)).itertuples()}
+    assert at[(1, 1)].text == "On Monday, X wrote:\n> From a book.\n\nI see.\n> all of it unknown\nEnd." and at[(1, 1)].parent_turn == 0
+    assert at[(1, 2)].text == "Yes.\n\nNo." and (at[(1, 2)].n_quotes, at[(1, 2)].n_linked, at[(1, 2)].parent_turn) == (2, 2, 1)
+    assert at[(2, 0)].text == "> quoted from nowhere" and at[(2, 1)].text == ">" and at[(2, 3)].text == "ok" and at[(2, 3)].parent_turn == 2
+
+
+def brute_links(rows):
+    """parent_turn and n_linked of each row, by going through all earlier messages of its conversation."""
+    norm = lambda lines: " ".join(" ".join(lines).casefold().split())
+
+    def passages(lines):
+        parts = [[line for line in p if line.strip()] for blank, p in itertools.groupby(lines, lambda x: not x.strip()) if not blank]
+        return norm(lines), [(norm(p), [norm([x]) for x in p]) for p in parts]
+
+    def known(conv, turn, words):
+        for c, t, _, text in sorted((r for r in rows if r[0] == conv and r[1] < turn), key=lambda r: r[1]):
+            whole, parts = passages([line for level, line in quoting.split_levels(text) if level == 0])
+            if words in [whole, *[p for p, _ in parts], *[x for _, lines in parts for x in lines]]:
+                return t
+        return None
+
+    out = {}
+    for conv, turn, _, text in rows:
+        found = []
+        for level, block in itertools.groupby(quoting.split_levels(text), lambda x: x[0]):
+            if not level:
+                continue
+            whole, parts = passages([line for _, line in block])
+            if (t := known(conv, turn, whole)) is not None and whole:
+                found.append((level, t))
+                continue
+            for p, lines in parts:
+                if (t := known(conv, turn, p)) is not None:
+                    found.append((level, t))
+                else:
+                    found += [(level, t) for x in dict.fromkeys(lines) if (t := known(conv, turn, x)) is not None]
+        out[(conv, turn)] = (max((t for level, t in found if level == 1), default=None), len(found))
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng, rows = np.random.default_rng(12), []
+    for conv in range(12):
+        said = []
+        for turn in range(12):
+            lines = []
+            for _ in range(int(rng.integers(1, 5))):
+                if said and rng.random() < 0.6:
+                    source = said[rng.integers(0, len(said))]
+                    lines += [">" * int(rng.integers(1, 3)) + " " + x for x in source[: int(rng.integers(1, len(source) + 1))]]
+                    lines += [">"] * int(rng.random() < 0.3)
+                else:
+                    lines += [str(rng.choice(WORDS)) + " " + str(rng.choice(WORDS[:4])), ""][: int(rng.integers(1, 3))]
+            rows.append((conv, turn, "u", "\n".join(lines)))
+            said.append(lines)
+    got = pdf(quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)))
+    assert {(r.conv_id, r.turn): (None if pd.isna(r.parent_turn) else int(r.parent_turn), r.n_linked) for r in got.itertuples()} == brute_links(rows)
+    for r in got.itertuples():
+        if not pd.isna(r.parent_turn):
+            up = got[(got["conv_id"] == r.conv_id) & (got["turn"] == r.parent_turn)].iloc[0]
+            assert r.thread_root == up["thread_root"] and r.depth == up["depth"] + 1
+    order = got.sort_values(["conv_id", "position"])
+    assert (order.groupby("conv_id").cumcount() + 1 == order["position"]).all()
+
+
 def test_quotes_of_two_messages_in_one_block(spark):
     rows = [
         (1, 0, "u", "First words.\nMore of them."), (1, 1, "a", "Second words."), (1, 2, "b", "> First words.\n> Second words.\nYes."), (1, 3, "c", "> Second words.\n>\n> First words.\nNo."),
@@ -480,30 +570,72 @@ def test_quotes_of_two_messages_in_one_block(spark):
 
 
 def brute_topk(rows, k):
-    held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    held = [(n, i, [math.floor(64 * x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = Counter()
-    for q, a in held:
+    for m, q, a in held:
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in held if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, i, b in held if n != m)[:k]
             out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
     return out
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("sizes", [(4096, 2048), (50, 4)])  # the second: many blocks and batches
+def test_topk(spark, monkeypatch, sizes):
+    monkeypatch.setattr(topk, "BLOCK", sizes[0])
+    monkeypatch.setattr(topk, "BATCH", sizes[1])
+    monkeypatch.setattr(topk, "STEP", 30)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)]
     rows += [(300, None), (301, [None, *[1.0] * 5]), (302, [float("nan"), *[1.0] * 5]), (303, [float("inf"), *[1.0] * 5]), (None, [1.0] * 6), (304, [0.0] * 6), (305, rows[7][1]), (306, rows[7][1])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [rows[40], (60, rows[7][1]), (400, [1e6] * 6)]  # a query row twice, another vector for a query's id, a long vector
+    frame = spark.createDataFrame([(*r, 1, 2.0, [3]) for r in rows], "vec_id long, embedding array<float>, rid int, d double, v array<int>")
     exact = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
     got = pdf(topk.search(frame, F.col("vec_id") % 20 == 0))
     assert Counter(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == brute_topk(exact, 20)
     assert pdf(topk.search(frame.limit(0), F.col("vec_id") % 20 == 0)).empty
-    # clustered vectors: bounds leave most pairs out
+    huge = spark.createDataFrame([(0, [2.0**40, 1.0]), (20, [2.0**40, 3.0]), (1, [1.0, -(2.0**20)])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="long"):
+        topk.search(huge, F.col("vec_id") % 20 == 0)
+    wide = spark.createDataFrame([(0, [2.0**24, 1.0]), (20, [2.0**24 + 0.25, 3.0]), (1, [2.0**24, -3.0]), (2, [2.0**24, -2.0])], "vec_id long, embedding array<double>")
+    exact = [(r["vec_id"], r["embedding"]) for r in wide.collect()]
+    got = pdf(topk.search(wide, F.col("vec_id") % 20 == 0, k=2))
+    assert Counter(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == brute_topk(exact, 2)
+
+
+def test_bounds_leave_most_pairs_of_clustered_vectors_out():
+    rng = np.random.default_rng(4)
     centre = rng.integers(-400, 400, (40, 8)).astype(float)
-    x = centre[rng.integers(0, 40, 2000)] + rng.integers(-3, 4, (2000, 8))
+    x = centre[rng.integers(0, 40, 4000)] + rng.integers(-3, 4, (4000, 8))
+    most = float((x * x).sum(axis=1).max())
     pivots = topk.choose_pivots(x[:500])
-    found, evaluated = topk.search_block(np.arange(20), x[:20], np.arange(2000), x, pivots, float((x * x).sum(axis=1).max()), 10)
-    assert evaluated < 0.5 * 20 * 2000 and len(found) == 200
+    dx, dq = topk.distances(x, most, pivots).astype("f4"), topk.distances(x[:20], most, pivots, query=True).astype("f4")
+    n = np.arange(4000)
+    found, evaluated = topk.search_block(n[:20], x[:20], dq, np.full(20, -np.inf), n, n, x, np.ascontiguousarray(dx.T), most, 10)
+    assert evaluated < 0.3 * 20 * 4000 and len(found) == 200
+    total = 0
+    for q in range(20):
+        assert sorted(s for i, _, s in found if i == q) == np.sort((x @ x[q])[n != q])[-10:].astype(int).tolist()
+        # what the k-th score is known to be leaves out more
+        floor = np.array([min(s for i, _, s in found if i == q)], float)
+        again, fewer = topk.search_block(n[q : q + 1], x[q : q + 1], dq[q : q + 1], floor, n, n, x, np.ascontiguousarray(dx.T), most, 10)
+        assert sorted(again) == sorted(r for r in found if r[0] == q)
+        total += fewer
+    assert total <= evaluated
+
+
+def test_toxicity_as_registered(spark):
+    folder = "/root/testdata/sf0.01"
+    got = pdf(queries.op5_toxicity(spark, folder)).set_index("doc_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas().set_index("doc_id")
+    assert sorted(got.columns) == ["held_out", "predicted", "score"] and sorted(got.index) == sorted(docs.index)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for i, r in got.iterrows())
+    truth = spark.read.parquet(f"{folder}/labels.parquet").toPandas().set_index("doc_id")["toxic"]
+    test = got[got["held_out"]].join(truth, how="inner")
+    assert (test["predicted"] == test["toxic"]).mean() > 0.9
+    # the model's own sum over a text's distinct features
+    model = toxicity.Model({toxicity.features("vile")[0]: 2.0, toxicity.features("good")[0]: -1.0}, -0.5)
+    assert abs(model.score("Vile vile good") - 1 / (1 + math.exp(-0.5))) < 1e-9 and abs(model.score(None) - 1 / (1 + math.exp(0.5))) < 1e-9
+    assert abs(model.score("vile " * 100_000) - 1 / (1 + math.exp(-1.5))) < 1e-9
 
 
 def test_registered_on_small_tables(spark):
