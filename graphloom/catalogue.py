@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import rules
-from .operators import branches, flow, lookups, metrics, text, traversal
+from .operators import branches, flow, lookups, metrics, schema, text, traversal, views
 from .plans import bindings as B
 from .registry import query
 
@@ -18,11 +18,9 @@ def _(t):
     return B.part_nodes(t).where("file_path = 'Brand#12'").select("id", "name", "kind")
 
 
-@query("p2_find_by_name", "SELECT n.id, n.name FROM gp_nodes n WHERE n.name IN (SELECT p_name FROM part WHERE p_partkey IN (7)) OR n.qualified_name IN (SELECT p_name FROM part WHERE p_partkey IN (7))")
+@query("p2_find_by_name", "SELECT id, name FROM gp_nodes WHERE name = 'small ring' OR qualified_name = 'small ring'")
 def _(t):
-    nodes = B.part_nodes(t)
-    one = nodes.where("id = 7").select(F.col("name").alias("q"))
-    return nodes.join(one, (F.col("name") == F.col("q")) | (F.col("qualified_name") == F.col("q"))).select("id", "name")
+    return lookups.by_name(B.part_nodes(t), "small ring").select("id", "name")
 
 
 @query("p3_at_line", "SELECT id, start_line, end_line FROM gp_nodes WHERE file_path = 'Brand#11' AND start_line <= 120 AND (end_line IS NULL OR end_line >= 120)")
@@ -30,9 +28,9 @@ def _(t):
     return lookups.at_line(B.part_nodes(t), "Brand#11", 120).select("id", "start_line", "end_line")
 
 
-@query("p4_edges_by_kind", "SELECT src, dst FROM gp_edges WHERE kind = 'imports' AND src < 50")
+@query("p4_edges_by_kind", "SELECT src, dst FROM gp_edges WHERE kind = 'imports'")
 def _(t):
-    return B.part_edges(t).where("kind = 'imports' AND src < 50").select("src", "dst")
+    return B.part_edges(t).where("kind = 'imports'").select("src", "dst")
 
 
 @query("p5_neighbours", "SELECT dst AS id FROM gp_edges WHERE src = 5 UNION SELECT src FROM gp_edges WHERE dst = 5")
@@ -45,24 +43,28 @@ def _(t):
     return B.part_nodes(t).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
 
 
-@query("p7_remove_node", "SELECT src, dst, kind FROM gp_sparse WHERE src NOT IN (SELECT id FROM gp_nodes WHERE is_test) AND dst NOT IN (SELECT id FROM gp_nodes WHERE is_test)")
+@query("p7_remove_node", "SELECT src, dst, kind FROM gp_edges WHERE src NOT IN (SELECT id FROM gp_nodes WHERE is_test) AND dst NOT IN (SELECT id FROM gp_nodes WHERE is_test)")
 def _(t):
     nodes = B.part_nodes(t)
-    return lookups.without_node(nodes, B.part_edges(t, True), nodes.where("is_test").select("id"))[1].select("src", "dst", "kind")
+    return lookups.without_node(nodes, B.part_edges(t), nodes.where("is_test").select("id"))[1].select("src", "dst", "kind")
 
 
-@query("p8_symbol_search", "SELECT id, name FROM gp_nodes WHERE contains(lower(name), 'part 1') OR contains(lower(qualified_name), 'part 1') ORDER BY ord LIMIT 10")
+@query("p8_symbol_search", "SELECT id, name FROM gp_nodes WHERE contains(lower(name), 'l ring') OR contains(lower(qualified_name), 'l ring') ORDER BY ord LIMIT 50")
 def _(t):
-    return lookups.substring_search(B.part_nodes(t), "Part 1", 10).select("id", "name")
+    return lookups.substring_search(B.part_nodes(t), "L Ring", 50).select("id", "name")
+
+
+#: A third of the names as they are, a third with more behind, a third with more before them.
+_VARIED = "CASE id % 3 WHEN 0 THEN name WHEN 1 THEN name || ' two' ELSE 'my ' || name END"
 
 
 @query(
     "p9_suggest",
-    """SELECT id, tier FROM (SELECT id, ord, CASE WHEN lower(name) = 'part 1' THEN 0 WHEN starts_with(lower(name), 'part 1') THEN 1
-        WHEN contains(lower(name), 'part 1') OR contains(lower(qualified_name), 'part 1') THEN 2 END AS tier FROM gp_nodes) WHERE tier IS NOT NULL ORDER BY tier, ord LIMIT 15""",
+    f"""SELECT id, tier FROM (SELECT id, ord, CASE WHEN lower(n) = 'small ring' THEN 0 WHEN starts_with(lower(n), 'small ring') THEN 1
+        WHEN contains(lower(n), 'small ring') OR contains(lower(qualified_name), 'small ring') THEN 2 END AS tier FROM (SELECT *, {_VARIED} AS n FROM gp_nodes)) WHERE tier IS NOT NULL ORDER BY tier, ord LIMIT 30""",
 )
 def _(t):
-    return lookups.suggest(B.part_nodes(t), "Part 1", 15).select("id", "tier")
+    return lookups.suggest(B.part_nodes(t).withColumn("name", F.expr(_VARIED)), "Small Ring", 30).select("id", "tier")
 
 
 @query(
@@ -121,9 +123,9 @@ def _(t):
 # joins
 
 
-@query("j1_callers", "SELECT e.dst AS id, n.id AS caller, n.name FROM gp_edges e JOIN gp_nodes n ON n.id = e.src WHERE e.kind = 'calls' AND e.dst < 20")
+@query("j1_callers", "SELECT e.dst AS id, n.id AS caller, n.name FROM gp_edges e JOIN gp_nodes n ON n.id = e.src WHERE e.kind = 'calls'")
 def _(t):
-    edges = B.part_edges(t).where("kind = 'calls' AND dst < 20")
+    edges = B.part_edges(t).where("kind = 'calls'")
     return edges.join(B.part_nodes(t).select(F.col("id").alias("caller"), "name"), F.col("src") == F.col("caller")).select(F.col("dst").alias("id"), "caller", "name")
 
 
@@ -168,16 +170,15 @@ def _(t):
     return lookups.resolve_calls(calls, nodes, none).select("call", "target", "tier", "confidence")
 
 
-@query("j17_uncovered", "SELECT n.id FROM gp_nodes n WHERE NOT n.is_test AND n.id NOT IN (SELECT dst FROM gp_sparse WHERE kind = 'calls')")
+@query("j17_uncovered", "SELECT n.id FROM gp_nodes n WHERE NOT n.is_test AND n.id NOT IN (SELECT dst FROM gp_edges WHERE kind = 'calls' AND src % 10 = 3)")
 def _(t):
-    called = B.part_edges(t, True).where("kind = 'calls'").select(F.col("dst").alias("id"))
-    return B.part_nodes(t).where("NOT is_test").join(called, "id", "left_anti").select("id")
+    nodes = B.part_nodes(t)
+    return metrics.uncovered(nodes, B.test_calls(t)).select("id")
 
 
-@query("j18_orphan_entries", "SELECT id FROM gp_nodes WHERE exported AND kind IN ('function', 'method') AND id NOT IN (SELECT dst FROM gp_sparse WHERE kind = 'calls')")
+@query("j18_orphan_entries", "SELECT id FROM gp_nodes WHERE kind IN ('function', 'method', 'constructor') AND id NOT IN (SELECT dst FROM gp_calls WHERE confidence >= 0.8)")
 def _(t):
-    called = B.part_edges(t, True).where("kind = 'calls'").select(F.col("dst").alias("id")).distinct()
-    return B.part_nodes(t).where("exported AND kind IN ('function', 'method')").join(called, "id", "left_anti").select("id")
+    return lookups.orphans(B.part_nodes(t), lookups.confident(B.part_calls(t), 0.8)).select("id")
 
 
 @query(
@@ -194,12 +195,14 @@ def _(t):
     return a.join(p, ["call", "pos"])
 
 
-@query("j20_node_detail", "SELECT n.id, coalesce(c.name, '?') AS callee FROM gp_nodes n LEFT JOIN (SELECT src, min(dst) AS dst FROM gp_sparse WHERE kind = 'calls' GROUP BY src) e ON e.src = n.id LEFT JOIN gp_nodes c ON c.id = e.dst")
+@query(
+    "j20_node_detail",
+    """WITH c AS (SELECT src, dst FROM gp_edges WHERE kind = 'calls'), s AS (SELECT file_path, count(*) - 1 AS siblings FROM gp_nodes GROUP BY file_path)
+        SELECT n.id, s.siblings, coalesce(i.c, 0) AS callers, coalesce(o.c, 0) AS callees, coalesce(m.name, '?') AS first_callee, coalesce(m.kind, 'unknown') AS first_kind FROM gp_nodes n JOIN s USING (file_path)
+        LEFT JOIN (SELECT dst, count(*) AS c FROM c GROUP BY dst) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS c, min(dst) AS d FROM c GROUP BY src) o ON o.src = n.id LEFT JOIN gp_nodes m ON m.id = o.d""",
+)
 def _(t):
-    nodes = B.part_nodes(t)
-    first = B.part_edges(t, True).where("kind = 'calls'").groupBy("src").agg(F.min("dst").alias("dst"))
-    names = nodes.select(F.col("id").alias("dst"), F.col("name").alias("callee"))
-    return nodes.join(first, F.col("id") == F.col("src"), "left").join(names, "dst", "left").select("id", F.coalesce("callee", F.lit("?")).alias("callee"))
+    return lookups.node_detail(B.part_nodes(t), B.part_edges(t))
 
 
 @query(
@@ -276,29 +279,23 @@ def _(t):
     return metrics.halstead(rows).select("fn", F.round("volume", 6).alias("volume"))
 
 
-@query("a11_findings_by_severity", "SELECT o_orderpriority AS severity, count(o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') USING (o_orderpriority) GROUP BY o_orderpriority")
+@query("a11_findings_by_severity", "SELECT v.severity, count(f.severity) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) v(severity) LEFT JOIN gs_findings f USING (severity) GROUP BY v.severity")
 def _(t):
-    every = t.orders.select("o_orderpriority").distinct()
-    counts = t.orders.where("o_orderstatus = 'P'").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return every.join(counts, "o_orderpriority", "left").select(F.col("o_orderpriority").alias("severity"), F.coalesce("n", F.lit(0)).alias("n"))
+    return metrics.by_severity(B.findings(t)).select("severity", "n")
 
 
-_FINDINGS = """SELECT CASE s_suppkey % 9 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
-    CASE s_nationkey % 6 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'ssrf' WHEN 2 THEN 'path_traversal' ELSE 'missing_auth' END AS category FROM supplier WHERE s_suppkey < 20"""
+_FINDINGS = "SELECT repo, severity, category FROM gs_findings"
 
 
 @query(
     "a12_security_score",
-    f"""WITH f AS ({_FINDINGS}), s AS (SELECT greatest(0, least(100, 100 - count(*) FILTER (severity = 'critical') * 20 - count(*) FILTER (severity = 'high') * 8 - count(*) FILTER (severity = 'medium') * 3 - count(*) FILTER (severity = 'low'))) AS taint,
-        greatest(0, 100 - 12 * count(*) FILTER (category = 'sql_injection')) AS inputs, greatest(0, 100 - 15 * count(*) FILTER (category = 'ssrf')) AS dependencies, greatest(0, 100 - 10 * count(*) FILTER (category = 'path_traversal')) AS flows FROM f),
+    f"""WITH f AS ({_FINDINGS}), s AS (SELECT repo, greatest(0, least(100, 100 - count(*) FILTER (severity = 'critical') * 20 - count(*) FILTER (severity = 'high') * 8 - count(*) FILTER (severity = 'medium') * 3 - count(*) FILTER (severity = 'low'))) AS taint,
+        greatest(0, 100 - 12 * count(*) FILTER (category = 'sql_injection')) AS inputs, greatest(0, 100 - 15 * count(*) FILTER (category = 'ssrf')) AS dependencies, greatest(0, 100 - 10 * count(*) FILTER (category = 'path_traversal')) AS flows FROM f GROUP BY repo),
         o AS (SELECT *, CAST(floor(taint * 0.4::DOUBLE + inputs * 0.25::DOUBLE + dependencies * 0.2::DOUBLE + flows * 0.15::DOUBLE + 0.5) AS BIGINT) AS overall FROM s)
         SELECT *, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 75 THEN 'B' WHEN overall >= 60 THEN 'C' WHEN overall >= 40 THEN 'D' ELSE 'F' END AS grade FROM o""",
 )
 def _(t):
-    s, n = F.col("s_suppkey") % 9, F.col("s_nationkey") % 6
-    severity = F.when(s == 0, "critical").when(s == 1, "high").when(s == 2, "medium").otherwise("low")
-    category = F.when(n == 0, "sql_injection").when(n == 1, "ssrf").when(n == 2, "path_traversal").otherwise("missing_auth")
-    return metrics.security_score(t.supplier.where("s_suppkey < 20").select(severity.alias("severity"), category.alias("category")))
+    return metrics.security_score(B.findings(t).select("repo", "severity", "category"), "repo")
 
 
 @query(
@@ -312,19 +309,18 @@ def _(t):
     return metrics.coverage(nodes, links).withColumn("percent", F.round("percent", 6))
 
 
-@query("a17_community_sizes", "SELECT file_path, count(*) AS n FROM gp_nodes GROUP BY file_path HAVING count(*) >= 2")
+@query("a17_community_sizes", "SELECT file_path AS community, count(*) AS size, string_agg(id, ',' ORDER BY ord) AS members FROM gp_nodes GROUP BY file_path HAVING count(*) >= 2")
 def _(t):
-    return B.part_nodes(t).groupBy("file_path").agg(F.count("*").alias("n")).where("n >= 2")
+    rows = B.part_nodes(t).select(F.col("file_path").alias("community"), "id", "ord")
+    return metrics.community_sizes(rows).select("community", "size", F.array_join("members", ",").alias("members"))
 
 
 @query(
     "a18_field_usage",
-    "SELECT l_partkey % 50 AS field, CAST(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN 1 ELSE 0 END) AS BIGINT) AS reads, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS writes, count(*) AS total FROM lineitem GROUP BY 1",
+    "SELECT l_partkey AS field, CAST(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN 1 ELSE 0 END) AS BIGINT) AS reads, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS writes, count(*) AS total FROM lineitem GROUP BY 1",
 )
 def _(t):
-    kind = F.when(F.col("l_returnflag") == "A", "read").when(F.col("l_returnflag") == "R", "query").otherwise("write")
-    rows = t.lineitem.select((F.col("l_partkey") % 50).alias("field"), kind.alias("kind"))
-    return rows.groupBy("field").agg(F.count_if(F.col("kind").isin("read", "query")).alias("reads"), F.count_if(F.col("kind").isin("write", "migration")).alias("writes"), F.count("*").alias("total"))
+    return schema.usage(B.references(t))
 
 
 @query("a22_ahead_behind", "SELECT count(*) FILTER (a AND NOT b) AS ahead, count(*) FILTER (b AND NOT a) AS behind FROM (SELECT l_orderkey, bool_or(l_suppkey = 1) AS a, bool_or(l_suppkey = 2) AS b FROM lineitem GROUP BY l_orderkey)")
@@ -370,10 +366,9 @@ def _(t):
     return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
 
 
-@query("t6_riskiest_in_diff", "SELECT l_orderkey, arg_max(l_linenumber, l_extendedprice * 1000 - l_linenumber) AS line FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey")
+@query("t6_riskiest_in_diff", "SELECT l_orderkey, arg_max(l_linenumber, l_extendedprice * 1000 - l_linenumber) AS line FROM lineitem GROUP BY l_orderkey")
 def _(t):
-    rows = t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey")
-    return rows.agg(F.max_by("l_linenumber", F.struct(F.col("l_extendedprice"), -F.col("l_linenumber"))).alias("line"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct(F.col("l_extendedprice"), -F.col("l_linenumber"))).alias("line"))
 
 
 # traversals
@@ -387,23 +382,23 @@ def _seed(t, value=7):
 
 @query(
     "g1_trace",
-    _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.dst", at="src", edges="(SELECT src, dst FROM gp_sparse UNION SELECT dst, src FROM gp_sparse)", where="", bound="WHERE r.depth < 3", keep=""),
+    _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.dst", at="src", edges="(SELECT src, dst FROM gp_edges UNION SELECT dst, src FROM gp_edges)", where="", bound="WHERE r.depth < 3", keep=""),
 )
 def _(t):
-    return traversal.trace(B.part_edges(t, True), _seed(t), 2, "both")[0].select("id", F.col("depth").cast("int").alias("depth"))
+    return traversal.trace(B.part_edges(t), _seed(t), 2, "both")[0].select("id", F.col("depth").cast("int").alias("depth"))
 
 
-@query("g2_transitive_callers", _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.src", at="dst", edges="gp_sparse", where="AND e.kind = 'calls'", bound="WHERE r.depth < 9", keep="WHERE id <> 7"))
+@query("g2_transitive_callers", _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.src", at="dst", edges="gp_edges", where="AND e.kind = 'calls'", bound="WHERE r.depth < 9", keep="WHERE id <> 7"))
 def _(t):
-    return traversal.transitive_callers(B.part_edges(t, True), _seed(t)).select("id", F.col("depth").cast("int").alias("depth"))
+    return traversal.transitive_callers(B.part_edges(t), _seed(t)).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 @query(
     "g3_count_callers",
-    "WITH RECURSIVE r(root, id) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 20 UNION SELECT r.root, e.src FROM r JOIN gp_sparse e ON e.dst = r.id AND e.kind = 'calls') SELECT root AS id, count(*) - 1 AS callers FROM r GROUP BY root",
+    "WITH RECURSIVE r(root, id) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.root, e.src FROM r JOIN gp_edges e ON e.dst = r.id AND e.kind = 'calls') SELECT root AS id, count(*) - 1 AS callers FROM r GROUP BY root",
 )
 def _(t):
-    return traversal.count_callers(B.part_edges(t, True), t.part.where("p_partkey < 20").select(F.col("p_partkey").alias("id")))
+    return traversal.count_callers(B.part_edges(t), t.part.select(F.col("p_partkey").alias("id")))
 
 
 @query("g4_impact", _REACH.format(seed="SELECT CAST(7 AS BIGINT), 0", to="e.src", at="dst", edges="gp_edges", where="", bound="WHERE r.depth < 2", keep=""))
@@ -413,42 +408,36 @@ def _(t):
 
 @query(
     "g5_context",
-    """WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS ord FROM gp_sparse), b AS (SELECT src AS here, dst AS "to", kind AS relation, 0 AS way, ord FROM s UNION ALL SELECT dst, src, 'inverse_' || kind, 1, ord FROM s),
-        d1 AS (SELECT "to" AS id, 1 AS depth, arg_min(relation, way * 1000000000 + ord) AS relation, min(way * 1000000000 + ord) AS place FROM b WHERE here = 7 AND "to" <> 7 GROUP BY "to"),
-        d2 AS (SELECT "to" AS id, 2 AS depth, arg_min(b.relation, d1.place::HUGEINT * 10000000000 + way * 1000000000 + ord) AS relation FROM d1 JOIN b ON b.here = d1.id WHERE "to" <> 7 AND "to" NOT IN (SELECT id FROM d1) GROUP BY "to")
+    """WITH RECURSIVE s AS (SELECT *, src * 4294967296 + dst AS ord FROM gp_edges), b AS (SELECT src AS here, dst AS "to", kind AS relation, 0 AS way, ord FROM s UNION ALL SELECT dst, src, 'inverse_' || kind, 1, ord FROM s),
+        d1 AS (SELECT "to" AS id, 1 AS depth, arg_min(relation, row(way, ord)) AS relation, min(row(way, ord)) AS place FROM b WHERE here = 7 AND "to" <> 7 GROUP BY "to"),
+        d2 AS (SELECT "to" AS id, 2 AS depth, arg_min(b.relation, row(d1.place, way, ord)) AS relation FROM d1 JOIN b ON b.here = d1.id WHERE "to" <> 7 AND "to" NOT IN (SELECT id FROM d1) GROUP BY "to")
         SELECT CAST(7 AS BIGINT) AS id, 0 AS depth, 'self' AS relation UNION ALL SELECT id, depth, relation FROM d1 UNION ALL SELECT id, depth, relation FROM d2""",
 )
 def _(t):
-    edges = B.part_edges(t, True)
-    return traversal.context(edges.withColumn("ord", F.row_number().over(Window.orderBy("src", "dst"))), 7)
+    return traversal.context(B.part_edges(t).withColumn("ord", F.col("src") * 4294967296 + F.col("dst")), 7)
 
 
-@query("g6_flow_paths", "SELECT n.fn, count(*) AS length, max(n.id) FILTER (NOT EXISTS (SELECT 1 FROM gc_edges e WHERE e.src = n.id)) AS leaf FROM gc_nodes n WHERE n.fn < 100 AND n.ord <= 6 GROUP BY n.fn HAVING leaf IS NOT NULL")
+@query("g6_flow_paths", "SELECT fn AS root, string_agg(id, '>' ORDER BY ord) AS path FROM gc_nodes GROUP BY fn HAVING max(ord) <= 6")
 def _(t):
-    nodes, edges = B.order_nodes(t).where("fn < 100"), B.order_edges(t)
-    found = traversal.reach(edges.withColumn("kind", F.lit("data_flow")), nodes.where("ord = 1").select(F.col("fn").alias("root"), "id"), 5)
-    leaves = found.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
-    return leaves.select(F.col("root").alias("fn"), (F.col("depth") + 1).cast("long").alias("length"), F.col("id").alias("leaf"))
+    edges = B.order_edges(t).withColumn("kind", F.lit("data_flow")).withColumn("ord", F.col("dst"))
+    found = traversal.flow_paths(edges, B.order_nodes(t).where("ord = 1").select(F.col("fn").alias("root"), "id"), 5)
+    return found.select("root", F.array_join("path", ">").alias("path"))
 
 
-@query(
-    "g9_processes",
-    """WITH RECURSIVE r(entry, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 40 = 1 AND p_partkey < 400 UNION SELECT r.entry, e.dst, r.depth + 1 FROM r JOIN gp_sparse e ON e.src = r.id AND e.kind = 'calls' WHERE r.depth < 4),
-        m AS (SELECT entry, id, min(depth) AS depth FROM r GROUP BY ALL) SELECT entry, count(*) AS steps, max(depth) AS depth FROM m GROUP BY entry HAVING count(*) > 1""",
-)
+@query("g9_processes")
 def _(t):
-    edges = B.part_edges(t, True).withColumn("ord", F.xxhash64("src", "dst"))
-    found = traversal.processes(edges, t.part.where("p_partkey % 40 = 1 AND p_partkey < 400").select(F.col("p_partkey").alias("id")), 100_000, 4)
-    return found.groupBy("entry").agg(F.count("*").alias("steps"), F.max("depth").alias("depth"))
+    edges = B.part_edges(t).withColumn("ord", F.xxhash64("src", "dst"))
+    entries = B.part_nodes(t).where("exported AND kind = 'function'").select("id")
+    return traversal.processes(edges, entries).select("entry", "step", "id", "depth", "is_branch")
 
 
-_LINKS = """calls AS (SELECT src, dst FROM gp_sparse WHERE kind = 'calls'), direct AS (SELECT src AS test, dst AS prod FROM calls WHERE src % 10 = 3 AND dst % 10 <> 3),
+_LINKS = """calls AS (SELECT src, dst FROM gp_edges WHERE kind = 'calls'), direct AS (SELECT src AS test, dst AS prod FROM calls WHERE src % 10 = 3 AND dst % 10 <> 3),
     links AS (SELECT test, prod, 'direct' AS link, NULL::BIGINT AS via FROM direct UNION ALL SELECT d.test, c.dst, 'transitive', min(c.src) FROM direct d JOIN calls c ON c.src = d.prod WHERE c.dst % 10 <> 3 GROUP BY d.test, c.dst)"""
 
 
 @query("g12_test_links", f"WITH {_LINKS} SELECT * FROM links")
 def _(t):
-    return traversal.test_links(B.part_edges(t, True), B.part_nodes(t))
+    return traversal.test_links(B.part_edges(t), B.part_nodes(t))
 
 
 @query(
@@ -458,35 +447,37 @@ def _(t):
         SELECT test, arg_min(link, rank * 10 + CASE link WHEN 'direct' THEN 0 ELSE 1 END) AS reason FROM (SELECT * FROM own UNION ALL SELECT * FROM more) GROUP BY test""",
 )
 def _(t):
-    edges = B.part_edges(t, True)
+    edges = B.part_edges(t)
     return traversal.test_impact(traversal.test_links(edges, B.part_nodes(t)), edges, t.part.where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("id")))
 
 
-@query(
-    "g14_shortest_path",
-    "WITH RECURSIVE b AS (SELECT src AS at, dst AS n FROM gp_sparse UNION SELECT dst, src FROM gp_sparse), r(id, depth) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT b.n, r.depth + 1 FROM r JOIN b ON b.at = r.id WHERE r.depth < 14) SELECT min(depth) AS hops FROM r WHERE id = 11",
-)
+@query("g14_shortest_path")
 def _(t):
-    return traversal.shortest_path(B.part_edges(t, True), 7, 11).agg(F.max("hop").alias("hops"))
+    return traversal.shortest_path(B.part_edges(t), 7, 11)
 
 
 @query(
-    "g18_reaching_definitions",
-    "SELECT a.fn, a.id AS definition, b.id FROM gc_nodes a JOIN gc_nodes b ON a.fn = b.fn AND b.ord >= a.ord WHERE a.status = 'P' AND a.fn < 300",
+    "g14_path_lengths",
+    """WITH RECURSIVE b AS (SELECT src AS at, dst AS n FROM gp_edges UNION SELECT dst, src FROM gp_edges), r(id, depth) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT b.n, r.depth + 1 FROM r JOIN b ON b.at = r.id WHERE r.depth < 8)
+        SELECT id, min(depth) AS depth FROM r GROUP BY id""",
 )
 def _(t):
-    nodes = B.order_nodes(t).where("fn < 300").withColumn("is_def", F.col("status") == "P")
-    return flow.reaching(nodes, B.order_edges(t).where("fn < 300"))
+    return traversal.reach(B.part_edges(t), _seed(t).select(F.lit(0).alias("root"), "id"), None, "both").select("id", "depth")
+
+
+@query("g18_reaching_definitions", "SELECT a.fn, a.id AS definition, b.id FROM gc_nodes a JOIN gc_nodes b ON a.fn = b.fn AND b.ord >= a.ord WHERE a.status = 'P'")
+def _(t):
+    return flow.reaching(B.order_nodes(t).withColumn("is_def", F.col("status") == "P"), B.order_edges(t))
 
 
-@query("g19_use_def", "SELECT dst, string_agg(src, ',' ORDER BY src) AS definitions FROM gp_sparse GROUP BY dst")
+@query("g19_use_def", "SELECT dst, string_agg(src, ',' ORDER BY src) AS definitions FROM gp_edges GROUP BY dst")
 def _(t):
-    return flow.use_def(B.part_edges(t, True)).select("dst", F.array_join("definitions", ",").alias("definitions"))
+    return flow.use_def(B.part_edges(t)).select("dst", F.array_join("definitions", ",").alias("definitions"))
 
 
-@query("g20_phi", "SELECT dst, count(*) AS incoming FROM gp_sparse GROUP BY dst HAVING count(*) > 1")
+@query("g20_phi", "SELECT dst, count(*) AS incoming FROM gp_edges GROUP BY dst HAVING count(*) > 1")
 def _(t):
-    return flow.phi(B.part_edges(t, True))
+    return flow.phi(B.part_edges(t))
 
 
 @query(
@@ -501,12 +492,12 @@ def _(t):
 
 @query(
     "g24_side_effects",
-    """WITH RECURSIVE e(fn, target, d) AS (SELECT p_partkey, p_type, 0 FROM part WHERE p_size > 40 UNION SELECT c.src, e.target, e.d + 1 FROM e JOIN gp_sparse c ON c.dst = e.fn AND c.kind = 'calls' WHERE e.d < 3)
+    """WITH RECURSIVE e(fn, target, d) AS (SELECT p_partkey, p_type, 0 FROM part WHERE p_size > 40 UNION SELECT c.src, e.target, e.d + 1 FROM e JOIN gp_edges c ON c.dst = e.fn AND c.kind = 'calls' WHERE e.d < 3)
         SELECT DISTINCT fn, target FROM e""",
 )
 def _(t):
     own = t.part.where("p_size > 40").select(F.col("p_partkey").alias("fn"), F.lit("db_write").alias("kind"), F.col("p_type").alias("target"))
-    return flow.side_effects(B.part_edges(t, True).where("kind = 'calls'"), own).select("fn", "target").distinct()
+    return flow.side_effects(B.part_edges(t).where("kind = 'calls'"), own).select("fn", "target").distinct()
 
 
 @query(
@@ -524,13 +515,13 @@ def _(t):
 
 @query("g10_label_propagation")
 def _(t):
-    edges = B.part_edges(t, True).select("src", "dst", F.when(F.col("kind") == "calls", 1.0).otherwise(2.0).alias("weight"))
+    edges = B.part_edges(t).select("src", "dst", F.when(F.col("kind") == "calls", 1.0).otherwise(2.0).alias("weight"))
     return flow.label_propagation(edges)
 
 
 @query("g10_local_moving")
 def _(t):
-    edges = B.part_edges(t, True).select(F.lit(0).cast("long").alias("repo"), "src", "dst", F.when(F.col("kind") == "calls", 1.0).otherwise(2.0).alias("weight"))
+    edges = B.part_edges(t).select(F.lit(0).cast("long").alias("repo"), "src", "dst", F.when(F.col("kind") == "calls", 1.0).otherwise(2.0).alias("weight"))
     nodes = B.part_nodes(t).select(F.lit(0).cast("long").alias("repo"), "id", "ord")
     return flow.local_moving(edges, nodes)
 
@@ -702,10 +693,13 @@ def _(t):
 
 
 _CONFLICTS = """it AS (SELECT DISTINCT * FROM br_items), f AS (SELECT DISTINCT branch, key FROM it WHERE item_kind = 'file'), s AS (SELECT DISTINCT branch, key FROM it WHERE item_kind IN ('symbol_added', 'symbol_modified')),
-        g AS (SELECT branch, count(DISTINCT key) AS n FROM it WHERE item_kind = 'signature_changed' GROUP BY branch), act AS (SELECT DISTINCT branch FROM s), d AS (SELECT branch, model, count(*) AS n FROM it WHERE item_kind = 'schema_field' GROUP BY ALL),
+        g AS (SELECT branch, count(DISTINCT key) AS n FROM it WHERE item_kind = 'signature_changed' GROUP BY branch), act AS (SELECT DISTINCT branch FROM s), adds AS (SELECT DISTINCT branch FROM it WHERE item_kind = 'symbol_added'), d AS (SELECT branch, model, count(*) AS n FROM it WHERE item_kind = 'schema_field' GROUP BY ALL),
         cf AS (SELECT a.branch AS branch_a, b.branch AS branch_b, 1 AS level, 'low' AS severity, count(*) AS n FROM f a JOIN f b USING (key) WHERE a.branch < b.branch GROUP BY ALL
         UNION ALL SELECT a.branch, b.branch, 2, 'medium', count(*) FROM s a JOIN s b USING (key) WHERE a.branch < b.branch GROUP BY ALL
         UNION ALL SELECT least(g.branch, act.branch), greatest(g.branch, act.branch), 3, 'high', CAST(sum(n) AS BIGINT) FROM g JOIN act ON g.branch <> act.branch GROUP BY ALL
+        UNION ALL SELECT a.branch, b.branch, 4, 'critical', a.n FROM (SELECT branch, count(DISTINCT key) AS n FROM it WHERE item_kind = 'summary_changed' GROUP BY branch) a JOIN adds b ON a.branch < b.branch
+        UNION ALL SELECT a.branch, b.branch, 4, 'critical', count(*) FROM (SELECT DISTINCT branch, key FROM it WHERE item_kind = 'summary_changed') a JOIN (SELECT DISTINCT branch, key FROM it WHERE item_kind = 'symbol_modified') b USING (key)
+            WHERE a.branch < b.branch AND b.branch NOT IN (SELECT branch FROM adds) GROUP BY ALL
         UNION ALL SELECT a.branch, b.branch, 5, 'critical', CAST(sum(a.n * b.n) AS BIGINT) FROM d a JOIN d b USING (model) WHERE a.branch < b.branch GROUP BY ALL)"""
 
 
@@ -719,15 +713,25 @@ def _(t):
     return branches.matrix(branches.detect(B.branch_items(t)))
 
 
+_SOURCE = "'f(' || o_orderstatus || ')' || repeat(chr(10) || 'x', CAST(o_custkey % 4 AS INTEGER))"
+
+
 @query(
     "b7_fingerprint",
-    """WITH a AS (SELECT o_orderkey AS name, o_orderstatus AS source FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS source FROM orders WHERE o_orderkey % 4 <> 0)
-        SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.source IS NULL THEN 'added' WHEN b.source IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.source IS NULL OR b.source IS NULL OR a.source <> b.source""",
+    f"""WITH a AS (SELECT o_orderkey AS name, o_orderstatus AS sig, o_custkey % 4 AS extra, {_SOURCE} AS source FROM orders WHERE o_orderkey % 3 <> 0),
+        b AS (SELECT o_orderkey AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS sig, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey % 4 END AS extra FROM orders WHERE o_orderkey % 4 <> 0)
+        SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.sig IS NULL THEN 'added' WHEN b.sig IS NULL THEN 'removed' ELSE 'modified' END AS change,
+            CAST(greatest(0, coalesce(b.extra + 1, 0) - coalesce(a.extra + 1, 0)) AS INTEGER) AS lines_added, CAST(greatest(0, coalesce(a.extra + 1, 0) - coalesce(b.extra + 1, 0)) AS INTEGER) AS lines_removed,
+            coalesce(a.sig <> b.sig, false) AS signature_changed FROM a FULL JOIN b ON a.name = b.name WHERE a.sig IS NULL OR b.sig IS NULL OR a.sig <> b.sig OR a.extra <> b.extra""",
 )
 def _(t):
-    base = t.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("name"), F.col("o_orderstatus").alias("source"))
-    branch = t.orders.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("source"))
-    return branches.fingerprint(base, branch).select("name", "change")
+    def side(where, sig, extra):
+        source = F.concat(F.lit("f("), sig, F.lit(")"), F.expr(f"repeat('\\nx', cast({extra} AS int))"))
+        return t.orders.where(where).select(F.col("o_orderkey").alias("name"), source.alias("source"))
+
+    base = side("o_orderkey % 3 <> 0", F.col("o_orderstatus"), "o_custkey % 4")
+    changed = F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))
+    return branches.fingerprint(base, side("o_orderkey % 4 <> 0", changed, "CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey % 4 END"))
 
 
 # client-side views
@@ -735,20 +739,23 @@ def _(t):
 
 @query(
     "c1_graph_filter",
-    "WITH n AS (SELECT id, file_path FROM gp_nodes WHERE kind IN ('function', 'method') AND NOT is_test AND cyclomatic >= 10) SELECT file_path, count(*) AS nodes FROM n GROUP BY file_path",
+    """WITH n AS (SELECT id FROM gp_nodes WHERE kind IN ('function', 'method') AND NOT is_test AND cyclomatic >= 10 AND (contains(lower(name), 'ring') OR contains(lower(file_path), 'ring') OR contains(lower(qualified_name), 'ring')))
+        SELECT src, dst, kind FROM gp_edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
 )
 def _(t):
-    return B.part_nodes(t).where("kind IN ('function', 'method') AND NOT is_test AND cyclomatic >= 10").groupBy("file_path").agg(F.count("*").alias("nodes"))
+    nodes = B.part_nodes(t).withColumn("risk", F.col("cyclomatic"))
+    return views.graph_filter(nodes, B.part_edges(t), kinds=("function", "method"), tests=False, least_risk=10, text="Ring")[1].select("src", "dst", "kind")
 
 
-@query("c3_threat_map", "SELECT s_nationkey AS file, min(s_suppkey % 4) AS worst, count(*) AS n, count(DISTINCT s_suppkey % 3) AS categories FROM supplier GROUP BY s_nationkey")
+@query("c3_threat_map", "SELECT file_path, min(rank) AS worst, count(*) AS n, count(DISTINCT category) AS categories FROM gs_findings GROUP BY file_path")
 def _(t):
-    return t.supplier.groupBy(F.col("s_nationkey").alias("file")).agg(F.min(F.col("s_suppkey") % 4).alias("worst"), F.count("*").alias("n"), F.count_distinct(F.col("s_suppkey") % 3).alias("categories"))
+    return views.threat_map(B.findings(t), "file_path", "category").select("file_path", "worst", "n", F.size("categories").cast("long").alias("categories"))
 
 
-@query("c10_models_by_directory", "SELECT split_part(p_type, ' ', 1) AS directory, count(DISTINCT p_brand) AS models FROM part GROUP BY 1")
+@query("c10_models_by_directory", "SELECT p_brand AS directory, count(*) AS models FROM part GROUP BY 1")
 def _(t):
-    return t.part.groupBy(F.substring_index("p_type", " ", 1).alias("directory")).agg(F.count_distinct("p_brand").alias("models"))
+    models = t.part.select(F.col("p_name").alias("name"), F.format_string("%s/m%d.ts", "p_brand", "p_partkey").alias("file_path"))
+    return views.by_directory(models).select("directory", "models")
 
 
 # streaming twins

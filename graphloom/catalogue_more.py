@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .catalogue import _RISK, _scored
 from .functions import rules
-from .operators import control, lookups, metrics, modules, schema, text, traversal
+from .operators import control, lookups, metrics, modules, schema, text, traversal, views
 from .plans import bindings as B
 from .registry import query
 from .sources import files, git, python_ast
@@ -21,16 +22,16 @@ def _pick(key, *values):
 # joins and modules
 
 
-@query("j2_tests_of_node", "SELECT e.dst AS id, n.id AS test, n.name FROM gp_sparse e JOIN gp_nodes n ON n.id = e.src WHERE e.kind = 'calls' AND n.is_test")
+@query("j2_tests_of_node", "SELECT e.dst AS id, n.id AS test, n.name FROM gp_edges e JOIN gp_nodes n ON n.id = e.src WHERE e.kind = 'calls' AND n.is_test")
 def _(t):
     tests = B.part_nodes(t).where("is_test").select(F.col("id").alias("test"), "name")
-    return B.part_edges(t, True).where("kind = 'calls'").join(tests, F.col("src") == F.col("test")).select(F.col("dst").alias("id"), "test", "name")
+    return B.part_edges(t).where("kind = 'calls'").join(tests, F.col("src") == F.col("test")).select(F.col("dst").alias("id"), "test", "name")
 
 
 @query(
     "j8_import_map",
     """WITH s AS (SELECT p_partkey AS ord, 'd/f' || (p_partkey % 30) || '.ts' AS file_path, 'S' || (p_partkey % 7) AS name, 'q' || p_partkey AS qn, p_partkey % 3 <> 0 AS exported FROM part),
-        i AS (SELECT p_partkey AS k, 'd/f' || (p_partkey % 30) || '.ts' AS from_file, 'd/f' || (p_partkey * 7 % 40) || '.ts' AS resolved, CASE p_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN '*' ELSE 'S' || (p_partkey % 7) END AS name, 'L' || p_partkey AS alias FROM part WHERE p_partkey < 500)
+        i AS (SELECT p_partkey AS k, 'd/f' || (p_partkey % 30) || '.ts' AS from_file, 'd/f' || (p_partkey * 7 % 40) || '.ts' AS resolved, CASE p_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN '*' ELSE 'S' || (p_partkey % 7) END AS name, 'L' || p_partkey AS alias FROM part)
         SELECT * FROM (SELECT from_file, alias AS local, CASE WHEN name = 'default' THEN (SELECT arg_min(qn, ord) FROM s WHERE s.file_path = i.resolved AND exported) WHEN name = '*' THEN '__namespace__:' || resolved
             ELSE (SELECT arg_min(qn, ord) FROM s WHERE s.file_path = i.resolved AND s.name = i.name AND exported) END AS qualified_name FROM i) WHERE qualified_name IS NOT NULL""",
 )
@@ -39,7 +40,7 @@ def _(t):
     path = lambda x: F.concat(F.lit("d/f"), x, F.lit(".ts"))
     symbols = t.part.select(k.alias("ord"), path(k % 30).alias("file_path"), F.concat(F.lit("S"), k % 7).alias("name"), F.concat(F.lit("q"), k).alias("qualified_name"), (k % 3 != 0).alias("exported"))
     name = F.when(k % 4 == 0, "default").when(k % 4 == 1, "*").otherwise(F.concat(F.lit("S"), k % 7))
-    imports = t.part.where(k < 500).select(path(k % 30).alias("from_file"), path(k * 7 % 40).alias("resolved"), name.alias("name"), F.concat(F.lit("L"), k).alias("alias"))
+    imports = t.part.select(path(k % 30).alias("from_file"), path(k * 7 % 40).alias("resolved"), name.alias("name"), F.concat(F.lit("L"), k).alias("alias"))
     return modules.import_map(imports, symbols)
 
 
@@ -54,25 +55,31 @@ def _(t):
     return modules.resolve_paths(imports, known).select("k", "resolved")
 
 
-@query("j11_symbol_resolution", "SELECT p_partkey AS k, coalesce((SELECT arg_min(id, ord) FROM gp_nodes n WHERE n.file_path = p_brand AND n.kind = 'class'), NULL) AS first_class FROM part WHERE p_partkey < 300")
+@query(
+    "j11_symbol_resolution",
+    """WITH s AS (SELECT p_partkey AS ord, p_brand AS file_path, 'C' || (p_partkey % 40) AS name, p_partkey AS qn, p_partkey % 3 <> 0 AS exported FROM part), i AS (SELECT DISTINCT p_brand AS file_path, 'C' || (p_partkey * 3 % 97) AS local, min(p_partkey) OVER (PARTITION BY p_brand, p_partkey * 3 % 97) AS qn FROM part WHERE p_partkey % 4 = 1),
+        same AS (SELECT file_path, name, arg_min(qn, ord) AS qn FROM s GROUP BY ALL), every AS (SELECT name, count(*) FILTER (exported) AS n, max(qn) FILTER (exported) AS only_, arg_min(qn, ord) AS first FROM s GROUP BY name)
+        SELECT p.p_partkey AS k, coalesce(i.qn, same.qn, CASE WHEN n = 1 THEN only_ END, first) AS resolved FROM (SELECT p_partkey, p_brand, 'C' || (p_partkey * 7 % 120) AS name FROM part) p
+        LEFT JOIN i ON i.file_path = p_brand AND i.local = p.name LEFT JOIN same ON same.file_path = p_brand AND same.name = p.name LEFT JOIN every ON every.name = p.name""",
+)
 def _(t):
-    nodes = B.part_nodes(t).where("kind = 'class'").select("file_path", F.lit("C").alias("name"), F.col("id").alias("qualified_name"), "ord", "exported")
-    refs = t.part.where("p_partkey < 300").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("file_path"), F.lit("C").alias("name"))
-    none = nodes.where("false").select(F.col("file_path").alias("from_file"), F.col("name").alias("local"), "qualified_name")
-    own = nodes.groupBy("file_path").agg(F.count("*").alias("n"))
-    found = modules.resolve_symbols(refs.select("file_path", "name").distinct(), none, nodes).join(own, "file_path")
-    return refs.join(found.select("file_path", "qualified_name"), "file_path", "left").select("k", F.col("qualified_name").alias("first_class"))
+    k = F.col("p_partkey")
+    symbols = t.part.select(k.alias("ord"), F.col("p_brand").alias("file_path"), F.concat(F.lit("C"), k % 40).alias("name"), k.alias("qualified_name"), (k % 3 != 0).alias("exported"))
+    imported = t.part.where(k % 4 == 1).groupBy(F.col("p_brand").alias("from_file"), F.concat(F.lit("C"), k * 3 % 97).alias("local")).agg(F.min(k).alias("qualified_name"))
+    refs = t.part.select(k.alias("k"), F.col("p_brand").alias("file_path"), F.concat(F.lit("C"), k * 7 % 120).alias("name"))
+    found = modules.resolve_symbols(refs.select("file_path", "name").distinct(), imported, symbols)
+    return refs.join(found, ["file_path", "name"], "left").select("k", F.col("qualified_name").alias("resolved"))
 
 
 @query(
     "j13_schema_references",
-    r"""WITH f AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS field FROM part), d AS (SELECT doc_id, lower(text) AS text FROM documents WHERE doc_id < 100)
-        SELECT field, p_partkey AS node FROM f JOIN part ON regexp_matches(lower(p_type || ' ' || p_name), '\b' || field || '\b') WHERE p_partkey < 400""",
+    r"""WITH f AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS field FROM part)
+        SELECT DISTINCT field, p_partkey AS node FROM f JOIN part ON regexp_matches(lower(p_type || ' ' || p_name), '\b' || field || '\b')""",
 )
 def _(t):
-    fields = t.part.select(F.lower(F.substring_index("p_type", " ", 1)).alias("field")).distinct().select("field", F.col("field").alias("name"))
-    code = t.part.where("p_partkey < 400").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_name").alias("signature"))
-    return schema.link_fields(fields, code).select("field", "node")
+    fields = t.part.select(F.lower(F.substring_index("p_name", " ", 1)).alias("field")).distinct().select("field", F.col("field").alias("name"))
+    code = t.part.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_name").alias("signature"))
+    return schema.link_fields(fields, code).select("field", "node").distinct()
 
 
 @query(
@@ -89,15 +96,19 @@ def _(t):
     return schema.relationships(models, typed.union(named))
 
 
-@query("p10_runtime_suggest", "SELECT source_key AS symbol, max(seq) AS seq FROM rt_events WHERE contains(lower(source_key), 'i') GROUP BY source_key ORDER BY seq DESC LIMIT 10")
+@query(
+    "p10_runtime_suggest",
+    """WITH r AS (SELECT source_key AS symbol, 0 AS tier, max(seq) AS place FROM rt_events WHERE contains(lower(source_key), 'i') GROUP BY source_key),
+        s AS (SELECT name AS symbol, 1 AS tier, min(ord) AS place FROM gp_nodes WHERE contains(lower(name), 'i') OR contains(lower(qualified_name), 'i') GROUP BY name)
+        SELECT symbol, tier FROM (SELECT symbol, tier, place FROM r UNION ALL SELECT symbol, tier, place FROM s WHERE symbol NOT IN (SELECT symbol FROM r)) ORDER BY tier, CASE tier WHEN 0 THEN -place ELSE place END LIMIT 30""",
+)
 def _(t):
-    rows = B.runtime_events(t).where(F.lower("source_key").contains("i"))
-    return rows.groupBy(F.col("source_key").alias("symbol")).agg(F.max("seq").alias("seq")).orderBy(F.desc("seq")).limit(10)
+    return lookups.runtime_suggest(runtime.fold(B.runtime_events(t)), B.part_nodes(t), "i", 30).select("symbol", "tier")
 
 
-@query("p13_confident_calls", "SELECT l_orderkey, l_linenumber, l_partkey, l_discount FROM lineitem WHERE l_discount >= 0.08")
+@query("p13_confident_calls", "SELECT src, dst, confidence FROM gp_calls WHERE confidence >= 0.8")
 def _(t):
-    return t.lineitem.where("l_discount >= 0.08").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    return lookups.confident(B.part_calls(t), 0.8).select("src", "dst", "confidence")
 
 
 # rules and schema
@@ -151,44 +162,57 @@ def _(t):
     return schema.migration_steps(changes).select("model", "step", "type", "breaking")
 
 
-@query("a16_resolution_stats", "SELECT o_orderstatus AS tier, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderstatus")
+@query(
+    "a16_resolution_stats",
+    """WITH r AS (SELECT CASE WHEN confidence >= 0.95 THEN 'same_file' WHEN confidence >= 0.9 THEN 'import_scoped' WHEN confidence >= 0.5 THEN 'global' END AS tier, confidence FROM gp_calls)
+        SELECT coalesce(tier, 'unresolved') AS tier, count(*) AS n, round(avg(CASE WHEN tier IS NOT NULL THEN confidence END), 6) AS mean FROM r GROUP BY 1""",
+)
 def _(t):
-    return t.orders.groupBy(F.col("o_orderstatus").alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    c = F.col("confidence")
+    calls = B.part_calls(t).withColumn("tier", F.when(c >= 0.95, "same_file").when(c >= 0.9, "import_scoped").when(c >= 0.5, "global"))
+    return metrics.resolution_stats(calls).select("tier", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("a20_document_frequency", r"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) > 3 GROUP BY term")
+@query(
+    "a20_document_frequency",
+    r"""SELECT term, count(DISTINCT node_id) AS df FROM (SELECT node_id, unnest(regexp_split_to_array(regexp_replace(lower(name || ' ' || coalesce(qualified_name, 'null')), '[^a-z0-9_]', ' ', 'g'), '[\s_]+')) AS term FROM docs_search) WHERE length(term) > 1 GROUP BY term""",
+)
 def _(t):
-    rows = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("length(term) > 3")
-    return rows.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    return text.document_frequency(B.search_docs(t))
 
 
 # control flow
 
 
-@query("g15_branch_points", "SELECT src AS block, count(*) AS ways FROM gp_sparse GROUP BY src HAVING count(*) > 1")
+@query("g15_branch_points", "SELECT src AS block, count(*) AS ways FROM gp_edges GROUP BY src HAVING count(*) > 1")
 def _(t):
-    return control.branch_points(B.part_edges(t, True).withColumn("fn", F.lit(0))).select("block", "ways")
+    return control.branch_points(B.part_edges(t).withColumn("fn", F.lit(0))).select("block", "ways")
 
 
-@query("g15_simple_paths", "SELECT fn, count(*) AS length FROM gc_nodes WHERE fn < 60 GROUP BY fn")
+@query("g15_simple_paths", "SELECT fn, count(*) AS length FROM gc_nodes GROUP BY fn")
 def _(t):
-    nodes, edges = B.order_nodes(t).where("fn < 60"), B.order_edges(t).where("fn < 60")
+    nodes, edges = B.order_nodes(t), B.order_edges(t)
     ends = nodes.groupBy("fn").agg(F.min_by("id", "ord").alias("entry"), F.max_by("id", "ord").alias("exit"))
     return control.simple_paths(edges, ends).select("fn", F.size("path").cast("long").alias("length"))
 
 
-@query("a6_block_depths", "SELECT n.fn, n.id AS block, (SELECT count(*) FROM gc_nodes m WHERE m.fn = n.fn AND m.ord < n.ord AND m.status = 'F') AS depth FROM gc_nodes n WHERE n.fn < 60")
+@query("a6_block_depths", "SELECT n.fn, n.id AS block, (SELECT count(*) FROM gc_nodes m WHERE m.fn = n.fn AND m.ord < n.ord AND m.status = 'F') AS depth FROM gc_nodes n")
 def _(t):
-    nodes, edges = B.order_nodes(t).where("fn < 60"), B.order_edges(t).where("fn < 60")
+    nodes, edges = B.order_nodes(t), B.order_edges(t)
     entries = nodes.where("ord = 1").select("fn", F.col("id").alias("block"))
     nesting = nodes.where("status = 'F'").select("fn", F.col("id").alias("block"))
     return control.block_depths(edges, entries, nesting).select("fn", "block", F.col("depth").cast("long").alias("depth"))
 
 
-@query("g23_param_flows", "SELECT a.fn, a.id AS param, b.id FROM gc_nodes a JOIN gc_nodes b ON a.fn = b.fn AND b.ord > a.ord WHERE a.ord = 1 AND a.fn < 200")
+@query(
+    "g23_param_flows",
+    """SELECT a.fn, a.id AS param, b.id, count(*) FILTER (m.status = 'F') > 0 AS sanitized FROM gc_nodes a JOIN gc_nodes b ON a.fn = b.fn AND b.ord > a.ord JOIN gc_nodes m ON m.fn = a.fn AND m.ord > a.ord AND m.ord <= b.ord
+        WHERE a.ord = 1 GROUP BY a.fn, a.id, b.id""",
+)
 def _(t):
-    edges = B.order_edges(t).where("fn < 200").withColumn("transform", F.lit(None).cast("string"))
-    return control.param_flows(edges, B.order_nodes(t).where("fn < 200 AND ord = 1")).select("fn", "param", "id")
+    nodes = B.order_nodes(t)
+    marked = nodes.select(F.col("id").alias("dst"), F.when(F.col("status") == "F", "escapeHtml(v)").otherwise("trim(v)").alias("transform"))
+    return control.param_flows(B.order_edges(t).join(marked, "dst"), nodes.where("ord = 1")).select("fn", "param", "id", "sanitized")
 
 
 @query("g25_effects", "SELECT p_partkey AS fn, CASE p_partkey % 4 WHEN 0 THEN 'db_write' WHEN 1 THEN 'log' WHEN 2 THEN 'env_read' END AS kind FROM part WHERE p_partkey % 4 <> 3")
@@ -236,9 +260,10 @@ def _(t):
     return runtime.sessions(runtime.fold(B.runtime_events(t)))
 
 
-@query("q5_progress", "SELECT c_nationkey AS job, round(avg(least(100.0, greatest(0.0, c_acctbal / 50))), 6) AS overall FROM customer GROUP BY c_nationkey")
+@query("q5_progress", "SELECT c_custkey // 10 AS job, round(sum(least(100.0, greatest(0.0, c_acctbal / 50))) / 12, 6) AS overall FROM customer GROUP BY 1")
 def _(t):
-    return runtime.progress(t.customer.select(F.col("c_nationkey").alias("job"), (F.col("c_acctbal") / 50).alias("percent"))).withColumn("overall", F.round("overall", 6))
+    phases = t.customer.select(F.expr("c_custkey div 10").alias("job"), (F.col("c_acctbal") / 50).alias("percent"))
+    return runtime.progress(phases).withColumn("overall", F.round("overall", 6))
 
 
 # files
@@ -271,12 +296,12 @@ def _(t):
     return files.branch_scan(commits, "2001-08-01", 400).select("branch", F.col("last_day").cast("string").alias("last_day"), "commits")
 
 
-@query("s16_external_findings", "SELECT 'p' || p_partkey AS file_path, CAST(p_size AS INTEGER) AS line, CASE p_partkey % 2 WHEN 0 THEN 'critical' ELSE 'high' END AS severity, CASE p_partkey % 3 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'xss' ELSE 'security' END AS category FROM part WHERE p_partkey < 100")
+@query("s16_external_findings", "SELECT 'p' || p_partkey AS file_path, CAST(p_size AS INTEGER) AS line, CASE p_partkey % 2 WHEN 0 THEN 'critical' ELSE 'high' END AS severity, CASE p_partkey % 3 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'xss' ELSE 'security' END AS category FROM part")
 def _(t):
     k = F.col("p_partkey")
     one = F.format_string('{"check_id": "%s", "path": "p%d", "start": {"line": %d}, "extra": {"severity": "%s", "message": "m"}}', _pick(k, "sql-injection", "a.xss", "other"), k, "p_size", _pick(k, "ERROR", "WARNING"))
-    body = t.part.where("p_partkey < 100").agg(F.array_join(F.collect_list(one), ", ").alias("b")).select(F.concat(F.lit('{"results": ['), "b", F.lit("]}")).alias("text"))
-    return files.external_findings(body)
+    # a report for each file
+    return files.external_findings(t.part.select(F.concat(F.lit('{"results": ['), one, F.lit("]}")).alias("text")))
 
 
 @query("g28_file_tree", "SELECT p_brand || '/' || p_type AS path, 2 AS depth FROM part GROUP BY ALL UNION SELECT p_brand, 1 FROM part")
@@ -290,21 +315,21 @@ def _(t):
     return files.sarif(rows)
 
 
-@query("s10_git_log", "SELECT o_orderkey AS k, 'fix ' || o_orderkey AS message, 'src/a.py' AS file, CAST(o_custkey AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS deletions FROM orders WHERE o_orderkey < 300")
+@query("s10_git_log", "SELECT o_orderkey AS k, 'fix ' || o_orderkey AS message, 'src/a.py' AS file, CAST(o_custkey AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS deletions FROM orders")
 def _(t):
     k = F.col("o_orderkey")
     body = F.format_string("%040x|%x|Ann|a@x|2024-01-01T00:00:00Z|fix %d\n\n%d\t-\tsrc/a.py", k, k, k, "o_custkey")
-    rows = git.parse_log(git.lines(t.orders.where("o_orderkey < 300").select(k.alias("source"), body.alias("text"))))
+    rows = git.parse_log(git.lines(t.orders.select(k.alias("source"), body.alias("text"))))
     return rows.select(F.conv("hash", 16, 10).cast("long").alias("k"), "message", "file", "insertions", "deletions")
 
 
 @query(
     "s12_diff",
-    "SELECT o_orderkey AS source, 'add' AS type, CAST(NULL AS INTEGER) AS old_line, CAST(5 AS INTEGER) AS new_line FROM orders WHERE o_orderkey < 200 UNION ALL SELECT o_orderkey, 'delete', 4, NULL FROM orders WHERE o_orderkey < 200 UNION ALL SELECT o_orderkey, 'context', 3, 4 FROM orders WHERE o_orderkey < 200",
+    "SELECT o_orderkey AS source, 'add' AS type, CAST(NULL AS INTEGER) AS old_line, CAST(5 AS INTEGER) AS new_line FROM orders UNION ALL SELECT o_orderkey, 'delete', 4, NULL FROM orders UNION ALL SELECT o_orderkey, 'context', 3, 4 FROM orders",
 )
 def _(t):
     body = F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -3,2 +4,2 @@\n same\n-old\n+new")
-    rows = git.parse_diff(git.lines(t.orders.where("o_orderkey < 200").select(F.col("o_orderkey").alias("source"), body.alias("text"))))
+    rows = git.parse_diff(git.lines(t.orders.select(F.col("o_orderkey").alias("source"), body.alias("text"))))
     return rows.select("source", "type", "old_line", "new_line")
 
 
@@ -332,37 +357,50 @@ def _(t):
     return text.bm25(docs, "small", 10_000_000).join(docs.where("file_path = 'Brand#12'").select("node_id"), "node_id", "left_semi").select("node_id")
 
 
-@query("c2_findings_by_category", "SELECT s_nationkey % 5 AS category, min(s_suppkey % 4) AS worst, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+@query("c2_findings_by_category", "SELECT category, min(rank) AS worst, count(*) AS n FROM gs_findings WHERE rank <= 2 AND (contains(lower(file_path), '1') OR contains(lower(category), '1')) GROUP BY category")
 def _(t):
-    return t.supplier.where("s_acctbal > 0").groupBy((F.col("s_nationkey") % 5).alias("category")).agg(F.min(F.col("s_suppkey") % 4).alias("worst"), F.count("*").alias("n"))
+    return views.findings_by_category(B.findings(t), severities=("critical", "high", "medium"), text="1").select("category", "worst", "n")
 
 
-@query("c4_repo_totals", "SELECT n_regionkey AS repo, count(DISTINCT n_nationkey) AS files, count(c_custkey) AS functions FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey")
+@query("c4_repo_totals", "SELECT r_name AS repo, count(DISTINCT n_nationkey) AS files, count(c_custkey) AS functions FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey WHERE contains(lower(r_name), 'a') GROUP BY r_name")
 def _(t):
-    rows = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.groupBy(F.col("n_regionkey").alias("repo")).agg(F.count_distinct("n_nationkey").alias("files"), F.count("c_custkey").alias("functions"))
+    nodes = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return views.repo_totals(nodes.select(F.col("r_name").alias("repo"), F.col("n_nationkey").alias("file_path"), F.when(F.col("c_custkey").isNotNull(), "function").alias("kind")), "A")
 
 
-@query("c5_references_by_file", "SELECT l_suppkey AS file, count(*) FILTER (l_returnflag <> 'N') AS reads, count(*) FILTER (l_returnflag = 'N') AS writes FROM lineitem GROUP BY l_suppkey")
+@query("c5_references_by_file", "SELECT l_suppkey AS file_path, count(*) AS n, count(*) FILTER (l_returnflag IN ('A', 'R')) AS reads, count(*) FILTER (l_returnflag = 'N') AS writes FROM lineitem GROUP BY l_suppkey")
 def _(t):
-    flag = F.col("l_returnflag")
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("file")).agg(F.count_if(flag != "N").alias("reads"), F.count_if(flag == "N").alias("writes"))
+    return views.references_by_file(B.references(t, "file_path"))
 
 
-@query("c6_siblings", "SELECT a.id, count(*) - 1 AS siblings FROM gp_nodes a JOIN gp_nodes b ON a.file_path = b.file_path GROUP BY a.id")
+@query(
+    "c6_siblings",
+    """SELECT a.id, a.kind, count(b.id) AS before FROM gp_nodes a LEFT JOIN gp_nodes b ON a.file_path = b.file_path AND (b.start_line, b.ord) < (a.start_line, a.ord) GROUP BY a.id, a.kind""",
+)
 def _(t):
-    nodes = B.part_nodes(t)
-    return nodes.withColumn("siblings", F.count("*").over(Window.partitionBy("file_path")) - 1).select("id", "siblings")
+    return views.siblings(B.part_nodes(t)).select("id", "kind", (F.col("place") - 1).cast("long").alias("before"))
 
 
-@query("a13_factor_means", "SELECT o_orderpriority AS factor, round(avg(o_totalprice / 10000), 1) AS mean FROM orders GROUP BY 1")
+@query(
+    "a13_overall_risk",
+    f"""WITH {_RISK}, ff AS (SELECT unnest(['complexity', 'testCoverage', 'dataSensitivity', 'blastRadius', 'changeVelocity', 'errorHandling']) AS name, unnest([complexity, tests, 0, blast, 5, errors]) AS score FROM z),
+        m AS (SELECT name, floor(avg(score) * 10 + 0.5) / 10 AS value FROM ff GROUP BY name)
+        SELECT 'factor' AS part, name, value::DOUBLE AS value FROM m UNION ALL SELECT 'level', v.name, count(l.level)::DOUBLE FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(name) LEFT JOIN lv l ON l.level = v.name GROUP BY v.name
+        UNION ALL SELECT 'mean', 'score', floor(avg(score) * 10 + 0.5) / 10 FROM z""",
+)
 def _(t):
-    return t.orders.groupBy(F.col("o_orderpriority").alias("factor")).agg(F.round(F.avg(F.col("o_totalprice") / 10000), 1).alias("mean"))
+    return metrics.overall_risk(_scored(t)).where("part <> 'top'")
 
 
-@query("b10_branch_groups", "SELECT o_custkey AS branch, arg_max(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS head, count(*) AS n FROM orders GROUP BY o_custkey")
+@query(
+    "b10_branch_groups",
+    """WITH b AS (SELECT 'feat/' || (o_custkey % 40) AS name, o_orderdate AS last, o_custkey % 2 = 1 AS remote, o_orderkey = 7 AS current FROM orders)
+        SELECT name, CAST(max(last) AS VARCHAR) AS last_day, bool_or(NOT remote) AS local, bool_or(remote) AS remote, bool_or(current) AS current FROM b WHERE contains(lower(name), '1') GROUP BY name""",
+)
 def _(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("branch")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("head"), F.count("*").alias("n"))
+    remote = F.col("o_custkey") % 2 == 1
+    listed = t.orders.select(F.concat(F.when(remote, "origin/").otherwise(""), F.lit("feat/"), F.col("o_custkey") % 40).alias("name"), F.col("o_orderdate").alias("day"), remote.alias("remote"), (F.col("o_orderkey") == 7).alias("current"))
+    return views.branch_groups(listed, "1").select("name", F.date_format("last_day", "yyyy-MM-dd HH:mm:ss").alias("last_day"), "local", "remote", "current")
 
 
 @query("b11_diff_totals", "SELECT hash, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions FROM git_log GROUP BY hash")
@@ -376,19 +414,14 @@ def _(t):
     return lookups.without_node(nodes, B.part_edges(t), nodes.where("file_path = 'Brand#11'").select("id"))[0].select("id")
 
 
-@query("p15_code_lines", r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '^\s*(//|\*|#)') GROUP BY doc_id")
+@query("p15_code_lines", r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 7 <> 3) WHERE NOT regexp_matches(ltrim(line, ' ' || chr(9) || chr(13)), '^(//|\*|#)') GROUP BY doc_id")
 def _(t):
-    rows = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(r"^\s*(//|\*|#)"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"))
+    path = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("src/tests/d"), "doc_id")).otherwise(F.concat(F.lit("src/d"), "doc_id"))
+    lines = text.code_lines(t.documents.select(path.alias("file_path"), F.col("text").alias("content")))
+    return lines.groupBy(F.regexp_extract("file_path", r"(\d+)$", 1).cast("long").alias("doc_id")).agg(F.count("*").alias("lines"))
 
 
 @query("x12_sensitivity", "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 2 THEN 6 ELSE 0 END AS score FROM part")
 def _(t):
     k = F.col("p_partkey")
     return t.part.select(k.alias("k"), metrics.sensitivity(_pick(k, "loginUser", "chargePassword", "hashEmail", "run"), F.lit(0), F.lit(0)).alias("score"))
-
-
-@query("x7_languages_of_entry", "SELECT count(*) AS n FROM part WHERE p_partkey % 2 = 0")
-def _(t):
-    name = _pick(F.col("p_partkey"), "main", "compute")
-    return t.part.where(rules.entry_type(name, F.lit("")) == "main_function").agg(F.count("*").alias("n"))

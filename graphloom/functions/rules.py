@@ -116,6 +116,30 @@ def first_of(column: Column, rules: Sequence[tuple], value: int = 1) -> Column:
     return out
 
 
+def added(rules: Sequence[tuple], *more: tuple) -> list[tuple]:
+    """rules with a user's own behind them: (pattern, category) as in SOURCES, with a severity as in SINKS and LINES; patterns alone for SANITIZERS."""
+    import re
+
+    width = {len(r) if isinstance(r, tuple) else 0 for r in rules} | {len(r) if isinstance(r, tuple) else 0 for r in more}
+    if len(width) > 1:
+        raise ValueError("a rule needs as many parts as those it joins")
+    for r in more:
+        re.compile(r[0] if isinstance(r, tuple) else r)
+    return [*rules, *more]
+
+
+def language_or_text(path: Column) -> Column:
+    """language(), "text" where that is unknown."""
+    return F.coalesce(language(path), F.lit("text"))
+
+
+def repository(url: Column) -> Column:
+    """owner and name of the address of a repository, by https or ssh; null if it is none."""
+    part = r"([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?$"
+    hit = F.coalesce(*[F.when(url.rlike(p), F.struct(F.regexp_extract(url, p, 1).alias("owner"), F.regexp_extract(url, p, 2).alias("name"))) for p in (rf"^https://github\.com/{part}", rf"^git@github\.com:{part}")])
+    return hit
+
+
 def entry_type(name: Column, signature: Column, decorators: Column | None = None) -> Column:
     """The first entry-point type, in order of types and then of name, signature and decorators, that fits."""
     out = F.when(F.lit(False), F.lit(""))
@@ -145,6 +169,7 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(by_extension, extension), F.try_element_at(by_name, F.substring_index(path, "/", -1)))
 
 
+# Fixed values, here and in orm(): words in names and contents, and what they tell.
 def reference_kind(name: Column) -> Column:
     """How code that bears name uses a field."""
     n = F.lower(name)

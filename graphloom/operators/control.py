@@ -65,6 +65,55 @@ def branch_points(edges: DataFrame) -> DataFrame:
     return edges.groupBy("fn", F.col("src").alias("block")).agg(F.count("*").alias("ways")).where("ways > 1")
 
 
+def back_edges(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """fn, src, dst of edges that lead from a block to one that every way to it has passed; edges: fn, src, dst; entries: fn, block.
+
+    A block passes another if it cannot be reached once that one is taken out.  Blocks are
+    few in a function, and all functions and blocks are worked in one loop.
+    """
+    from .flow import trace_value
+
+    some = edges.select("fn", "src", "dst").distinct()
+    every = some.select("fn", F.col("dst").alias("out")).distinct()
+    # for each block taken out: what the entry still reaches
+    starts = every.join(entries, "fn").where("block <> out").select(F.struct("fn", "out").alias("root"), "fn", F.col("block").alias("id"))
+    less = every.join(some, "fn").where("src <> out AND dst <> out").select(F.struct("fn", "out").alias("fn"), "src", "dst")
+    left = trace_value(less, starts.select("root", F.col("root").alias("fn"), "id"), 1 << 20).select(F.col("root.fn").alias("fn"), F.col("root.out").alias("dst"), F.col("id").alias("src")).distinct()
+    first = entries.select("fn", F.col("block").alias("dst"), F.lit(True).alias("is_entry"))
+    # the entry is passed by all
+    return some.join(left, ["fn", "src", "dst"], "left_anti").join(first, ["fn", "dst"], "left").select("fn", "src", "dst")
+
+
+def loop_nesting(paths: DataFrame, headers: DataFrame) -> DataFrame:
+    """fn, nesting: the most loop headers on one simple path; paths: fn, path; headers: fn, block."""
+    held = headers.groupBy("fn").agg(F.collect_set("block").alias("headers"))  # a function's headers
+    return paths.join(held, "fn", "left").groupBy("fn").agg(F.max(F.coalesce(F.size(F.array_intersect("path", "headers")), F.lit(0))).alias("nesting"))
+
+
+def summaries(functions: DataFrame, flows: DataFrame, effects_: DataFrame, throws: DataFrame, returns: DataFrame, complexity: DataFrame) -> DataFrame:
+    """A row for each function (fn): flows (params, targets and whether made safe), effects (kind and target), throws, can_return_null, can_return_undefined, cyclomatic and cognitive.
+
+    flows: fn, param, id, sanitized; effects_: fn, kind, target; throws: fn, type; returns:
+    fn, text; complexity: fn, cyclomatic, cognitive.  Each list is one function's.
+    """
+    text = F.trim("text")
+    empty = F.col("text").isNull() | (text == "")
+    null = text.rlike(r"^return\s+(?:null|None|nil)\b")
+    undefined = text.rlike(r"^return\s*(?:undefined)?\s*;?$")
+    told = returns.groupBy("fn").agg(F.bool_or(~empty & null).alias("can_return_null"), F.bool_or(empty | undefined).alias("can_return_undefined"))
+    lists = [
+        flows.groupBy("fn").agg(F.sort_array(F.collect_set(F.struct("param", "id", "sanitized"))).alias("flows")),
+        effects_.groupBy("fn").agg(F.sort_array(F.collect_set(F.struct("kind", "target"))).alias("effects")),
+        throws.groupBy("fn").agg(F.sort_array(F.collect_set("type")).alias("throws")),
+        told, complexity.select("fn", "cyclomatic", "cognitive"),
+    ]
+    rows = functions.select("fn")
+    for part in lists:
+        rows = rows.join(part, "fn", "left")
+    no = F.lit(False)
+    return rows.withColumns({"can_return_null": F.coalesce("can_return_null", no), "can_return_undefined": F.coalesce("can_return_undefined", no), "cyclomatic": F.coalesce("cyclomatic", F.lit(1)), "cognitive": F.coalesce("cognitive", F.lit(0))})
+
+
 def simple_paths(edges: DataFrame, ends: DataFrame, most: int = 100) -> DataFrame:
     """fn, path: paths without repeats from entry to exit, at most `most` of a function (the lexically first); edges: fn, src, dst; ends: fn, entry, exit."""
     open_ = cut(ends.select("fn", "exit", F.array("entry").alias("path")))
@@ -125,10 +174,23 @@ def param_flows(edges: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def compare_summaries(base: DataFrame, changed: DataFrame) -> DataFrame:
-    """name, added, removed (effects), null_changed of summaries (name, effects ARRAY<STRING>, can_return_null) that differ."""
-    b = base.select("name", F.col("effects").alias("old"), F.col("can_return_null").alias("old_null"))
-    rows = b.join(changed, "name").select("name", F.array_except("effects", "old").alias("added"), F.array_except("old", "effects").alias("removed"), (F.col("old_null") != F.col("can_return_null")).alias("null_changed"))
-    return rows.where((F.size("added") > 0) | (F.size("removed") > 0) | F.col("null_changed"))
+    """name, added, removed (effects), null_changed of summaries (name, effects ARRAY<STRING>, can_return_null) that differ.
+
+    Where both have them, flows (ARRAY<STRING>) and can_return_undefined are compared alike: flows_added, flows_removed, undefined_changed.
+    """
+    has = lambda c: c in base.columns and c in changed.columns
+    b = base.select("name", *[F.col(c).alias(f"old_{c}") for c in base.columns if c != "name"])
+    no = F.lit(False)
+    differ = lambda c: F.col(f"old_{c}") != F.col(c)
+    found = {"added": F.array_except("effects", "old_effects"), "removed": F.array_except("old_effects", "effects"), "null_changed": differ("can_return_null")}
+    if has("flows"):
+        found |= {"flows_added": F.array_except("flows", "old_flows"), "flows_removed": F.array_except("old_flows", "flows")}
+    if has("can_return_undefined"):
+        found["undefined_changed"] = differ("can_return_undefined")
+    rows = b.join(changed, "name").select("name", *[v.alias(k) for k, v in found.items()])
+    for k in found:
+        no = no | (F.col(k) if k.endswith("changed") else F.size(k) > 0)
+    return rows.where(no)
 
 
 def merge_differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -46,6 +46,32 @@ def suggest(nodes: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return found.orderBy("tier", "ord").limit(min(30, max(1, limit)))
 
 
+def seeds(nodes: DataFrame, text: str, most: int = 5, fallback: int = 10) -> DataFrame:
+    """Where a search begins: the first `most` nodes of that name, else the first `fallback` whose name or qualified name holds text."""
+    exact = by_name(nodes, text).orderBy("ord").limit(most).withColumn("tier", F.lit(0))
+    both = exact.unionByName(substring_search(nodes, text, fallback).withColumn("tier", F.lit(1)))
+    best = F.min("tier").over(Window.partitionBy())  # at most most + fallback rows
+    return both.withColumn("best", best).where("tier = best").drop("tier", "best")
+
+
+#: Severities of flows from least to most.
+FLOW_SEVERITIES = ("info", "warning", "critical")
+
+
+def flow_filter(flows: DataFrame, least: str = "info", prefix: str = "") -> DataFrame:
+    """Flows (severity, first_path) of at least that severity whose first step lies under the path prefix."""
+    rank = F.lit(None).cast("int")
+    for i, name in enumerate(FLOW_SEVERITIES):
+        rank = F.when(F.col("severity") == name, i).otherwise(rank)
+    return flows.where((rank >= FLOW_SEVERITIES.index(least)) & F.col("first_path").startswith(prefix))
+
+
+def finding_filter(findings: DataFrame, least: str = "low", path: str = "") -> DataFrame:
+    """Findings (severity, source_path, sink_path) of at least that severity with path in either of the two."""
+    hit = F.coalesce(F.col("source_path").contains(path), F.lit(False)) | F.coalesce(F.col("sink_path").contains(path), F.lit(False))
+    return findings.where((severity_rank(F.col("severity")) >= SEVERITIES.index(least)) & hit)
+
+
 def severity_rank(severity: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, name in reversed(list(enumerate(SEVERITIES))):
@@ -75,22 +101,104 @@ def enclosing(points: DataFrame, nodes: DataFrame, width: int = 64) -> DataFrame
     return points.join(best, "point", "left")
 
 
-def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
-    """calls (call, file_path, callee) with target, tier and confidence: same file, then imported, then global.
+# How sure each way of resolving a call is.
+CONFIDENCE = {"same_file": 0.95, "import_scoped": 0.9, "type_narrowed": 0.85, "global": 0.5}
+CALLABLE = ("function", "method", "constructor")
+
 
-    imports: file_path, name, qualified_name.  Global: the only exported callable of the
-    name, else the first exported, else the first.
+def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """calls with target, tier and confidence; the first tier that finds a node decides, target null if none does.
+
+    calls: call, file_path, callee and, where known, receiver and n_args.  nodes: id, ord,
+    kind, name, qualified_name, file_path, exported and, where known, owner and n_params.
+    imports: file_path, name (local), qualified_name.  types: file_path, receiver, type.
+
+    same_file: a callable of the name.  import_scoped: what the name was imported as, else
+    the method of the imported receiver.  type_narrowed: the method of a class, interface or
+    struct that bears the name of the receiver's type.  global: the only exported callable of
+    the name; else one that takes as many arguments, of the exported ones if there are any;
+    else the first exported, else the first.
     """
-    callable_ = nodes.where(F.col("kind").isin("function", "method", "constructor"))
-    same = callable_.groupBy("file_path", F.col("name").alias("callee")).agg(F.min_by("id", "ord").alias("same_id"))
-    qualified = nodes.groupBy("qualified_name").agg(F.max_by("id", "ord").alias("import_id"))
-    imported = imports.join(qualified, "qualified_name").groupBy("file_path", F.col("name").alias("callee")).agg(F.min("import_id").alias("import_id"))
-    exported = F.when(F.col("exported"), F.col("ord"))
-    everywhere = callable_.groupBy(F.col("name").alias("callee")).agg(F.min_by("id", F.struct(exported.isNull(), "ord")).alias("global_id"))
-    rows = calls.join(same, ["file_path", "callee"], "left").join(imported, ["file_path", "callee"], "left").join(everywhere, "callee", "left")
-    tier = F.when(F.col("same_id").isNotNull(), "same_file").when(F.col("import_id").isNotNull(), "import_scoped").when(F.col("global_id").isNotNull(), "global")
-    confidence = F.when(tier == "same_file", 0.95).when(tier == "import_scoped", 0.9).when(tier == "global", 0.5)
-    return rows.select(*calls.columns, F.coalesce("same_id", "import_id", "global_id").alias("target"), tier.alias("tier"), confidence.alias("confidence"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    own = calls.withColumns({c: v for c, v in (("receiver", text), ("n_args", number)) if c not in calls.columns})
+    nodes = nodes.withColumns({c: v for c, v in (("owner", text), ("n_params", number)) if c not in nodes.columns})
+    usable = nodes.where(F.col("kind").isin(*CALLABLE))
+    same = usable.groupBy("file_path", F.col("name").alias("callee")).agg(F.min_by("id", "ord").alias("same_file"))
+    # of nodes with one qualified name the last counts
+    known = nodes.groupBy("qualified_name").agg(F.max_by(F.struct("id", "name", "file_path"), "ord").alias("q"))
+    local = imports.groupBy("file_path", "name").agg(F.max("qualified_name").alias("qualified_name")).join(known, "qualified_name").select("file_path", "name", "q")
+    direct = local.select("file_path", F.col("name").alias("callee"), F.col("q.id").alias("imported"))
+    method = nodes.where(F.col("kind").isin("method", "function") & F.col("owner").isNotNull())
+    method = method.groupBy(F.col("file_path").alias("m_file"), F.col("owner").alias("m_owner"), F.col("name").alias("callee")).agg(F.min_by("id", "ord").alias("method"))
+    on = local.select("file_path", F.col("name").alias("receiver"), F.col("q.file_path").alias("m_file"), F.col("q.name").alias("m_owner"))
+    through = on.join(method, ["m_file", "m_owner"]).select("file_path", "receiver", "callee", F.col("method").alias("through"))
+    rows = own.join(same, ["file_path", "callee"], "left").join(direct, ["file_path", "callee"], "left").join(through, ["file_path", "receiver", "callee"], "left")
+    if types is None:
+        rows = rows.withColumn("narrowed", F.lit(None).cast(nodes.schema["id"].dataType))
+    else:
+        owners = nodes.where(F.col("kind").isin("class", "interface", "struct")).select(F.col("name").alias("type"), F.col("file_path").alias("m_file"), F.col("name").alias("m_owner"), "ord")
+        narrowed = owners.join(method, ["m_file", "m_owner"]).groupBy("type", "callee").agg(F.min_by("method", "ord").alias("narrowed"))
+        said = types.groupBy("file_path", "receiver").agg(F.max("type").alias("type"))
+        rows = rows.join(said, ["file_path", "receiver"], "left").join(narrowed, ["type", "callee"], "left")
+    out = usable.where("exported").groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("n_out"), F.min_by("id", "ord").alias("first_out"))
+    # without an exported callable any node of the name may fit by its parameters
+    pool = nodes.join(out.select(F.col("callee").alias("name"), "n_out"), "name", "left").where(F.col("n_out").isNull() | (F.col("exported") & F.col("kind").isin(*CALLABLE)))
+    fitting = pool.where("n_params IS NOT NULL").groupBy(F.col("name").alias("callee"), F.col("n_params").alias("n_args")).agg(F.min_by("id", "ord").alias("fitting"))
+    every = usable.groupBy(F.col("name").alias("callee")).agg(F.min_by("id", "ord").alias("first_any"))
+    rows = rows.join(out, "callee", "left").join(fitting, ["callee", "n_args"], "left").join(every, "callee", "left")
+    anywhere = F.coalesce(F.when(F.col("n_out") == 1, F.col("first_out")), "fitting", "first_out", "first_any")
+    found = {"same_file": F.col("same_file"), "import_scoped": F.coalesce("imported", "through"), "type_narrowed": F.col("narrowed"), "global": anywhere}
+    tier = F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in found.items()])
+    sure = F.coalesce(*[F.when(v.isNotNull(), F.lit(CONFIDENCE[k])) for k, v in found.items()])
+    return rows.select(*calls.columns, F.coalesce(*found.values()).alias("target"), tier.alias("tier"), sure.alias("confidence"))
+
+
+def confident(calls: DataFrame, least: float = 0.8) -> DataFrame:
+    """Calls that were resolved with at least that confidence."""
+    return calls.where(F.col("confidence") >= least)
+
+
+def orphans(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """Callable nodes that nothing in calls (dst) calls."""
+    return nodes.where(F.col("kind").isin(*CALLABLE)).join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+
+
+def node_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, siblings (others of its file), callers, callees, and name and kind of the callee with the least id; "?" and "unknown" where there is none."""
+    calls = edges.where("kind = 'calls'")
+    into = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
+    outof = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"), F.min("dst").alias("callee"))
+    files = nodes.groupBy("file_path").agg((F.count("*") - 1).alias("siblings"))
+    names = nodes.select(F.col("id").alias("callee"), F.col("name").alias("callee_name"), F.col("kind").alias("callee_kind"))
+    rows = nodes.select("id", "file_path").join(files, "file_path").join(into, "id", "left").join(outof, "id", "left").join(names, "callee", "left")
+    none = F.lit(0).cast("long")
+    return rows.select("id", "siblings", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"), F.coalesce("callee_name", F.lit("?")).alias("first_callee"), F.coalesce("callee_kind", F.lit("unknown")).alias("first_kind"))
+
+
+def runtime_suggest(observed: DataFrame, nodes: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """symbol, tier: observed symbols (source_key, last_seq) that hold text, newest first, then names of nodes; each once, 1 to 30 rows."""
+    q = text.lower()
+    seen = observed.where(F.lower("source_key").contains(q)).groupBy(F.col("source_key").alias("symbol")).agg(F.max("last_seq").alias("place"))
+    named = nodes.where(F.lower("name").contains(q) | F.lower("qualified_name").contains(q)).groupBy(F.col("name").alias("symbol")).agg(F.min("ord").alias("place"))
+    rows = seen.select("symbol", F.lit(0).alias("tier"), (-F.col("place")).alias("place")).unionByName(named.join(seen, "symbol", "left_anti").select("symbol", F.lit(1).alias("tier"), "place"))
+    return rows.orderBy("tier", "place").limit(min(30, max(1, limit)))
+
+
+def resolve_runtime(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """refs (ref, node_id, symbol, file_path, line) with node: by id, else exact name, else name in any case, else the first node that starts at the file and line."""
+    by_id = nodes.select(F.col("id").alias("node_id"), F.col("id").alias("n1"))
+    exact = nodes.groupBy(F.col("name").alias("symbol")).agg(F.min_by("id", "ord").alias("n2"))
+    loose = nodes.groupBy(F.lower("name").alias("__lower")).agg(F.min_by("id", "ord").alias("n3"))
+    place = nodes.groupBy("file_path", F.col("start_line").alias("line")).agg(F.min_by("id", "ord").alias("n4"))
+    rows = refs.join(by_id, "node_id", "left").join(exact, "symbol", "left").join(loose, F.lower("symbol") == F.col("__lower"), "left").join(place, ["file_path", "line"], "left")
+    return rows.select(*refs.columns, F.coalesce("n1", "n2", "n3", "n4").alias("node"))
+
+
+def symbol_table(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node of each qualified name (the last), the nodes of each name, and the first of each file and name."""
+    by_qualified = nodes.groupBy("qualified_name").agg(F.max_by("id", "ord").alias("id"))
+    by_name = nodes.select("name", "id", "ord")
+    return by_qualified, by_name, nodes.groupBy("file_path", "name").agg(F.min_by("id", "ord").alias("id"))
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -68,12 +68,67 @@ def coverage(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumn("percent", F.coalesce(F.try_divide(F.col("covered") * 100.0, "total"), F.lit(0.0)))
 
 
-def security_score(findings: DataFrame) -> DataFrame:
-    """One row: taint, inputs, dependencies, flows, overall and grade; findings: severity, category."""
+def uncovered(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Production nodes without a test link (prod)."""
+    return nodes.where("NOT is_test").join(links.select(F.col("prod").alias("id")).distinct(), "id", "left_anti")
+
+
+def community_sizes(members: DataFrame, least: int = 2) -> DataFrame:
+    """community, size, members (ids in order) of communities of at least that size; a community's ids are held in one row, as its listing is."""
+    rows = members.groupBy("community").agg(F.count("*").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("members"))
+    return rows.where(F.col("size") >= least).orderBy(F.desc("size"), "community")
+
+
+def by_severity(findings: DataFrame, severities=("critical", "high", "medium", "low")) -> DataFrame:
+    """severity and n, 0 where there is none, worst first."""
+    every = findings.sparkSession.createDataFrame([(s, i) for i, s in enumerate(severities)], "severity string, place int")
+    rows = every.join(findings.groupBy("severity").agg(F.count("*").alias("n")), "severity", "left")
+    return rows.select("severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "place").orderBy("place").drop("place")
+
+
+def taint_summary(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """One row: sources, sinks, flows, critical, warning, info, sanitized."""
+    s = F.col("severity")
+    counts = flows.agg(F.count("*").alias("flows"), *[F.count_if(s == x).alias(x) for x in ("critical", "warning", "info")], F.count_if("sanitized").alias("sanitized"))
+    return nodes.agg(F.count_if("is_source").alias("sources"), F.count_if("is_sink").alias("sinks")).crossJoin(counts)  # one row each
+
+
+def lines_of_code(blocks: DataFrame) -> DataFrame:
+    """fn and loc: from its first line to its last, 0 where lines are not known; blocks: fn, start_line, end_line."""
+    rows = blocks.groupBy("fn").agg(F.min("start_line").alias("low"), F.max("end_line").alias("high"))
+    return rows.select("fn", F.greatest(F.coalesce(F.col("high") - F.col("low") + 1, F.lit(0)), F.lit(0)).cast("long").alias("loc"))
+
+
+#: Statements' operators that add to cognitive complexity.
+LOGICAL = r"&&|\|\||\?\?"
+
+
+def cognitive_nested(blocks: DataFrame, depths: DataFrame) -> DataFrame:
+    """fn and cognitive: branches, loops and catches cost 1 and their depth, cases of a switch 1, logical operators 1 each; blocks: fn, block, kind, text; depths: fn, block, depth."""
+    kind = F.col("kind")
+    rows = blocks.join(depths, ["fn", "block"], "left")
+    cost = F.when(kind.isin("branch", "loop_header", "catch"), 1 + F.coalesce("depth", F.lit(0))).when(kind == "switch_case", 1).otherwise(0)
+    return rows.groupBy("fn").agg(F.sum(cost + F.regexp_count(F.coalesce("text", F.lit("")), F.lit(LOGICAL))).cast("long").alias("cognitive"))
+
+
+def resolution_stats(calls: DataFrame) -> DataFrame:
+    """tier (unresolved where null), n and mean confidence (null for unresolved), most first."""
+    tier = F.coalesce("tier", F.lit("unresolved"))
+    return calls.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("tier").isNotNull(), F.col("confidence"))).alias("mean")).orderBy(F.desc("n"), "tier")
+
+
+def stored_complexity(nodes: DataFrame) -> DataFrame:
+    """id, cyclomatic (1 if missing), cognitive (0 if missing) of nodes that have either."""
+    rows = nodes.where("cyclomatic IS NOT NULL OR cognitive IS NOT NULL")
+    return rows.select("id", F.coalesce("cyclomatic", F.lit(1)).alias("cyclomatic"), F.coalesce("cognitive", F.lit(0)).alias("cognitive"))
+
+
+def security_score(findings: DataFrame, *by: str) -> DataFrame:
+    """taint, inputs, dependencies, flows, overall and grade, one row for each group by, or one in all; findings: severity, category."""
     s, c = F.col("severity"), F.col("category")
     inputs = c.isin("sql_injection", "xss", "command_injection", "insecure_deserialization")
     held = lambda x: F.least(F.lit(100), F.greatest(F.lit(0), x))
-    row = findings.agg(
+    row = findings.groupBy(*by).agg(
         held(100 - (20 * F.count_if(s == "critical") + 8 * F.count_if(s == "high") + 3 * F.count_if(s == "medium") + F.count_if(s == "low"))).alias("taint"),
         held(100 - 12 * F.count_if(inputs)).alias("inputs"),
         held(100 - 15 * F.count_if(c.isin("hardcoded_secret", "ssrf", "dependency_risk"))).alias("dependencies"),
@@ -133,6 +188,24 @@ def risk(rows: DataFrame) -> DataFrame:
     return scored.withColumn("recommendation", F.when(advice == "", none).otherwise(advice))
 
 
+def overall_risk(scored: DataFrame) -> DataFrame:
+    """part, name, value: the mean of each factor (factor), the nodes of each level (level), the mean score (mean), each to one decimal, and the three factors that weigh most (top; value is their mean times weight)."""
+    spark = scored.sparkSession
+    tenth = lambda c: F.floor(c * 10 + 0.5) / 10
+    names = list(WEIGHTS)
+    levels = ("low", "medium", "high", "critical")
+    sums = scored.agg(
+        *[F.avg(n).alias(n) for n in names], F.avg("score").alias("__mean"), *[F.count_if(F.col("level") == x).alias(f"__{x}") for x in levels]
+    )  # one row
+    parts = [F.struct(F.lit("factor").alias("part"), F.lit(n).alias("name"), tenth(F.col(n)).cast("double").alias("value")) for n in names]
+    parts += [F.struct(F.lit("level").alias("part"), F.lit(x).alias("name"), F.col(f"__{x}").cast("double").alias("value")) for x in levels]
+    parts += [F.struct(F.lit("mean").alias("part"), F.lit("score").alias("name"), tenth(F.col("__mean")).cast("double").alias("value"))]
+    rows = sums.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    weights = spark.createDataFrame(list(WEIGHTS.items()), "name string, weight double")
+    top = rows.where("part = 'factor'").join(weights, "name").select(F.lit("top").alias("part"), "name", (F.col("value") * F.col("weight")).alias("value"))
+    return rows.unionByName(top.orderBy(F.desc("value"), "name").limit(3))
+
+
 def file_risk(scored: DataFrame, limit: int = 30) -> DataFrame:
     """file_path, mean, worst, n, level (of the worst), worst first."""
     rows = scored.groupBy("file_path").agg(F.avg("score").alias("mean"), F.max("score").alias("worst"), F.count("*").alias("n"))

@@ -84,6 +84,13 @@ def usage(refs: DataFrame) -> DataFrame:
     return refs.groupBy("field").agg(F.count_if(kind.isin("read", "query")).alias("reads"), F.count_if(kind.isin("write", "migration")).alias("writes"), F.count("*").alias("total"))
 
 
+def model_references(models: DataFrame, fields: DataFrame, refs: DataFrame) -> DataFrame:
+    """model, field, name, references of every field, 0 where nothing refers to it; models: model; fields: model, field, name; refs: field."""
+    counts = refs.groupBy("field").agg(F.count("*").alias("references"))
+    rows = models.select("model").join(fields, "model").join(counts, "field", "left")
+    return rows.select("model", "field", "name", F.coalesce("references", F.lit(0).cast("long")).alias("references"))
+
+
 def migration_steps(changes: DataFrame) -> DataFrame:
     """model, field, action, step, type, breaking of changes (model, field, action, refs, writes, relations)."""
     a = F.col("action")

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from ..functions import rules
 
 
+#: Accented letters, and what they are folded to.
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, accents folded."""
-    folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(F.translate(F.lower(text), *ACCENTS), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def query_words(query: str) -> list[list[str]]:
+    """The tokens of each word of a query, as tokens() has them."""
+    folded = query.lower().translate(str.maketrans(*ACCENTS))
+    return [[x for x in re.split(r"[\W_]+", w) if x] for w in folded.split()]
 
 
 def settled(score: str) -> Column:
@@ -32,8 +41,7 @@ def bm25(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
 
     A word of several tokens is a phrase, which must be adjacent in one of the columns.
     """
-    words = [w for w in query.split() if w]
-    phrases = [[x for x in re.split(r"[\W_]+", w.lower()) if x] for w in words]
+    phrases = query_words(query)
     terms = sorted({x for p in phrases for x in p})
     if not terms:
         return docs.sparkSession.createDataFrame([], "node_id long, score double")
@@ -55,6 +63,21 @@ def bm25(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return found.select("node_id", "score").orderBy(settled("score"), "node_id").limit(limit)
 
 
+def match(docs: DataFrame, query: str) -> DataFrame:
+    """Rows of docs that hold every word of query (a word of several tokens as a phrase) in one of the three columns; not ranked. An empty query matches nothing."""
+    kept = docs.where(F.lit(bool(query_words(query))))
+    flat = [F.coalesce(F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")), F.lit("")) for c in ("name", "qualified_name", "file_path")]
+    for phrase in query_words(query):
+        kept = kept.where(F.concat_ws("|", *flat).contains(" " + " ".join(phrase) + " "))
+    return kept
+
+
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """term, df: in how many documents' name and qualified name each term of the vector search is."""
+    words = F.array_distinct(_semantic_tokens(F.concat_ws(" ", "name", F.coalesce("qualified_name", F.lit("null")))))
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def _semantic_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "), r"[\s_]+"), lambda x: F.length(x) > 1)
 
@@ -96,19 +119,26 @@ def cosine_top(vectors: DataFrame, probe: list[float], k: int = 10) -> DataFrame
     return vectors.select("vec_id", F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def scan_lines(files: DataFrame) -> DataFrame:
-    """file_path, line, category, severity: the first rule each line matches; files: file_path, content.
-
-    Lines that begin as comments, and test files, are passed over.
-    """
+def code_lines(files: DataFrame) -> DataFrame:
+    """file_path, line (from 1), text of the lines that begin no comment, of files (file_path, content) that are no tests."""
     path = F.col("file_path")
     test = path.contains("__tests__") | path.contains("/test/") | path.contains("/tests/") | path.contains(".test.") | path.contains(".spec.") | F.substring_index(path, "/", -1).startswith("test_")
     lines = files.where(~test).select("file_path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
     head = F.regexp_replace("text", r"^\s+", "")
     code = lines.where(~(head.startswith("//") | head.startswith("*") | head.startswith("#")))
-    text = F.col("text")
-    found = code.select("file_path", (F.col("line") + 1).alias("line"), rules.first_of(text, rules.LINES, 1).alias("category"), rules.first_of(text, rules.LINES, 2).alias("severity"))
-    return found.where("category IS NOT NULL")
+    return code.select("file_path", (F.col("line") + 1).alias("line"), "text")
+
+
+def scan_lines(files: DataFrame, patterns=rules.LINES) -> DataFrame:
+    """file_path, line, category, severity: the first rule each line matches; files: file_path, content.
+
+    Lines that begin as comments, and test files, are passed over.  One alternation of all
+    patterns leaves out most lines, and one chain gives both values of the first that fits.
+    """
+    some = code_lines(files).where(F.col("text").rlike("|".join(f"(?:{p[0]})" for p in patterns)))
+    first = rules.first_of(F.col("text"), [(p[0], i) for i, p in enumerate(patterns)], 1)
+    values = F.array(*[F.struct(F.lit(p[1]).alias("category"), F.lit(p[2]).alias("severity")) for p in patterns])
+    return some.select("file_path", "line", F.get(values, first).alias("r")).where("r IS NOT NULL").select("file_path", "line", "r.category", "r.severity")
 
 
 def worst_first(findings: DataFrame) -> DataFrame:

@@ -129,20 +129,43 @@ def trace(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str = "
 
 
 def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
-    """hop, id of a shortest undirected path from start to goal; ties to the lesser id at each step back. Empty if there is none."""
+    """hop, id, forward of a shortest undirected path from start to goal; ties to the lesser id at each step back. Empty if there is none.
+
+    forward: whether an edge runs from the node before to this one; null at the start.
+    """
     spark = edges.sparkSession
     found = cut(reach(edges, spark.createDataFrame([(0, start)], "root int, id long"), None, "both").select("id", "depth"))
     end = found.where(F.col("id") == goal).first()
     if end is None:
-        return spark.createDataFrame([], "hop int, id long")
-    steps = cut(directed(edges, "both").select("at", "to").distinct())
-    at = spark.createDataFrame([(end["depth"], goal)], "hop int, id long")
-    path = [at]
+        return spark.createDataFrame([], "hop int, id long, forward boolean")
+    steps = cut(directed(edges, "both").groupBy("at", "to").agg(F.bool_or("forward").alias("forward")))
+    at, path = goal, []
     for hop in range(end["depth"] - 1, -1, -1):
-        before = steps.join(at, steps["to"] == at["id"]).join(found.where(F.col("depth") == hop).select(F.col("id").alias("at")), "at")
-        at = cut(before.agg(F.min("at").alias("id")).select(F.lit(hop).alias("hop"), "id"))
-        path.append(at)
-    return reduce(DataFrame.unionByName, path)
+        before = steps.where(F.col("to") == at).join(found.where(F.col("depth") == hop).select(F.col("id").alias("at")), "at")
+        r = before.orderBy("at").select("at", "forward").first()  # one row for each hop of the path
+        path.append((hop + 1, at, r["forward"]))
+        at = r["at"]
+    return spark.createDataFrame([(0, at, None), *reversed(path)], "hop int, id long, forward boolean")
+
+
+def flow_paths(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """root, path: from each root's seed over data flow to every node without a way on; seeds: root, id; edges: src, dst, kind, ord.
+
+    A node is on one path only, that of its first discovery in the order of a queue.
+    """
+    steps = cut(edges.where("kind = 'data_flow'").select(F.col("src").alias("at"), F.col("dst").alias("to"), "ord"))
+    frontier = cut(seeds.select("root", "id", F.array("id").alias("path"), F.array(F.lit(0).cast("long")).alias("place")))
+    rounds = [frontier]
+    for _ in range(depth):
+        seen = reduce(DataFrame.unionByName, rounds).select("root", "id")
+        new = frontier.join(steps, F.col("id") == F.col("at")).select("root", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"), F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))
+        new = new.join(seen, ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min(F.struct("place", "path")).alias("first"))
+        new = cut(new.select("root", "id", "first.path", "first.place"))
+        if new.isEmpty():
+            break
+        rounds.append(new)
+        frontier = new
+    return reduce(DataFrame.unionByName, rounds).join(steps.select(F.col("at").alias("id")).distinct(), "id", "left_anti").select("root", "path")
 
 
 def test_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:

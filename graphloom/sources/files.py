@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 
-# Folders not walked, extensions scanned.
+# What a walk leaves out, as in an ignore file.
+UNWALKED = (
+    "node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", "coverage", "__pycache__", ".tox", "venv", ".venv", "target", "bin/Debug", "bin/Release", "obj", ".idea", ".vscode", ".DS_Store",
+    "*.lock", "package-lock.json", "*.min.js", "*.min.css", "*.map", "*.d.ts",
+)
+# Folders the security scan does not enter, extensions it reads.
 IGNORED = "node_modules|\\.git|dist|build|out|\\.next|\\.nuxt|coverage|__pycache__|vendor|\\.venv|venv"
 SCANNED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".go", ".rs", ".rb", ".php", ".c", ".cpp", ".cs", ".kt", ".swift")
 # Severities and categories of another scanner's findings.
@@ -18,13 +25,44 @@ CATEGORY = [
 ]
 
 
-def walk(spark: SparkSession, root: str, supported_only: bool = True, ignore: str = IGNORED) -> DataFrame:
-    """file_path, length, content of the files under root, without ignored folders; languages are told by path."""
+def ignored(path: Column, patterns) -> Column:
+    """Whether a path from the root is left out by lines of an ignore file; of several that fit the last counts, and "!" takes back.
+
+    A pattern with a slash before its end holds from the root, another at any depth; a
+    name also covers all that a folder of it holds; "*" and "?" stay within a name, "**" does not.
+    """
+    out = F.lit(False)
+    for line in patterns:
+        p = line.rstrip()
+        if not p or p.startswith("#"):
+            continue
+        back, p = p.startswith("!"), p.removeprefix("!")
+        folder, p = p.endswith("/"), p.rstrip("/")
+        start = "^" if "/" in p else "(?:^|/)"
+        p = p.lstrip("/")
+        body = re.escape(p).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        out = F.when(path.rlike(f"{start}{body}{'/' if folder else '(?:/|$)'}"), F.lit(not back)).otherwise(out)
+    return out
+
+
+def walk(spark: SparkSession, root: str, supported_only: bool = True, ignore=UNWALKED, respect_gitignore: bool = True, extra=(), most: int = 50_000) -> DataFrame:
+    """file_path, length, content and language of the files under root that no pattern leaves out, at most `most`, by path; languages are told by path.
+
+    Patterns: ignore, those of root's .gitignore, extra.  Contents are read for kept files only.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    prefix = root.removeprefix("file://").rstrip("/")
     path = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(path.alias("file_path"), "length", F.col("content").cast("string").alias("content")).where(~F.col("file_path").rlike(f"/({ignore})/"))
-    rows = rows.withColumn("language", rules.language(F.col("file_path")))
-    return rows.where("language IS NOT NULL") if supported_only else rows
+    rows = found.select(path.alias("file_path"), "length", F.col("content").cast("string").alias("content"))
+    inside = F.expr("substring(file_path, " + str(len(prefix) + 2) + ")")
+    own: list[str] = []
+    if respect_gitignore:
+        text = rows.where(inside == ".gitignore").select("content").first()  # one small file
+        own = text[0].split("\n") if text else []
+    rows = rows.where(~ignored(inside, [*ignore, *own, *extra])).withColumn("language", rules.language(F.col("file_path")))
+    rows = rows.where("language IS NOT NULL") if supported_only else rows
+    chosen = rows.select("file_path").orderBy("file_path").limit(most)
+    return rows.join(chosen, "file_path", "left_semi")
 
 
 def scannable(path: Column) -> Column:
@@ -62,10 +100,39 @@ def snippet(content: Column, line: int | Column, before: int = 3, after: int = 1
     return F.array_join(F.when(line <= 0, F.slice(lines, 1, 20)).otherwise(F.slice(lines, first, line + after - first + 1)), "\n")
 
 
+def source_slice(path: Column, content: Column, first: Column, last: Column) -> Column:
+    """Lines first to last of content, clipped; null for a path that leads out of the repository."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")), lambda s, x: F.struct((s["now"] + F.when(x == "..", -1).otherwise(1)).alias("now"), F.least(s["low"], s["now"] + F.when(x == "..", -1).otherwise(1)).alias("low")))
+    lines = F.split(content, "\n")
+    start, end = F.greatest(F.lit(1), first), F.least(F.size(lines), last)
+    return F.when(~path.startswith("/") & (depth["low"] >= 0), F.array_join(F.slice(lines, start, F.greatest(F.lit(0), end - start + 1)), "\n"))
+
+
+def definition(lines: DataFrame, name: str, kind: str = "") -> DataFrame:
+    """source, line, end_line of where name is defined in lines (source, pos from 0, line); sources without it are left out.
+
+    The first pattern that fits any line decides, then the first line.  The end is where
+    braces opened from there on are closed again, else the last line.
+    """
+    q = re.escape(name)
+    words = {"class": "class", "interface": "interface", "type_alias": "type", "enum": "enum"}
+    patterns = [rf"\b{words[kind]}\s+{q}\b"] if kind in words else []
+    patterns += [rf"\bfunction\s+{q}\b", rf"\b(?:const|let|var)\s+{q}\b", rf"\b{q}\s*[=(:]"]
+    found = lines.withColumn("rule", rules.first_of(F.col("line"), [(p, i) for i, p in enumerate(patterns)], 1)).where("rule IS NOT NULL")
+    first = found.groupBy("source").agg(F.min(F.struct("rule", "pos")).alias("at")).select("source", F.col("at.pos").alias("first"))
+    after = lines.join(first, "source").where("pos >= first")
+    opened, closed = F.regexp_count("line", F.lit(r"\{")), F.regexp_count("line", F.lit(r"\}"))
+    so_far = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    after = after.withColumns({"depth": F.sum(opened - closed).over(so_far), "any": F.sum(opened).over(so_far)})
+    end = F.coalesce(F.min(F.when((F.col("any") > 0) & (F.col("depth") <= 0), F.col("pos"))), F.max("pos"))
+    return after.groupBy("source", "first").agg(end.alias("last")).select("source", (F.col("first") + 1).alias("line"), (F.col("last") + 1).alias("end_line"))
+
+
 def external_findings(reports: DataFrame, most: int = 500) -> DataFrame:
-    """file_path, line, severity, category of reports (text of JSON with results), at most `most`, in order."""
+    """file_path, line, severity, category of reports (text of JSON with results), the first `most` of each."""
     schema = "results array<struct<check_id:string,path:string,start:struct<line:int>,extra:struct<severity:string,message:string,metadata:struct<category:string>>>>"
-    rows = reports.select(F.posexplode(F.from_json("text", schema)["results"]).alias("ord", "r"))
+    rows = reports.select(F.explode(F.slice(F.from_json("text", schema)["results"], 1, most)).alias("r"))
 
     def category(c: Column) -> Column:
         out = F.when(F.lit(False), F.lit(""))
@@ -75,7 +142,7 @@ def external_findings(reports: DataFrame, most: int = 500) -> DataFrame:
 
     severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("r.extra.severity")), F.lit("medium"))
     kind = F.coalesce(category(F.col("r.extra.metadata.category")), category(F.col("r.check_id")), F.lit("security"))
-    return rows.orderBy("ord").limit(most).select(F.col("r.path").alias("file_path"), F.col("r.start.line").alias("line"), severity.alias("severity"), kind.alias("category"))
+    return rows.select(F.col("r.path").alias("file_path"), F.col("r.start.line").alias("line"), severity.alias("severity"), kind.alias("category"))
 
 
 def branch_scan(commits: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -55,3 +55,18 @@ def parse_blame(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("source", "commit_hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[F.last(said(p), True).over(own).alias(n) for p, n in (("author", "author"), ("author-mail", "author_email"), ("author-time", "author_time"))])
     return rows.where(F.col("line").startswith("\t")).select("source", "line_no", "commit_hash", "author", "author_email", F.col("author_time").cast("long"), F.expr("substring(line, 2)").alias("content"))
+
+
+def parse_branches(rows: DataFrame) -> DataFrame:
+    """source, name, remote, current, commit_hash of listings by `branch -a -v`; pointers such as origin/HEAD are left out."""
+    form = r"^(\*?)\s*(remotes/[^/\s]+/)?(\S+)\s+([0-9a-f]{7,40})\b"
+    part = lambda i: F.regexp_extract("line", form, i)
+    hits = rows.where(F.col("line").rlike(form) & ~F.col("line").rlike(r"\s->\s"))
+    return hits.select("source", part(3).alias("name"), (part(2) != "").alias("remote"), (part(1) == "*").alias("current"), part(4).alias("commit_hash"))
+
+
+def main_branch(branches: DataFrame) -> DataFrame:
+    """source, main: main, else master, else the current branch of each listing."""
+    n = F.col("name")
+    order = F.when(n == "main", 0).when(n == "master", 1).when(F.col("current"), 2)
+    return branches.where(order.isNotNull()).groupBy("source").agg(F.min_by("name", order).alias("main"))

@@ -44,7 +44,7 @@ def seen_since(edges: DataFrame, least_ms: int) -> DataFrame:
 
 
 def start(feed: DataFrame, table: str, checkpoint: str):
-    """Keep the edges of a streamed feed under the path table: each batch writes a new version, which it names in table/current."""
+    """Keep the edges of a streamed feed under the path table: each batch writes a new version, numbered by the batch."""
     spark = feed.sparkSession
 
     def upsert(batch: DataFrame, epoch: int) -> None:
@@ -98,11 +98,63 @@ def sessions(edges: DataFrame, limit: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("last_seen_ms"), "session_id").limit(min(100, max(1, limit)))
 
 
-def progress(phases: DataFrame) -> DataFrame:
-    """job and overall progress: the mean of its phases, each held to 0 to 100."""
-    return phases.groupBy("job").agg(F.avg(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("percent")))).alias("overall"))
+#: Phases of an analysis; one that has not begun counts 0.
+PHASES = 12
+
+
+def progress(phases: DataFrame, total: int = PHASES) -> DataFrame:
+    """job and overall progress: the mean over all phases, each held to 0 to 100 and 0 before it begins."""
+    return phases.groupBy("job").agg((F.sum(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("percent")))) / total).alias("overall"))
 
 
 def gaps(events: DataFrame, key: str = "session_id") -> DataFrame:
     """Milliseconds from each event to the next of its key."""
     return events.withColumn("gap_ms", F.lead("ts_ms").over(Window.partitionBy(key).orderBy("ts_ms", "seq")) - F.col("ts_ms"))
+
+
+def session_stats(sessions_: DataFrame, edges: DataFrame) -> DataFrame:
+    """session_id, edges, observed, bootstrapped, hits of every session (session_id), 0 where it has no edges; edges: session_id, source_type, hit_count."""
+    rows = sessions_.join(edges, "session_id", "left").groupBy("session_id")
+    of = lambda kind: F.count_if(F.col("source_type") == kind).alias(kind)
+    return rows.agg(F.count("hit_count").alias("edges"), of("observed"), of("bootstrapped"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hits"))
+
+
+#: Kinds of edges a session is begun from.
+BOOTSTRAP = ("calls", "data_flow", "imports", "uses", "defines", "contains")
+
+
+def bootstrap(edges: DataFrame, seeds: DataFrame, depth: int = 4, most: int = 400) -> DataFrame:
+    """source, target, kind, hit_count of the first `most` edges from seeds (id, ord), breadth first; edges: src, dst, kind, ord.
+
+    Nodes up to depth give their edges, in the order of a queue.  The search ends as soon as
+    enough edges are found, so it never goes through more of the graph than it needs.
+    """
+    from functools import reduce
+
+    from ..plans.lineage import cut
+
+    some = cut(edges.where(F.col("kind").isin(*BOOTSTRAP)))
+    frontier = cut(seeds.select("id", F.array(F.col("ord").cast("long")).alias("place")))
+    rounds, got = [], 0
+    seen = frontier.select("id")
+    for level in range(depth + 1):
+        made = cut(frontier.join(some, F.col("id") == F.col("src")).select(F.lit(level).alias("level"), "src", "dst", "kind", F.concat("place", F.array(F.col("ord").cast("long"))).alias("place")))
+        rounds.append(made)
+        got += made.count()
+        if got >= most or level == depth:
+            break
+        new = made.join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.min("place").alias("place"))
+        frontier = cut(new)
+        seen = cut(seen.union(frontier.select("id")))
+    first = reduce(DataFrame.unionByName, rounds).orderBy("level", "place").limit(most)
+    return first.groupBy(F.col("src").alias("source"), F.col("dst").alias("target"), "kind").agg(F.count("*").alias("hit_count"))
+
+
+def with_bootstrap(stored: DataFrame, made: DataFrame, now_ms: int) -> DataFrame:
+    """stored edges with bootstrapped ones added: hits add up, observed stays observed; both: KEY columns, source_type, hit_count, first_seen_ms, last_seen_ms (not in made)."""
+    fresh = made.withColumns({"source_type": F.lit("bootstrapped"), "first_seen_ms": F.lit(now_ms), "last_seen_ms": F.lit(now_ms)})
+    rows = stored.withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
+    observed = F.bool_or(F.col("source_type") == "observed")
+    return rows.groupBy(*KEY).agg(
+        F.when(observed, "observed").otherwise("bootstrapped").alias("source_type"), F.sum("hit_count").alias("hit_count"), F.min_by("first_seen_ms", "__new").alias("first_seen_ms"), F.max_by("last_seen_ms", "__new").alias("last_seen_ms")
+    )

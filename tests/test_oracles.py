@@ -21,8 +21,15 @@ def duck():
     return c
 
 
+def plain(v):
+    """A value alike from either side: missing ones None, and whole numbers, which a column with missing ones holds as floats, as int."""
+    if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
+        return None
+    v = v.item() if hasattr(v, "item") else v
+    return int(v) if isinstance(v, float) and v.is_integer() else v
+
+
 def rows(frame, columns):
-    plain = lambda v: None if v is None or pd.api.types.is_scalar(v) and pd.isna(v) else v.item() if hasattr(v, "item") else v
     return sorted(repr(tuple(map(plain, r))) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 
 
