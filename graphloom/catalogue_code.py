@@ -428,17 +428,19 @@ def _(t):
     return flow.def_use(B.order_nodes(t).withColumn("is_def", F.col("status") == "P"), B.order_edges(t)).select("id", F.array_join("uses", ",").alias("uses"))
 
 
-@query("g15_loops", "SELECT o_custkey AS fn, max(o_orderkey) AS src, min(o_orderkey) AS dst, count(*) AS nesting FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+@query(
+    "g15_loops",
+    """SELECT fn, id AS block, CAST(coalesce(sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY fn ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS nesting,
+        coalesce(lead(id) OVER (PARTITION BY fn ORDER BY ord) IS NULL AND count(*) OVER (PARTITION BY fn) > 1, false) AS leads_back FROM gc_nodes""",
+)
 def _(t):
-    """Each customer's orders by key, in a ring: the edge to the first is the one that leads back."""
-    turn = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = t.orders.select(F.col("o_custkey").alias("fn"), F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(turn).alias("dst"))
-    ends = rows.groupBy("fn").agg(F.min("src").alias("entry"), F.max("src").alias("exit"))
-    ring = rows.where("dst IS NOT NULL").union(ends.where("entry <> exit").select("fn", F.col("exit").alias("src"), F.col("entry").alias("dst")))
-    back = control.back_edges(ring, ends.select("fn", F.col("entry").alias("block")))
-    forward = ring.join(back, ["fn", "src", "dst"], "left_anti")
-    nesting = control.loop_nesting(control.simple_paths(forward, ends), rows.select("fn", F.col("src").alias("block")))
-    return back.join(nesting.withColumn("nesting", F.col("nesting").cast("long")), "fn")
+    """Each customer's orders in a ring: the edge to the first leads back."""
+    nodes = B.order_nodes(t)
+    ends = nodes.groupBy("fn").agg(F.min_by("id", "ord").alias("dst"), F.max_by("id", "ord").alias("src")).where("src <> dst")
+    ring = B.order_edges(t).withColumn("kind", F.lit("next")).unionByName(ends.withColumn("kind", F.lit("back")))
+    blocks = nodes.select("fn", F.col("id").alias("block"), (F.col("ord") == 1).alias("is_entry"), (F.col("status") == "F").alias("is_header"))
+    back = control.back_edges(ring).select("fn", F.col("src").alias("block"), F.lit(True).alias("back"))
+    return control.loop_nesting(ring, blocks).join(back, ["fn", "block"], "left").select("fn", "block", "nesting", F.coalesce("back", F.lit(False)).alias("leads_back"))
 
 
 @query(

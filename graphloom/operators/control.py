@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import any_of
 from ..plans.lineage import cut
+from .functions import following, solved
 
 # What code does to the world, by kind.
 EFFECTS = [
@@ -65,29 +66,62 @@ def branch_points(edges: DataFrame) -> DataFrame:
     return edges.groupBy("fn", F.col("src").alias("block")).agg(F.count("*").alias("ways")).where("ways > 1")
 
 
-def back_edges(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """fn, src, dst of edges that lead from a block to one that every way to it has passed; edges: fn, src, dst; entries: fn, block.
+def back_edges(edges: DataFrame) -> DataFrame:
+    """fn, src, dst of edges that lead back to the head of a loop."""
+    return edges.where("kind IN ('back', 'back_edge')").select("fn", "src", "dst")
 
-    A block passes another if it cannot be reached once that one is taken out.  Blocks are
-    few in a function, and all functions and blocks are worked in one loop.
-    """
-    from .flow import trace_value
-
-    some = edges.select("fn", "src", "dst").distinct()
-    every = some.select("fn", F.col("dst").alias("out")).distinct()
-    # for each block taken out: what the entry still reaches
-    starts = every.join(entries, "fn").where("block <> out").select(F.struct("fn", "out").alias("root"), "fn", F.col("block").alias("id"))
-    less = every.join(some, "fn").where("src <> out AND dst <> out").select(F.struct("fn", "out").alias("fn"), "src", "dst")
-    left = trace_value(less, starts.select("root", F.col("root").alias("fn"), "id"), 1 << 20).select(F.col("root.fn").alias("fn"), F.col("root.out").alias("dst"), F.col("id").alias("src")).distinct()
-    first = entries.select("fn", F.col("block").alias("dst"), F.lit(True).alias("is_entry"))
-    # the entry is passed by all
-    return some.join(left, ["fn", "src", "dst"], "left_anti").join(first, ["fn", "dst"], "left").select("fn", "src", "dst")
 
+def loop_nesting(edges: DataFrame, blocks: DataFrame, most: int = 10_000) -> DataFrame:
+    """fn, block, nesting: the most loop headers on a way from the entry to each block, itself not counted; edges: fn, src, dst, kind; blocks: fn, block, is_entry, is_header.
 
-def loop_nesting(paths: DataFrame, headers: DataFrame) -> DataFrame:
-    """fn, nesting: the most loop headers on one simple path; paths: fn, path; headers: fn, block."""
-    held = headers.groupBy("fn").agg(F.collect_set("block").alias("headers"))  # a function's headers
-    return paths.join(held, "fn", "left").groupBy("fn").agg(F.max(F.coalesce(F.size(F.array_intersect("path", "headers")), F.lit(0))).alias("nesting"))
+    Edges that lead back are not followed, nor any that would close a ring.  By joins, for
+    large functions, nesting is what most rounds find.
+    """
+    kind = blocks.schema["block"].dataType.simpleString()
+    forward = edges.where("kind NOT IN ('back', 'back_edge')").select("fn", "src", "dst")
+
+    def solve(own, ways):
+        to, heads, deepest = following(ways), {b.block for b in own if b.is_header}, {}
+        for entry in (b.block for b in own if b.is_entry):
+            # nodes after all that they lead to, without a call for each
+            order, state, stack = [], {entry: 0}, [(entry, iter(to.get(entry, ())))]
+            skipped = set()
+            while stack:
+                at, left = stack[-1]
+                for x in left:
+                    if x not in state:
+                        state[x] = 0
+                        stack.append((x, iter(to.get(x, ()))))
+                        break
+                    if state[x] == 0:
+                        skipped.add((at, x))
+                else:
+                    state[at] = 1
+                    order.append(at)
+                    stack.pop()
+            depth = {entry: 0}
+            for at in reversed(order):
+                for x in to.get(at, ()):
+                    if (at, x) not in skipped:
+                        depth[x] = max(depth.get(x, 0), depth[at] + (at in heads))
+            for x, d in depth.items():
+                deepest[x] = max(deepest.get(x, 0), d)
+        return list(deepest.items())
+
+    def by_joins(own, ways):
+        heads = own.where("is_header").select("fn", F.col("block").alias("src"), F.lit(1).alias("more"))
+        steps = cut(ways.join(heads, ["fn", "src"], "left").select("fn", "src", "dst", F.coalesce("more", F.lit(0)).alias("more")))
+        known = cut(own.where("is_entry").select("fn", "block", F.lit(0).alias("nesting")))
+        for _ in range(most):
+            new = known.withColumnRenamed("block", "src").join(steps, ["fn", "src"]).select("fn", F.col("dst").alias("block"), (F.col("nesting") + F.col("more")).alias("nesting"))
+            both = known.union(new).groupBy("fn", "block").agg(F.max("nesting").alias("nesting"))
+            both = cut(both)
+            if both.join(known, ["fn", "block", "nesting"], "left_anti").isEmpty():
+                break
+            known = both
+        return known
+
+    return solved(blocks.select("fn", "block", "is_entry", "is_header"), forward, solve, f"fn {blocks.schema['fn'].dataType.simpleString()}, block {kind}, nesting int", by_joins)
 
 
 def summaries(functions: DataFrame, flows: DataFrame, effects_: DataFrame, throws: DataFrame, returns: DataFrame, complexity: DataFrame) -> DataFrame:
@@ -114,8 +148,41 @@ def summaries(functions: DataFrame, flows: DataFrame, effects_: DataFrame, throw
     return rows.withColumns({"can_return_null": F.coalesce("can_return_null", no), "can_return_undefined": F.coalesce("can_return_undefined", no), "cyclomatic": F.coalesce("cyclomatic", F.lit(1)), "cognitive": F.coalesce("cognitive", F.lit(0))})
 
 
-def simple_paths(edges: DataFrame, ends: DataFrame, most: int = 100) -> DataFrame:
+def simple_paths(edges: DataFrame, ends: DataFrame, most: int = 100, large: int | None = None) -> DataFrame:
     """fn, path: paths without repeats from entry to exit, at most `most` of a function (the lexically first); edges: fn, src, dst; ends: fn, entry, exit."""
+    kind = ends.schema["entry"].dataType.simpleString()
+
+    def solve(own, ways):
+        out = []
+        to = {a: sorted(held) for a, held in following(ways).items()}
+        for end in own:
+            found, path, on = 0, [end.entry], {end.entry}
+            stack = [iter(() if end.entry == end.exit else to.get(end.entry, ()))]
+            if end.entry == end.exit:
+                out.append(([end.entry],))
+                continue
+            while stack and found < most:
+                x = next(stack[-1], None)
+                if x is None:
+                    stack.pop()
+                    on.discard(path.pop())
+                elif x == end.exit:
+                    out.append(([*path, x],))
+                    found += 1
+                elif x not in on:
+                    path.append(x)
+                    on.add(x)
+                    stack.append(iter(to.get(x, ())))
+        return out
+
+    def by_joins(own, ways):
+        return _paths_by_joins(ways, own, most)
+
+    return solved(ends.select("fn", "entry", "exit"), edges.select("fn", "src", "dst"), solve, f"fn {ends.schema['fn'].dataType.simpleString()}, path array<{kind}>", by_joins, large)
+
+
+def _paths_by_joins(edges: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """simple_paths() by joins; of the paths under way of one length it keeps the lexically first `most`."""
     open_ = cut(ends.select("fn", "exit", F.array("entry").alias("path")))
     done = []
     while True:
@@ -133,10 +200,33 @@ def _first(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy("fn").orderBy("path"))).where(F.col("__r") <= most).drop("__r")
 
 
-def block_depths(edges: DataFrame, entries: DataFrame, nesting: DataFrame) -> DataFrame:
-    """fn, block, depth: nesting blocks before a block on the way it is first reached; edges: fn, src, dst; entries: fn, block; nesting: fn, block."""
+def block_depths(edges: DataFrame, entries: DataFrame, nesting: DataFrame, large: int | None = None) -> DataFrame:
+    """fn, block, depth: nesting blocks before a block on the way it is first reached; edges: fn, src, dst; entries: fn, block; nesting: fn, block.
+
+    Of ways of the same length the one with the fewest nesting blocks counts.
+    """
+    kind = entries.schema["block"].dataType.simpleString()
     opens = nesting.select("fn", F.col("block").alias("src")).distinct().withColumn("more", F.lit(1))
-    steps = cut(edges.join(opens, ["fn", "src"], "left").select("fn", "src", "dst", F.coalesce("more", F.lit(0)).alias("more")))
+    steps = edges.join(opens, ["fn", "src"], "left").select("fn", "src", "dst", F.coalesce("more", F.lit(0)).alias("more"))
+
+    def solve(own, ways):
+        to, depth = following(ways), {n.block: 0 for n in own}
+        level = list(depth)
+        while level:
+            new: dict = {}
+            for at in level:
+                for x, e in to.get(at, {}).items():
+                    if x not in depth:
+                        new[x] = min(new.get(x, 1 << 60), depth[at] + e.more)
+            depth |= new
+            level = list(new)
+        return list(depth.items())
+
+    return solved(entries.select("fn", "block"), steps, solve, f"fn {entries.schema['fn'].dataType.simpleString()}, block {kind}, depth int", _depths_by_joins, large)
+
+
+def _depths_by_joins(entries: DataFrame, steps: DataFrame) -> DataFrame:
+    steps = cut(steps)
     frontier = cut(entries.select("fn", "block", F.lit(0).alias("depth")))
     parts = [frontier]
     while True:
@@ -149,15 +239,41 @@ def block_depths(edges: DataFrame, entries: DataFrame, nesting: DataFrame) -> Da
         frontier = new
 
 
-def param_flows(edges: DataFrame, params: DataFrame) -> DataFrame:
+def param_flows(edges: DataFrame, params: DataFrame, large: int | None = None) -> DataFrame:
     """fn, param, id, sanitized: where parameters flow, over edges of all kinds; edges: fn, src, dst, transform; params: fn, id.
 
     Sanitised where a transform on some shortest way validates, sanitises, escapes or encodes.
+    """
+    kind = params.schema["id"].dataType.simpleString()
+    safe = F.coalesce(F.lower("transform").rlike("validate|sanitize|escape|encode"), F.lit(False))
+    jumps = edges.groupBy("fn", "src", "dst").agg(F.bool_or(safe).alias("safe"))
+
+    def solve(own, ways):
+        to, out = following(ways), []
+        for start in own:
+            known, level = {start.id: False}, [start.id]
+            while level:
+                new: dict = {}
+                for at in level:
+                    for x, e in to.get(at, {}).items():
+                        if x not in known:
+                            new[x] = new.get(x, False) or known[at] or bool(e.safe)
+                known |= new
+                level = list(new)
+            out += [(start.id, x, s) for x, s in known.items() if x != start.id]
+        return out
+
+    schema = f"fn {params.schema['fn'].dataType.simpleString()}, param {kind}, id {kind}, sanitized boolean"
+    return solved(params.select("fn", "id"), jumps, solve, schema, _flows_by_joins, large)
+
+
+def _flows_by_joins(params: DataFrame, jumps: DataFrame) -> DataFrame:
+    """param_flows() by joins.
+
     Jumps of 1, 2, 4 and so on edges extend all that is known, so rounds grow with the
     logarithm of the longest way.
     """
-    safe = F.coalesce(F.lower("transform").rlike("validate|sanitize|escape|encode"), F.lit(False))
-    jumps = cut(edges.groupBy("fn", "src", "dst").agg(F.bool_or(safe).alias("safe")))
+    jumps = cut(jumps)
     parts = [cut(params.select("fn", F.col("id").alias("param"), "id", F.lit(0).cast("long").alias("far"), F.lit(False).alias("sanitized")))]
     while True:
         known = reduce(DataFrame.unionByName, parts)
