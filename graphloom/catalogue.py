@@ -778,7 +778,13 @@ def _(t):
     return runtime.seen_since(runtime.fold(B.runtime_events(t)), 1706000000000).select("session_id", "source_key", "target_key")
 
 
-@query("q4_rate_limit")
+@query(
+    "q4_rate_limit",
+    """WITH RECURSIVE e AS (SELECT session_id AS key, seq, ts_ms FROM rt_events), r(key, start) AS (SELECT key, min(ts_ms) FROM e GROUP BY key
+            UNION ALL SELECT n.key, n.start FROM (SELECT r.key, (SELECT min(e.ts_ms) FROM e WHERE e.key = r.key AND e.ts_ms >= r.start + 86400000) AS start FROM r) n WHERE n.start IS NOT NULL),
+        w AS (SELECT e.key, e.seq, e.ts_ms, max(r.start) AS start FROM e JOIN r ON r.key = e.key AND r.start <= e.ts_ms GROUP BY ALL)
+        SELECT key, seq, row_number() OVER (PARTITION BY key, start ORDER BY ts_ms, seq) <= 2 AS allowed FROM w""",
+)
 def _(t):
     from .streaming import runtime
 

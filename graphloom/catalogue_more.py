@@ -309,7 +309,12 @@ def _(t):
     return files.file_tree(t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("file_path"))).select("path", "depth")
 
 
-@query("k8_sarif")
+_FOUND = r"""SELECT doc_id, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+    WHERE NOT regexp_matches(ltrim(line, ' ' || chr(9)), '^(//|\*|#)') AND (regexp_matches(line, '(?:password|passwd|pwd)\s*[:=]\s*["''][^"'']{8,}["'']') OR regexp_matches(line, '(?:api[_-]?key|apiKey)\s*[:=]\s*["''][A-Za-z0-9_\-]{16,}["'']')
+        OR regexp_matches(line, '(?:secret|token|auth[_-]?token)\s*[:=]\s*["''][A-Za-z0-9_\-/.+=]{16,}["'']'))"""
+
+
+@query("k8_sarif", f"""SELECT '{{"ruleId":"hardcoded_secret","level":"error","locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || doc_id || '"}},"region":{{"startLine":' || pos || '}}}}}}]}}' AS result FROM ({_FOUND})""")
 def _(t):
     rows = text.scan_lines(t.documents.select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content")))
     return files.sarif(rows)
@@ -351,10 +356,9 @@ def _(t):
 # views
 
 
-@query("r2_bm25_in_file", "SELECT p_partkey AS node_id FROM part WHERE p_brand = 'Brand#12' AND contains(lower(' ' || p_name || ' ' || p_type || ' ' || p_brand || ' '), ' small ') ORDER BY 1 LIMIT 100000")
+@query("r2_bm25_in_file", "SELECT p_partkey AS node_id FROM part WHERE p_brand IN ('Brand#12', 'Brand#21', 'Brand#3') AND contains(lower(' ' || p_name || ' ' || p_type || ' ' || p_brand || ' '), ' small ') ORDER BY 1 LIMIT 100000")
 def _(t):
-    docs = B.search_docs(t)
-    return text.bm25(docs, "small", 10_000_000).join(docs.where("file_path = 'Brand#12'").select("node_id"), "node_id", "left_semi").select("node_id")
+    return text.bm25(B.search_docs(t), "small", 10_000_000, F.col("file_path").isin("Brand#12", "Brand#21", "Brand#3")).select("node_id")
 
 
 @query("c2_findings_by_category", "SELECT category, min(rank) AS worst, count(*) AS n FROM gs_findings WHERE rank <= 2 AND (contains(lower(file_path), '1') OR contains(lower(category), '1')) GROUP BY category")

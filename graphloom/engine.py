@@ -41,25 +41,37 @@ class Engine:
         node_id = lambda *c: F.xxhash64(*c)
         blocks, block_edges = python_ast.blocks(facts)
         cc = metrics.cyclomatic(blocks, block_edges)
-        symbols = python_ast.symbols(facts).withColumn("fn", F.concat_ws(":", "file_path", "qualified_name")).join(cc, "fn", "left")
+        flow_nodes, flow_edges = python_ast.data_flow(facts)
+        params = flow_nodes.where("kind = 'param'").groupBy("fn").agg(F.count("*").cast("int").alias("n_params"))
+        symbols = python_ast.symbols(facts).withColumn("fn", F.concat_ws(":", "file_path", "qualified_name")).join(cc, "fn", "left").join(params, "fn", "left")
         test = F.substring_index("file_path", "/", -1).rlike(r"^test_|_test\.py$") & F.col("name").rlike("^test_|^Test")
         named = symbols.select(
             node_id("file_path", "qualified_name").alias("id"), "kind", "name", "qualified_name", "file_path", F.col("line").alias("start_line"), "end_line",
             (~F.col("name").startswith("_")).alias("exported"), test.alias("is_test"), F.col("name").alias("signature"), F.col("cyclomatic").cast("int").alias("cyclomatic"),
+            F.when(F.col("kind") == "method", F.regexp_extract("qualified_name", r"([^.]+)\.[^.]+$", 1)).alias("owner"),
+            F.when(F.col("kind").isin("function", "method"), F.coalesce("n_params", F.lit(0)) - F.when(F.col("kind") == "method", 1).otherwise(0)).alias("n_params"),
         )
         none = F.lit(None)
         whole = sources.select(
             node_id("file_path", F.lit("")).alias("id"), F.lit("file").alias("kind"), F.substring_index("file_path", "/", -1).alias("name"), F.col("file_path").alias("qualified_name"), "file_path",
             F.lit(1).alias("start_line"), none.cast("int").alias("end_line"), F.lit(True).alias("exported"), F.lit(False).alias("is_test"), none.cast("string").alias("signature"), none.cast("int").alias("cyclomatic"),
+            none.cast("string").alias("owner"), none.cast("int").alias("n_params"),
         )
         nodes = cut(whole.unionByName(named).dropDuplicates(["id"]).withColumn("ord", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id")).cast("long")))
         owner = F.regexp_replace("qualified_name", r"\.?[^.]+$", "")
         contains = named.select(node_id("file_path", owner).alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
         made = facts.where("fact = 'call'").select(
-            F.monotonically_increasing_id().alias("call"), "file_path", F.regexp_extract("name", r"([^.]+)$", 1).alias("callee"), node_id("file_path", "owner").alias("src")
-        )
+            "file_path", F.regexp_extract("name", r"([^.]+)$", 1).alias("callee"), F.regexp_extract("name", r"^([A-Za-z_]\w*)\.[^.]+$", 1).alias("receiver"), F.col("detail").cast("int").alias("n_args"),
+            "owner", node_id("file_path", "owner").alias("src"),
+        )
+        # self is of the class that the calling method is in; a name that a class is called into is of that class
+        selves = made.where("receiver IN ('self', 'cls')").select("file_path", F.concat_ws("@", "receiver", "owner").alias("receiver"), F.regexp_extract("owner", r"([^.]+)\.[^.]+$", 1).alias("type")).where("type <> ''")
+        source, target = flow_nodes.where("kind = 'call'").select(F.col("id").alias("src"), F.regexp_extract("code", r"^(?:\w+\.)*([A-Z]\w*)\(", 1).alias("type")), flow_nodes.where("kind = 'assignment'").select(F.col("id").alias("dst"), F.col("code").alias("receiver"))
+        built = flow_edges.join(source, "src").join(target, "dst").where("type <> ''").select("file_path", "receiver", "type")
+        types = selves.unionByName(built).distinct()
+        made = made.withColumn("receiver", F.when(F.col("receiver").isin("self", "cls"), F.concat_ws("@", "receiver", "owner")).otherwise(F.col("receiver"))).drop("owner")
         imported = facts.where("fact = 'import'").select("file_path", F.col("detail").alias("name"), F.regexp_replace("name", r"^[^:]*:", "").alias("qualified_name"))
-        found = lookups.resolve_calls(made, nodes, imported).where("target IS NOT NULL")
+        found = lookups.resolve_calls(made, nodes, imported, types).where("target IS NOT NULL")
         calls = found.select("src", F.col("target").alias("dst"), F.lit("calls").alias("kind"), "confidence")
         bases = facts.where("fact = 'heritage'").select(node_id("file_path", "owner").alias("src"), "name")
         extends = lookups.first_match(bases, "name", nodes.where("kind = 'class'")).where("target IS NOT NULL").select("src", F.col("target").alias("dst"), F.lit("extends").alias("kind"), F.lit(0.9).alias("confidence"))
@@ -167,6 +179,21 @@ class Engine:
             raise ValueError("this graph was made without its sources")
         return text.scan_lines(self.sources.where(files.scannable(F.col("file_path")))).withColumn("fix", control.suggest_fix(F.col("category")))
 
+    def flows(self) -> DataFrame:
+        """fn, source and sink (code and line), category, sanitized, length, severity: untrusted data that reaches what it must not, within Python functions."""
+        if self.sources is None:
+            raise ValueError("this graph was made without its sources")
+        nodes, edges = python_ast.data_flow(cut(python_ast.facts(self.sources)))
+        code, call = F.col("code"), F.col("kind").isin("call", "field", "assignment", "return")
+        marked = nodes.select(
+            "id", "fn", F.col("node").alias("ord"), "code", "line", (rules.first_of(code, rules.SOURCES).isNotNull() & call).alias("is_source"), rules.first_of(code, rules.SINKS).alias("category"),
+            rules.any_of(code, rules.SANITIZERS).alias("is_sanitizer"),
+        ).withColumn("is_sink", F.col("category").isNotNull() & (F.col("code") != ""))
+        marked = cut(marked)
+        found = flow.taint(marked, edges)
+        end = lambda name, *more: marked.select(F.col("id").alias(name), F.col("code").alias(f"{name}_code"), F.col("line").alias(f"{name}_line"), *more)
+        return found.join(end("source"), "source").join(end("sink", "category"), "sink").drop("source", "sink")
+
     def security_score(self) -> DataFrame:
         return metrics.security_score(self.findings())
 

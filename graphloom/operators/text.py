@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import rules
 
 
+def _same(word: str, x: Column) -> Column:
+    return x == word
+
+
 #: Accented letters, and what they are folded to.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
@@ -36,31 +41,35 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("node_id", F.explode(words).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def bm25(docs: DataFrame, query: str, limit: int = 50, among: Column | None = None) -> DataFrame:
     """node_id, score (negative, least is best) of the documents that hold all words of query; k1 = 1.2, b = 0.75.
 
     A word of several tokens is a phrase, which must be adjacent in one of the columns.
+    among: a condition on docs; others count for the statistics only.  Documents are read
+    once for those, one row, and once to be scored, where they lie.
     """
     phrases = query_words(query)
     terms = sorted({x for p in phrases for x in p})
     if not terms:
         return docs.sparkSession.createDataFrame([], "node_id long, score double")
-    post = postings(docs)
-    lengths = post.groupBy("node_id").agg(F.sum("tf").alias("dl"))
-    facts = lengths.agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # one row
-    hits = post.where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(df), "term").join(lengths, "node_id").crossJoin(F.broadcast(facts)).withColumn("w", weight)  # df: a row for each word of the query
-    found = scored.groupBy("node_id").agg((-F.sum("w")).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(terms))
+    columns = ("name", "qualified_name", "file_path")
+    held = F.coalesce(F.col("__words"), F.array().cast("array<string>"))
+    counted = docs.withColumn("__words", F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in columns]))
+    counted = counted.withColumns({"__dl": F.size(held)} | {f"__tf{i}": F.size(F.filter(held, partial(_same, w))) for i, w in enumerate(terms)})
+    facts = counted.agg(F.count("*").alias("__n"), F.avg(F.when(F.col("__dl") > 0, F.col("__dl"))).alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
+    found = counted if among is None else counted.where(among)
+    for i in range(len(terms)):
+        found = found.where(F.col(f"__tf{i}") > 0)
     for p in (p for p in phrases if len(p) > 1):
-        flat = [F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")).contains(" " + " ".join(p) + " ") for c in ("name", "qualified_name", "file_path")]
-        held = flat[0]
-        for x in flat[1:]:
-            held = held | F.coalesce(x, F.lit(False))
-        found = found.join(docs.where(held).select("node_id"), "node_id", "left_semi")
-    return found.select("node_id", "score").orderBy(settled("score"), "node_id").limit(limit)
+        flat = [F.coalesce(F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")).contains(" " + " ".join(p) + " "), F.lit(False)) for c in columns]
+        found = found.where(flat[0] | flat[1] | flat[2])
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
+        idf = F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("__dl") / F.col("__avg")))
+    scored = found.crossJoin(F.broadcast(facts)).select("node_id", (-score).alias("score"))  # one row
+    return scored.orderBy(settled("score"), "node_id").limit(limit)
 
 
 def match(docs: DataFrame, query: str) -> DataFrame:
@@ -83,18 +92,28 @@ def _semantic_tokens(text: Column) -> Column:
 
 
 def tfidf(docs: DataFrame, query: str, limit: int = 50, least: float = 0.01) -> DataFrame:
-    """node_id, score: cosine of raw counts weighed by ln((N + 1) / (df + 1)) + 1; a null qualified name reads "null"."""
-    text = F.concat_ws(" ", "name", F.coalesce("qualified_name", F.lit("null")))
-    tf = docs.select("node_id", F.explode(_semantic_tokens(text)).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
+    """node_id, score: cosine of raw counts weighed by ln((N + 1) / (df + 1)) + 1; a null qualified name reads "null".
+
+    Terms are counted over all documents; only those that share a term with the query are weighed.
+    """
+    asked: dict[str, int] = {}
+    for w in re.split(r"[\s_]+", re.sub("[^a-z0-9_]", " ", query.lower())):
+        if len(w) > 1:
+            asked[w] = asked.get(w, 0) + 1
+    if not asked:
+        return docs.sparkSession.createDataFrame([], "node_id long, score double")
+    words = docs.select("node_id", _semantic_tokens(F.concat_ws(" ", "name", F.coalesce("qualified_name", F.lit("null")))).alias("words"))
     n = docs.agg(F.count("*").alias("n_docs"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weights = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    one = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(_semantic_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    asked = one.join(idf, "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    length = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weights.join(F.broadcast(asked), "term").groupBy("node_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))  # asked: a row for each word of the query
-    scored = dots.join(norms, "node_id").crossJoin(F.broadcast(length)).select("node_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+    query_terms = docs.sparkSession.createDataFrame(list(asked.items()), "term string, qtf int")  # a row for each word of the query
+    weighed = idf.join(F.broadcast(query_terms), "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    length = weighed.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    near = words.where(F.arrays_overlap("words", F.array(*[F.lit(x) for x in asked])))
+    tf = near.select("node_id", F.explode("words").alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
+    w = tf.join(idf, "term").join(F.broadcast(weighed), "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    dots = w.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"))
+    scored = dots.crossJoin(F.broadcast(length)).select("node_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     return scored.where(F.col("score") > least).orderBy(settled("score").desc(), "node_id").limit(limit)
 
 

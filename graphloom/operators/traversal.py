@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, drop
 
 
 def directed(edges: DataFrame, direction: str = "forward") -> DataFrame:
@@ -67,8 +67,10 @@ def blast_buckets(edges: DataFrame, roots: DataFrame, enough: int = 100) -> Data
     frontier = cut(roots.select(F.col("id").alias("root"), "id").distinct())
     rounds = [frontier]
     while True:
-        seen = cut(reduce(DataFrame.unionByName, rounds))
+        before, seen = rounds, cut(reduce(DataFrame.unionByName, rounds))
         rounds = [seen]
+        if len(before) > 1:
+            drop(before[0])  # the frontier, the last of them, is still read
         full = seen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > enough + 1)
         new = frontier.join(full, "root", "left_anti").join(steps, F.col("id") == F.col("at")).select("root", F.col("to").alias("id")).distinct()
         new = cut(new.join(seen, ["root", "id"], "left_anti"))

@@ -38,7 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphloom-cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what cut() wrote for df; nothing may read it any more."""
+    if path := getattr(df, "_cut_path", None):
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete everything that cut() has written; results that were not written elsewhere become invalid."""
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/graphloom-cut")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:

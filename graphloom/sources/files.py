@@ -75,21 +75,24 @@ def scannable(path: Column) -> Column:
 def chunks(files: DataFrame, budget: int = 20 << 20, most: int = 512 << 10) -> DataFrame:
     """files (ord, length) with chunk: files in order fill chunks of budget bytes; larger files than most are left out.
 
-    The greedy cut is a running sum that starts afresh, which no window frame can say; it
-    is a fold over the lengths in order (two numbers a file, in one row).
+    Where a chunk ends depends on where the one before it did, so the lengths, two numbers a
+    file, are read in order by one task, which keeps nothing but the chunk it is filling.
     """
-    kept = files.where(F.col("length") <= most)
-    listed = kept.agg(F.sort_array(F.collect_list(F.struct("ord", "length"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:bigint,chunk:bigint>>").alias("out"))
-
-    def step(s, x):
-        fresh = (s["used"] + x["length"] > budget) & (s["used"] > 0)
-        chunk = F.when(fresh, s["chunk"] + 1).otherwise(s["chunk"])
-        used = F.when(fresh, x["length"]).otherwise(s["used"] + x["length"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(s["out"], F.array(F.struct(x["ord"].alias("ord"), chunk.alias("chunk")))).alias("out"))
-
-    placed = listed.select(F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("p")).select("p.ord", "p.chunk")
-    return kept.join(placed, "ord")
+    kept = files.where(F.col("length") <= most).select("ord", "length")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+    def fill(batches):
+        chunk, used = 0, 0
+        for pdf in batches:
+            out = []
+            for length in pdf["length"].tolist():
+                if used and used + length > budget:
+                    chunk, used = chunk + 1, 0
+                used += length
+                out.append(chunk)
+            yield pdf.assign(chunk=out)
+
+    return kept.repartitionByRange(1, "ord").sortWithinPartitions("ord").mapInPandas(fill, f"{kinds}, chunk long")
 
 
 def snippet(content: Column, line: int | Column, before: int = 3, after: int = 12) -> Column:

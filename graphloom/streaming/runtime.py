@@ -76,20 +76,24 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 def rate_limit(requests: DataFrame, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
     """key, seq, allowed: windows of window_ms begin at a key's first request after the last window ended, and let limit requests pass.
 
-    The windows are anchored, so a key's requests are read in order; keys are dealt over tasks.
+    The windows are anchored, so a key's requests are read in order; keys are dealt over
+    tasks, and a task keeps only the window of the key it is reading.
     """
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "seq"])
-        begin, used, out = None, 0, []
-        for ts in pdf["ts_ms"]:
-            if begin is None or ts - begin >= window_ms:
-                begin, used = ts, 0
-            used += 1
-            out.append(used <= limit)
-        return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "allowed": out})
-
-    return requests.groupBy("key").applyInPandas(run, "key long, seq long, allowed boolean")
+    kind = requests.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        now, begin, used = None, None, 0
+        for pdf in batches:
+            out = []
+            for key, ts in zip(pdf["key"].tolist(), pdf["ts_ms"].tolist(), strict=True):
+                if begin is None or key != now or ts - begin >= window_ms:
+                    now, begin, used = key, ts, 0
+                used += 1
+                out.append(used <= limit)
+            yield pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "allowed": out})
+
+    ordered = requests.select("key", "seq", "ts_ms").repartition("key").sortWithinPartitions("key", "ts_ms", "seq")
+    return ordered.mapInPandas(run, f"key {kind}, seq long, allowed boolean")
 
 
 def sessions(edges: DataFrame, limit: int = 20) -> DataFrame:
