@@ -25,7 +25,7 @@ TOTAL = 1.5
 MOST = 2.0
 SEED = 20_240_617
 #: Buckets of keys for each doubling of the key and each shuffle partition.
-FINE = 8
+FINE = 1
 
 
 def _place() -> Column:
@@ -168,7 +168,7 @@ def _cuts(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     """
     spark = sized.sparkSession
     # A weight only shifts a key's logarithm, whose density stays under 0.37 a unit: so whatever the
-    # weights are, the fullest bucket holds under 0.37 ln(2) / FINE, 3 %, of a partition's share of a source.
+    # weights are, the fullest bucket holds under 0.37 ln(2) / FINE, a quarter, of a partition's share of a source.
     spread = F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * (FINE * common.partitions(spark))).cast("long")
     place = F.struct("key", "doc_id", "rid")
     kind = f"struct<key:double,doc_id:{sized.schema['doc_id'].dataType.simpleString()},rid:struct<file:bigint,row:bigint>>"
