@@ -45,6 +45,19 @@ def ignored(path: Column, patterns) -> Column:
     return out
 
 
+def _small_file(spark: SparkSession, name: str) -> str:
+    """The text of one small file, which may be hidden, as Spark's own readers do not see those; empty if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return ""
+    stream = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def walk(spark: SparkSession, root: str, supported_only: bool = True, ignore=UNWALKED, respect_gitignore: bool = True, extra=(), most: int = 50_000) -> DataFrame:
     """file_path, length, content and language of the files under root that no pattern leaves out, at most `most`, by path; languages are told by path.
 
@@ -55,10 +68,7 @@ def walk(spark: SparkSession, root: str, supported_only: bool = True, ignore=UNW
     path = F.regexp_replace("path", "^file:/*", "/")
     rows = found.select(path.alias("file_path"), "length", F.col("content").cast("string").alias("content"))
     inside = F.expr("substring(file_path, " + str(len(prefix) + 2) + ")")
-    own: list[str] = []
-    if respect_gitignore:
-        text = rows.where(inside == ".gitignore").select("content").first()  # one small file
-        own = text[0].split("\n") if text else []
+    own = _small_file(spark, f"{root.rstrip('/')}/.gitignore").split("\n") if respect_gitignore else []
     rows = rows.where(~ignored(inside, [*ignore, *own, *extra])).withColumn("language", rules.language(F.col("file_path")))
     rows = rows.where("language IS NOT NULL") if supported_only else rows
     chosen = rows.select("file_path").orderBy("file_path").limit(most)
