@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import html
 import itertools
 import json
 import math
@@ -321,6 +322,22 @@ def test_mixing_goes_on_behind_long_documents(spark, monkeypatch, few):
     assert Counter(i for i in pdf(mixing.apply(docs, total=0.4))["doc_id"] if n[i]) == want
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.1, 0.01])
+def test_no_bucket_of_keys_is_crowded(spark, weight):
+    parts = 32
+    buckets = spark.range(40_000).select(F.floor(F.log2(mixing.key(F.col("id"), F.lit(weight))) * (mixing.FINE * parts)).alias("b")).groupBy("b").count()
+    assert buckets.agg(F.max("count")).first()[0] < 1.5 * 0.26 * 40_000 / parts
+
+
+def test_mixing_draws_rows_without_ids_apart(spark):
+    rows = [(None, " ".join(["w"] * 5) + f" {i}", "s") for i in range(400)] + [(None, "same text here", "s")] * 3
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "no-ids")
+    got = pdf(mixing.mix(docs, total=0.3).decisions)
+    goal = 0.3 * got["size"].sum()
+    assert abs(got["taken"].sum() - goal) <= 6 and 80 < (got["copies"] > 0).sum() < 160
+    assert sorted(r["text"] for r in mixing.apply(docs, total=0.3).collect()) == sorted(r["text"] for r in mixing.apply(docs, total=0.3).collect())
+
+
 def test_heavier_documents_are_drawn_sooner(spark):
     frame = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"), mixing.key(F.col("id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0)).alias("k"))
     first = frame.orderBy("k").limit(1000).where("w = 4").count()
@@ -344,6 +361,51 @@ def test_html_main_text(spark):
     assert pdf(html_cut.extract(pages.limit(0), html_cut.train(pages.limit(0)))).empty
 
 
+def weights_of(pages):
+    sums = []
+    for x in pages:
+        told = [b for b in html_cut.parse(x)[0] if b.mark]
+        for sign in (1, -1):
+            own = [html_cut.shape(b) for b in told if (b.mark > 0) == (sign > 0)]
+            sums += [(int(sign > 0), np.mean(own, axis=0).tolist())] if own else []
+    sums.sort()
+    return html_cut.fit(np.array([x for _, x in sums]), np.array([y for y, _ in sums]))
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+
+
+def test_html_against_a_plain_reading(pages):
+    """These pages hold their text in one article; what a cut of the text at its tags gives is what is wanted."""
+    w = weights_of(pages)
+    for x in pages:
+        inside = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", re.search(r"(?s)<article>(.*?)</article>", x)[1])
+        parts = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|section|article)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inside))
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", part)).split()) for part in parts]
+        assert html_cut.main_text(x, w) == "\n\n".join(t for t in plain if t)
+
+
+def test_the_cut_outvotes_names_of_classes(pages):
+    """Share of the text that is kept, and that is right, when markup tells less or something wrong."""
+    w = weights_of(pages)
+    less = lambda x: re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", x)
+    bare = lambda x: re.sub(r"<(/?)(?:article|nav|aside|footer|header)\b", r"<\1div", less(x))
+    wrong = lambda x: re.sub(r"<(p|h1)>", r'<\1 class="promo">', x)
+    for change, least in ((less, 0.99), (bare, 0.9), (wrong, 0.9)):
+        right = said = whole = 0
+        for x in pages:
+            want, got = html_cut.main_text(x, w).split("\n\n"), html_cut.main_text(change(x), w).split("\n\n")
+            right, said, whole = right + sum(len(t) for t in got if t in want), said + sum(map(len, got)), whole + sum(map(len, want))
+        assert right / said > least and right / whole > least
+
+
+def test_deep_pages_take_linear_time():
+    for name in ("div", "b", "x-y"):
+        assert html_cut.main_text(f"<{name}>" * 100_000 + "deep", np.zeros(html_cut.FEATURES)) in ("deep", "")
+
+
 def test_cut_is_least():
     rng = np.random.default_rng(2)
     for _ in range(30):
