@@ -41,7 +41,7 @@ END = b" end"
 #: Most bytes of the model that a worker holds.
 GROUP_BYTES = 256 << 20
 #: Bytes of text for each shard: what a shard counts, and the task that builds it holds, follows from that.
-SHARD_TEXT = 16 << 20
+SHARD_TEXT = 8 << 20
 #: Runs of texts whose questions to one group share a task.
 RUNS_A_TASK = 64
 #: Bits of the filter for each inserted (pair, level), and probes of each.
@@ -254,25 +254,21 @@ def train(docs: DataFrame, *, text_column="text") -> Model:
     built = _counted(docs, text_column, shards).groupBy("shard").applyInPandas(
         build, "shard int, file string, words long, bits long, n long, pairs long, sums array<double>, numbers array<double>"
     )
-    rows = sorted(built.collect(), key=lambda r: r["shard"])  # a row for each shard
-    found = {r["shard"]: r for r in rows}
-    n, v = sum(r["n"] for r in rows), sum(r["words"] for r in rows)
-    sums = np.sum([r["sums"] for r in rows], axis=0) if rows else np.zeros(1)
-    numbers = np.sum([r["numbers"] for r in rows], axis=0) if rows else np.zeros(1)
-    groups, at, size = [], 0, 0
-    for s in range(shards):
-        own = (16 * found[s]["words"] + found[s]["bits"] // 8) if s in found else 0
-        if size and size + own > GROUP_BYTES:
-            groups.append((at, s))
-            at, size = s, 0
-        size += own
-    groups.append((at, shards))
-    layout = [[(s, r["file"], r["words"], r["bits"]) for s in range(a, b) if (r := found.get(s))] for a, b in groups]
+    built = common.stored(built, "lm-shards")
+    totals = built.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "words", "pairs")]).first()
+    # a row for each level of counts
+    bins = built.select(F.posexplode(F.arrays_zip("sums", "numbers")).alias("bin", "b")).groupBy("bin").agg(F.sum("b.sums").alias("sums"), F.sum("b.numbers").alias("numbers")).collect()
+    sums, numbers = (np.array([r[c] for r in bins] or [0.0]) for c in ("sums", "numbers"))
+    # two numbers for each shard decide which shards make a group
+    sizes = built.select("shard", (16 * F.col("words") + F.col("bits") / 8).alias("bytes")).toPandas().sort_values("shard")
+    place = np.concatenate([[0], np.cumsum(sizes["bytes"].to_numpy(float))[:-1]]) // GROUP_BYTES if len(sizes) else np.zeros(0)
+    starts = sizes["shard"].to_numpy()[np.flatnonzero(np.diff(place, prepend=-1.0))].tolist()
+    groups = list(zip([0, *starts[1:]], [*starts[1:], shards], strict=True)) or [(0, shards)]
     files = [f"{path}/group-{i:06d}" for i in range(len(groups))]
-    _pack(spark, files, layout, shards)
+    _pack(built, files, groups)
     from xxhash import xxh3_64_intdigest
 
-    return Model(files, groups, shards, n, v, _beta(sums, numbers, sum(r["pairs"] for r in rows)), xxh3_64_intdigest(END))
+    return Model(files, groups, shards, totals["n"], totals["words"], _beta(sums, numbers, totals["pairs"]), xxh3_64_intdigest(END))
 
 
 def _beta(sums: np.ndarray, numbers: np.ndarray, pairs: int) -> float:
@@ -295,33 +291,39 @@ def _write(path: str, parts: list[bytes]) -> None:
     system.move(part, name)
 
 
-def _pack(spark, files: list[str], layout: list, shards: int) -> None:
-    """One file for each group: all words, all counts, all bits, and a table of bits by shard; a task for each group."""
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in pdf["i"]:
-                system, name = open_fs(files[i])
-                part = f"{name}.{uuid.uuid4().hex}.tmp"
-                system.create_dir(name.rpartition("/")[0], recursive=True)
-                table = np.zeros((shards, 2), "<u8")  # first bit and number of bits
-                with system.open_output_stream(part) as out:
-                    at = 0
-                    for s, _, _, bits in layout[i]:
-                        table[s] = at, bits
-                        at += bits
-                    out.write(np.array([sum(x[2] for x in layout[i]), at, shards], "<u8").tobytes())
-                    out.write(table.tobytes())
-                    for what in range(3):
-                        for _, file, words, bits in layout[i]:
-                            own, path = open_fs(file)
-                            with own.open_input_file(path) as f:
-                                f.seek((0, 8 * words, 16 * words)[what])
-                                out.write(f.read((8 * words, 8 * words, bits // 8)[what]))
-                system.move(part, name)
-                yield pd.DataFrame({"i": [i]})
-
-    spark.createDataFrame([(i,) for i in range(len(files))], "i int").repartition(len(files), "i").mapInPandas(one, "i int").count()
+def _pack(built: DataFrame, files: list[str], groups: list[tuple[int, int]]) -> None:
+    """One file for each group: all words, all counts, all bits, and a table of bits by shard; a task writes a group from its shards' files."""
+    spark = built.sparkSession
+    starts = np.array([a for a, _ in groups])
+
+    @F.pandas_udf("int")
+    def group_of(shard: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, shard.to_numpy(), "right") - 1)
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["file"].notna()].sort_values("shard")
+        system, name = open_fs(files[int(key[0])])
+        part = f"{name}.{uuid.uuid4().hex}.tmp"
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        words, bits = pdf["words"].astype("int64").to_numpy(), pdf["bits"].astype("int64").to_numpy()
+        first, last = groups[int(key[0])]
+        table = np.zeros((last - first, 2), "<u8")  # first bit and number of bits
+        table[pdf["shard"].astype("int64").to_numpy() - first] = np.stack([np.cumsum(bits) - bits, bits], axis=1)
+        with system.open_output_stream(part) as out:
+            out.write(np.array([words.sum(), bits.sum(), len(table)], "<u8").tobytes())
+            out.write(table.tobytes())
+            for what in range(3):
+                for file, w, b in zip(pdf["file"], words.tolist(), bits.tolist(), strict=True):
+                    own, path = open_fs(file)
+                    with own.open_input_file(path) as f:
+                        f.seek((0, 8 * w, 16 * w)[what])
+                        out.write(f.read((8 * w, 8 * w, b // 8)[what]))
+        system.move(part, name)
+        return pd.DataFrame({"g": [int(key[0])]})
+
+    every = spark.createDataFrame([(i,) for i in range(len(files))], "g int")  # groups without a shard have a file too
+    held = every.join(built.select(group_of("shard").alias("g"), "shard", "file", "words", "bits"), "g", "left")
+    held.groupBy("g").applyInPandas(write, "g int").count()
 
 
 class Group:
@@ -355,8 +357,10 @@ class Group:
         """Levels of pairs; 0 for those of other groups or none."""
         out = np.zeros(len(keys), np.uint8)
         shard = shard_of(keys, self.n_shards)
-        first, size = self.table[shard, 0], self.table[shard, 1]
-        alive = np.flatnonzero((shard >= _U(self.first)) & (shard < _U(self.last)) & (size > 0))
+        own = (shard >= _U(self.first)) & (shard < _U(self.last))
+        place = np.where(own, shard - _U(self.first), _U(0))
+        first, size = self.table[place, 0], self.table[place, 1]
+        alive = np.flatnonzero(own & (size > 0))
         level = 1
         while len(alive):
             for i in range(PROBES):
