@@ -11,7 +11,7 @@ from .functions import rules
 from .operators import branches, control, flow, lookups, metrics, modules, schema, text, traversal, views
 from .plans import bindings as B
 from .registry import query
-from .sources import files, git, python_ast
+from .sources import files, git, line_symbols, python_ast
 from .streaming import runtime
 
 # Each rule with a text that it decides, and texts that none does (null).
@@ -543,3 +543,52 @@ def _(t):
     nodes, edges = python_ast.data_flow(python_ast.facts(source))
     code = lambda end: nodes.select(F.col("id").alias(end), F.col("code").alias(f"{end}_code"))
     return edges.join(code("src"), "src").join(code("dst"), "dst").select("file_path", F.col("src_code").alias("src"), F.col("dst_code").alias("dst"), "kind")
+
+
+@query("g20_phi_versions", "WITH n AS (SELECT n.id, n.file_path AS name, n.ord, e.c FROM gp_nodes n JOIN (SELECT dst, count(*) AS c FROM gp_edges GROUP BY dst HAVING count(*) > 1) e ON e.dst = n.id) SELECT id, name, c AS incoming, (SELECT count(*) FROM gp_nodes m WHERE m.file_path = n.name) + row_number() OVER (PARTITION BY name ORDER BY ord) AS version FROM n")
+def _(t):
+    definitions = B.part_nodes(t).select(F.lit(0).alias("fn"), "id", F.col("file_path").alias("name"), "ord")
+    return flow.phi_versions(definitions, B.part_edges(t))
+
+
+@query(
+    "x14_type_environment",
+    """WITH a AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'f' || (o_custkey % 50) WHEN 1 THEN 'f' || (o_custkey % 50) || '.K' ELSE 'f' || (o_custkey % 50) || '.K.m' END AS scope, 'v' || (o_orderkey % 4) AS name, o_orderkey AS ord,
+            CASE o_orderkey % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'array' WHEN 3 THEN 'boolean' END AS type FROM orders),
+        u AS (SELECT o_orderkey AS use, 'f' || (o_custkey % 50) AS f, 'v' || (o_orderkey * 7 % 5) AS name, o_orderkey AS ord FROM orders)
+        SELECT use, coalesce((SELECT arg_max(type, a.ord) FROM a WHERE a.scope = u.f || '.K.m' AND a.name = u.name AND a.ord < u.ord AND type IS NOT NULL), (SELECT arg_max(type, a.ord) FROM a WHERE a.scope = u.f || '.K' AND a.name = u.name AND type IS NOT NULL),
+            (SELECT arg_max(type, a.ord) FROM a WHERE a.scope = u.f AND a.name = u.name AND type IS NOT NULL)) AS type FROM u""",
+)
+def _(t):
+    k, f = F.col("o_orderkey"), F.concat(F.lit("f"), F.col("o_custkey") % 50)
+    scope = F.when(k % 3 == 0, f).when(k % 3 == 1, F.concat(f, F.lit(".K"))).otherwise(F.concat(f, F.lit(".K.m")))
+    said = t.orders.select(scope.alias("scope"), F.concat(F.lit("v"), k % 4).alias("name"), k.alias("ord"), control.literal_type(_pick(k, "template_string", "float", "list", "true", "call")).alias("type"))
+    uses = t.orders.select(k.alias("use"), F.concat(f, F.lit(".K.m")).alias("scope"), F.concat(F.lit("v"), k * 7 % 5).alias("name"), k.alias("ord"))
+    return flow.type_environment(said, uses).select("use", "type")
+
+
+_TEXTS = {
+    "ts": "import { a } from './a';\nimport 'side';\nexport abstract class Box extends Base {\n  constructor(x) {\n  }\n  private async open(x: number): Promise<void> {\n    if (x) {\n    }\n  }\n}\n// class No {}\nexport interface Shape {}\nexport type Id = string;\nexport const run = async (x) => {\n};\nasync function* walk() {}\nconst q = require('q');\nenum Kind { A }\n",
+    "java": "package p;\nimport java.util.List;\nimport static a.B.*;\npublic final class Car {\n    public List<String> drive(int a, int b) throws IOException {\n        return null;\n    }\n}\ninterface Road {\n}\nenum Gear { P }\n",
+    "go": "package main\nimport \"fmt\"\nimport (\n\t\"os\"\n\tx \"a/b\"\n)\ntype Car struct {\n}\ntype Road interface {\n}\ntype Id string\nfunc (c *Car) Drive(a int) error {\n}\nfunc main() {\n}\n",
+}
+_NAMED = [
+    ("ts", "Box", "class", 3), ("ts", "constructor", "constructor", 4), ("ts", "open", "method", 6), ("ts", "Shape", "interface", 12), ("ts", "Id", "type_alias", 13), ("ts", "run", "function", 14), ("ts", "walk", "function", 16), ("ts", "Kind", "enum", 18),
+    ("java", "Car", "class", 4), ("java", "drive", "method", 5), ("java", "Road", "interface", 9), ("java", "Gear", "enum", 11), ("go", "Car", "struct", 7), ("go", "Road", "interface", 9), ("go", "Id", "type_alias", 11), ("go", "Drive", "method", 12), ("go", "main", "function", 14),
+]
+_IMPORTED = [("ts", "./a", 1), ("ts", "side", 2), ("ts", "q", 17), ("java", "java.util.List", 2), ("java", "a.B.*", 3), ("go", "fmt", 2), ("go", "os", 4), ("go", "a/b", 5)]
+
+
+def _texts(t):
+    held = t.spark.createDataFrame(list(_TEXTS.items()), "ext string, content string")  # a row for each language
+    return t.supplier.crossJoin(F.broadcast(held)).select(F.concat(F.lit("src/f"), "s_suppkey", F.lit("."), "ext").alias("file_path"), "content")
+
+
+@query("s6_line_symbols", f"SELECT 'src/f' || s_suppkey || '.' || ext AS file_path, name, kind, CAST(line AS INTEGER) AS line FROM supplier, {_values([(e, n, k, str(at)) for e, n, k, at in _NAMED], 'ext', 'name', 'kind', 'line')}")
+def _(t):
+    return line_symbols.symbols(_texts(t))
+
+
+@query("s6_line_imports", f"SELECT 'src/f' || s_suppkey || '.' || ext AS file_path, source, CAST(line AS INTEGER) AS line FROM supplier, {_values([(e, n, str(at)) for e, n, at in _IMPORTED], 'ext', 'source', 'line')}")
+def _(t):
+    return line_symbols.imports(_texts(t))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import _RISK, _scored
 from .functions import rules
-from .operators import control, lookups, metrics, modules, schema, text, traversal, views
+from .operators import control, lookups, metrics, modules, schema, text, views
 from .plans import bindings as B
 from .registry import query
 from .sources import files, git, python_ast
@@ -250,9 +250,16 @@ def _(t):
     """WITH RECURSIVE e AS (SELECT DISTINCT source_key, target_key FROM rt_events WHERE session_id = 3), r(id, depth) AS (SELECT 'sym:view', 0 UNION SELECT e.target_key, r.depth + 1 FROM r JOIN e ON e.source_key = r.id WHERE r.depth < 6) SELECT id, min(depth) AS depth FROM r GROUP BY id""",
 )
 def _(t):
-    edges = runtime.fold(B.runtime_events(t)).where("session_id = 3").select(F.col("source_key").alias("src"), F.col("target_key").alias("dst"), "kind")
-    seed = t.spark.createDataFrame([("sym:view",)], "id string")
-    return traversal.trace(edges, seed, 5)[0].select("id", F.col("depth").cast("int").alias("depth"))
+    return runtime.trace(runtime.fold(B.runtime_events(t)), 3, " VIEW ")[0].select("id", F.col("depth").cast("int").alias("depth"))
+
+
+@query(
+    "g7_runtime_edges",
+    """WITH RECURSIVE w AS (SELECT source_key AS src, target_key AS dst, count(*) AS weight FROM rt_events WHERE session_id = 3 GROUP BY ALL), r(id, depth) AS (SELECT 'sym:view', 0 UNION SELECT w.dst, r.depth + 1 FROM r JOIN w ON w.src = r.id WHERE r.depth < 5)
+        SELECT src, dst, weight, 'observed' AS source FROM w WHERE src IN (SELECT id FROM r)""",
+)
+def _(t):
+    return runtime.trace(runtime.fold(B.runtime_events(t)), 3, "view")[1].select("src", "dst", "weight", "source")
 
 
 @query("q3_sessions", "SELECT session_id, count(*) AS edges, CAST(sum(n) AS BIGINT) AS hits, max(l) AS last_seen_ms FROM (SELECT session_id, source_key, target_key, count(*) AS n, arg_max(ts_ms, seq) AS l FROM rt_events GROUP BY ALL) GROUP BY session_id ORDER BY last_seen_ms DESC, session_id LIMIT 20")

@@ -162,3 +162,27 @@ def with_bootstrap(stored: DataFrame, made: DataFrame, now_ms: int) -> DataFrame
     return rows.groupBy(*KEY).agg(
         F.when(observed, "observed").otherwise("bootstrapped").alias("source_type"), F.sum("hit_count").alias("hit_count"), F.min_by("first_seen_ms", "__new").alias("first_seen_ms"), F.max_by("last_seen_ms", "__new").alias("last_seen_ms")
     )
+
+
+def trace(edges: DataFrame, session, symbol: str, depth: int = 5, direction: str = "forward", since_ms: int | None = None, kinds: tuple[str, ...] | None = None, observed_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, depth) and edges (src, dst, kind, weight, source) that a session saw from a symbol on.
+
+    edges: KEY columns, hit_count, last_seen_ms and, where known, source_type.  The search
+    begins at the keys whose symbol is symbol in any case, without white space around it.
+    since_ms: older edges are left out; source is observed, bootstrapped or mixed.
+    """
+    from ..operators import traversal
+
+    some = edges.where(F.col("session_id") == session)
+    some = some if "source_type" in edges.columns else some.withColumn("source_type", F.lit("observed"))
+    if since_ms is not None:
+        some = seen_since(some, since_ms)
+    if observed_only:
+        some = some.where("source_type = 'observed'")
+    ways = some.select(F.col("source_key").alias("src"), F.col("target_key").alias("dst"), "kind", "hit_count", "source_type")
+    q = symbol.strip().lower()
+    keys = ways.select(F.col("src").alias("id")).union(ways.select("dst")).distinct()
+    seeds = keys.where(F.lower(F.trim(F.regexp_replace("id", "^(?:sym|node):", ""))) == q)
+    nodes, used, _ = traversal.trace(ways.select("src", "dst", "kind"), seeds, depth, direction, kinds)
+    weights = ways.groupBy("src", "dst", "kind").agg(F.sum("hit_count").alias("weight"), F.count_distinct("source_type").alias("__n"), F.min("source_type").alias("source"))
+    return nodes, used.join(weights, ["src", "dst", "kind"]).select("src", "dst", "kind", "weight", F.when(F.col("__n") > 1, "mixed").otherwise(F.col("source")).alias("source"))

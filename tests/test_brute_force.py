@@ -307,6 +307,38 @@ def test_python_code_gives_flows(spark):
     assert {("a", "b"), ("b", "c"), ("b", "d"), ("c", "g(c)"), ("g(c)", "h"), ("d", "h.x")} <= got and ("f", "z") not in code.values()
 
 
+def test_python_control_flow(spark):
+    source = """def f(a):
+    for x in a:
+        if x:
+            break
+        continue
+    else:
+        a = 1
+    match a:
+        case 1:
+            return 1
+        case [b]:
+            pass
+        case _:
+            raise E
+    try:
+        return 2
+    except E:
+        return 3
+    finally:
+        done()
+"""
+    blocks, edges = python_ast.blocks(python_ast.facts(spark.createDataFrame([("p.py", source)], "file_path string, content string")))
+    kind = {r["ord"]: r["kind"] for r in blocks.collect()}
+    got = Counter((kind[r["src"]], kind[r["dst"]], r["kind"]) for r in edges.collect())
+    assert got == Counter({
+        ("entry", "loop_header", "next"): 1, ("loop_header", "loop_body", "true"): 1, ("loop_header", "loop_exit", "false"): 1, ("loop_body", "branch", "next"): 1, ("branch", "then", "true"): 1, ("branch", "else", "false"): 1, ("then", "loop_exit", "break"): 1,
+        ("else", "merge", "next"): 1, ("merge", "loop_header", "back"): 1, ("loop_exit", "branch", "next"): 1, ("branch", "switch_case", "case"): 3, ("switch_case", "return", "next"): 1, ("switch_case", "merge", "next"): 1, ("switch_case", "throw", "next"): 1,
+        ("return", "exit", "exit"): 3, ("throw", "exit", "exit"): 1, ("merge", "try", "next"): 1, ("try", "return", "next"): 1, ("try", "catch", "exception"): 1, ("catch", "return", "next"): 1, ("try", "finally", "exception"): 1, ("finally", "exit", "exit"): 1,
+    })
+
+
 def test_conflicts_of_two_branches(spark):
     items = [
         ("a", "file", "f1", None), ("b", "file", "f1", None), ("a", "symbol_added", "s", None), ("b", "symbol_modified", "s", None), ("a", "signature_changed", "g", None), ("a", "summary_changed", "s", None), ("a", "summary_changed", "t", None),
