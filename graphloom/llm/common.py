@@ -61,7 +61,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what stored() wrote for df; nothing may read it any more."""
+    if name := getattr(df, "_stored_path", None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def located(docs: DataFrame) -> DataFrame:

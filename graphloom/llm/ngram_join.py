@@ -255,15 +255,17 @@ def components(edges: DataFrame) -> DataFrame:
     a component's length; nothing but the number of changes reaches the driver.
     """
     both = common.stored(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct(), "edges")
-    labels = common.stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
+    labels = held = common.stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
         far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
         new = labels.join(near, "id").join(far, "label", "left").select("id", F.col("label").alias("old"), F.least("label", "near", "far").alias("label"))
         new = common.stored(new, "labels")
+        common.drop(held)
         done = new.where("label <> old").isEmpty()
-        labels = new.select("id", "label")
+        labels, held = new.select("id", "label"), new
         if done:
+            common.drop(both)
             return labels
 
 
