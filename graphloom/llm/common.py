@@ -126,10 +126,17 @@ def cleanup(spark: SparkSession) -> None:
 def trimmed(batches):
     """batches, and when they end, what the Python worker has freed goes back to the machine: workers live on between tasks."""
     yield from batches
+    release()
+
+
+def release() -> None:
+    """Give memory that Python has freed back to the machine."""
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
