@@ -40,14 +40,15 @@ from .tokens import runs
 END = b" end"
 #: Most bytes of the model that a worker holds.
 GROUP_BYTES = 256 << 20
-#: Bytes of text for each shard: what a shard counts, and the task that builds it holds, follows from that.
-SHARD_TEXT = 8 << 20
+#: Most bytes of text for each shard (what a shard counts, and the task that builds it holds, follows from that), and
+#: least shards for each shuffle partition, so that tasks get about as many.
+SHARD_TEXT, SHARDS_A_TASK = 32 << 20, 4
 #: Runs of texts whose questions to one group share a task.
 RUNS_A_TASK = 64
 #: Bits of the filter for each inserted (pair, level), and probes of each.
 BITS, PROBES = 8, 5
 #: Words a worker remembers, and counts a task holds before it hands them on.
-MEMO, HELD = 400_000, 5_000_000
+MEMO, HELD = 400_000, 3_000_000
 
 _U = np.uint64
 
@@ -219,7 +220,7 @@ def train(docs: DataFrame, *, text_column="text") -> Model:
     """Count all of docs' texts. Null texts are empty; an empty table gives a model that knows nothing."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_column).cast("long"))).first()[0] or 0
-    shards = max(common.partitions(spark), -(-size // SHARD_TEXT))
+    shards = max(SHARDS_A_TASK * common.partitions(spark), -(-size // SHARD_TEXT))
     path = common.work_path(spark, "lm")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
