@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import _RISK, _scored
-from .functions import rules
 from .operators import control, lookups, metrics, modules, schema, text, views
 from .plans import bindings as B
 from .registry import query
