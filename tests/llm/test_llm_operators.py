@@ -700,6 +700,29 @@ def test_toxicity_as_registered(spark):
     assert abs(model.score("vile " * 100_000) - 1 / (1 + math.exp(-1.5))) < 1e-9
 
 
+REGISTERED = {
+    "op2_id_files": ("documents", {"doc_id", "start", "n_tokens", "ids_crc32"}), "op3_best_fit_packing": (None, {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}),
+    "op7_quote_linking": ("conversations", {"conv_id", "turn", "parent_turn", "position", "text"}), "op8_mix_sources": ("documents", {"doc_id", "size", "source_size", "target", "taken"}),
+    "op9_html_min_cut": ("pages", {"page_id", "url", "text", "n_chars"}), "op10_ngram_jaccard_join": ("documents", {"doc_id", "class_id", "links"}),
+}
+
+
+@pytest.mark.parametrize("name", REGISTERED)
+def test_registered_queries_cover_their_tables(spark, tokenizer, name):
+    folder = "/root/testdata/sf0.001"
+    got, (table, columns) = pdf(queries.queries()[name](spark, folder)), REGISTERED[name]
+    assert columns <= set(got.columns)
+    if table:
+        assert len(got) == spark.read.parquet(f"{folder}/{table}.parquet").count()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    if name == "op2_id_files":
+        assert all(zlib.crc32(np.array(encode(tokenizer, docs[r.doc_id]), "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
+    if name == "op3_best_fit_packing":
+        assert got.groupby("doc_id")["length"].sum().to_dict() == {i: len(encode(tokenizer, t)) for i, t in docs.items()} and got.groupby("sequence_id")["length"].sum().max() <= 1024
+    if name == "op10_ngram_jaccard_join":
+        assert Counter((int(r.doc_id), int(r.class_id), r.links) for r in got.itertuples()) == brute_join(list(docs.items()))
+
+
 def test_registered_on_small_tables(spark):
     got = queries.op6_lm_scoring(spark, "/root/testdata/sf0.001").toPandas()
     assert json.dumps(sorted(got.columns)) == json.dumps(sorted(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
