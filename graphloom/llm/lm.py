@@ -245,6 +245,7 @@ def train(docs: DataFrame, *, text_column="text") -> Model:
         _write(file, [words.tobytes(), word_counts.astype("<u8").tobytes(), np.packbits(flags, bitorder="little").tobytes()])
         bins = np.searchsorted(LEVELS, word_counts, "right")
         sums, numbers = np.bincount(bins, word_counts, len(LEVELS) + 1), np.bincount(bins, minlength=len(LEVELS) + 1)
+        common.release()
         return pd.DataFrame(
             {
                 "shard": [shard], "file": [file], "words": [len(words)], "bits": [bits], "n": [int(word_counts.sum())],
@@ -429,7 +430,7 @@ def score(docs: DataFrame, model: Model, *, text_column="text") -> DataFrame:
 
     def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(_group(model.files[0], tuple(model.shards[0]), model.n_shards))
-        for pdf in batches:
+        for pdf in common.trimmed(batches):
             texts = pdf[text_column].tolist()
             for run in runs(texts):
                 yield pdf.iloc[run][rest].reset_index(drop=True).assign(**_finish(model, ends, *reader.read(texts[run])))
