@@ -441,7 +441,7 @@ def score(docs: DataFrame, model: Model, *, text_column="text") -> DataFrame:
 def _from_groups(docs: DataFrame, model: Model, text_column: str, ends: int) -> DataFrame:
     """__file, __row and the results for each row of docs, located(), by a model of several groups.
 
-    A run is about four million characters of neighbouring texts, so what is known of one
+    A run is about two million characters of neighbouring texts, so what is known of one
     fits a task however large the corpus is.
     """
     end = _U(model.end)

@@ -22,13 +22,13 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-MEMO = 700_000
+MEMO = 600_000
 #: Pieces that are encoded in one string.
 JOIN = 1000
 #: Characters of one text encoded at a time.
 SLICE = 1 << 22
 #: Characters whose ids a caller holds at a time.
-RUN = 1 << 22
+RUN = 1 << 21
 
 #: Marks a text's first piece; no piece holds a space itself.
 _FIRST = " first "
