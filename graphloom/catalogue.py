@@ -713,6 +713,16 @@ def _(t):
     return branches.matrix(branches.detect(B.branch_items(t)))
 
 
+@query(
+    "b12_worst_pairs",
+    f"""WITH {_CONFLICTS}, top AS (SELECT branch_a, branch_b FROM cf WHERE level = 2 AND n >= 3 ORDER BY n DESC, branch_a, branch_b LIMIT 200)
+        SELECT branch_a, branch_b, {", ".join(f"CAST(coalesce(sum(n) FILTER (level = {i}), 0) AS BIGINT) AS {c}" for i, c in enumerate(("files", "symbols", "signatures", "summaries", "fields"), 1))}
+        FROM cf JOIN top USING (branch_a, branch_b) GROUP BY ALL""",
+)
+def _(t):
+    return branches.worst(B.branch_items(t), 200, 3)
+
+
 _SOURCE = "'f(' || o_orderstatus || ')' || repeat(chr(10) || 'x', CAST(o_custkey % 4 AS INTEGER))"
 
 
