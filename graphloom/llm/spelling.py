@@ -53,7 +53,7 @@ def bigram_order(vocabulary: DataFrame) -> dict[str, int]:
     return {r["gram"]: i for i, r in enumerate(sorted(rows, key=lambda r: (r["count"], r["gram"])))}
 
 
-_KEYS = "key long, short boolean, pos int, word string, n long"
+_KEYS = "key long, short boolean, pos int, odd long, word string, n long"
 
 
 def _mixed(h: np.ndarray, gram: np.ndarray, half: int, length: int) -> np.ndarray:
@@ -77,6 +77,7 @@ def _keys(order: np.ndarray, min_length: int):
         kept = np.take_along_axis(gram, pos, axis=1)
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(length, base)]))
         wide = letters.astype(np.uint64)
+        odd = np.bitwise_xor.reduce(np.uint64(1) << (wide & np.uint64(63)), axis=1).view(np.int64)
         for short, of in ((True, length), (False, length - 1)):
             if of < min_length:
                 continue  # no word is that short
@@ -85,8 +86,8 @@ def _keys(order: np.ndarray, min_length: int):
                 h = (part * power[: part.shape[1]]).sum(axis=1, dtype=np.uint64)
                 for j in range(PREFIX):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_mixed(h, kept[:, j], half, of)), pa.array(np.full(len(names), short)), pa.array(pos[:, j].astype(np.int32)), some["word"].combine_chunks(), some["n"].combine_chunks()],
-                        names=["key", "short", "pos", "word", "n"],
+                        [pa.array(_mixed(h, kept[:, j], half, of)), pa.array(np.full(len(names), short)), pa.array(pos[:, j].astype(np.int32)), pa.array(odd), some["word"].combine_chunks(), some["n"].combine_chunks()],
+                        names=["key", "short", "pos", "odd", "word", "n"],
                     )
 
     def run(batches):
@@ -110,11 +111,12 @@ def near_pairs(vocabulary: DataFrame, min_length: int = 7) -> DataFrame:
     for gram, i in bigram_order(vocabulary).items():
         place[ord(gram[0]) * 256 + ord(gram[1])] = i
     keys = common.stored(vocabulary.select("word", F.col("n").cast("long").alias("n")).mapInArrow(_keys(place, min_length), _KEYS), "bigram-keys")
-    a = keys.where("short").select("key", F.col("pos").alias("pa"), F.col("word").alias("a"), F.col("n").alias("na"))
-    b = keys.select("key", F.col("short").alias("same"), F.col("pos").alias("pb"), F.col("word").alias("b"), F.col("n").alias("nb"))
+    a = keys.where("short").select("key", F.col("pos").alias("pa"), F.col("odd").alias("oa"), F.col("word").alias("a"), F.col("n").alias("na"))
+    b = keys.select("key", F.col("short").alias("same"), F.col("pos").alias("pb"), F.col("odd").alias("ob"), F.col("word").alias("b"), F.col("n").alias("nb"))
     # of words as long as each other a bigram keeps its place; in a longer one it may come one later
     placed = F.expr("(same AND pa = pb AND a < b) OR (NOT same AND pb - pa BETWEEN 0 AND 1)")
-    near = F.levenshtein("a", "b", 1) == 1
+    # odd has a bit for each letter that a word has an odd number of times; an edit turns two at most
+    near = F.expr("bit_count(oa ^ ob) <= 2") & (F.levenshtein("a", "b", 1) == 1)
     return a.join(b, (a["key"] == b["key"]) & placed & near).select("a", "na", "b", "nb").distinct()
 
 
