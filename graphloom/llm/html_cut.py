@@ -31,28 +31,36 @@ from . import common
 TRAIN_PAGES = 2000
 #: Smoothness between blocks in a row and between an element and what it holds.
 NEXT, DOM = 0.6, 0.4
+#: That between a heading and the block after it, if one element holds both: a heading goes with what it heads.
+HEADED = 8.0
 #: Most that the classifier gives a block; what an element's kind adds to it, and what a class name does.
 SHAPE, MARKED, NAMED = 4.0, 6.0, 3.0
 
 # Element names and words of class, id and role.
-SKIPPED = frozenset("head script style noscript template iframe svg math canvas object embed audio video select option textarea button".split())
+SKIPPED = frozenset("head script style noscript template iframe svg canvas object embed audio video select option textarea button annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr img br".split())
+#: Formulas are text: their elements hold parts of a line.
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT = frozenset("article main".split())
 NEGATIVE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|side|sidebar|menu|nav|navbar|navigation|breadcrumb\w*|footer|foot|header|masthead|cookie\w*"
     r"|consent|gdpr|notice|notification|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|form|widget\w*|toolbar"
-    r"|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|dialog)(?:$|[\s_-])",
+    r"|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|dialog|discussion|reviews?)(?:$|[\s_-])",
     re.I,
 )
-REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|discussion|disqus|reviews?)(?:$|[\s_-])", re.I)
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|disqus)(?:$|[\s_-])", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|story|entry|maintext|articlebody)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S
 )
+#: An attribute's value, and the attribute hidden once values are gone.
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|$)", re.I)
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -75,6 +83,7 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
     parts: list[str] = []
     linked = [0, 0]  # characters in links, open links
     owner = 0
+    endless: set[str] = set()  # elements without an end tag from here on
 
     def flush():
         nonlocal parts
@@ -108,6 +117,8 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
         if m["name"] is None:
             continue
         name = m["name"].lower()
+        if name in MATH:
+            continue
         if m["close"]:
             if name == "br" or not opened[name]:
                 continue
@@ -125,13 +136,17 @@ def parse(html: str) -> tuple[list[Block], list[int]]:
                 flush()
             continue
         if name in RAW or name in SKIPPED:
-            # skip all it holds
-            ends = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if name in RAW or name in ("svg", "math", "select", "button", "object", "canvas", "audio", "video"):
+            # skip all it holds; an end tag that was not found is not looked for again
+            ends = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if ends is None:
+                endless.add(name)
+            if name in RAW or name in ("svg", "select", "button", "object", "canvas", "audio", "video"):
                 at = ends.end() if ends else (end if name in RAW else at)
                 continue
             if name == "head":
-                body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
+                body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at) if "body" not in endless else None
+                if body is None:
+                    endless.add("body")
                 at = body.start() if body else at
                 continue
             at = ends.end() if ends else at
@@ -184,7 +199,7 @@ def _mark(name: str, attrs: dict, raw: str, above: int, above_named: bool) -> tu
     said = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
     if REMARKS.search(said) and name != "body":
         return -2, False
-    if attrs.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", raw) or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+    if attrs.get("aria-hidden") == "true" or ("hidden" in raw.lower() and _HIDDEN.search(_VALUE.sub("= ", raw))) or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return -3, False
     if name in CONTENT or attrs.get("role") in CONTENT:
         return 1, False
@@ -320,6 +335,10 @@ def label(blocks: list[Block], parents: list[int], weights: np.ndarray) -> list[
     z = np.clip(x @ weights, -SHAPE, SHAPE) + said * mark
     if told:  # the page marks its content: what lies outside is likely none
         z = z - np.where(mark == 0, NAMED, 0.0)
+    # a heading is what it heads: its own score must not drag the other out
+    heads = {i for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False)) if a.tag in HEADINGS and b.tag not in HEADINGS and a.mark == b.mark and parents[a.element] in (parents[b.element], b.element)}
+    at = sorted(heads)
+    z[at] = np.clip(z[at], -1, 1)
     n = len(blocks)
     # nodes: blocks, then the elements that hold any, then the terminals
     held: dict[int, int] = {}
@@ -335,8 +354,8 @@ def label(blocks: list[Block], parents: list[int], weights: np.ndarray) -> list[
         flow.add(i, t, float(np.logaddexp(0, -score)))  # cost of calling it content
         flow.add(i, held[blocks[i].element], DOM, DOM)
         if i:
-            near = blocks[i].mark == blocks[i - 1].mark
-            flow.add(i - 1, i, NEXT if near else NEXT / 4, NEXT if near else NEXT / 4)
+            near = HEADED if i - 1 in heads else NEXT if blocks[i].mark == blocks[i - 1].mark else NEXT / 4
+            flow.add(i - 1, i, near, near)
     for e, node in held.items():
         if parents[e] in held:
             flow.add(node, held[parents[e]], DOM, DOM)

@@ -401,9 +401,42 @@ def test_the_cut_outvotes_names_of_classes(pages):
         assert right / said > least and right / whole > least
 
 
-def test_deep_pages_take_linear_time():
+LONG = "This is a whole sentence of an article, and it goes on for long enough. "
+
+
+def test_nothing_of_an_article_is_lost(pages):
+    w = weights_of(pages)
+    read = lambda x: html_cut.main_text(x, w)
+    said = [f"{i} {LONG * 2}".strip() for i in range(4)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in said)
+    whole = "\n\n".join(said)
+    nav = "<nav><a href=a>Home</a> <a href=b>All</a></nav>"
+    # the word hidden in a value hides nothing; as an attribute it does
+    for attrs in ('title="a hidden gem"', "alt='hidden'", 'data-x="x hidden y"', "title = hidden", 'title="" data-hidden="1"'):
+        assert read(f"{nav}<article><p {attrs}>{said[0]}</p>{paragraphs}</article>") == said[0] + "\n\n" + whole
+    for attrs in ("hidden", 'class="x" hidden', "hidden=''", 'HIDDEN="until-found" title="a"', 'title="a"hidden'):
+        assert read(f"{nav}<article><p {attrs}>{said[0]}</p>{paragraphs}</article>") == whole
+    # reviews are articles too; readers' comments are not
+    for name in ("review", "reviews", "discussion"):
+        assert read(f'{nav}<article><h1>A book</h1><div class="{name}">{paragraphs}</div></article>') == "A book\n\n" + whole
+    assert read(f'{nav}<article>{paragraphs}<div class="comments"><p>{LONG}</p></div></article>') == whole
+    # formulas stay in their line
+    math = "<math><mrow><mi>E</mi><mo>=</mo><msup><mi>mc</mi><mn>2</mn></msup></mrow><annotation>E=mc^2</annotation></math>"
+    assert read(f"{nav}<article><p>Energy is {math} and so on, as {LONG}</p>{paragraphs}</article>") == f"Energy is E=mc2 and so on, as {LONG}".strip() + "\n\n" + whole
+    # a heading stays with what it heads
+    assert read(f'{nav}<article>{paragraphs}<section id="related-work"><h2>Related work</h2>{paragraphs}</section></article>') == f"{whole}\n\nRelated work\n\n{whole}"
+    assert read(f'{nav}<article>{paragraphs}<section class="related"><h2>Related</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></section></article>') == whole
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
     for name in ("div", "b", "x-y"):
         assert html_cut.main_text(f"<{name}>" * 100_000 + "deep", np.zeros(html_cut.FEATURES)) in ("deep", "")
+    for name in ("svg", "select", "button", "video", "head", "embed", "annotation", "math"):
+        began = time.process_time()
+        html_cut.parse(f"<{name}> a " * 60_000)
+        assert time.process_time() - began < 10
 
 
 def test_cut_is_least():
