@@ -718,6 +718,42 @@ def test_bounds_leave_most_pairs_of_clustered_vectors_out():
     assert total <= evaluated
 
 
+@pytest.mark.parametrize("prior, shift", [(0.1, -1.0), (0.4, 0.5), (0.9, -2.0), (0.9, -6.0)])
+def test_risk_and_its_gradient_against_plain_sums(prior, shift):
+    rng = np.random.default_rng(6)
+    k, texts_p, texts_u = 7, [set(rng.choice(7, 3).tolist()) for _ in range(9)], [set(rng.choice(7, 2).tolist()) for _ in range(15)]
+    matrix = lambda texts: (np.array([c for t in texts for c in sorted(t)]), np.array([i for i, t in enumerate(texts) for _ in t]), len(texts))
+    w, b, decay = rng.normal(size=k), shift, 0.01
+
+    def plain(w, b):
+        f = lambda t: b + sum(w[c] for c in t)
+        loss = lambda z: math.log(1 + math.exp(-z))
+        mean = lambda x: sum(x) / len(x)
+        rest = mean([loss(-f(t)) for t in texts_u]) - prior * mean([loss(-f(t)) for t in texts_p])
+        ridge = decay / 2 * sum(x * x for x in w)
+        return prior * mean([loss(f(t)) for t in texts_p]), rest, ridge
+
+    first, rest, ridge = plain(w, b)
+    value, step = toxicity.risk(w, b, matrix(texts_p), matrix(texts_u), prior, decay)
+    assert value == pytest.approx(first + max(0, rest) + ridge)
+    sign = 1 if rest >= 0 else -1  # below nothing that part is turned round
+    for j in range(k + 1):
+        e = np.zeros(k + 1)
+        e[j] = 1e-5
+        at = lambda d: (lambda x: x[0] + sign * x[1] + x[2])(plain(w + d[:-1], b + d[-1]))  # noqa: E731, B023
+        assert step[j] == pytest.approx((at(e) - at(-e)) / 2e-5, abs=1e-7)
+
+
+def test_fitting_lowers_the_risk_and_finds_planted_features():
+    rng = np.random.default_rng(8)
+    draw = lambda toxic: np.unique(np.append(rng.choice(np.arange(10, 60), 12), [1, 2] if toxic and rng.random() < 0.9 else [])).astype(np.uint32)
+    positive, unlabelled = [draw(True) for _ in range(200)], [draw(rng.random() < 0.2) for _ in range(800)]
+    model = toxicity.fit(positive, unlabelled, 0.2)
+    assert min(model.weights.get(1, 0), model.weights.get(2, 0)) > max(abs(x) for f, x in model.weights.items() if f > 2)
+    test = [(draw(y), y) for y in (rng.random(400) < 0.2)]
+    assert np.mean([(model.of(x.tolist()) >= 0.5) == y for x, y in test]) > 0.93
+
+
 def test_toxicity_as_registered(spark):
     folder = "/root/testdata/sf0.01"
     got = pdf(queries.op5_toxicity(spark, folder)).set_index("doc_id")
