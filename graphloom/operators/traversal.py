@@ -1,7 +1,8 @@
-"""Breadth-first traversals as loops of joins; every round's new nodes are checkpointed.
+"""Breadth-first traversals as loops of joins; every round's new nodes are written.
 
-A round joins the frontier with the edges and keeps what was not visited before, so the
-work of a round follows the frontier's edges, and only its emptiness reaches the driver.
+Edges are written once, bucketed by the node they leave (plans.adjacency), so a round moves
+its frontier only and reads the buckets that have its nodes.  Only whether a round found
+anything, and the nodes of small frontiers, reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, drop
+from ..plans.adjacency import Adjacency
+from ..plans.lineage import cut
+from .reachability import ancestors
 
 
 def directed(edges: DataFrame, direction: str = "forward") -> DataFrame:
@@ -21,25 +24,31 @@ def directed(edges: DataFrame, direction: str = "forward") -> DataFrame:
     return {"forward": out, "backward": back, "both": out.unionByName(back)}[direction]
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int | None = None, direction: str = "forward", kinds: tuple[str, ...] | None = None) -> DataFrame:
+def steps_of(edges: DataFrame, direction: str = "forward", kinds: tuple[str, ...] | None = None) -> Adjacency:
+    """at, to: edges of these kinds, written for the rounds of reach()."""
+    some = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+    return Adjacency(directed(some, direction).select("at", "to"))
+
+
+def reach(edges: DataFrame | Adjacency, roots: DataFrame, depth: int | None = None, direction: str = "forward", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """root, id, depth for every node that roots (root, id) reach, themselves included at depth 0.
 
-    depth None: until nothing new is found.  Cycles and parallel edges are harmless.
+    depth None: until nothing new is found.  Cycles and parallel edges are harmless.  Edges
+    may be those that steps_of() has written; direction and kinds are then its own.
     """
-    some = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
-    steps = cut(directed(some, direction).select("at", "to").distinct())
+    steps = edges if isinstance(edges, Adjacency) else steps_of(edges, direction, kinds)
     frontier = cut(roots.select("root", "id").distinct().withColumn("depth", F.lit(0)))
     rounds = [frontier]
-    level = 0
-    while depth is None or level < depth:
+    n, level = frontier.count(), 0
+    while n and (depth is None or level < depth):
         level += 1
         seen = reduce(DataFrame.unionByName, rounds).select("root", "id")
-        new = frontier.join(steps, frontier["id"] == steps["at"]).select("root", F.col("to").alias("id")).distinct()
-        new = cut(new.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(level)))
-        if new.isEmpty():
-            break
-        rounds.append(new)
-        frontier = new
+        new = steps.around(frontier.select("root", "id"), n).select("root", F.col("to").alias("id")).distinct()
+        frontier = cut(new.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(level)))
+        n = frontier.count()
+        rounds.append(frontier)
+    if steps is not edges:
+        steps.drop()
     return reduce(DataFrame.unionByName, rounds)
 
 
@@ -56,30 +65,15 @@ def transitive_callers(edges: DataFrame, roots: DataFrame, max_depth: int = 10)
 
 
 def count_callers(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """id and the number of its direct and indirect callers, itself not counted."""
-    found = reach(edges, roots.select(F.col("id").alias("root"), "id"), None, "backward", ("calls",))
-    return found.groupBy(F.col("root").alias("id")).agg((F.count("*") - 1).alias("callers"))
+    """id and the number of its direct and indirect callers, itself not counted; cycles are condensed, and no row is made for each caller of each root."""
+    calls = edges.where("kind = 'calls'").select("src", "dst")
+    return ancestors(calls, roots).join(roots.select("id").distinct(), "id", "left_semi").select("id", F.col("n").alias("callers"))
 
 
-def blast_buckets(edges: DataFrame, roots: DataFrame, enough: int = 100) -> DataFrame:
-    """id and the bucket of its number of callers; a root with more than enough is expanded no further."""
-    steps = cut(directed(edges.where("kind = 'calls'"), "backward").select("at", "to").distinct())
-    frontier = cut(roots.select(F.col("id").alias("root"), "id").distinct())
-    rounds = [frontier]
-    while True:
-        before, seen = rounds, cut(reduce(DataFrame.unionByName, rounds))
-        rounds = [seen]
-        if len(before) > 1:
-            drop(before[0])  # the frontier, the last of them, is still read
-        full = seen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > enough + 1)
-        new = frontier.join(full, "root", "left_anti").join(steps, F.col("id") == F.col("at")).select("root", F.col("to").alias("id")).distinct()
-        new = cut(new.join(seen, ["root", "id"], "left_anti"))
-        if new.isEmpty():
-            break
-        rounds.append(new)
-        frontier = new
-    n = seen.groupBy(F.col("root").alias("id")).agg((F.count("*") - 1).alias("n"))
-    bucket = F.when(F.col("n") > 100, 10).when(F.col("n") > 50, 8).when(F.col("n") > 20, 6).when(F.col("n") > 5, 4).when(F.col("n") > 0, 2).otherwise(0)
+def blast_buckets(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id and the bucket of its number of callers; callers are no longer told apart where there are more than 100, the top bucket."""
+    n = ancestors(edges.where("kind = 'calls'").select("src", "dst"), roots, enough=100).join(roots.select("id").distinct(), "id", "left_semi")
+    bucket = F.when(F.col("n").isNull(), 10).when(F.col("n") > 50, 8).when(F.col("n") > 20, 6).when(F.col("n") > 5, 4).when(F.col("n") > 0, 2).otherwise(0)
     return n.select("id", bucket.alias("blast"))
 
 
@@ -136,18 +130,20 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
     forward: whether an edge runs from the node before to this one; null at the start.
     """
     spark = edges.sparkSession
-    found = cut(reach(edges, spark.createDataFrame([(0, start)], "root int, id long"), None, "both").select("id", "depth"))
+    steps = Adjacency(directed(edges, "both").groupBy("at", "to").agg(F.bool_or("forward").alias("forward")))
+    found = cut(reach(steps, spark.createDataFrame([(0, start)], "root int, id long")).select("id", "depth"))
     end = found.where(F.col("id") == goal).first()
     if end is None:
         return spark.createDataFrame([], "hop int, id long, forward boolean")
-    steps = cut(directed(edges, "both").groupBy("at", "to").agg(F.bool_or("forward").alias("forward")))
-    at, path = goal, []
-    for hop in range(end["depth"] - 1, -1, -1):
-        before = steps.where(F.col("to") == at).join(found.where(F.col("depth") == hop).select(F.col("id").alias("at")), "at")
-        r = before.orderBy("at").select("at", "forward").first()  # one row for each hop of the path
-        path.append((hop + 1, at, r["forward"]))
-        at = r["at"]
-    return spark.createDataFrame([(0, at, None), *reversed(path)], "hop int, id long, forward boolean")
+    # each node's least node before it, and its edge's way; then pointers are doubled back from the goal
+    at = lambda c, depth: found.select(F.col("id").alias(c), F.col("depth").alias(depth))
+    before = steps.table.join(at("to", "hop"), "to").join(at("at", "from"), "at").where("from = hop - 1")
+    first = cut(before.groupBy(F.col("to").alias("id")).agg(F.min(F.struct("at", "forward")).alias("b")).select("id", F.col("b.at").alias("back"), F.col("b.forward").alias("forward")))
+    jump, path = first.select("id", "back"), found.where(F.col("id") == goal).select("id")
+    for _ in range(int(end["depth"]).bit_length()):
+        path = cut(path.union(path.join(jump, "id").select("back")).distinct())
+        jump = cut(jump.join(jump.select(F.col("id").alias("back"), F.col("back").alias("further")), "back").select("id", F.col("further").alias("back")))
+    return path.join(found, "id").join(first, "id", "left").select(F.col("depth").alias("hop"), "id", "forward")
 
 
 def flow_paths(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
@@ -155,19 +151,19 @@ def flow_paths(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
 
     A node is on one path only, that of its first discovery in the order of a queue.
     """
-    steps = cut(edges.where("kind = 'data_flow'").select(F.col("src").alias("at"), F.col("dst").alias("to"), "ord"))
+    steps = Adjacency(edges.where("kind = 'data_flow'").select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("ord").cast("long").alias("ord")))
     frontier = cut(seeds.select("root", "id", F.array("id").alias("path"), F.array(F.lit(0).cast("long")).alias("place")))
     rounds = [frontier]
     for _ in range(depth):
         seen = reduce(DataFrame.unionByName, rounds).select("root", "id")
-        new = frontier.join(steps, F.col("id") == F.col("at")).select("root", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"), F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))
+        new = steps.around(frontier).select("root", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"), F.concat("place", F.array("ord")).alias("place"))
         new = new.join(seen, ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min(F.struct("place", "path")).alias("first"))
         new = cut(new.select("root", "id", "first.path", "first.place"))
         if new.isEmpty():
             break
         rounds.append(new)
         frontier = new
-    return reduce(DataFrame.unionByName, rounds).join(steps.select(F.col("at").alias("id")).distinct(), "id", "left_anti").select("root", "path")
+    return reduce(DataFrame.unionByName, rounds).join(steps.table.select(F.col("at").alias("id")).distinct(), "id", "left_anti").select("root", "path")
 
 
 def test_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -196,14 +192,16 @@ def processes(edges: DataFrame, entries: DataFrame, max_steps: int = 100, max_de
 
     edges: src, dst, kind, ord.  Visited nodes are not taken again; processes of one step are left out.
     """
-    steps = cut(edges.where("kind IN ('calls', 'data_flow')").select("src", "dst", F.when(F.col("kind") == "calls", 0).otherwise(1).alias("way"), "ord"))
+    way = F.when(F.col("kind") == "calls", 0).otherwise(1).cast("long")
+    steps = Adjacency(edges.where("kind IN ('calls', 'data_flow')").select(F.col("src").alias("at"), "dst", way.alias("way"), F.col("ord").cast("long").alias("ord")))
     frontier = cut(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("place")))
     rounds = [frontier]
     for level in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, rounds)
         full = seen.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= max_steps).select("entry")
-        place = F.concat("place", F.array(F.col("way").cast("long"), F.col("ord").cast("long")))
-        new = frontier.join(full, "entry", "left_anti").join(steps, F.col("id") == F.col("src")).select("entry", F.col("dst").alias("id"), place.alias("place"))
+        place = F.concat("place", F.array("way", "ord"))
+        open_ = cut(frontier.join(full, "entry", "left_anti"))
+        new = steps.around(open_).select("entry", F.col("dst").alias("id"), place.alias("place"))
         new = new.join(seen.select("entry", "id"), ["entry", "id"], "left_anti").groupBy("entry", "id").agg(F.min("place").alias("place"))
         new = cut(new.select("entry", "id", F.lit(level).alias("depth"), "place"))
         if new.isEmpty():
@@ -215,5 +213,5 @@ def processes(edges: DataFrame, entries: DataFrame, max_steps: int = 100, max_de
     found = reduce(DataFrame.unionByName, rounds)
     found = found.withColumn("step", F.row_number().over(Window.partitionBy("entry").orderBy("depth", "place")) - 1).where(F.col("step") < max_steps)
     many = found.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry")
-    fan = steps.where("way = 0").groupBy(F.col("src").alias("id")).agg((F.count("*") > 1).alias("is_branch"))
+    fan = steps.table.where("way = 0").groupBy(F.col("at").alias("id")).agg((F.count("*") > 1).alias("is_branch"))
     return found.join(many, "entry").join(fan, "id", "left").select("entry", "step", "id", "depth", F.coalesce("is_branch", F.lit(False)).alias("is_branch"))

@@ -29,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses; cleanup() deletes it."""
+    return f"{shared_dir(spark).rstrip('/')}/graphloom-cut/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder, without its plan.
 
@@ -36,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     its plan, and in a loop of joins estimates of estimates grow beyond any number.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphloom-cut/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
