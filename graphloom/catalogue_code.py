@@ -11,7 +11,7 @@ from .functions import rules
 from .operators import branches, control, flow, lookups, metrics, modules, schema, text, traversal, views
 from .plans import bindings as B
 from .registry import query
-from .sources import files, git, line_symbols, python_ast
+from .sources import brace_code, files, git, line_symbols, python_ast
 from .streaming import runtime
 
 # Each rule with a text that it decides, and texts that none does (null).
@@ -592,3 +592,30 @@ def _(t):
 @query("s6_line_imports", f"SELECT 'src/f' || s_suppkey || '.' || ext AS file_path, source, CAST(line AS INTEGER) AS line FROM supplier, {_values([(e, n, str(at)) for e, n, at in _IMPORTED], 'ext', 'source', 'line')}")
 def _(t):
     return line_symbols.imports(_texts(t))
+
+
+def _classes(t):
+    """file_path, content: a class for each order with a method for each of its lines, in the order of the lines."""
+    of = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    method = lambda x, i: F.concat(F.lit("  m"), i + 1, F.lit("(a, b) { /* f( */ s"), x["l_suppkey"], F.lit('("x(", a);\n  }\n'))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(
+        F.lit("import { h"), c % 7, F.lit(" as g } from './c"), c, F.lit("';\nexport class C"), k, F.lit(" extends B"), c % 50, F.lit("\n  implements I"), c % 3, F.lit(" { // no(\n"),
+        F.coalesce(F.array_join(F.transform("lines", method), ""), F.lit("")), F.lit("}\n"),
+    )
+    return t.orders.join(of, "o_orderkey", "left").select(F.concat(F.lit("src/o"), k, F.lit(".ts")).alias("file_path"), text.alias("content"))
+
+
+@query(
+    "s6_code_facts",
+    """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, l_suppkey AS s FROM lineitem), n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+        o AS (SELECT o_orderkey AS k, o_custkey AS c, 'src/o' || o_orderkey || '.ts' AS f, coalesce(n, 0) AS n FROM orders LEFT JOIN n ON k = o_orderkey),
+        r AS (SELECT 'import' AS fact, f AS file_path, './c' || c AS name, NULL AS kind, 1 AS line, NULL AS end_line, NULL AS owner, NULL AS detail, NULL AS n, NULL AS exported FROM o
+            UNION ALL SELECT 'imported', f, 'h' || (c % 7), NULL, 1, NULL, './c' || c, 'g', NULL, NULL FROM o
+            UNION ALL SELECT 'symbol', f, 'C' || k, 'class', 2, 4 + 2 * n, NULL, NULL, NULL, true FROM o
+            UNION ALL SELECT 'heritage', f, 'B' || (c % 50), 'extends', 2, NULL, 'C' || k, NULL, NULL, NULL FROM o UNION ALL SELECT 'heritage', f, 'I' || (c % 3), 'implements', 3, NULL, 'C' || k, NULL, NULL, NULL FROM o
+            UNION ALL SELECT 'symbol', f, 'm' || r, 'method', 2 + 2 * r, 3 + 2 * r, 'C' || k, NULL, 2, false FROM o JOIN l USING (k) UNION ALL SELECT 'call', f, 's' || s, NULL, 2 + 2 * r, NULL, 'C' || k || '.m' || r, NULL, 2, NULL FROM o JOIN l USING (k))
+        SELECT fact, file_path, name, kind, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, owner, detail, CAST(n AS INTEGER) AS n, exported FROM r""",
+)
+def _(t):
+    return brace_code.facts(_classes(t))

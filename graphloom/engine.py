@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import rules
 from .operators import branches, control, flow, lookups, metrics, modules, schema, text, traversal
 from .plans.lineage import cut
-from .sources import files, python_ast
+from .sources import brace_code, files, python_ast
 
 
 @dataclass
@@ -51,6 +51,13 @@ class Engine:
             F.when(F.col("kind") == "method", F.regexp_extract("qualified_name", r"([^.]+)\.[^.]+$", 1)).alias("owner"),
             F.when(F.col("kind").isin("function", "method"), F.coalesce("n_params", F.lit(0)) - F.when(F.col("kind") == "method", 1).otherwise(0)).alias("n_params"),
         )
+        braces = cut(brace_code.facts(sources))  # the other languages
+        told, of = braces.where("fact = 'symbol'"), F.concat_ws(".", "owner", "name")
+        test = F.col("file_path").rlike(r"(?:[._](?:test|spec)\.|Tests?\.java$|_test\.go$|/__tests__/)")
+        named = named.unionByName(told.select(
+            node_id("file_path", of).alias("id"), "kind", "name", of.alias("qualified_name"), "file_path", F.col("line").alias("start_line"), "end_line", "exported", test.alias("is_test"),
+            F.col("name").alias("signature"), F.lit(None).cast("int").alias("cyclomatic"), "owner", F.col("n").alias("n_params"),
+        ))
         none = F.lit(None)
         whole = sources.select(
             node_id("file_path", F.lit("")).alias("id"), F.lit("file").alias("kind"), F.substring_index("file_path", "/", -1).alias("name"), F.col("file_path").alias("qualified_name"), "file_path",
@@ -64,22 +71,28 @@ class Engine:
             "file_path", F.regexp_extract("name", r"([^.]+)$", 1).alias("callee"), F.regexp_extract("name", r"^([A-Za-z_]\w*)\.[^.]+$", 1).alias("receiver"), F.col("detail").cast("int").alias("n_args"),
             "owner", node_id("file_path", "owner").alias("src"),
         )
+        made = made.unionByName(braces.where("fact = 'call'").select("file_path", F.col("name").alias("callee"), F.coalesce("detail", F.lit("")).alias("receiver"), F.col("n").alias("n_args"), F.coalesce("owner", F.lit("")).alias("owner"), node_id("file_path", F.coalesce("owner", F.lit(""))).alias("src")))
         # self is of the class that the calling method is in; a name that a class is called into is of that class
-        selves = made.where("receiver IN ('self', 'cls')").select("file_path", F.concat_ws("@", "receiver", "owner").alias("receiver"), F.regexp_extract("owner", r"([^.]+)\.[^.]+$", 1).alias("type")).where("type <> ''")
+        selves = made.where("receiver IN ('self', 'cls', 'this')").select("file_path", F.concat_ws("@", "receiver", "owner").alias("receiver"), F.regexp_extract("owner", r"([^.]+)\.[^.]+$", 1).alias("type")).where("type <> ''")
         source, target = flow_nodes.where("kind = 'call'").select(F.col("id").alias("src"), F.regexp_extract("code", r"^(?:\w+\.)*([A-Z]\w*)\(", 1).alias("type")), flow_nodes.where("kind = 'assignment'").select(F.col("id").alias("dst"), F.col("code").alias("receiver"))
         built = flow_edges.join(source, "src").join(target, "dst").where("type <> ''").select("file_path", "receiver", "type")
         types = selves.unionByName(built).distinct()
-        made = made.withColumn("receiver", F.when(F.col("receiver").isin("self", "cls"), F.concat_ws("@", "receiver", "owner")).otherwise(F.col("receiver"))).drop("owner")
+        made = made.withColumn("receiver", F.when(F.col("receiver").isin("self", "cls", "this"), F.concat_ws("@", "receiver", "owner")).otherwise(F.col("receiver"))).drop("owner")
         imported = facts.where("fact = 'import'").select("file_path", F.col("detail").alias("name"), F.regexp_replace("name", r"^[^:]*:", "").alias("qualified_name"))
+        imported = imported.unionByName(braces.where("fact = 'imported' AND name NOT IN ('*', 'default')").select("file_path", F.col("detail").alias("name"), F.col("name").alias("qualified_name")))
         found = lookups.resolve_calls(made, nodes, imported, types).where("target IS NOT NULL")
         calls = found.select("src", F.col("target").alias("dst"), F.lit("calls").alias("kind"), "confidence")
-        bases = facts.where("fact = 'heritage'").select(node_id("file_path", "owner").alias("src"), "name")
-        extends = lookups.first_match(bases, "name", nodes.where("kind = 'class'")).where("target IS NOT NULL").select("src", F.col("target").alias("dst"), F.lit("extends").alias("kind"), F.lit(0.9).alias("confidence"))
+        bases = facts.where("fact = 'heritage'").select(node_id("file_path", "owner").alias("src"), "name", F.lit("extends").alias("how"))
+        bases = bases.unionByName(braces.where("fact = 'heritage'").select(node_id("file_path", "owner").alias("src"), "name", F.col("kind").alias("how")))
+        extends = lookups.first_match(bases, "name", nodes.where("kind IN ('class', 'interface')")).where("target IS NOT NULL").select("src", F.col("target").alias("dst"), F.col("how").alias("kind"), F.lit(0.9).alias("confidence"))
         path = F.concat(F.lit("/"), F.translate(F.regexp_replace(F.regexp_replace("name", ":.*$", ""), r"^\.+", ""), ".", "/"), F.lit(".py"))
         wants = facts.where("fact = 'import'").select(node_id("file_path", F.lit("")).alias("src"), path.alias("tail")).where("tail <> '/.py'")
         tails = sources.select(node_id("file_path", F.lit("")).alias("dst"), F.split(F.concat(F.lit("/"), "file_path"), "/").alias("p"))
         ends = tails.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.lit("/"), F.array_join(F.slice("p", -i, i), "/")))).alias("tail"))
         imports = wants.join(ends, "tail").select("src", "dst", F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
+        paths = modules.resolve_paths(braces.where("fact = 'import'").select(F.col("file_path").alias("from_file"), F.col("name").alias("source")).distinct(), sources)
+        near = paths.join(sources.select(F.col("file_path").alias("resolved")), "resolved").select(node_id("from_file", F.lit("")).alias("src"), node_id("resolved", F.lit("")).alias("dst"), F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence"))
+        imports = imports.unionByName(near).distinct()
         edges = contains.unionByName(calls).unionByName(extends).unionByName(imports)
         edges = edges.where("src <> dst").withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("kind", "dst")).cast("long"))
         return cls(nodes, cut(edges), sources)
