@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..plans.lineage import cut
 
 # What a walk leaves out, as in an ignore file.
 UNWALKED = (
@@ -66,13 +67,22 @@ def walk(spark: SparkSession, root: str, supported_only: bool = True, ignore=UNW
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.removeprefix("file://").rstrip("/")
     path = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(path.alias("file_path"), "length", F.col("content").cast("string").alias("content"))
     inside = F.expr("substring(file_path, " + str(len(prefix) + 2) + ")")
     own = _small_file(spark, f"{root.rstrip('/')}/.gitignore").split("\n") if respect_gitignore else []
-    rows = rows.where(~ignored(inside, [*ignore, *own, *extra])).withColumn("language", rules.language(F.col("file_path")))
+    # paths and lengths only: no file is opened yet
+    rows = found.select("path", path.alias("file_path"), "length").where(~ignored(inside, [*ignore, *own, *extra])).withColumn("language", rules.language(F.col("file_path")))
     rows = rows.where("language IS NOT NULL") if supported_only else rows
-    chosen = rows.select("file_path").orderBy("file_path").limit(most)
-    return rows.join(chosen, "file_path", "left_semi")
+    chosen = rows.orderBy("file_path").limit(most).select("path", "file_path", "length", "language")
+    names = [r["path"] for r in chosen.select("path").collect()]  # at most `most`
+    if not names:
+        return chosen.select("file_path", "length", F.lit("").alias("content"), "language")
+    kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([_literal(x) for x in names])
+    return kept.select(path.alias("file_path"), "length", F.col("content").cast("string").alias("content")).withColumn("language", rules.language(F.col("file_path")))
+
+
+def _literal(path: str) -> str:
+    """path as a pattern that fits itself only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def scannable(path: Column) -> Column:
@@ -83,26 +93,45 @@ def scannable(path: Column) -> Column:
 
 
 def chunks(files: DataFrame, budget: int = 20 << 20, most: int = 512 << 10) -> DataFrame:
-    """files (ord, length) with chunk: files in order fill chunks of budget bytes; larger files than most are left out.
+    """files (ord, length) with chunk: files in order fill chunks of budget bytes; larger files than most, which is at most budget, are left out.
 
-    Where a chunk ends depends on where the one before it did, so the lengths, two numbers a
-    file, are read in order by one task, which keeps nothing but the chunk it is filling.
+    Where a chunk ends depends on where it began.  With the lengths summed up to each file,
+    every file's next beginning is looked up as if a chunk began there; from the first
+    file those pointers are doubled, so that chunks are found in as many rounds as their
+    number has bits.  ord is distinct.
     """
-    kept = files.where(F.col("length") <= most).select("ord", "length")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def fill(batches):
-        chunk, used = 0, 0
-        for pdf in batches:
-            out = []
-            for length in pdf["length"].tolist():
-                if used and used + length > budget:
-                    chunk, used = chunk + 1, 0
-                used += length
-                out.append(chunk)
-            yield pdf.assign(chunk=out)
-
-    return kept.repartitionByRange(1, "ord").sortWithinPartitions("ord").mapInPandas(fill, f"{kinds}, chunk long")
+    if most > budget:
+        raise ValueError("a file may not be larger than a chunk")
+    spark = files.sparkSession
+    kept = files.where(F.col("length") <= most).select("ord", F.col("length").cast("long").alias("length"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(kept.repartitionByRange(n, "ord").withColumn("part", F.spark_partition_id()))
+    # a part is summed by itself; what precedes it is a row for each part
+    parts = rows.groupBy("part").agg(F.sum("length").alias("s"))
+    before = parts.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part").orderBy("ord")
+    rows = cut(rows.join(F.broadcast(before), "part").withColumn("end", F.col("offset") + F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("offset"))
+    # a chunk that begins with a file ends before the first whose end is beyond begin + budget: in the bucket of that number, or first in the next
+    point = rows.select(F.expr(f"end div {budget}").alias("bucket"), F.col("end").alias("at"), F.lit(1).alias("is_point"), "ord")
+    probe = rows.select(F.expr(f"(end - length) div {budget} + 1").alias("bucket"), (F.col("end") - F.col("length") + budget).alias("at"), F.lit(0).alias("is_point"), "ord")
+    down = Window.partitionBy("bucket").orderBy(F.desc("at"), "is_point", F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    found = point.unionByName(probe).withColumn("next", F.last(F.when(F.col("is_point") == 1, F.col("ord")), ignorenulls=True).over(down)).where("is_point = 0")
+    first = point.groupBy((F.col("bucket") - 1).alias("bucket")).agg(F.min("ord").alias("first"))
+    jump = cut(found.join(first, "bucket", "left").select("ord", F.coalesce("next", "first").alias("next")).where("next IS NOT NULL"))
+    begins = cut(rows.agg(F.min("ord").alias("ord")).where("ord IS NOT NULL").withColumn("chunk", F.lit(0).cast("long")))
+    step = 1
+    while True:
+        more = cut(begins.join(jump, "ord").select(F.col("next").alias("ord"), (F.col("chunk") + step).alias("chunk")))
+        if more.isEmpty():
+            break
+        begins = cut(begins.unionByName(more).groupBy("ord").agg(F.min("chunk").alias("chunk")))
+        jump = cut(jump.join(jump.select(F.col("ord").alias("next"), F.col("next").alias("further")), "next").select("ord", F.col("further").alias("next")))
+        step *= 2
+    # a file is in the chunk that began last
+    told = rows.join(begins, "ord", "left").withColumn("own", F.max("chunk").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = rows.join(begins, "ord").groupBy("part").agg(F.max("chunk").alias("m"))
+    carry = parts.join(last, "part", "left").select("part", F.max("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    return told.join(F.broadcast(carry), "part").select("ord", "length", F.coalesce("own", "carry").alias("chunk"))
 
 
 def snippet(content: Column, line: int | Column, before: int = 3, after: int = 12) -> Column:
