@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import rules
-from .operators import branches, flow, lookups, metrics, schema, text, traversal, views
+from .operators import branches, flow, lookups, metrics, schema, search_index, text, traversal, views
 from .plans import bindings as B
+from .plans.lineage import scratch
 from .registry import query
 
 # lookups and filters
@@ -540,6 +541,13 @@ def _(t):
     return text.bm25(B.search_docs(t), "small brand").select("node_id", F.round("score", 9).alias("score"))
 
 
+@query("r1_indexed", f"{_BM25} SELECT node_id, round(score, 9) AS score FROM bm ORDER BY round(bm.score, 9), node_id LIMIT 50")
+def _(t):
+    path = scratch(t.spark)
+    search_index.build(B.search_docs(t), path)
+    return search_index.bm25(t.spark, path, "small brand").select("node_id", F.round("score", 9).alias("score"))
+
+
 _TFIDF = """tf AS (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest(regexp_split_to_array(regexp_replace(lower(name || ' ' || coalesce(qualified_name, 'null')), '[^a-z0-9_]', ' ', 'g'), '[\\s_]+')) AS term FROM docs_search) WHERE length(term) > 1 GROUP BY ALL),
     n AS (SELECT count(*) AS n FROM docs_search), idf AS (SELECT term, ln((n + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term, n), w AS (SELECT node_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
     nm AS (SELECT node_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY node_id), qs AS (SELECT term, idf AS qw FROM idf WHERE term IN ('small', 'brand')), qn AS (SELECT sqrt(sum(qw * qw)) AS qnorm FROM qs),
