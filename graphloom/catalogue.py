@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import rules
 from .operators import branches, flow, lookups, metrics, schema, search_index, text, traversal, views
 from .plans import bindings as B
+from .plans.deltas import Deltas, last_wins
 from .plans.lineage import scratch
 from .registry import query
 
@@ -115,6 +116,14 @@ def _(t):
     return lookups.upsert(old, new, ["o_custkey"], "o_orderkey")
 
 
+@query("k1_batched_upserts", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 5 DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def _(t):
+    kept = Deltas(t.spark, scratch(t.spark), last_wins(["o_custkey"], ["batch", "o_orderkey"]))
+    for i in range(5):
+        kept.write(t.orders.where(F.col("o_orderkey") % 5 == i).select("o_custkey", "o_orderkey", "o_totalprice", F.lit(i).alias("batch")), i)
+    return kept.read().drop("batch")
+
+
 @query("k3_drop_unresolved", "SELECT kind, count(*) AS n FROM gp_edges WHERE dst % 3 <> 0 GROUP BY kind")
 def _(t):
     edges = B.part_edges(t).withColumn("dst", F.when(F.col("dst") % 3 != 0, F.col("dst")))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_dir
+from ..plans.deltas import Deltas
+from ..plans.lineage import scratch
 
 KEY = ["session_id", "kind", "source_key", "target_key"]
 
@@ -30,42 +29,42 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
-def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """stored edges with those of a later fold added."""
-    both = stored.unionByName(fresh)
-    return both.groupBy(*KEY).agg(
+def combined(edges: DataFrame) -> DataFrame:
+    """Rows of several folds as one of all their events."""
+    return edges.groupBy(*KEY).agg(
         F.sum("hit_count").alias("hit_count"), F.min_by("first_seen_ms", "first_seq").alias("first_seen_ms"), F.max_by("last_seen_ms", "last_seq").alias("last_seen_ms"),
         F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
     )
 
 
+def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """stored edges with those of a later fold added."""
+    return combined(stored.unionByName(fresh))
+
+
 def seen_since(edges: DataFrame, least_ms: int) -> DataFrame:
     return edges.where(F.col("last_seen_ms") >= least_ms)
 
 
 def start(feed: DataFrame, table: str, checkpoint: str):
-    """Keep the edges of a streamed feed under the path table: each batch writes a new version, numbered by the batch."""
-    spark = feed.sparkSession
+    """Keep the edges of a streamed feed under the path table; a batch writes its own edges, and a batch that comes again replaces itself."""
+    kept = Deltas(feed.sparkSession, table, combined)
+    return feed.writeStream.foreachBatch(lambda batch, epoch: kept.write(fold(batch), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        fresh = fold(batch)
-        before = f"{table}/v{epoch - 1}"
-        out = merge(spark.read.parquet(before), fresh) if epoch else fresh
-        out.write.mode("overwrite").parquet(f"{table}/v{epoch}")
 
-    return feed.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stored_edges(spark: SparkSession, table: str) -> DataFrame | None:
+    """The edges that start() keeps under table; None before the first batch."""
+    return Deltas(spark, table, combined).read()
 
 
 def stream_once(events: DataFrame, files: int = 3) -> DataFrame:
     """Write events as a few files, stream them one file a batch through start(), and return the edges."""
     spark: SparkSession = events.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark)
     events.repartitionByRange(files, "seq").write.parquet(f"{base}/in")
     feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = start(feed, f"{base}/table", f"{base}/checkpoint")
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(f"{base}/table/v{last}")
+    start(feed, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return stored_edges(spark, f"{base}/table")
 
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
