@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _RISK, _scored
+from .catalogue import _BM25, _RISK, _TFIDF, _scored
+from .engine import Engine
 from .operators import control, lookups, metrics, modules, schema, text, views
 from .plans import bindings as B
 from .registry import query
@@ -226,6 +228,22 @@ def _(t):
     return control.community_labels(members)
 
 
+@query(
+    "g11_labels_by_rule",
+    """WITH m AS (SELECT p_size AS c, chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS l, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM part), g AS (SELECT c, count(*) AS n, min(l) AS lo, max(l) AS hi, min(l) FILTER (r = 1) AS first FROM m GROUP BY c)
+        SELECT c AS community, CASE c % 5 WHEN 0 THEN 'Lib' || c WHEN 1 THEN CASE WHEN n = 1 THEN 'Shape' || lo WHEN lo = hi THEN 'Shape' || lo || '*' ELSE 'Shape*' END WHEN 2 THEN 'K' || first
+            WHEN 3 THEN CASE WHEN n = 1 THEN 'Function Group (1)' WHEN lo = hi THEN 'Load_' || lo || '*' ELSE 'Load_*' END ELSE 'Function Group (' || n || ')' END AS label FROM g""",
+)
+def _(t):
+    c, letter = F.col("p_size"), F.expr("chr(65 + p_partkey % 26)")
+    rows = t.part.withColumn("r", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")))
+    kind = F.when((c % 5 == 1) | ((c % 5 == 2) & (F.col("r") == 1)), "class").otherwise("function")
+    name = F.when(c % 5 == 1, F.concat(F.lit("Shape"), letter)).when((c % 5 == 2) & (F.col("r") == 1), F.concat(F.lit("K"), letter)).when(c % 5 == 3, F.concat(F.lit("load_"), letter)).otherwise(F.concat(letter, F.lit("x")))
+    path = F.when(c % 5 == 0, F.concat(F.lit("src/lib"), c, F.lit("/a.py"))).otherwise("a.py")
+    members = rows.select(c.alias("community"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), kind.alias("kind"), name.alias("name"), path.alias("file_path"))
+    return control.community_labels(members)
+
+
 @query(
     "b8_summary_differences",
     """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_returnflag || l_linenumber AS e FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT DISTINCT l_suppkey AS s, l_returnflag || l_linenumber AS e FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3)
@@ -434,3 +452,17 @@ def _(t):
 def _(t):
     k = F.col("p_partkey")
     return t.part.select(k.alias("k"), metrics.sensitivity(_pick(k, "loginUser", "chargePassword", "hashEmail", "run"), F.lit(0), F.lit(0)).alias("score"))
+
+
+_ASKED = "ds AS (SELECT id AS node_id, name, qualified_name, file_path FROM gp_nodes)"
+
+
+@query(
+    "r6_search_modes",
+    f"""WITH {_ASKED}, {(_BM25.removeprefix("WITH ") + ", " + _TFIDF).replace("docs_search", "ds")}
+        SELECT 'keyword' AS mode, node_id FROM (SELECT node_id FROM bm ORDER BY round(bm.score, 9), node_id LIMIT 20) UNION ALL SELECT 'semantic', node_id FROM (SELECT node_id FROM cs WHERE cs.score > 0.01 ORDER BY round(cs.score, 9) DESC, node_id LIMIT 20)""",
+)
+def _(t):
+    graph = Engine(B.part_nodes(t), B.part_edges(t))
+    found = [graph.search("small brand", 20, mode).select(F.lit(mode).alias("mode"), F.col("id").alias("node_id")) for mode in ("keyword", "semantic")]
+    return found[0].unionByName(found[1])
