@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import rules
 from .operators import branches, control, flow, lookups, metrics, modules, schema, text, traversal
 from .plans.lineage import cut
-from .sources import brace_code, files, python_ast
+from .sources import brace_code, files, parsed, python_ast
 
 
 @dataclass
@@ -31,13 +31,17 @@ class Engine:
     # building, keeping
 
     @classmethod
-    def analyze(cls, spark: SparkSession, root: str) -> Engine:
-        """Walk root, parse what has a parser, and resolve calls, imports and heritage."""
-        return cls.from_sources(files.walk(spark, root).select("file_path", "content"))
+    def analyze(cls, spark: SparkSession, root: str, cache: str | None = None) -> Engine:
+        """Walk root, parse what has a parser, and resolve calls, imports and heritage.
+
+        cache: a path where facts are kept by content; then only files that are new or have
+        changed since are parsed.  Names are resolved anew, by joins of all facts.
+        """
+        return cls.from_sources(files.walk(spark, root).select("file_path", "content"), cache)
 
     @classmethod
-    def from_sources(cls, sources: DataFrame) -> Engine:
-        facts = cut(python_ast.facts(sources))
+    def from_sources(cls, sources: DataFrame, cache: str | None = None) -> Engine:
+        facts = parsed.facts(sources, python_ast.facts, cache and f"{cache}/python")
         node_id = lambda *c: F.xxhash64(*c)
         blocks, block_edges = python_ast.blocks(facts)
         cc = metrics.cyclomatic(blocks, block_edges)
@@ -51,7 +55,7 @@ class Engine:
             F.when(F.col("kind") == "method", F.regexp_extract("qualified_name", r"([^.]+)\.[^.]+$", 1)).alias("owner"),
             F.when(F.col("kind").isin("function", "method"), F.coalesce("n_params", F.lit(0)) - F.when(F.col("kind") == "method", 1).otherwise(0)).alias("n_params"),
         )
-        braces = cut(brace_code.facts(sources))  # the other languages
+        braces = parsed.facts(sources, brace_code.facts, cache and f"{cache}/braces")  # the other languages
         told, of = braces.where("fact = 'symbol'"), F.concat_ws(".", "owner", "name")
         test = F.col("file_path").rlike(r"(?:[._](?:test|spec)\.|Tests?\.java$|_test\.go$|/__tests__/)")
         named = named.unionByName(told.select(
