@@ -305,8 +305,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     n_hit: words inside any occurrence of a window of an item; item_ids: the items with such
     windows, as strings, sorted.  Null, empty and wordless texts have no words and no hits;
-    an empty table of items hits nothing; items of one id count as one item; repeated rows
-    are documents of their own.
+    an empty table of items hits nothing; items of one id count as one item, and those
+    without an id are left out; repeated rows are documents of their own.
     """
     spark = docs.sparkSession
     path = build(docs)
