@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import rules
-from .operators import branches, flow, lookups, metrics, schema, search_index, text, traversal, views
+from .operators import branches, flow, lookups, metrics, schema, search_index, text, traversal, vector_index, views
 from .plans import bindings as B
 from .plans.deltas import Deltas, last_wins
 from .plans.lineage import scratch
@@ -579,16 +579,24 @@ def _(t):
     return text.hybrid(B.search_docs(t), "small brand", 20).select("node_id", F.round("score", 9).alias("score"))
 
 
-@query(
-    "r7_vector_search",
-    """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score
-        FROM embeddings, q ORDER BY list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) DESC, vec_id LIMIT 10""",
-)
+_VECTORS = """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score
+        FROM embeddings, q ORDER BY list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) DESC, vec_id LIMIT 10"""
+
+
+@query("r7_vector_search", _VECTORS)
 def _(t):
     probe = t.embeddings.where("vec_id = 3").select("embedding").first()[0]  # one vector
     return text.cosine_top(t.embeddings, probe, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("r7_indexed", _VECTORS)
+def _(t):
+    path = scratch(t.spark)
+    vector_index.build(t.embeddings, path)
+    probe = t.embeddings.where("vec_id = 3").select("embedding").first()[0]  # one vector
+    return vector_index.search(t.spark, path, probe, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
 # rules
 
 

@@ -130,12 +130,16 @@ def hybrid(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return fuse(bm25(docs, query, 3 * limit), tfidf(docs, query, 3 * limit), limit)
 
 
-def cosine_top(vectors: DataFrame, probe: list[float], k: int = 10) -> DataFrame:
-    """vec_id, score of the k vectors nearest to probe by cosine; vectors: vec_id, embedding."""
+def cosine(v: Column, probe: list[float]) -> Column:
+    """The cosine of v, an array, and probe; null where either has no length."""
     q = F.array(*[F.lit(float(x)) for x in probe])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = F.col("embedding")
-    return vectors.select("vec_id", F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    return F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
+
+
+def cosine_top(vectors: DataFrame, probe: list[float], k: int = 10) -> DataFrame:
+    """vec_id, score of the k vectors nearest to probe by cosine; vectors: vec_id, embedding."""
+    return vectors.select("vec_id", cosine(F.col("embedding"), probe).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def code_lines(files: DataFrame) -> DataFrame:
