@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalogue import _RISK, _scored
 from .catalogue_more import _pick
 from .functions import rules
-from .operators import branches, control, flow, lookups, metrics, modules, schema, text, traversal, views
+from .operators import branches, control, flow, lookups, merge, metrics, modules, schema, text, traversal, views
 from .plans import bindings as B
 from .registry import query
 from .sources import brace_code, files, git, line_symbols, python_ast
@@ -202,6 +202,51 @@ def _(t):
     return files.merge_conflicts(git.lines(t.supplier.select(F.col("s_suppkey").alias("source"), body.alias("text")))).select("file_path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
 
 
+def _revisions(t):
+    """Each customer's orders as a text, and two versions of it: lines removed, changed (some alike in both) and added."""
+    k, line = F.col("o_orderkey"), F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderpriority"))
+    rows = t.orders.select(F.col("o_custkey").alias("source"), k.alias("k"), line.alias("line"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("k", "part")) - 1
+
+    def version(removed, changed, added, word):
+        lines = F.concat(F.when(removed, F.array().cast("array<string>")).otherwise(F.array(changed)), F.when(added, F.array(F.concat(F.lit(word), F.col("k").cast("string")))).otherwise(F.array().cast("array<string>")))
+        return rows.select("source", "k", F.posexplode(lines).alias("part", "line")).select("source", place.alias("pos"), "line")
+
+    k, line, never = F.col("k"), F.col("line"), F.lit(False)
+    return (
+        version(never, line, never, ""),
+        version(k % 7 == 0, F.when(k % 11 == 3, F.concat(line, F.lit("!"))).otherwise(line), k % 13 == 5, "note "),
+        version(k % 5 == 0, F.when(k % 11 == 3, F.concat(line, F.when(k % 2 == 0, "!").otherwise("?"))).otherwise(line), k % 17 == 4, "memo "),
+    )
+
+
+_MERGED = """b AS (SELECT o_custkey AS source, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' ' || o_orderpriority AS line, NOT (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 11 = 3) AS stable FROM orders),
+    c AS (SELECT *, sum(stable::INTEGER) OVER (PARTITION BY source ORDER BY pos) AS chunk FROM b),
+    i AS (SELECT source, chunk, 'b' AS side, pos, 0 AS part, line FROM c WHERE NOT stable UNION ALL SELECT source, chunk, 'o', pos, 0, CASE WHEN k % 11 = 3 THEN line || '!' ELSE line END FROM c WHERE NOT stable AND k % 7 <> 0
+        UNION ALL SELECT source, chunk, 'o', pos, 1, 'note ' || k FROM c WHERE k % 13 = 5 UNION ALL SELECT source, chunk, 't', pos, 0, CASE WHEN k % 11 = 3 THEN line || CASE WHEN k % 2 = 0 THEN '!' ELSE '?' END ELSE line END FROM c WHERE NOT stable AND k % 5 <> 0
+        UNION ALL SELECT source, chunk, 't', pos, 1, 'memo ' || k FROM c WHERE k % 17 = 4),
+    g AS (SELECT source, chunk, list(line ORDER BY pos, part) FILTER (WHERE side = 'b') AS b, list(line ORDER BY pos, part) FILTER (WHERE side = 'o') AS o, list(line ORDER BY pos, part) FILTER (WHERE side = 't') AS t FROM i GROUP BY ALL),
+    h AS (SELECT source, chunk, coalesce(b, []) AS b, coalesce(o, []) AS o, coalesce(t, []) AS t FROM g),
+    m AS (SELECT h.*, coalesce(c.pos + 1, 0) AS base_start, CASE WHEN o = t THEN 'both' WHEN t = b THEN 'ours' WHEN o = b THEN 'theirs' ELSE 'conflict' END AS kind FROM h LEFT JOIN c ON c.source = h.source AND c.chunk = h.chunk AND c.stable)"""
+
+
+@query(
+    "b9_merge",
+    f"""WITH {_MERGED} SELECT source, CAST(chunk AS BIGINT) AS chunk, kind, CAST(base_start AS BIGINT) AS base_start, CAST(len(b) AS BIGINT) AS base_lines, CAST(len(o) AS BIGINT) AS ours_lines, CAST(len(t) AS BIGINT) AS theirs_lines,
+        array_to_string(CASE kind WHEN 'theirs' THEN t WHEN 'conflict' THEN list_concat(list_concat(list_concat(['<<<<<<< ours'], o), list_concat(['======='], t)), ['>>>>>>> theirs']) ELSE o END, '|') AS result FROM m""",
+)
+def _(t):
+    rows = merge.chunks(*_revisions(t))
+    sizes = [F.size(f"{n}_lines").cast("long").alias(f"{n}_lines") for n in ("base", "ours", "theirs")]
+    result = F.array_join(merge.resolved(F.col("kind"), F.col("ours_lines"), F.col("theirs_lines")), "|").alias("result")
+    return rows.select("source", F.col("chunk").cast("long").alias("chunk"), "kind", F.col("base_start").cast("long").alias("base_start"), *sizes, result)
+
+
+@query("b9_merge_outcome", f"WITH {_MERGED} SELECT source, count(*) AS changes, count(*) FILTER (WHERE kind = 'conflict') AS conflicts, bool_and(kind <> 'conflict') AS clean FROM m GROUP BY source")
+def _(t):
+    return merge.outcome(*_revisions(t))
+
+
 _CALLS = """calls AS (SELECT p_partkey AS call, p_brand AS file_path, 'F' || (p_partkey * 7 % 120) AS callee, CASE p_partkey % 3 WHEN 0 THEN 'r' || (p_partkey % 11) END AS receiver, CAST(p_partkey % 4 AS INTEGER) AS n_args FROM part),
     n AS (SELECT id, ord, kind, exported AND id % 4 = 1 AS exported, file_path, 'F' || (id % 100) AS name, 'Q' || id AS qn, 'F' || (id // 5 * 5 % 100) AS owner, CAST(id % 5 AS INTEGER) AS n_params FROM gp_nodes),
     fns AS (SELECT * FROM n WHERE kind IN ('function', 'method', 'constructor')), same AS (SELECT file_path, name, arg_min(id, ord) AS id FROM fns GROUP BY ALL),
