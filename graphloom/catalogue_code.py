@@ -11,7 +11,7 @@ from .functions import rules
 from .operators import branches, control, flow, lookups, merge, metrics, modules, schema, text, traversal, views
 from .plans import bindings as B
 from .registry import query
-from .sources import brace_code, files, git, line_symbols, python_ast
+from .sources import brace_code, brace_flow, files, git, line_symbols, python_ast
 from .streaming import runtime
 
 # Each rule with a text that it decides, and texts that none does (null).
@@ -664,3 +664,41 @@ def _classes(t):
 )
 def _(t):
     return brace_code.facts(_classes(t))
+
+
+def _programs(t):
+    """A function for each customer, in TypeScript, Java or Go by its number; a statement for each order, by its status and key."""
+    go, java = F.col("o_custkey") % 3 == 2, F.col("o_custkey") % 3 == 1
+    k, end = F.col("o_orderkey").cast("string"), F.when(go, "\n").otherwise(";\n")
+    paren = lambda word, x: F.concat(F.lit(word), F.when(go, " ").otherwise(" ("), x, F.when(go, " {\n").otherwise(") {\n"))
+    loop = F.when(go, paren("for", F.lit("more(x)"))).otherwise(paren("while", F.lit("more(x)")))
+    statement = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(paren("if", F.concat(F.lit("x > "), k)), F.lit("x = cut(x)"), end, F.lit("}\n")))
+        .when(F.col("o_orderstatus") == "O", F.concat(loop, F.lit("x = x - 1"), end, F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("break"), end)).otherwise(""), F.lit("}\n")))
+        .otherwise(F.concat(F.lit("x = y.next(x, "), k, F.lit(")"), end))
+    )
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", statement.alias("s"))))["s"], "")
+    rows = t.orders.groupBy("o_custkey").agg(body.alias("body"))
+    name = F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
+    head = F.when(go, F.concat(F.lit("func "), name, F.lit("(x int, y T) int {\n"))).when(java, F.concat(F.lit("class K {\npublic int "), name, F.lit("(int x, T y) {\n"))).otherwise(F.concat(F.lit("export function "), name, F.lit("(x: number, y: T) {\n")))
+    content = F.concat(head, "body", F.lit("return x\n}\n"), F.when(java, "}\n").otherwise(""))
+    return rows.select(F.concat(name, F.when(go, ".go").when(java, ".java").otherwise(".ts")).alias("file_path"), content.alias("content"))
+
+
+_PROGRAMS = """n AS (SELECT o_custkey AS c, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0) AS b, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS p FROM orders GROUP BY o_custkey),
+    named AS (SELECT *, 'f' || c || CASE c % 3 WHEN 2 THEN '.go:' WHEN 1 THEN '.java:K.' ELSE '.ts:' END || 'f' || c AS fn FROM n)"""
+
+
+@query("g16_brace_blocks", f"WITH {_PROGRAMS} SELECT fn, f + o + 1 AS cyclomatic, 3 + 4 * f + 3 * o AS n_blocks, f + o AS branches, o AS loops, b AS breaks, o - b AS backs FROM named")
+def _(t):
+    blocks, edges = python_ast.blocks(brace_flow.facts(_programs(t)))
+    counted = blocks.groupBy("fn").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("kind").isin("branch", "loop_header")).alias("branches"), F.count_if(F.col("kind") == "loop_exit").alias("loops"))
+    left = edges.groupBy("fn").agg(F.count_if(F.col("kind") == "break").alias("breaks"), F.count_if(F.col("kind") == "back").alias("backs"))
+    return metrics.cyclomatic(blocks, edges).join(counted, "fn").join(left, "fn")
+
+
+@query("g17_brace_flow", f"WITH {_PROGRAMS} SELECT fn, 3 + 2 * (f + o + p) AS n_nodes, f + o + p AS assignments, 2 * (f + o + p) + p + 1 AS n_edges, f + o + p AS bound, p AS fields FROM named")
+def _(t):
+    nodes, edges = python_ast.data_flow(brace_flow.facts(_programs(t)))
+    made = nodes.groupBy("fn").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "assignment").alias("assignments"))
+    return made.join(edges.groupBy("fn").agg(F.count("*").alias("n_edges"), F.count_if(F.col("kind") == "param_bind").alias("bound"), F.count_if(F.col("kind") == "field_flow").alias("fields")), "fn")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import rules
 from .operators import branches, control, flow, lookups, metrics, modules, schema, text, traversal
 from .plans.lineage import cut
-from .sources import brace_code, files, parsed, python_ast
+from .sources import brace_code, brace_flow, files, parsed, python_ast
 
 
 @dataclass
@@ -56,11 +56,13 @@ class Engine:
             F.when(F.col("kind").isin("function", "method"), F.coalesce("n_params", F.lit(0)) - F.when(F.col("kind") == "method", 1).otherwise(0)).alias("n_params"),
         )
         braces = parsed.facts(sources, brace_code.facts, cache and f"{cache}/braces")  # the other languages
-        told, of = braces.where("fact = 'symbol'"), F.concat_ws(".", "owner", "name")
+        of = F.concat_ws(".", "owner", "name")
+        brace_cc = metrics.cyclomatic(*python_ast.blocks(parsed.facts(sources, brace_flow.facts, cache and f"{cache}/brace_flow")))
+        told = braces.where("fact = 'symbol'").withColumn("fn", F.concat_ws(":", "file_path", of)).join(brace_cc, "fn", "left")
         test = F.col("file_path").rlike(r"(?:[._](?:test|spec)\.|Tests?\.java$|_test\.go$|/__tests__/)")
         named = named.unionByName(told.select(
             node_id("file_path", of).alias("id"), "kind", "name", of.alias("qualified_name"), "file_path", F.col("line").alias("start_line"), "end_line", "exported", test.alias("is_test"),
-            F.col("name").alias("signature"), F.lit(None).cast("int").alias("cyclomatic"), "owner", F.col("n").alias("n_params"),
+            F.col("name").alias("signature"), F.col("cyclomatic").cast("int").alias("cyclomatic"), "owner", F.col("n").alias("n_params"),
         ))
         none = F.lit(None)
         whole = sources.select(
@@ -197,10 +199,10 @@ class Engine:
         return text.scan_lines(self.sources.where(files.scannable(F.col("file_path")))).withColumn("fix", control.suggest_fix(F.col("category")))
 
     def flows(self) -> DataFrame:
-        """fn, source and sink (code and line), category, sanitized, length, severity: untrusted data that reaches what it must not, within Python functions."""
+        """fn, source and sink (code and line), category, sanitized, length, severity: untrusted data that reaches what it must not, within functions of Python and of brace_code's languages."""
         if self.sources is None:
             raise ValueError("this graph was made without its sources")
-        nodes, edges = python_ast.data_flow(cut(python_ast.facts(self.sources)))
+        nodes, edges = python_ast.data_flow(cut(python_ast.facts(self.sources).unionByName(brace_flow.facts(self.sources))))
         code, call = F.col("code"), F.col("kind").isin("call", "field", "assignment", "return")
         marked = nodes.select(
             "id", "fn", F.col("node").alias("ord"), "code", "line", (rules.first_of(code, rules.SOURCES).isNotNull() & call).alias("is_source"), rules.first_of(code, rules.SINKS).alias("category"),
