@@ -239,7 +239,8 @@ def _climb(depths: list[int], depth: int):
             keep |= at == 0
             held = {"rid": rid[-1:], "tree": tree[-1:], "groups": names[-1:], "keep": bool(keep[-1])}
             some = np.flatnonzero(keep[:-1])
-            yield frame(rid[some], tree[some], names[some])
+            if len(some):  # pandas gives lists of no rows the type float, which Arrow does not take for lists
+                yield frame(rid[some], tree[some], names[some])
             place, last = place + len(pdf), value[-1].tobytes()
         if held is not None:
             yield frame(held["rid"], held["tree"], held["groups"])

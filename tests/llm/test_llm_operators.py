@@ -549,6 +549,24 @@ def test_tries_name_groups_alike_over_partitions(spark):
         assert [t for t, _ in order] == sorted(t for t, _ in order)
 
 
+@pytest.mark.parametrize("records", ["1", "7"])
+def test_tries_take_batches_where_nobody_meets(spark, records):
+    rng = np.random.default_rng(9)
+    labels = rng.integers(0, 1 << 16, (60, 4, 6)).astype(">u2")
+    labels[50:, 2] = labels[40:50, 2]
+    rows = [(i, x.tobytes()) for i, x in enumerate(labels)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        forest = ngram_join.Forest(spark.createDataFrame(rows, "rid long, labels binary"), 4, 6, 5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    groups = defaultdict(set)
+    for r in forest.at(5).collect():
+        groups[r["group"]].add(r["rid"])
+    assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[i, i + 10] for i in range(40, 50)]
+
+
 def test_ngram_join_without_ids(spark):
     base = [prose(np.random.default_rng(k), 100) for k in range(3)]
     rows = [(None, base[0]), (None, base[0]), (None, base[0] + " end"), (7, base[0] + " other"), (None, base[1]), (None, base[1] + " end"), (7, base[2]), (8, base[2] + " end"), (None, ""), (None, None), (9, ""), (9, "")]
