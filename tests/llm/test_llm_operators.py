@@ -549,6 +549,21 @@ def test_tries_name_groups_alike_over_partitions(spark):
         assert [t for t, _ in order] == sorted(t for t, _ in order)
 
 
+def test_letters_are_merged_without_being_split(monkeypatch):
+    rng = np.random.default_rng(11)
+    alphabet = [*"abcdefghijklmnopqrstuvwxyzABCXYZáéíñóúüçßøÿªºµŁžǅɏ", "ɐ", "ж", "中", "e\u0301", "\xad", "7", "'", "×"]
+    words = ["".join(rng.choice(alphabet, rng.integers(1, 14))) + str(rng.choice(["", ",", ".", "..", "\n"])) for _ in range(3000)]
+    words += ["".join(rng.choice(alphabet[:40], rng.integers(1, 14))) + str(rng.choice(["", ",", "."])) for _ in range(3000)]
+    code = tokens.Encoder(tokens.vocabulary_path())
+    split = []
+    joined = code._encode_joined
+    monkeypatch.setattr(code, "_encode_joined", lambda pieces: split.extend(pieces) or joined(pieces))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    got = code.encode(texts)
+    assert [x.tolist() for x in got] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert split and not [x for x in split if x.strip(",.").isascii() and x.strip(",.").isalpha() and len(x) - len(x.strip(",.")) < 2]
+
+
 @pytest.mark.parametrize("records", ["1", "7"])
 def test_tries_take_batches_where_nobody_meets(spark, records):
     rng = np.random.default_rng(9)
