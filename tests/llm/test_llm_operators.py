@@ -582,6 +582,17 @@ def test_tries_take_batches_where_nobody_meets(spark, records):
     assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[i, i + 10] for i in range(40, 50)]
 
 
+def test_join_takes_small_batches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = pdf(ngram_join.join(docs))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert Counter((int(r.doc_id), int(r.class_id), r.links) for r in got.itertuples()) == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_ngram_join_without_ids(spark):
     base = [prose(np.random.default_rng(k), 100) for k in range(3)]
     rows = [(None, base[0]), (None, base[0]), (None, base[0] + " end"), (7, base[0] + " other"), (None, base[1]), (None, base[1] + " end"), (7, base[2]), (8, base[2] + " end"), (None, ""), (None, None), (9, ""), (9, "")]
