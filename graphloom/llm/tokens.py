@@ -9,10 +9,13 @@ after and white space before it are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-MEMO = 600_000
+MEMO = 800_000
 #: Pieces that are encoded in one string.
 JOIN = 1000
 #: Characters of one text encoded at a time.
@@ -33,11 +36,15 @@ RUN = 1 << 21
 #: Marks a text's first piece; no piece holds a space itself.
 _FIRST = " first "
 _UNSAFE = re.compile(r"\s (?:\s|$)")
-#: Letters that every version of Unicode in use calls so: after a space they are one split.
-_LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: Letters that every version of Unicode in use calls so, and marks that none does: a run of either is one split.
+#: An apostrophe is no such mark, since it may begin a split with letters.
+_L = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_LETTERS = re.compile(_L).fullmatch
+_MARKED = re.compile(f"({_L})([!-&(-/:-@\\[-`{{-~]*)").fullmatch
 #: Bytes as byte-level vocabularies write them.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in set(_KEPT))}
+_BYTES = np.arange(0x100, dtype="<u4")
+_BYTES[[b for b in range(0x100) if b not in set(_KEPT)]] = 0x100 + np.arange(0x100 - len(_KEPT))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -58,12 +65,9 @@ def runs(texts: list) -> list[slice]:
     return out + [slice(at, len(texts))] * (at < len(texts))
 
 
-class _Memo(dict):
+def _memo(known: list = ()) -> defaultdict:
     """piece -> running number; missing pieces are collected for one batched encoding."""
-
-    def __missing__(self, piece):
-        number = self[piece] = len(self)
-        return number
+    return defaultdict(count(len(known)).__next__, zip(known, range(len(known)), strict=True))
 
 
 class Encoder:
@@ -84,17 +88,19 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
-        self.marks = {x: ids[0] for x in ",." if len(ids := self.tokenizer.encode(x, add_special_tokens=False).ids) == 1}
         split = self.tokenizer.pre_tokenizer
         plain = self.tokenizer.normalizer is None and type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space
-        #: The model, if it may be given letters after a space without splitting them first.
+        #: The model, if it may be given letters without splitting them first, and pieces may be taken apart by _MARKED.
         self.model = self.tokenizer.model if plain and type(self.tokenizer.model).__name__ == "BPE" else None
         self._reset()
 
     def _reset(self):
-        self.memo = _Memo()
+        self.memo = _memo()
         self.flat = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1 << 16, np.int64)  # begin[i] to begin[i + 1]: where piece i's ids are in flat
+        self.filled = 0
+        # piece i's ids are the size[i] ones from begin[i] on in flat
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
         self.known = 0
         # of pieces: begins, or ends, with white space (an empty piece lies between two spaces)
         self.starts = np.zeros(1 << 16, bool)
@@ -102,22 +108,39 @@ class Encoder:
         self.used = np.zeros(1 << 16, np.int32)
 
     def _forget(self):
-        """Keep only the pieces met more than once, or none if those are too many."""
-        keep = np.flatnonzero(self.used[: self.known] > 1)
+        """Keep the pieces met more than once, the most used ones if those are too many; older meetings count half."""
+        used = self.used[: self.known]
+        keep = np.flatnonzero(used > 1)
         if len(keep) > MEMO // 2:
-            self._reset()
-            return
+            keep = np.sort(keep[np.argpartition(used[keep], len(keep) - MEMO // 2)[len(keep) - MEMO // 2 :]])
+        used = used[keep] // 2
         ids, length = self._gather(keep)
         names = list(self.memo)
-        memo = _Memo(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        memo = _memo(list(map(names.__getitem__, keep.tolist())))
         starts, ends = self.starts[keep], self.ends[keep]
         self._reset()
         self.memo, self.known = memo, len(keep)
-        room = max(1 << 16, len(keep) + 1)
-        self.flat = np.concatenate([ids, np.zeros(1 << 16, np.int32)])
-        self.begin = np.concatenate([[0], np.cumsum(length), np.zeros(room - len(keep), np.int64)])
-        self.starts, self.ends = (np.concatenate([x, np.zeros(room + 1 - len(keep), bool)]) for x in (starts, ends))
-        self.used = np.zeros(room + 1, np.int32)
+        self._room(len(keep))
+        self._put(np.arange(len(keep)), ids, length)
+        self.starts[: len(keep)], self.ends[: len(keep)], self.used[: len(keep)] = starts, ends, used
+
+    def _room(self, n: int):
+        """Make room for n pieces."""
+        if n > len(self.begin):
+            more = max(len(self.begin), n - len(self.begin))
+            for name in ("begin", "size", "starts", "ends", "used"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.zeros(more, held.dtype)]))
+
+    def _put(self, where: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        """Keep the ids, one piece's after the other's, of the pieces with the numbers where."""
+        to = self.filled + len(ids)
+        if to > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), to - len(self.flat)), np.int32)])
+        self.flat[self.filled : to] = ids
+        self.begin[where] = self.filled + np.cumsum(sizes) - sizes
+        self.size[where] = sizes
+        self.filled = to
 
     def _learn(self):
         """Encode the pieces that have a number but no ids yet."""
@@ -125,91 +148,97 @@ class Encoder:
         if n == self.known:
             return
         fresh = self._last(n - self.known)
-        # letters and one mark: a split after the letters, whose ids may be known
-        marked, bases = [], []
-        for i, x in enumerate(fresh):
-            if x and x[-1] in self.marks and x[:-1].isalpha():
-                base = self.memo.get(x[:-1], n)
-                if base < self.known:
-                    marked.append(i)
-                    bases.append(base)
-        done = set(marked)
-        direct, found, found_sizes = self._encode_letters(fresh, done)
-        done.update(direct)
+        letters, other, made, parts, counts = self._take_apart(fresh)
+        new = self._last(len(self.memo) - n)
+        letters += [i for i, x in enumerate(new, len(fresh)) if x[-1].isalpha()]
+        other += [i for i, x in enumerate(new, len(fresh)) if not x[-1].isalpha()]
+        fresh += new
+        n, base = len(self.memo), self.known
+        self._room(n)
         joined = [
-            i for i, x in enumerate(fresh)
-            if i not in done and x and x[0] != " " and (x.isprintable() or ("\n" in x and all(y and y.isprintable() for y in x.split("\n"))))
+            i for i in other
+            if (x := fresh[i]) and x[0] != " " and (x.isprintable() or ("\n" in x and all(y and y.isprintable() for y in x.split("\n"))))
         ]
-        done.update(joined)
-        alone = [i for i in range(len(fresh)) if i not in done]
-        bases = np.array(bases, np.int64)
-        marks = np.fromiter((self.marks[fresh[i][-1]] for i in marked), np.int32, len(marked))
-        ids, sizes = self._gather(bases, 1)
-        ids[np.cumsum(sizes) - 1] = marks
-        more, more_sizes = self._encode_joined([fresh[i] for i in joined])
+        alone = sorted(set(other).difference(joined))
         rest = [x[len(_FIRST) :] if x.startswith(_FIRST) else " " + x for x in map(fresh.__getitem__, alone)]
         last = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        last_sizes = np.fromiter(map(len, last), np.int64, len(last))
-        # numbers must follow the order of fresh: marked pieces' ids come first, then those of letters, the joined, and the others
-        where = np.array(marked + direct + joined + alone, np.int64)
-        ids = np.concatenate([ids, found, more, np.fromiter(chain.from_iterable(last), np.int32, int(last_sizes.sum()))])
-        lengths = np.zeros(len(fresh), np.int64)
-        lengths[where] = np.concatenate([sizes, found_sizes, more_sizes, last_sizes])
-        begin = np.zeros(len(fresh), np.int64)
-        begin[where] = np.cumsum(lengths[where]) - lengths[where]
-        ids = ids[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))]
-        at = int(self.begin[self.known])
-        ends = at + np.cumsum(lengths)
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), int(ends[-1]) - len(self.flat)), np.int32)])
-        if n >= len(self.begin):
-            more = max(len(self.begin), n + 1 - len(self.begin))
-            self.begin = np.concatenate([self.begin, np.zeros(more, np.int64)])
-            self.starts, self.ends, self.used = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.ends, self.used))
-        self.flat[at : ends[-1]] = ids
-        self.begin[self.known + 1 : n + 1] = ends
+        sizes = np.fromiter(map(len, last), np.int64, len(last))
+        self._put(base + np.array(alone, np.int64), np.fromiter(chain.from_iterable(last), np.int32, int(sizes.sum())), sizes)
+        self._put(base + np.array(letters, np.int64), *self._encode_letters([fresh[i] for i in letters]))
+        self._put(base + np.array(joined, np.int64), *self._encode_joined([fresh[i] for i in joined]))
         for i in alone:  # all others neither begin nor end with white space
             x = fresh[i]
             first = x.startswith(_FIRST)
             x = x[len(_FIRST) :] if first else x
-            self.starts[self.known + i] = not x or x[0].isspace()
-            self.ends[self.known + i] = x[-1].isspace() if x else not first
+            self.starts[base + i] = not x or x[0].isspace()
+            self.ends[base + i] = x[-1].isspace() if x else not first
         self.known = n
+        if made:
+            where = np.array(parts, np.int64)
+            ids, sizes = self._gather(where)
+            self._put(base + np.array(made, np.int64), ids, np.add.reduceat(sizes, np.cumsum(counts) - counts))
+            self.used[:n] += np.bincount(where, minlength=n).astype(np.int32)
+
+    def _take_apart(self, fresh: list[str]) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+        """Which pieces are letters, which neither they nor made of parts, and which are made; the numbers of parts, and how many each has.
+
+        Made are letters with marks after them, once or by lines.  Each part is a split of its
+        own, so its ids are those of letters after a space or of a text's first piece.  The
+        parts get numbers too; there are far fewer of them.
+        """
+        letters: list[int] = []
+        other: list[int] = []
+        made: list[int] = []
+        parts: list[int] = []
+        counts: list[int] = []
+        if self.model is None:
+            return letters, [*range(len(fresh))], made, parts, counts
+        memo, feed = self.memo, _FIRST + "\n"
+        for i, x in enumerate(fresh):
+            before = _FIRST if x.startswith(_FIRST) else ""
+            x = x[len(_FIRST) :] if before else x
+            if x.isalpha():
+                (letters if x.isascii() or _LETTERS(x) else other).append(i)
+            elif m := _MARKED(x):
+                a, b = m.groups()
+                parts += (memo[before + a], memo[_FIRST + b])
+                made.append(i)
+                counts.append(2)
+            elif "\n" in x and all(lines := list(map(_MARKED, x.split("\n")))):
+                at = len(parts)
+                for m in lines:
+                    a, b = m.groups()
+                    parts += (memo[before + a], memo[_FIRST + b], memo[feed]) if b else (memo[before + a], memo[feed])
+                    before = _FIRST
+                parts.pop()  # no line feed after the last line
+                made.append(i)
+                counts.append(len(parts) - at)
+            else:
+                other.append(i)
+        return letters, other, made, parts, counts
 
-    def _gather(self, where: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces one after the other, each with room for spare more after it; and their lengths with that."""
-        start = self.begin[where]
-        length = self.begin[where + 1] - start + spare
+    def _gather(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and the number for each."""
+        length = self.size[where]
         total = np.cumsum(length)
-        at = np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)
-        return self.flat[np.minimum(at, len(self.flat) - 1)], length
+        at = np.repeat(self.begin[where] - (total - length), length) + np.arange(total[-1] if len(total) else 0)
+        return self.flat[at], length
 
-    def _encode_letters(self, pieces: list[str], done: set[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Which of the pieces not done are letters, or letters and one mark; their ids after a space, and the number for each.
+    def _encode_letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the number for each, of pieces of letters: after a space, or as a text's first.
 
         The model's own merges give the same ids as the whole tokenizer, at a third of the time.
         """
-        which: list[int] = []
-        ids: list[int] = []
-        sizes: list[int] = []
-        if self.model is None:
-            return which, np.zeros(0, np.int32), np.zeros(0, np.int64)
-        merge, marks = self.model.tokenize, self.marks
-        for i, x in enumerate(pieces):
-            if i in done or not x:
-                continue
-            mark = marks.get(x[-1])
-            if mark is not None:
-                x = x[:-1]
-            if not _LETTERS(x):
-                continue
-            found = [t.id for t in merge("\u0120" + (x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES)))]
-            if mark is not None:
-                found.append(mark)
-            which.append(i)
-            ids += found
-            sizes.append(len(found))
-        return which, np.array(ids, np.int32), np.array(sizes, np.int64)
+        if not pieces:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        lines = "\n".join([x[len(_FIRST) :] if x.startswith(_FIRST) else " " + x for x in pieces])
+        lines = _BYTES[np.frombuffer(lines.encode(), np.uint8)].tobytes().decode("utf-32-le").split(chr(_BYTES[10]))
+        ids, sizes = [], []
+        for i in range(0, len(lines), JOIN):
+            found = list(map(self.model.tokenize, lines[i : i + JOIN]))
+            sizes += map(len, found)
+            ids.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.int32))
+        return np.concatenate(ids), np.array(sizes, np.int64)
 
     def _encode_joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for each piece, after a space; pieces hold no white space but single line feeds.
@@ -246,7 +275,7 @@ class Encoder:
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges = edges - edges[0]
         coded = flat.dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # all pieces but a text's first had a space before them; a first one is told apart by a mark
         firsts = [_FIRST + x for x in flat.take(pa.array(edges[:-1])).to_pylist()]
         where = np.fromiter(map(self.memo.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
@@ -265,7 +294,16 @@ class Encoder:
 
     def encode(self, texts) -> list[np.ndarray]:
         """One int32 array of ids for each text; a null text has none."""
-        texts = [t or "" for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # many small objects and no cycles: a collection would look through all of them and find nothing
+        try:
+            return self._between_added([t or "" for t in texts])
+        finally:
+            if collects:
+                gc.enable()
+
+    def _between_added(self, texts: list[str]) -> list[np.ndarray]:
+        """encode() for texts that may hold added tokens."""
         held = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
         if not held:
             return self._encode(texts)

@@ -564,6 +564,34 @@ def test_letters_are_merged_without_being_split(monkeypatch):
     assert split and not [x for x in split if x.strip(",.").isascii() and x.strip(",.").isalpha() and len(x) - len(x.strip(",.")) < 2]
 
 
+def test_letters_with_marks_are_made_of_parts(monkeypatch):
+    rng = np.random.default_rng(12)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCXYZáéíñóúüçßøÿªºµŁžǅɏ"]
+    marks = [*"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]
+    lines = ["".join(rng.choice(letters, rng.integers(1, 9))) + "".join(rng.choice(marks, rng.integers(0, 4))) for _ in range(6000)]
+    words = ["\n".join(lines[i : i + n]) for n, of in ((1, 3000), (2, 2000), (3, 900)) for i in range(0, of, n)]
+    code = tokens.Encoder(tokens.vocabulary_path())
+    split = []
+    joined = code._encode_joined
+    monkeypatch.setattr(code, "_encode_joined", lambda pieces: split.extend(pieces) or joined(pieces))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    others = ["don't I'll,'s x'", "a1. 1a, a.b a..b\n\nc d.\n e\n", "e\u0301. ж, ɐ! a\u00a0b. \xad,", "\n a\n. .a .\na", "x.'s 's. a.\tb a\r\nb"]
+    assert [x.tolist() for x in code.encode(texts)] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [x for x in split if x in words]
+    assert [x.tolist() for x in code.encode(others)] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in others]
+
+
+def test_most_used_pieces_are_remembered(monkeypatch, tokenizer):
+    monkeypatch.setattr(tokens, "MEMO", 40)
+    words = [a + b for a in "xyz" for b in "abcdefghijklmnopqrst"]
+    code = tokens.Encoder(tokens.vocabulary_path())
+    text = " ".join(w for i, w in enumerate(["first", *words]) for _ in range(5 if i < 10 else 2))
+    for t in (text, "zz", text):
+        assert code.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        if t == "zz":
+            assert set(words[:9]) <= set(code.memo) and len(code.memo) < 25
+
+
 @pytest.mark.parametrize("records", ["1", "7"])
 def test_tries_take_batches_where_nobody_meets(spark, records):
     rng = np.random.default_rng(9)
