@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-MEMO = 800_000
+MEMO = 600_000
 #: Pieces that are encoded in one string.
 JOIN = 1000
 #: Characters of one text encoded at a time.
@@ -100,7 +100,7 @@ class Encoder:
         self.filled = 0
         # piece i's ids are the size[i] ones from begin[i] on in flat
         self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int32)
         self.known = 0
         # of pieces: begins, or ends, with white space (an empty piece lies between two spaces)
         self.starts = np.zeros(1 << 16, bool)
@@ -115,10 +115,11 @@ class Encoder:
             keep = np.sort(keep[np.argpartition(used[keep], len(keep) - MEMO // 2)[len(keep) - MEMO // 2 :]])
         used = used[keep] // 2
         ids, length = self._gather(keep)
-        names = list(self.memo)
-        memo = _memo(list(map(names.__getitem__, keep.tolist())))
         starts, ends = self.starts[keep], self.ends[keep]
-        self._reset()
+        names = list(self.memo)
+        self._reset()  # before the new memory is made: both together would be the peak
+        names = list(map(names.__getitem__, keep.tolist()))
+        memo = _memo(names)
         self.memo, self.known = memo, len(keep)
         self._room(len(keep))
         self._put(np.arange(len(keep)), ids, length)
@@ -219,7 +220,7 @@ class Encoder:
 
     def _gather(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after the other, and the number for each."""
-        length = self.size[where]
+        length = self.size[where].astype(np.int64)
         total = np.cumsum(length)
         at = np.repeat(self.begin[where] - (total - length), length) + np.arange(total[-1] if len(total) else 0)
         return self.flat[at], length
