@@ -621,6 +621,15 @@ def test_join_takes_small_batches(spark):
     assert Counter((int(r.doc_id), int(r.class_id), r.links) for r in got.itertuples()) == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_join_finds_pairs_that_share_no_five_values(spark):
+    docs = []
+    for k in (1896, 2612, 3576, 13375):  # the ones of 20,000 such pairs, of 50 in 62 shingles, that share five values in no tree
+        words = [f"w{k}x{i}" for i in range(60)]
+        docs += [(k, " ".join(words)), (20_000 + k, " ".join([*words[:30], "other", "words", *words[32:]]))]
+    got = pdf(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert Counter((int(r.doc_id), int(r.class_id), r.links) for r in got.itertuples()) == brute_join(docs)
+
+
 def test_ngram_join_without_ids(spark):
     base = [prose(np.random.default_rng(k), 100) for k in range(3)]
     rows = [(None, base[0]), (None, base[0]), (None, base[0] + " end"), (7, base[0] + " other"), (None, base[1]), (None, base[1] + " end"), (7, base[2]), (8, base[2] + " end"), (None, ""), (None, None), (9, ""), (9, "")]
