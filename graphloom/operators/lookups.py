@@ -85,22 +85,47 @@ def first_match(refs: DataFrame, ref_name: str, nodes: DataFrame) -> DataFrame:
     return refs.join(first, F.col(ref_name) == F.col("__name"), "left").drop("__name")
 
 
+#: Spans of a file near one place, up to which a file's points meet all of them.
+NEAR = 64
+
+
 def enclosing(points: DataFrame, nodes: DataFrame, width: int = 64) -> DataFrame:
     """points (point, file_path, line) with the id of the smallest node of the file that contains the line.
 
-    Kinds: function, method, class and module.  A range join on buckets of width lines,
-    so that a file's points meet only the nodes near them; ties go to the lesser ord.
+    Kinds: function, method, class and module; ties go to the lesser ord.  Where no width
+    lines of a file have more than NEAR nodes, a range join on buckets of width lines, so
+    that a file's points meet only the nodes near them.  Otherwise each node is cut into
+    blocks of 1, 2, 4, ... lines, a block keeps its smallest node, and each line asks the
+    blocks around it: rows grow with the logarithm of the longest node, however many overlap.
     """
     kinds = nodes.where(F.col("kind").isin("function", "method", "class", "module") & F.col("end_line").isNotNull() & (F.col("end_line") >= F.col("start_line")))
-    spans = kinds.select(
-        F.col("file_path").alias("f"), "start_line", "end_line", "id", "ord", F.explode(F.sequence(F.expr(f"start_line div {width}"), F.expr(f"end_line div {width}"))).alias("b")
-    )
-    near = points.withColumn("b", F.expr(f"line div {width}"))
-    hits = near.join(spans, (near["file_path"] == spans["f"]) & (near["b"] == spans["b"]) & F.col("line").between(F.col("start_line"), F.col("end_line")))
+    bucket = lambda c: F.expr(f"{c} div {width}")
+    spans = kinds.select(F.col("file_path").alias("f"), "start_line", "end_line", "id", "ord")
+    near = spans.withColumn("b", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
+    facts = near.groupBy("f", "b").agg(F.count("*").alias("n"), F.max(F.col("end_line") - F.col("start_line")).alias("lines")).agg(F.max("n").alias("n"), F.max("lines").alias("lines")).first()
+    if (facts["n"] or 0) > NEAR:
+        best = _smallest(points.select("file_path", "line").where("file_path IS NOT NULL AND line IS NOT NULL").distinct(), spans, int(facts["lines"] + 1).bit_length())
+        return points.join(best, ["file_path", "line"], "left").select(*points.columns, "symbol_id")
+    at = points.withColumn("b", bucket("line"))
+    hits = at.join(near, (at["file_path"] == near["f"]) & (at["b"] == near["b"]) & F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = hits.groupBy("point").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), "ord")).alias("symbol_id"))
     return points.join(best, "point", "left")
 
 
+def _smallest(lines: DataFrame, spans: DataFrame, levels: int) -> DataFrame:
+    """file_path, line, symbol_id for distinct lines within any span; levels: more than the logarithm of the longest."""
+    # blocks k of 2**k lines that make up a span exactly: at most two of each size, the odd ones at its ends
+    first, end = F.col("start_line").cast("long"), F.col("end_line").cast("long") + 1
+    a, z = [F.shiftright(first + ((1 << k) - 1), k) for k in range(levels)], [F.shiftright(end, k) for k in range(levels)]
+    block = lambda k, b, odd: F.when((a[k] < z[k]) & (odd.bitwiseAND(F.lit(1)) == 1), F.struct(F.lit(k).alias("k"), b.alias("b")))
+    pieces = F.array_compact(F.array(*[x for k in range(levels) for x in (block(k, a[k], a[k]), block(k, z[k] - 1, z[k]))]))
+    few = spans.where("f IS NOT NULL").groupBy("f", "start_line", "end_line").agg(F.min(F.struct("ord", "id")).alias("x"))
+    cover = few.select("f", F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), "x.ord", "x.id").alias("x"), F.explode(pieces).alias("p")).groupBy("f", "p.k", "p.b").agg(F.min("x").alias("x"))
+    ask = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col("line").cast("long"), k).alias("b")) for k in range(levels)])
+    asked = lines.select(F.col("file_path").alias("f"), "line", F.explode(ask).alias("p")).select("f", "line", "p.k", "p.b")
+    return asked.join(cover, ["f", "k", "b"]).groupBy(F.col("f").alias("file_path"), "line").agg(F.min("x")["id"].alias("symbol_id"))
+
+
 # How sure each way of resolving a call is.
 CONFIDENCE = {"same_file": 0.95, "import_scoped": 0.9, "type_narrowed": 0.85, "global": 0.5}
 CALLABLE = ("function", "method", "constructor")
