@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from graphloom.operators import lookups
+from graphloom.operators import flow, lookups
 
 
 def joined(df) -> tuple[list, int]:
@@ -38,3 +38,25 @@ def test_enclosing_of_many_overlapping_nodes(spark):
     known = {i: (e - s, o) for i, o, _, _, s, e in nodes if e is not None}
     assert {r["point"]: known.get(r["symbol_id"]) for r in rows} == want
     assert made < 20 * len(points)  # a join of points with the nodes around them makes hundreds for each
+
+
+def test_type_environment_of_large_scopes(spark):
+    dice = random.Random(4)
+    kinds = ["string", "number", None, "array"]
+    said = [(dice.choice(["a", "a.K", "a.K.m", None]), dice.choice(["x", "y", None]), o if o % 50 else None, kinds[dice.randrange(4)]) for o in range(1200)]
+    uses = [(o, dice.choice(["a", "a.K", "a.K.m", "a.L.n", "b", None]), dice.choice(["x", "y", "z", None]), o if o % 90 else None) for o in range(1200)]
+    df = flow.type_environment(spark.createDataFrame(said, "scope string, name string, ord long, type string"), spark.createDataFrame(uses, "use long, scope string, name string, ord long"))
+    assert df.columns == ["use", "scope", "name", "ord", "type"]
+    rows, made = joined(df)
+
+    def of(scope, name, at):
+        parts = (scope or "").split(".")
+        for n in range(len(parts), 0, -1):
+            here, own = ".".join(parts[:n]), n == len(parts)
+            hits = [(o is not None, o or 0, t) for s, x, o, t in said if s == here and x == name and None not in (s, x, t) and (not own or (o is not None and at is not None and o < at))]
+            if hits:
+                return max(hits)[2]
+        return None
+
+    assert {r["use"]: r["type"] for r in rows} == {u: of(s, n, o) if n else None for u, s, n, o in uses}
+    assert made < 3 * len(uses)  # each use met hundreds of assignments
