@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
+import __spark_entry__
 from graphloom.sources import brace_code, brace_flow
 
 
@@ -14,6 +15,11 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
+def test_facts_of_blocks_are_made_once(spark):
+    df = __spark_entry__.queries()["g16_brace_blocks"](spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in plan_of(df)
+
+
 def test_tokens_are_not_exchanged(spark):
     files = spark.createDataFrame([(f"f{i}.ts", "function f(x) {\n if (x) { return g(x) }\n}\n" * i) for i in range(20)], "file_path string, content string")
     plan = plan_of(brace_code._scoped(brace_code._placed(brace_code.dealt(files))))
