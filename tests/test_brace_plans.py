@@ -35,3 +35,12 @@ def test_tokens_of_nested_functions(spark):
         got.setdefault(r["owner"], []).append(r["detail"].split(":")[0])
     assert len(got) == 401 and sorted(got["open"]) == ["param", "return"]
     assert all(sorted(got[f"a{i}"]) == ["param", "return"] and sorted(got[f"b{i}"]) == ["call", "param", "return"] for i in range(200))
+
+
+def test_heads_and_imports_read_their_tokens_only(spark):
+    text = "import {\n a, b as c } from './x'; import d, * as e from 'y';\nconst z = import('w');\nclass A<T, U> extends B<T> implements C, D.E {\n m(a, b) { return g('import', a) }\n}\ninterface F extends G {}\n" + "function h(x) { return i(x, 'j') }\n" * 300
+    rows, brackets = brace_code.read(spark.createDataFrame([("m.ts", text)], "file_path string, content string"))
+    assert rows.where("heading OR importing").count() < 80 < rows.count() // 50
+    _, _, types = brace_code._declared(rows, brackets)
+    assert sorted((r["token"], r["owner"], r["how"]) for r in brace_code._heritage(rows, types).collect()) == [("B", "A", "extends"), ("C", "A", "implements"), ("E", "A", "implements"), ("G", "F", "extends")]
+    assert sorted((r["name"], r["local"], r["source"]) for r in brace_code._taken(rows).collect()) == [("*", "e", "y"), ("a", "a", "./x"), ("b", "c", "./x"), ("default", "d", "y")]
