@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from graphloom.operators import flow, lookups
+from graphloom.operators import flow, lookups, overlap
 
 
 def joined(df) -> tuple[list, int]:
@@ -60,3 +60,12 @@ def test_type_environment_of_large_scopes(spark):
 
     assert {r["use"]: r["type"] for r in rows} == {u: of(s, n, o) if n else None for u, s, n, o in uses}
     assert made < 3 * len(uses)  # each use met hundreds of assignments
+
+
+def test_tiles_of_pairs_are_not_broadcast(spark):
+    """Repeated tiles grow with the square of the tiles; their estimate does not."""
+    rows = spark.createDataFrame([(i, i % 7) for i in range(700)], "group long, v long")
+    df = overlap.pairs_of(rows, ["v"])
+    got = df.collect()
+    assert len(got) == 700 * 699 // 2 and all(r["a"] < r["b"] and r["v_a"] == r["a"] % 7 and r["v_b"] == r["b"] % 7 for r in got)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
