@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.adjacency import Adjacency
@@ -191,27 +191,28 @@ def processes(edges: DataFrame, entries: DataFrame, max_steps: int = 100, max_de
     """entry, step, id, depth, is_branch: what each entry (id) leads to, calls before data flow, in the order of a queue.
 
     edges: src, dst, kind, ord.  Visited nodes are not taken again; processes of one step are left out.
+    What follows a node comes in the order of that node's step, so a row keeps no path; of a
+    round only the steps up to max_steps are kept.
     """
     way = F.when(F.col("kind") == "calls", 0).otherwise(1).cast("long")
     steps = Adjacency(edges.where("kind IN ('calls', 'data_flow')").select(F.col("src").alias("at"), "dst", way.alias("way"), F.col("ord").cast("long").alias("ord")))
-    frontier = cut(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("place")))
+    # n: steps of the entry so far
+    frontier = cut(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth"), F.lit(0).alias("step"), F.lit(1).alias("n")).distinct())
     rounds = [frontier]
+    of_entry, turn = Window.partitionBy("entry"), Window.partitionBy("entry").orderBy("place", "id")
     for level in range(1, max_depth + 1):
-        seen = reduce(DataFrame.unionByName, rounds)
-        full = seen.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= max_steps).select("entry")
-        place = F.concat("place", F.array("way", "ord"))
-        open_ = cut(frontier.join(full, "entry", "left_anti"))
-        new = steps.around(open_).select("entry", F.col("dst").alias("id"), place.alias("place"))
-        new = new.join(seen.select("entry", "id"), ["entry", "id"], "left_anti").groupBy("entry", "id").agg(F.min("place").alias("place"))
-        new = cut(new.select("entry", "id", F.lit(level).alias("depth"), "place"))
+        open_ = cut(frontier.where(F.col("n") < max_steps).drop("depth"))
+        seen = reduce(DataFrame.unionByName, rounds).where(F.col("n") < max_steps).select("entry", "id")
+        new = steps.around(open_).select("entry", F.col("dst").alias("id"), F.struct("step", "way", "ord").alias("place"), "n").repartition("entry")
+        new = new.groupBy("entry", "id").agg(F.min("place").alias("place"), F.max("n").alias("n")).join(seen, ["entry", "id"], "left_anti")
+        new = new.withColumns({"step": F.col("n") + F.row_number().over(turn) - 1, "n": F.least(F.col("n") + F.count("*").over(of_entry).cast("int"), F.lit(max_steps))})
+        new = cut(new.where(F.col("step") < max_steps).select("entry", "id", F.lit(level).alias("depth"), "step", "n"))
         if new.isEmpty():
             break
         rounds.append(new)
         frontier = new
-    from pyspark.sql import Window
-
-    found = reduce(DataFrame.unionByName, rounds)
-    found = found.withColumn("step", F.row_number().over(Window.partitionBy("entry").orderBy("depth", "place")) - 1).where(F.col("step") < max_steps)
-    many = found.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry")
+    if len(rounds) > 1:  # entries alone are no processes
+        rounds[0] = rounds[0].join(rounds[1].where("step = 1").select("entry"), "entry", "left_semi")
+    found = reduce(DataFrame.unionByName, rounds if len(rounds) > 1 else [rounds[0].limit(0)])
     fan = steps.table.where("way = 0").groupBy(F.col("at").alias("id")).agg((F.count("*") > 1).alias("is_branch"))
-    return found.join(many, "entry").join(fan, "id", "left").select("entry", "step", "id", "depth", F.coalesce("is_branch", F.lit(False)).alias("is_branch"))
+    return found.join(fan, "id", "left").select("entry", "step", "id", "depth", F.coalesce("is_branch", F.lit(False)).alias("is_branch"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from graphloom.operators import flow, lookups, overlap
+from graphloom.operators import flow, lookups, overlap, traversal
+from graphloom.plans.lineage import cut
 
 
 def joined(df) -> tuple[list, int]:
@@ -69,3 +70,14 @@ def test_tiles_of_pairs_are_not_broadcast(spark):
     got = df.collect()
     assert len(got) == 700 * 699 // 2 and all(r["a"] < r["b"] and r["v_a"] == r["a"] % 7 and r["v_b"] == r["b"] % 7 for r in got)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_processes_keep_the_first_steps_of_a_round(spark, monkeypatch):
+    """A round of many discoveries writes the steps that are left, no path of each."""
+    edges = [(0, i, "calls", i) for i in range(1, 41)] + [(i, 100 * i + j, "calls", j) for i in range(1, 41) for j in range(40)]
+    written = []
+    monkeypatch.setattr(traversal, "cut", lambda df: written.append(out := cut(df)) or out)
+    frame = spark.createDataFrame(edges, "src long, dst long, kind string, ord long")
+    got = traversal.processes(frame, spark.createDataFrame([(0,), (4000,)], "entry long").toDF("id"), 60).orderBy("entry", "step").collect()
+    assert [r["id"] for r in got] == [0, *range(1, 41), *range(100, 119)] and [r["step"] for r in got] == list(range(60))
+    assert max(df.count() for df in written) <= 60 and not any("array" in kind for df in written for _, kind in df.dtypes)
