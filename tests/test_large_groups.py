@@ -81,3 +81,33 @@ def test_processes_keep_the_first_steps_of_a_round(spark, monkeypatch):
     got = traversal.processes(frame, spark.createDataFrame([(0,), (4000,)], "entry long").toDF("id"), 60).orderBy("entry", "step").collect()
     assert [r["id"] for r in got] == [0, *range(1, 41), *range(100, 119)] and [r["step"] for r in got] == list(range(60))
     assert max(df.count() for df in written) <= 60 and not any("array" in kind for df in written for _, kind in df.dtypes)
+
+
+def test_label_propagation_looks_at_what_is_near_a_change(spark, monkeypatch):
+    """Once labels settle, rounds read edges near changes alone; the result is that of full rounds."""
+    dice = random.Random(6)
+    edges = [(100 * c + dice.randrange(30), 100 * c + dice.randrange(30), 1.0 + dice.randrange(2)) for c in range(8) for _ in range(90)] + [(100 * c, 100 * c + 100, 1.0) for c in range(7)]
+    asked = []
+    around = flow.Adjacency.around
+    monkeypatch.setattr(flow.Adjacency, "around", lambda self, frontier, n=None: asked.append(frontier.count()) or around(self, frontier, n))
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double")
+    got = {r["id"]: r["community"] for r in flow.label_propagation(frame).collect()}
+    near: dict = {}
+    for a, b, w in edges:
+        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
+        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
+    odd = {r["id"]: r["h"] for r in spark.createDataFrame([(i,) for i in near], "id long").selectExpr("id", "pmod(xxhash64(id), 2) AS h").collect()}
+    want, still = {i: i for i in near}, 0
+    for r in range(50):
+        new = dict(want)
+        for i in near:
+            votes: dict = {}
+            for j, w in near[i].items():
+                votes[want[j]] = votes.get(want[j], 0) + w
+            best = max(votes, key=lambda c: (votes[c], -c))
+            if odd[i] == r % 2 and votes.get(want[i], 0) < votes[best]:
+                new[i] = best
+        still, want = still + 1 if new == want else 0, new
+        if still == 2:
+            break
+    assert got == want and asked and min(asked) < len(near) // 4
