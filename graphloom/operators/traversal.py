@@ -203,7 +203,7 @@ def processes(edges: DataFrame, entries: DataFrame, max_steps: int = 100, max_de
     for level in range(1, max_depth + 1):
         open_ = cut(frontier.where(F.col("n") < max_steps).drop("depth"))
         seen = reduce(DataFrame.unionByName, rounds).where(F.col("n") < max_steps).select("entry", "id")
-        new = steps.around(open_).select("entry", F.col("dst").alias("id"), F.struct("step", "way", "ord").alias("place"), "n").repartition("entry")
+        new = steps.around(open_).select("entry", F.col("dst").alias("id"), F.struct("step", "way", "ord").alias("place"), "n")
         new = new.groupBy("entry", "id").agg(F.min("place").alias("place"), F.max("n").alias("n")).join(seen, ["entry", "id"], "left_anti")
         new = new.withColumns({"step": F.col("n") + F.row_number().over(turn) - 1, "n": F.least(F.col("n") + F.count("*").over(of_entry).cast("int"), F.lit(max_steps))})
         new = cut(new.where(F.col("step") < max_steps).select("entry", "id", F.lit(level).alias("depth"), "step", "n"))
